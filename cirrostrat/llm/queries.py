@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from cirrostrat.llm import decontaminate, mixing, token_counts, topk, url_rules
 from cirrostrat.llm.jaccard_join import jaccard_components
 
+#: A public vocabulary; every worker has the file.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Host, path, verdict.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,6 +23,33 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"), window=10)
+    return decontaminate.hit_counts(found)
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_totals(token_counts.length_histogram(_table(spark, sf_dir, "documents"), VOCABULARY))
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.expr(r"try_cast(regexp_extract(url, '/([0-9]+)([^0-9/].*)?/?$', 1) as long)")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    labelled = pages.select("url", number.alias("doc_id")).join(labels, "doc_id").select("url", "blocked")
+    return url_rules.judge(pages, URL_RULES, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
+    return mix.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -23,4 +58,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
+    "op6_exact_topk": topk.TOP_K_SQL,
+}
