@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cirrostrat.llm import decontaminate, mixing, token_counts, topk, url_rules
+from cirrostrat.llm import decontaminate, html_extract, mixing, quality_rules, token_counts, topk, toxicity, url_rules
 from cirrostrat.llm.jaccard_join import jaccard_components
 
 #: A public vocabulary; every worker has the file.
@@ -23,6 +23,28 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def _hash_fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = _table(spark, sf_dir, "labels").where(_hash_fold(5) != 0)
+    scored = toxicity.toxicity_scores(docs, learn)
+    return scored.select("doc_id", (F.coalesce(_hash_fold(5), F.lit(-1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = _table(spark, sf_dir, "labels").where(_hash_fold(4) != 2)
+    scored = quality_rules.quality_scores(docs, learn)
+    return scored.select("doc_id", (F.coalesce(_hash_fold(4), F.lit(-1)) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"), window=10)
