@@ -82,6 +82,22 @@ def segment_keys(s: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return mix(content ^ mix(seg + np.uint64(band << 32)))
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
+    """The least node that each node of the pairs hangs together with."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if (x := find(x)) != (y := find(y)):
+            root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(root)}
+
+
 def _key_rows(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
@@ -105,12 +121,15 @@ def _key_rows(size: int, num: int, den: int):
             key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
-            # combine: of a key's nodes in this batch only the least goes on under the key; the
-            # others hang on it by rows whose key is their own, which spreads a hot key
+            # combine: nodes that meet within this batch hang on the least of them, which alone goes on
+            # under their keys; their own rows have keys of their own, which spreads a hot group
             fresh = np.r_[True, key[1:] != key[:-1]]
             least = node[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-            key = np.where(fresh, key, mix(node.view(np.uint64)).view(np.int64))
-            rows = np.unique(np.stack([key, least, node], 1), axis=0) if not fresh.all() else np.stack([key, least, node], 1)
+            root = _roots(least[~fresh], node[~fresh])
+            up = np.array([root.get(x, x) for x in node[fresh].tolist()], np.int64)
+            below = np.array([(x, r) for x, r in root.items() if x != r], np.int64).reshape(-1, 2)
+            rows = np.unique(np.stack([key[fresh], up, up], 1), axis=0) if root else np.stack([key, node, node], 1)
+            rows = np.r_[rows, np.stack([mix(below[:, 0].view(np.uint64).copy()).view(np.int64), below[:, 1], below[:, 0]], 1)]
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], names=["key", "lo", "hi"])
 
     return run
