@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cirrostrat.llm import decontaminate, html_extract, mixing, quality_rules, token_counts, topk, toxicity, url_rules
+from cirrostrat.llm import decontaminate, html_extract, mixing, quality_rules, suffix_dedup, token_counts, topk, toxicity, url_rules
 from cirrostrat.llm.jaccard_join import jaccard_components
 
 #: A public vocabulary; every worker has the file.
@@ -31,6 +31,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"), least=400, keep_first=False)
+    return suffix_dedup.removal_digest(spans)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     learn = _table(spark, sf_dir, "labels").where(_hash_fold(5) != 0)
