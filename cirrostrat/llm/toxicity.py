@@ -29,6 +29,8 @@ STRETCHES = 12
 LEAST_WORDS = 32
 #: Every so many-th text of the sample sets the threshold and does not train.
 HELD = 5
+#: n-grams of fewer texts of the sample say nothing (their vector is zero), so that no text is learnt by heart.
+SUPPORT = 5
 _EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…*#$%&|/\\-_=+~`^@"
 
 
@@ -67,12 +69,25 @@ class _Bags:
         self.word = [np.fromiter((at[w] for w in bag), np.int64, len(bag)) for bag in bags]
         self.part = [np.full(len(bag), 1 / max(len(x), LEAST_WORDS), np.float32) for x, bag in zip(pieces, bags, strict=True)]
 
+    def support(self, owner: np.ndarray) -> np.ndarray:
+        """The number of texts that each bucket occurs in."""
+        out = np.zeros(BUCKETS, np.int64)
+        cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            out[np.unique(_grams_of(self, np.unique(np.concatenate(self.word[lo:hi])))[0])] += 1
+        return out
 
-def _word_vectors(bags: _Bags, words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def _grams_of(bags: _Bags, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words one after the other, how many each has, and where each begins."""
     lo, hi = bags.gram_from[words], bags.gram_from[words + 1]
     count = hi - lo
     start = np.r_[0, np.cumsum(count)[:-1]]
-    grams = bags.gram[np.arange(count.sum()) - np.repeat(start, count) + np.repeat(lo, count)]
+    return bags.gram[np.arange(count.sum()) - np.repeat(start, count) + np.repeat(lo, count)], count, start
+
+
+def _word_vectors(bags: _Bags, words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    grams, count, start = _grams_of(bags, words)
     return np.add.reduceat(table[grams], start, axis=0) / count[:, None], grams, count, start
 
 
@@ -93,7 +108,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 6) -
     if not pieces or len(set(label)) < 2:
         return np.zeros(BUCKETS, np.float32), 4.0 if label and label[0] else -4.0
     bags, label, owner = _Bags(pieces), np.array(label), np.array(owner)
-    table = rng.uniform(-0.5, 0.5, (BUCKETS, DIM)).astype(np.float32) / DIM
+    known = bags.support(owner) >= SUPPORT
+    table = np.where(known[:, None], rng.uniform(-0.5, 0.5, (BUCKETS, DIM)).astype(np.float32) / DIM, np.float32(0))
     out = rng.uniform(-0.1, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     g_table, g_out = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32)
@@ -128,7 +144,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 6) -
             names, back = np.unique(grams, return_inverse=True)
             d_table = np.stack([np.bincount(back, d_gram[:, j], len(names)) for j in range(DIM)], 1).astype(np.float32)
             g_table[names] += (d_table**2).mean(1)
-            table[names] -= 0.5 * d_table / np.sqrt(g_table[names])[:, None]
+            table[names] -= known[names, None] * 0.5 * d_table / np.sqrt(g_table[names])[:, None]
             g_out += d_out**2
             out -= 0.2 * d_out / np.sqrt(g_out)
             bias -= 0.02 * err.sum(0)
@@ -152,11 +168,10 @@ def _margins(bags: _Bags, table: np.ndarray, out: np.ndarray, bias: np.ndarray,
 
 
 def _threshold(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Where to cut and how steeply: least error rates, clean texts counting twice; in the middle of the widest gap among the best cuts."""
+    """Where to cut and how steeply: fewest errors, clean texts counting twice; in the middle of the widest gap among the best cuts."""
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
-    pos, neg = max(1, (y == 1).sum()), max(1, (y == 0).sum())
-    wrong = np.r_[0, np.cumsum(y == 1)] / pos + 2 * (neg - np.r_[0, np.cumsum(y == 0)]) / neg
+    wrong = np.r_[0, np.cumsum(y == 1)] + 2 * ((y == 0).sum() - np.r_[0, np.cumsum(y == 0)])
     wrong = wrong[1:-1] if len(x) > 1 else wrong
     gap = np.diff(x)
     best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
