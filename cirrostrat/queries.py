@@ -119,7 +119,7 @@ def decode_packed(spark, d):
     return _read(spark, d, "events").select("event_id", scalar.decode(raw, 0.01, 200.0, -32768).alias("bt"))
 
 
-@query(f"WITH {V}, {G} SELECT min(y) AS y0, max(y) AS y1, x0, x1 FROM g, (SELECT min(x) AS x0, max(x) AS x1 FROM g WHERE lon BETWEEN -18.2 AND -15.4) WHERE lat BETWEEN -9.6 AND -7.4 GROUP BY x0, x1")
+@query(f"WITH {V}, {G} SELECT y0, y1, x0, x1 FROM (SELECT min(y) AS y0, max(y) AS y1 FROM g WHERE lat BETWEEN -9.6 AND -7.4), (SELECT min(x) AS x0, max(x) AS x1 FROM g WHERE lon BETWEEN -18.2 AND -15.4)")
 def crop_bbox(spark, d):
     return grid.crop_axes(_grid(spark, d), (-9.6, -7.4), (-18.2, -15.4))
 
