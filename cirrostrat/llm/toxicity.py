@@ -18,17 +18,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.text import slices
+from cirrostrat.llm.text import mix, slices
 
 #: The most labelled texts of either class that training takes, and the most characters of one of them.
 SAMPLE, SAMPLE_CHARS = 4000, 100_000
 BUCKETS, DIM, STRETCH = 1 << 20, 8, 128
 #: Stretches of one text in training.
-STRETCHES = 12
+STRETCHES = 8
 #: A stretch counts as this many words at least, so that no single word decides.
 LEAST_WORDS = 32
 #: Every so many-th text of the sample sets the threshold and does not train.
 HELD = 5
+#: Stretches of a training step, and the fewest steps.
+BATCH, STEPS = 128, 120
 #: n-grams of fewer texts of the sample say nothing (their vector is zero), so that no text is learnt by heart.
 SUPPORT = 5
 _EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…*#$%&|/\\-_=+~`^@"
@@ -38,11 +40,25 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams (3 to 5 characters, with word ends) of a word, and of the word."""
-    w = f"<{word.strip(_EDGE) or word}>"
-    grams = {w} | {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
-    return sorted(xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams)
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams (3 to 5 characters, with word ends) of each word and of the words themselves, and how many each has."""
+    marked = [f"<{w.strip(_EDGE) or w}>" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    end = np.repeat(np.cumsum(size), size)
+    owner = np.repeat(np.arange(len(marked)), size)
+    h, found, of = np.zeros(len(code), np.uint64), [], []
+    for n in range(1, 6):
+        h = h[: len(code) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + code[n - 1 :]
+        if n >= 3:
+            inside = np.arange(len(h)) + n <= end[: len(h)]
+            found.append(mix(h[inside]))
+            of.append(owner[: len(h)][inside])
+    found.append(np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in marked), np.uint64, len(marked)))
+    of.append(np.arange(len(marked)))
+    of = np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return (np.concatenate(found)[order] % np.uint64(BUCKETS)).astype(np.int32), np.bincount(of, minlength=len(marked))
 
 
 def stretch_starts(n: int) -> list[int]:
@@ -60,14 +76,24 @@ def stretches(words: list[str]) -> list[list[str]]:
 class _Bags:
     """Texts as sparse bags over the distinct words of the sample."""
 
-    def __init__(self, pieces: list[list[str]]):
-        bags = [dict.fromkeys(x) for x in pieces]
-        names = list(dict.fromkeys(w for bag in bags for w in bag))
-        at = {w: i for i, w in enumerate(names)}
-        grams = [subwords(w) for w in names]
-        self.gram, self.gram_from = np.concatenate([np.array(g, np.int64) for g in grams]), np.r_[0, np.cumsum([len(g) for g in grams])]
-        self.word = [np.fromiter((at[w] for w in bag), np.int64, len(bag)) for bag in bags]
-        self.part = [np.full(len(bag), 1 / max(len(x), LEAST_WORDS), np.float32) for x, bag in zip(pieces, bags, strict=True)]
+    def __init__(self) -> None:
+        self._at: dict[str, int] = {}
+        self.word: list[np.ndarray] = []
+        self.part: list[float] = []
+
+    def add(self, words: list[str]) -> None:
+        own, at = dict.fromkeys(words), self._at
+        self.word.append(np.fromiter((at.setdefault(w, len(at)) for w in own), np.int32, len(own)))
+        self.part.append(1 / max(len(words), LEAST_WORDS))
+
+    def close(self) -> None:
+        """No more texts: the words themselves are no longer needed."""
+        names, parts = list(self._at), []
+        for lo in range(0, len(names), 20_000):
+            parts.append(subwords(names[lo : lo + 20_000]))
+        self._at = {}
+        self.gram = np.concatenate([p[0] for p in parts])
+        self.gram_from = np.r_[0, np.cumsum(np.concatenate([p[1] for p in parts]))]
 
     def support(self, owner: np.ndarray) -> np.ndarray:
         """The number of texts that each bucket occurs in."""
@@ -91,32 +117,46 @@ def _word_vectors(bags: _Bags, words: np.ndarray, table: np.ndarray) -> tuple[np
     return np.add.reduceat(table[grams], start, axis=0) / count[:, None], grams, count, start
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 6) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
     """Fit on labelled texts; returns the log-odds that each bucket adds to a word, and the bias.
 
-    The first rounds take all stretches (up to ``STRETCHES`` of a text, drawn at random), later ones of
+    The first third of the rounds takes all stretches (up to ``STRETCHES`` of a text, drawn at random), later ones of
     each text the one that the model finds worst so far, as scoring does.
     """
     rng = np.random.default_rng(seed)
-    pieces, owner, label = [], [], []
+    bags, owner, label = _Bags(), [], []
     for k, (text, y) in enumerate(zip(texts, labels, strict=True)):
         own = stretches(words_of(text))
         for i in rng.permutation(len(own))[:STRETCHES]:
-            pieces.append(own[i])
+            bags.add(own[i])
             owner.append(k)
             label.append(y)
-    if not pieces or len(set(label)) < 2:
+    if len(set(label)) < 2:
         return np.zeros(BUCKETS, np.float32), 4.0 if label and label[0] else -4.0
-    bags, label, owner = _Bags(pieces), np.array(label), np.array(owner)
+    bags.close()
+    label, owner, y = np.array(label), np.array(owner), np.array(labels)
+    # the bias is set by what clean and toxic texts that did not train reach in their worst stretch
+    model = _fit(bags, label, owner, owner % HELD != 0, seed, max(6, STEPS * BATCH // len(texts)))
+    held = np.flatnonzero(owner % HELD == 0)
+    worst, seen = np.full(len(texts), -np.inf), np.zeros(len(texts), bool)
+    np.maximum.at(worst, owner[held], _margins(bags, *model, held))
+    seen[owner[held]] = True
+    table, out, bias = model
+    cut, scale = _threshold(worst[seen], y[seen]) if len(set(y[seen])) == 2 else (0.0, 1.0)
+    return ((table @ (out[:, 1] - out[:, 0])) * scale).astype(np.float32), float((bias[1] - bias[0] - cut) * scale)
+
+
+def _fit(bags: _Bags, label: np.ndarray, owner: np.ndarray, learns: np.ndarray, seed: int, epochs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table, outputs and biases fitted to the stretches that learn, by steps of their own size for each n-gram."""
+    rng = np.random.default_rng(seed)
     known = bags.support(owner) >= SUPPORT
     table = np.where(known[:, None], rng.uniform(-0.5, 0.5, (BUCKETS, DIM)).astype(np.float32) / DIM, np.float32(0))
     out = rng.uniform(-0.1, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     g_table, g_out = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32)
-    learns = owner % HELD != 0
     for epoch in range(epochs):
         chosen = np.flatnonzero(learns)
-        if epoch >= 2:  # of each text, the worst stretch
+        if 3 * epoch >= epochs:  # of each text, the worst stretch
             margin = _margins(bags, table, out, bias, np.arange(len(label)))
             best = {}
             for i in chosen.tolist():
@@ -125,11 +165,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 6) -
             chosen = np.array(list(best.values()), np.int64)
         share = np.bincount(label[chosen], minlength=2) / len(chosen)
         order = rng.permutation(chosen)
-        for lo in range(0, len(order), 128):
-            rows = order[lo : lo + 128]
+        for lo in range(0, len(order), BATCH):
+            rows = order[lo : lo + BATCH]
             size = np.array([len(bags.word[i]) for i in rows])
             words, at = np.unique(np.concatenate([bags.word[i] for i in rows]), return_inverse=True)
-            part = np.concatenate([bags.part[i] for i in rows])
+            part = np.repeat(np.array([bags.part[i] for i in rows], np.float32), size)
             vec, grams, count, _ = _word_vectors(bags, words, table)
             start = np.r_[0, np.cumsum(size)[:-1]]
             hidden = np.add.reduceat(vec[at] * part[:, None], start, axis=0)
@@ -148,23 +188,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = 6) -
             g_out += d_out**2
             out -= 0.2 * d_out / np.sqrt(g_out)
             bias -= 0.02 * err.sum(0)
-    # the bias is set on texts that did not train, by what clean and toxic ones reach in their worst stretch
-    margin = _margins(bags, table, out, bias, np.arange(len(label)))
-    worst = np.full(len(texts), -np.inf)
-    np.maximum.at(worst, owner, margin)
-    y = np.array(labels)
-    seen = np.isfinite(worst)
-    held = seen & (np.arange(len(y)) % HELD == 0)
-    if len(set(y[held])) == 2:
-        seen = held
-    cut, scale = _threshold(worst[seen], y[seen])
-    return ((table @ (out[:, 1] - out[:, 0])) * scale).astype(np.float32), float((bias[1] - bias[0] - cut) * scale)
+    return table, out, bias
 
 
 def _margins(bags: _Bags, table: np.ndarray, out: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     log_odds = table @ (out[:, 1] - out[:, 0])
     words = np.add.reduceat(log_odds[bags.gram], bags.gram_from[:-1]) / np.diff(bags.gram_from)
-    return np.array([words[bags.word[i]] @ bags.part[i] for i in rows]) + (bias[1] - bias[0])
+    return np.array([words[bags.word[i]].sum() * bags.part[i] for i in rows]) + (bias[1] - bias[0])
 
 
 def _threshold(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -187,22 +217,21 @@ class Scorer:
     def __init__(self, log_odds: np.ndarray, bias: float, most: int = 400_000):
         self.log_odds, self.bias, self.most, self.known = log_odds, bias, most, {}
 
-    def word(self, w: str) -> float:
-        if len(self.known) >= self.most:
+    def scores(self, texts: list[str | None]) -> list[float]:
+        split = [words_of(t) for t in texts]
+        new = list(set().union(*split).difference(self.known))
+        if len(self.known) + len(new) > self.most:
             self.known.clear()
-        x = self.known[w] = float(self.log_odds[subwords(w)].mean())
-        return x
-
-    def score(self, text: str | None) -> float:
-        words = words_of(text)
-        if not words:
-            return _sigmoid(self.bias)
-        best = max(self._stretch(words[i : i + STRETCH]) for i in stretch_starts(len(words)))
-        return _sigmoid(best + self.bias)
+            new = list(set().union(*split))
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
+            gram, count = subwords(part)
+            means = np.add.reduceat(self.log_odds[gram], np.r_[0, np.cumsum(count)[:-1]]) / count
+            self.known.update(zip(part, means.tolist(), strict=True))
+        return [_sigmoid((max(self._stretch(w[i : i + STRETCH]) for i in stretch_starts(len(w))) if w else 0.0) + self.bias) for w in split]
 
     def _stretch(self, words: list[str]) -> float:
-        known, word = self.known, self.word
-        return math.fsum([v if (v := known.get(w)) is not None else word(w) for w in set(words)]) / max(len(words), LEAST_WORDS)
+        return math.fsum(map(self.known.__getitem__, set(words))) / max(len(words), LEAST_WORDS)
 
 
 def _sigmoid(x: float) -> float:
@@ -213,7 +242,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for batch in slices(batches):
-            scores = [scorer.score(t) for t in batch.column("text").to_pylist()]
+            scores = scorer.scores(batch.column("text").to_pylist())
             names = [n for n in batch.schema.names if n != "score"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], names=[*names, "score"])
 
@@ -239,8 +268,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", sa
     columns pass through; a ``score`` that exists is replaced. Without labels of both classes every
     text has one score.
     """
-    rows = labelled_sample(docs, labels, label, sample).select("text", "y").collect()
-    model = docs.sparkSession.sparkContext.broadcast(train([r.text for r in rows], [r.y for r in rows]))
+    rows = labelled_sample(docs, labels, label, sample).select("text", "y").toArrow()
+    model = docs.sparkSession.sparkContext.broadcast(train(rows.column("text").to_pylist(), rows.column("y").to_pylist()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "score")
     return docs.mapInArrow(_score(model), f"{schema}, score double")
 
