@@ -14,7 +14,7 @@ cut into blocks, every two of which meet in one cell.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ from cirrostrat.llm.text import mix, slices
 from cirrostrat.runtime import materialize
 
 #: Bytes of pieces in one cell, and of a document that is hashed at once.
-CELL_BYTES, CHUNK = 4_000_000, 1 << 20
+CELL_BYTES, CHUNK = 2_500_000, 1 << 20
+_SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 _ODD = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
 
@@ -71,30 +72,32 @@ def anchored_pieces(data: np.ndarray, least: int, k: int) -> tuple[np.ndarray, n
     return np.concatenate(firsts), np.concatenate(counts), np.concatenate(anchors)
 
 
-def _signed(x: list[int]) -> pa.Array:
+def _signed(x: Sequence[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
 def _anchor_rows(least: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, rids, starts, counts, keys, marks = [], [], [], [], [], []
+            rows = []
             for doc, rid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 if len(raw) < least:
                     continue
+                own: dict[tuple[int, int], list[int]] = {}  # a periodic text has a piece many times
                 first, count, anchor = anchored_pieces(np.frombuffer(raw, np.uint8), least, k)
                 for s, n, a in zip(first.tolist(), count.tolist(), anchor.tolist(), strict=True):
-                    keys.append(xxhash.xxh3_64_intdigest(raw[a : a + k]))
-                    marks.append(xxhash.xxh3_64_intdigest(raw[s : s + n + least - 1]))
-                starts.append(first)
-                counts.append(count)
-                ids += [doc] * len(first)
-                rids += [rid] * len(first)
-            if ids:
+                    kind = (xxhash.xxh3_64_intdigest(raw[a : a + k]), xxhash.xxh3_64_intdigest(raw[s : s + n + least - 1]))
+                    if (seen := own.get(kind)) is None:
+                        own[kind] = [n, s]
+                    else:
+                        seen.append(s)
+                rows += [(doc, rid, at[1], at[0], *kind, at[2:] or None) for kind, at in own.items()]
+            if rows:
+                doc, rid, start, n, key, mark, more = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(rids, pa.int64()), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts)), _signed(keys), _signed(marks)],
-                    names=["doc_id", "rid", "start", "n", "key", "mark"],
+                    [*(pa.array(c, pa.int64()) for c in (doc, rid, start, n)), _signed(key), _signed(mark), pa.array(more, pa.list_(pa.int64()))],
+                    names=["doc_id", "rid", "start", "n", "key", "mark", "more"],
                 )
 
     return run
@@ -112,10 +115,12 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
     first = np.zeros(n, np.uint64)
     for i in range(h):
         first = (first << np.uint64(8)) | padded[i : n + i].astype(np.uint64)
-    live = np.argsort(first, kind="stable")
-    fresh = np.r_[True, first[live][1:] != first[live][:-1]]
-    rank = np.zeros(n + depth, np.int64)
-    rank[live] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] + 1
+    live = np.argsort(first, kind="stable").astype(np.int32)
+    first = first[live]
+    fresh = np.r_[True, first[1:] != first[:-1]]
+    del first, padded
+    rank = np.zeros(n + depth, np.int32)
+    rank[live] = _begins(fresh) + 1
     live = live[_shared(fresh)]
     while 2 * h <= depth and len(live):
         live, fresh = _refine(rank, live, h, update=True)
@@ -131,7 +136,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
     else:
         return live, live
     keep = _shared(fresh)
-    return live[keep], (np.cumsum(fresh) - 1)[keep]
+    return live[keep].astype(np.int64), (np.cumsum(fresh) - 1)[keep]
 
 
 def _shared(fresh: np.ndarray) -> np.ndarray:
@@ -141,17 +146,24 @@ def _shared(fresh: np.ndarray) -> np.ndarray:
 
 def _refine(rank: np.ndarray, live: np.ndarray, shift: int, update: bool) -> tuple[np.ndarray, np.ndarray]:
     """Sort ``live`` by rank and by the rank ``shift`` further on; if ``update``, split the ranks."""
-    both = (rank[live] << 32) | rank[live + shift]
-    order = np.argsort(both, kind="stable")
+    both = (rank[live].astype(np.int64) << 32) | rank[live + shift]
+    order = np.argsort(both, kind="stable").astype(np.int32)
     live, both = live[order], both[order]
-    old = both >> 32
-    outer, fresh = np.r_[True, old[1:] != old[:-1]], np.r_[True, both[1:] != both[:-1]]
+    del order
+    fresh = np.r_[True, both[1:] != both[:-1]]
     if update:
-        at = np.arange(len(live))
-        rank[live] = old + at[fresh][np.cumsum(fresh) - 1] - at[outer][np.cumsum(outer) - 1]
+        old = (both >> 32).astype(np.int32)
+        del both
+        outer = np.r_[True, old[1:] != old[:-1]]
+        rank[live] = old + _begins(fresh) - _begins(outer)
     return live, fresh
 
 
+def _begins(fresh: np.ndarray) -> np.ndarray:
+    """Where the run of each element begins."""
+    return np.flatnonzero(fresh).astype(np.int32)[np.cumsum(fresh, dtype=np.int32) - 1]
+
+
 def earlier_matches(order: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Which suffixes have a smaller position before or after them in suffix order, within their class."""
     if not len(order):
@@ -184,13 +196,11 @@ def _match_cell(least: int, first: bool):
         hit = order[earlier_matches(order, classes)] if first else order
         flags = np.zeros(len(data), bool)
         flags[hit] = True
-        rids, lo, hi = [], [], []
+        found: dict[int, list[dict[str, int]]] = {}
         for p, offset in zip(ordered, offsets.tolist(), strict=True):
             for a, b in _runs(flags[offset : offset + p[4]]):
-                rids.append(p[2])
-                lo.append(p[3] + a)
-                hi.append(p[3] + b - 1 + least)
-        return pa.table({"rid": pa.array(rids, pa.int64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
+                found.setdefault(p[2], []).append({"lo": p[3] + a, "hi": p[3] + b - 1 + least})
+        return pa.table({"rid": pa.array(list(found), pa.int64()), "spans": pa.array(list(found.values()), _SPANS)})
 
     return run
 
@@ -219,22 +229,28 @@ def repeated_spans(docs: DataFrame, least: int = 400, keep_first: bool = True, g
     columns pass through, but for ``_rid`` and ``_spans``, which are replaced.
     """
     base = docs.drop("_rid", "_spans", "_wanted").withColumn("_rid", F.xxhash64("doc_id", "text"))
-    pieces = materialize(base.select("doc_id", "text", F.col("_rid").alias("rid")).mapInArrow(_anchor_rows(least, gram), "doc_id long, rid long, start long, n long, key long, mark long"), "pieces")
+    rows = base.select("doc_id", "text", F.col("_rid").alias("rid"))
+    pieces = materialize(rows.mapInArrow(_anchor_rows(least, gram), "doc_id long, rid long, start long, n long, key long, mark long, more array<long>"), "pieces")
+    # most anchors occur once; only the others go on
+    count = F.lit(1) + F.greatest(F.size("more"), F.lit(0))
+    met = pieces.groupBy("key").agg(F.sum(count).alias("c"), F.min("mark").alias("m0"), F.max("mark").alias("m1")).where("c > 1")
+    pieces = materialize(pieces.join(met.select("key", (F.col("m0") != F.col("m1")).alias("several")), "key"), "repeated")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid", "start", "n")
-    kinds = pieces.groupBy("key", "mark").agg(F.count("*").alias("copies"), F.min(place).alias("at"))
-    several = kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    apart = kinds.join(several, "key").select("key", "mark", "at.rid", "at.start", "at.n", (F.col("at.n") + least - 1).alias("size"))
+    kinds = pieces.groupBy("key", "mark").agg(F.sum(count).alias("copies"), F.min(place).alias("at"), F.first("several").alias("several"))
+    kinds = materialize(kinds.where("several or copies > 1").select("key", "mark", "copies", "several", "at.rid", "at.start", "at.n"), "kinds")
+    apart = kinds.where("several").select("key", "mark", "rid", "start", "n", (F.col("n") + least - 1).alias("size"))
     cells = assign_cells(apart, "key", "mark", "size", CELL_BYTES)
     wanted = cells.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("cell", "start", "n", "key", "mark")).alias("_wanted"))
     # both joins with the texts read the same columns, so Spark shuffles the texts once
     cut = base.join(wanted, "_rid").mapInArrow(_cut_pieces(least), "cell long, doc_id long, rid long, start long, n long, key long, mark long, piece binary")
-    near = cut.groupBy("cell").applyInArrow(_match_cell(least, keep_first), "rid long, lo long, hi long")
-    equal = kinds.where("copies > 1").select("key", "mark", F.col("at.rid").alias("r0"), F.col("at.start").alias("s0"))
-    whole = pieces.join(equal, ["key", "mark"])
+    near = cut.groupBy("cell").applyInArrow(_match_cell(least, keep_first), "rid long, spans array<struct<lo: long, hi: long>>")
+    equal = kinds.where("copies > 1").select("key", "mark", F.col("rid").alias("r0"), F.col("start").alias("s0"))
+    starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<long>")))
     if keep_first:
-        whole = whole.where("rid <> r0 or start <> s0")
-    whole = whole.select("rid", F.col("start").alias("lo"), (F.col("start") + F.col("n") + least - 1).alias("hi"))
-    spans = near.union(whole).groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
+        starts = F.filter(starts, lambda s: (F.col("rid") != F.col("r0")) | (s != F.col("s0")))
+    spans = F.transform(starts, lambda s: F.struct(s.alias("lo"), (s + F.col("n") + least - 1).alias("hi")))
+    whole = pieces.join(equal, ["key", "mark"]).select("rid", spans.alias("spans")).where(F.size("spans") > 0)
+    spans = near.union(whole).groupBy(F.col("rid").alias("_rid")).agg(F.flatten(F.collect_set("spans")).alias("_spans"))
     return base.join(spans, "_rid", "left").drop("_rid")
 
 
