@@ -21,7 +21,7 @@ from cirrostrat.llm.text import slices
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
-    r"""|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z][^>]*>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^<>]*$""",
+    r"""|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z][^>]*>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$""",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
