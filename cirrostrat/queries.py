@@ -23,8 +23,8 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 V = """v AS (SELECT CAST((CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) // 43200 AS INT) AS t, CAST(user_id // 15 AS INT) AS y, CAST(user_id % 15 AS INT) AS x, round(min(180 + value), 2) AS bt FROM events GROUP BY 1, 2, 3)"""
-G = "g AS (SELECT y, x, -10 + 0.5 * y AS lat, -20 + 0.5 * x AS lon, CAST(19.8 AS DOUBLE) AS area FROM (SELECT DISTINCT y FROM v), (SELECT CAST(unnest(range(15)) AS INT) AS x))"
-P = f"{V}, {G}, p AS (SELECT v.t, v.y, v.x, bt, 1 + y // 5 * 3 + x // 5 AS label, lat, lon, area, 1704067200 + 43200 * v.t AS s FROM v JOIN g USING (y, x) WHERE bt <= 235)"
+G = "g AS (SELECT y, x, CAST(-10 + 0.5 * y AS DOUBLE) AS lat, CAST(-20 + 0.5 * x AS DOUBLE) AS lon, CAST(19.8 AS DOUBLE) AS area FROM (SELECT DISTINCT y FROM v), (SELECT CAST(unnest(range(15)) AS INT) AS x))"
+P = f"{V}, {G}, p AS (SELECT v.t, v.y, v.x, bt, 1 + y // 5 * 3 + x // 5 AS label, lat, lon, area, CAST(1704067200 + 43200 * v.t AS BIGINT) AS s FROM v JOIN g USING (y, x) WHERE bt <= 235)"
 LC = f"""{P}, lc AS (SELECT c.*, g.lat, g.lon FROM (SELECT label, t, s, count(*) AS n, CAST(trunc(avg(y)) AS INT) AS cy, CAST(trunc(avg(x)) AS INT) AS cx, min(bt) AS tbmin, quantile_cont(bt, 0.9) AS tb90,
  avg(bt) FILTER (bt <= 235) AS a235, avg(bt) FILTER (bt <= 208) AS a208, avg(bt) FILTER (bt <= 200) AS a200,
  count(*) FILTER (bt <= 235) AS p235, count(*) FILTER (bt <= 220) AS p220, count(*) FILTER (bt <= 210) AS p210, count(*) FILTER (bt <= 200) AS p200,
@@ -324,7 +324,7 @@ def chunk_assign(spark, d):
     return joins.assign_chunks(spark.range(60).select(F.col("id").cast("int").alias("t")), 12, 3, 59)
 
 
-@query(f"WITH {V}, s AS (SELECT DISTINCT 1 + y // 5 * 3 + x // 5 AS label FROM v WHERE bt <= 185) SELECT label FROM s WHERE label IN (SELECT 1 + y // 5 * 3 + x // 5 FROM v WHERE t >= 55 AND bt <= 185)")
+@query(f"WITH {V}, s AS (SELECT DISTINCT 1 + y // 5 * 3 + x // 5 AS label FROM v WHERE bt <= 185) SELECT CAST(label AS BIGINT) AS label FROM s WHERE label IN (SELECT 1 + y // 5 * 3 + x // 5 FROM v WHERE t >= 55 AND bt <= 185)")
 def overlap_semi_join(spark, d):
     v = _voxels(spark, d).where("bt <= 185").select("t", F.expr("1 + y div 5 * 3 + x div 5").alias("label"))
     return joins.still_present(v.select("label").distinct(), v.where("t >= 55"))
@@ -435,7 +435,7 @@ def inst_velocity(spark, d):
     return lifecycle.with_velocity(_life(spark, d)).select("label", _slot(), F.round("velocity", 6).alias("velocity"))
 
 
-_INT = f"""{LC}, i AS (SELECT label, count(*) * 12.0 AS duration_hours, min(s) AS utc_init, max(s) AS utc_end, arg_min(lon, s) AS lon_init, arg_min(lat, s) AS lat_init, arg_max(lon, s) AS lon_end, arg_max(lat, s) AS lat_end,
+_INT = f"""{LC}, i AS (SELECT label, CAST(count(*) * 12 AS DOUBLE) AS duration_hours, min(s) AS utc_init, max(s) AS utc_end, arg_min(lon, s) AS lon_init, arg_min(lat, s) AS lat_init, arg_max(lon, s) AS lon_end, arg_max(lat, s) AS lat_end,
  min(lon) AS lon_min, max(lon) AS lon_max, min(lat) AS lat_min, max(lat) AS lat_max, min(tbmin) AS tb_min, max(k235) AS m235, max(k220) AS m220, max(k210) AS m210, max(k200) AS m200, sum(k235) AS c235 FROM lc GROUP BY 1)"""
 
 
