@@ -4,9 +4,11 @@ Each shingle toggles one bit of a sketch, so the Hamming distance of two sketche
 the symmetric difference of the sets. Two sets of sizes a and b with similarity t differ in at
 most (a + b)(1 - t)/(1 + t) shingles. A size band fixes the largest such number d; the sketch is
 cut into d + 1 + e segments, so sets that link agree in at least 1 + e of them (pigeonhole) and
-meet in a join on (band, segment, content). Segments that hold no shingle say nothing: a document
-with at most e of them leaves them out and still meets every partner in a full one; a document
-with more emits them all, as does then every partner that agrees with it only there.
+meet in a join on (band, segment, content). Agreement on shingles that many documents share says
+little, so the commonest ones (any choice is exact) have one more segment of their own, which is no
+key. Other segments that hold no shingle say nothing either: a document with at most e of them
+leaves them out and still meets every partner in a full one; a document with more emits them all,
+as does then every partner that agrees with it only there.
 
 Documents that meet form families (a superset of the components). Families are verified in
 bounded cells: dense sketches bound the symmetric difference by popcount, and what is left is
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cirrostrat.llm.cells import assign_cells
-from cirrostrat.llm.text import mix, set_id, shingles, slices
+from cirrostrat.llm.text import in_small_batches, mix, set_id, shingles, slices
 from cirrostrat.operators.graph import connected_components
 from cirrostrat.runtime import materialize
 
-#: Shingles of one verification cell.
-CELL_SHINGLES = 1_000_000
+#: Shingles of one verification cell, and the most shingles that count as common (8 bytes each in a worker).
+CELL_SHINGLES, COMMON = 1_000_000, 1_000_000
+#: Distinct texts in which a shingle is seen, where a batch has it twice, to be common.
+COMMON_TEXTS = 8
 
 
 class Bands:
@@ -40,6 +44,7 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.edges = [1]
+        self._segments: dict[int, tuple[int, int]] = {}
         self._grow(1 << 12)
 
     def _grow(self, n: int) -> None:
@@ -55,12 +60,22 @@ class Bands:
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
     def segments(self, band: int) -> tuple[int, int]:
-        """(segments of a band's sketch, spare ones)."""
-        self._grow(self.edges[band] * self.den // self.num + 1)
-        top = self.edges[band + 1] - 1
-        d = self.differ(top, top)
-        spare = 2 if d >= 10 else 1
-        return d + 1 + spare, spare
+        """(segments of a band's sketch but that of the common shingles, spare ones).
+
+        So many are spare that few documents have more empty segments than that, given how many
+        shingles fall into each by chance, but not more than half of the others.
+        """
+        if band not in self._segments:
+            self._grow(self.edges[band] * self.den // self.num + 1)
+            low, top = self.edges[band], self.edges[band + 1] - 1
+            d, spare = self.differ(top, top), 1
+            while spare < (d + 1) // 2:
+                empty = (d + 1 + spare) * np.exp(-0.85 * low / (d + 1 + spare))
+                if spare >= empty + 4 * np.sqrt(empty) + 1:
+                    break
+                spare += 1
+            self._segments[band] = d + 1 + spare, spare
+        return self._segments[band]
 
     def needs_join(self, n: int) -> bool:
         """Whether a set of another content can link at all."""
@@ -68,20 +83,30 @@ class Bands:
 
 
 def segment_keys(s: np.ndarray, band: int, bands: Bands) -> np.ndarray:
-    """Keys of a set's sketch segments in a band: an XOR of its tokens' bits, hashed with band and segment."""
+    """Keys of a set's sketch segments in a band: an XOR of its tokens' bits, hashed with band and segment (s: without the common shingles)."""
     total, spare = bands.segments(band)
     tag = mix(s + np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     seg = (tag >> np.uint64(32)) % np.uint64(total)
     order = np.argsort(seg, kind="stable")
     seg, bit = seg[order], mix(tag)[order]
-    first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-    content, seg = np.bitwise_xor.reduceat(bit, first), seg[first]
+    first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else np.empty(0, np.int64)
+    content, seg = (np.bitwise_xor.reduceat(bit, first), seg[first]) if len(seg) else (bit, seg)
     if total - len(seg) > spare:
         missing = np.setdiff1d(np.arange(total, dtype=np.uint64), seg)
         seg, content = np.r_[seg, missing], np.r_[content, np.zeros(len(missing), np.uint64)]
     return mix(content ^ mix(seg + np.uint64(band << 32)))
 
 
+def member_id(node: int, band: int) -> int:
+    """The name of a node among those of a band: families do not reach from band to band."""
+    return int(mix(np.array([(node ^ (band + 1) * 0x9E3779B97F4A7C15) & (1 << 64) - 1], np.uint64)).view(np.int64)[0])
+
+
+def _members(node: int, n: int, bands: Bands) -> list[int]:
+    k = bands.band(n)
+    return [member_id(node, k), member_id(node, k + 1)]
+
+
 def _roots(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
     """The least node that each node of the pairs hangs together with."""
     root: dict[int, int] = {}
@@ -98,9 +123,9 @@ def _roots(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
     return {x: find(x) for x in list(root)}
 
 
-def _key_rows(size: int, num: int, den: int):
+def _key_rows(size: int, num: int, den: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands, common = Bands(num, den), shared.value
         for batch in slices(batches):
             keys, nodes, seen = [], [], set()
             for text in batch.column("text").to_pylist():
@@ -111,11 +136,13 @@ def _key_rows(size: int, num: int, den: int):
                 if node in seen:
                     continue
                 seen.add(node)
-                k = bands.band(len(s))
+                k, rare = bands.band(len(s)), s
+                if len(common):
+                    rare = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
                 # as the larger or equal partner in its own band, as the smaller one in the next
-                own = np.r_[segment_keys(s, k, bands), segment_keys(s, k + 1, bands)]
-                keys.append(own)
-                nodes.append(np.full(len(own), node, np.int64))
+                for band, member in zip((k, k + 1), _members(node, len(s), bands), strict=True):
+                    keys.append(segment_keys(rare, band, bands))
+                    nodes.append(np.full(len(keys[-1]), member, np.int64))
             if not keys:
                 continue
             key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
@@ -135,14 +162,27 @@ def _key_rows(size: int, num: int, den: int):
     return run
 
 
-def _node_rows(size: int):
+def _node_rows(size: int, num: int, den: int):
+    """Rows of documents; the first of each batch also has the shingles that several of its texts share."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
         for batch in slices(batches):
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
+            ids = [set_id(s) if len(s) else None for s in sets]
+            once = dict(zip(ids, sets, strict=True))
+            once.pop(None, None)
+            values, counts = np.unique(np.concatenate([*once.values(), np.empty(0, np.uint64)]), return_counts=True)
+            often = counts > 1
+            common = [dict(s=a, c=b) for a, b in zip(values[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
+            members = [_members(i, len(s), bands) if len(s) and bands.needs_join(len(s)) else [] for i, s in zip(ids, sets, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                names=["doc_id", "node", "n_shingles"],
-            )
+                [
+                    batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(members, pa.list_(pa.int64())),
+                    pa.array([common] + [None] * (len(sets) - 1), pa.list_(pa.struct([("s", pa.int64()), ("c", pa.int64())]))),
+                ],
+                names=["doc_id", "node", "n_shingles", "members", "common"],
+            )
 
     return run
 
@@ -216,24 +256,30 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     that repeat an id are judged each by their own text. Other columns are not read; an empty
     table gives no rows. Sets are compared by 64-bit hashes of their shingles.
     """
-    docs = docs.select("doc_id", "text")
-    nodes = materialize(docs.mapInArrow(_node_rows(size), "doc_id long, node long, n_shingles long"), "nodes")
-    rows = docs.select("text").mapInArrow(_key_rows(size, num, den), "key long, lo long, hi long")
+    docs = in_small_batches(docs).select("doc_id", "text")
+    schema = "doc_id long, node long, n_shingles long, members array<long>, common array<struct<s: long, c: long>>"
+    nodes = materialize(docs.mapInArrow(_node_rows(size, num, den), schema), "nodes")
+    shared = nodes.where("common is not null").select(F.explode("common").alias("e")).groupBy("e.s").agg(F.sum("e.c").alias("c"))
+    often = shared.where(F.col("c") >= COMMON_TEXTS).orderBy(F.desc("c"), "s").limit(COMMON).select("s").toArrow().column("s").to_numpy()
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(often.astype(np.int64).view(np.uint64)))
+    rows = docs.select("text").mapInArrow(_key_rows(size, num, den, common), "key long, lo long, hi long")
     least = F.min("lo").over(Window.partitionBy("key"))
     met = rows.select("lo", "hi", least.alias("first"))
     edges = met.select(F.explode(F.array(F.struct(F.col("first").alias("src"), F.col("lo").alias("dst")), F.struct(F.col("lo").alias("src"), F.col("hi").alias("dst")))).alias("e")).select("e.*")
     families = connected_components(edges.where("src <> dst"))
-    one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles")).alias("r")).select("node", "r.*")
-    members = one.join(families.select(F.col("id").alias("node"), F.col("component").alias("family")), "node")
+    one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "n_shingles")).alias("r"), F.first("members").alias("members"))
+    one = materialize(one.select("node", "r.doc_id", "r.n_shingles", "members"), "sets")
+    spread = one.select("node", "doc_id", "n_shingles", F.explode("members").alias("id"))
+    members = materialize(spread.join(families.select("id", F.col("component").alias("family")), "id").drop("id"), "members")
     cells = assign_cells(members, "family", "node", "n_shingles", CELL_SHINGLES)
-    texts = docs.join(cells.select("doc_id", "node", "family", "cell", "block"), "doc_id")
+    # a merge join at every size: members grow with the documents
+    texts = docs.join(cells.select("doc_id", "node", "family", "cell", "block").hint("merge"), "doc_id")
     links = texts.select("cell", "family", "node", "block", "text").groupBy("cell").applyInArrow(_verify(size, num, den), "src long, dst long")
-    parts = connected_components(links)
-    of = nodes.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = of.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("head"))
-    return of.join(heads, "component", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("head")).alias("component_id")
-    )
+    parts = connected_components(links).withColumnRenamed("id", "node")
+    # the least document of a set, and of the sets that links join; then to every document of the set
+    least_of = parts.join(one.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("head"))
+    heads = materialize(one.select("node", F.col("doc_id").alias("first")).join(parts.join(least_of, "component").select("node", "head"), "node", "left"), "heads")
+    return nodes.join(heads, "node", "left").select("doc_id", "n_shingles", F.coalesce("head", "first", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -241,3 +287,18 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     found = jaccard_components(docs, size, num, den)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+#: DuckDB SQL of ``jaccard_components`` over documents, with three words and 90 / 100.
+COMPONENTS_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(ws[i:i + 2]) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id WHERE r.c < l.b),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""

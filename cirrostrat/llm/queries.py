@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cirrostrat.llm import decontaminate, html_extract, mixing, quality_rules, suffix_dedup, token_counts, topk, toxicity, url_rules
-from cirrostrat.llm.jaccard_join import jaccard_components
+from cirrostrat.llm.jaccard_join import COMPONENTS_SQL, jaccard_components
 
 #: A public vocabulary; every worker has the file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -87,5 +87,6 @@ def oracle_sql() -> dict[str, str]:
 
 ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
+    "op5_ngram_jaccard_join": COMPONENTS_SQL,
     "op6_exact_topk": topk.TOP_K_SQL,
 }

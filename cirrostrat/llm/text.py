@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
-_LEAST_BYTES = 4_000_000
+#: Bytes of text that a task turns into Python objects at once, and rows of an Arrow batch that brings them.
+SLICE_BYTES, BATCH_ROWS = 2_000_000, 1000
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = _LEAST_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of each piece hold about ``most`` bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -24,6 +26,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 yield batch.slice(lo, hi - lo)
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; from now on the session sends tables to Python by ``BATCH_ROWS`` rows at most, as long texts make the usual batches large."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return docs
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
