@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cirrostrat.llm.text import slices
+from cirrostrat.llm.text import in_small_batches, slices
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
@@ -234,7 +234,7 @@ def with_siblings(best: Node) -> list[Node]:
         elif not isinstance(k, str):
             total, links, _ = _measure(k)
             density = links / total if total else 1.0
-            if k.tag == best.tag == "article" or (k.score >= max(10.0, 0.2 * best.score) and density < 0.3):
+            if k.score >= max(10.0, 0.2 * best.score) and density < 0.3:
                 keep.append(k)
             elif best.tag != "article" and total and k.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and density < 0.3 and (k.tag[0] == "h" or total > 80 or _ends(k)):
                 keep.append(k)
@@ -305,4 +305,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     rows; other columns are not read. Pages are parsed whole and cut at nothing; a tag that the page
     ends in is dropped, unclosed elements end with their parents.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return in_small_batches(pages.select("page_id", "url", "html")).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
