@@ -95,6 +95,13 @@ def _slot(column: str = "ts"):
     return F.expr(f"cast((unix_seconds(cast({column} as timestamp)) - 1704067200) div 43200 as int)").alias("t")
 
 
+_CLICK = "l AS (SELECT event_id, ts FROM events WHERE event_type = 'click'), r AS (SELECT ts AS rts, min(event_id) AS matched FROM events WHERE event_type = 'view' GROUP BY 1)"
+
+
+def _kind(spark, d, kind):
+    return _read(spark, d, "events").where(F.col("event_type") == kind).select("event_id", "ts")
+
+
 # ---- scans, filters, crops -------------------------------------------------------------------
 
 
@@ -199,6 +206,31 @@ def slot_paths(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", path.alias("path"), scalar.epoch_seconds(scalar.scan_end(ts, 30)).alias("s"))
 
 
+@query("SELECT n_nationkey, list_aggregate(list_concat([0, 0], [n_nationkey, n_regionkey], [0]), 'string_agg', ',') AS padded FROM nation")
+def pad_arrays(spark, d):
+    values = F.array(F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long"))
+    return _read(spark, d, "nation").select("n_nationkey", F.array_join(scalar.padded(values, 2, 1, F.lit(0).cast("long")), ",").alias("padded"))
+
+
+@query("SELECT event_id AS y, round(pow(b, 2) * 0.00443828 - b * 0.543846 + 129.544, 4) AS bt FROM (SELECT event_id, pow((90 + value) / 5.670374419e-8, 0.25) AS b FROM events WHERE event_id % 5 <> 0) UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 5 = 0")
+def flux_reader(spark, d):
+    raw = _read(spark, d, "events").select("ts", F.col("event_id").cast("int").alias("lat"), F.lit(0).alias("lon"), F.when(F.col("event_id") % 5 == 0, -1.0).otherwise(90 + F.col("value")).alias("LWNTA"))
+    return readers.read_images(raw, "SAM", fill=-1.0).select(F.col("y").cast("long").alias("y"), F.round("bt", 4).alias("bt"))
+
+
+@query(f"WITH {V} SELECT DISTINCT t AS slot, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INTEGER) AS t FROM v WHERE t % 3 <> 1")
+def slot_index(spark, d):
+    images = _voxels(spark, d).where("t % 3 <> 1").withColumn("ts", adapters.slot_time())
+    v = readers.volume(images, "2024-01-01 00:00:00", "2024-03-01 00:00:00")
+    return v.select(F.expr("cast((unix_seconds(ts) - 1704067200) div 43200 as int)").alias("slot"), "t").distinct()
+
+
+@query(f"WITH {_CLICK}, m AS (SELECT DISTINCT event_id FROM l JOIN r ON abs(epoch_us(l.ts) - epoch_us(rts)) <= 60000000) SELECT count(*) AS images, count(m.event_id) AS matched, count(*) - count(m.event_id) AS unmatched FROM l LEFT JOIN m USING (event_id)")
+def asof_report(spark, d):
+    m = joins.asof_nearest(_kind(spark, d, "click"), _kind(spark, d, "view"), 60, payload="event_id")
+    return m.agg(F.count("*").alias("images"), F.count("matched").alias("matched"), F.count(F.when(F.col("matched").isNull(), 1)).alias("unmatched"))
+
+
 # ---- neighbourhoods, components, seeds -------------------------------------------------------
 
 
@@ -337,13 +369,6 @@ def last_chunk_wins(spark, d):
     return sinks.last_chunk_wins(v).select("t", "y", "x", "chunk")
 
 
-_CLICK = "l AS (SELECT event_id, ts FROM events WHERE event_type = 'click'), r AS (SELECT ts AS rts, min(event_id) AS matched FROM events WHERE event_type = 'view' GROUP BY 1)"
-
-
-def _kind(spark, d, kind):
-    return _read(spark, d, "events").where(F.col("event_type") == kind).select("event_id", "ts")
-
-
 @query(f"WITH {_CLICK}, m AS (SELECT event_id, r.matched, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(l.ts) - epoch_us(rts)), rts) AS n FROM l JOIN r ON abs(epoch_us(l.ts) - epoch_us(rts)) <= 60000000) SELECT l.event_id, m.matched FROM l LEFT JOIN m ON m.event_id = l.event_id AND n = 1")
 def asof_nearest(spark, d):
     return joins.asof_nearest(_kind(spark, d, "click"), _kind(spark, d, "view"), 60, payload="event_id").select("event_id", "matched")

@@ -64,7 +64,7 @@ def volume(images: DataFrame, start: str, end: str, coldest: float | None = None
     Slots are numbered over their distinct times, one row for each, so no window sees the pixels.
     ``coldest``: keep voxels up to this temperature only, the sparse form that detection needs.
     """
-    own = in_period(images, start, end)
+    own = in_period(images, start, end).select("ts", "y", "x", "bt")
     slots = own.select("ts").distinct().select("ts", (F.row_number().over(Window.orderBy("ts")) - 1).alias("t"))
     own = own if coldest is None else own.where(F.col("bt") <= coldest)
     return own.where("bt is not null").join(slots, "ts").select("t", "ts", "y", "x", "bt")
