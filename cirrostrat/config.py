@@ -24,6 +24,7 @@ class RunParams:
     volume_slots: int = 96
     overlap_slots: int = 8
     slot_minutes: int = 30
+    scan_rules: bool = False
 
     def ladder(self) -> list[tuple[int, int]]:
         """(threshold, next threshold); the last threshold overshoots ``max_bt`` where the step does not divide the range, the next one never does."""

@@ -12,16 +12,23 @@ from cirrostrat.operators.graph import connected_components
 from cirrostrat.operators.neighbors import TEN, Offset, neighbours
 
 
-def voxel_components(voxels: DataFrame, ny: int, nx: int, pattern: Sequence[Offset] = TEN) -> DataFrame:
+def voxel_components(voxels: DataFrame, ny: int, nx: int, pattern: Sequence[Offset] = TEN, visits: DataFrame | None = None) -> DataFrame:
     """(t, y, x, component): component is the smallest linear index of the voxels that hang together.
 
     Only the half of the neighbour pairs that point forward become edges; a voxel without
-    neighbours is a component of its own.
+    neighbours is a component of its own. ``visits`` (t, y, x) names the voxels that may start a
+    component or hand it on; the others can only be reached, and have no component if they are not.
     """
-    half = [o for o in pattern if o > (0, 0, 0)]
     own = voxel_index(F.col("t"), F.col("y"), F.col("x"), ny, nx)
-    pairs = neighbours(voxels, pattern=half)
+    if visits is None:
+        pairs = neighbours(voxels, pattern=[o for o in pattern if o > (0, 0, 0)])
+    else:
+        pairs = neighbours(visits, voxels, pattern)
     edges = pairs.select(own.alias("src"), voxel_index(F.col("nt"), F.col("ny"), F.col("nx"), ny, nx).alias("dst"))
     parts = connected_components(edges)
     named = voxels.select("t", "y", "x").withColumn("id", own)
-    return named.join(parts, "id", "left").select("t", "y", "x", F.coalesce("component", "id").alias("component"))
+    if visits is None:
+        return named.join(parts, "id", "left").select("t", "y", "x", F.coalesce("component", "id").alias("component"))
+    starts = visits.select(own.alias("id")).withColumn("_visits", F.lit(True))
+    known = named.join(parts, "id", "left").join(starts, "id", "left").where("component is not null or _visits")
+    return known.select("t", "y", "x", F.coalesce("component", "id").alias("component"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cirrostrat.operators.components import voxel_components
-from cirrostrat.operators.neighbors import neighbours
+from cirrostrat.operators.neighbors import is_edge, isolated, neighbours
 from cirrostrat.runtime import materialize
 
 
@@ -57,14 +57,22 @@ def absorbing(parts: DataFrame, labelled: DataFrame) -> DataFrame:
     return touch.join(parts, ["t", "y", "x"]).groupBy("component").agg(F.min("label").alias("absorb_to"))
 
 
-def detect(voxels: DataFrame, threshold: float, min_area: float, min_lifetime: int, last_label: int, ny: int, nx: int) -> tuple[DataFrame, DataFrame, int]:
+def visitors(voxels: DataFrame, threshold: float, ny: int, nx: int) -> DataFrame:
+    """The unlabelled candidates that a scan visits: off the domain's rim and not isolated among all candidates."""
+    cold = voxels.where(candidates(threshold))
+    return cold.where(F.col("label").isNull() & ~is_edge(ny, nx)).select("t", "y", "x").join(isolated(cold), ["t", "y", "x"], "left_anti")
+
+
+def detect(voxels: DataFrame, threshold: float, min_area: float, min_lifetime: int, last_label: int, ny: int, nx: int, scan_rules: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """Label new systems among the unlabelled voxels up to ``threshold`` (voxels: t, y, x, bt, area, label).
 
     Returns the voxels with new labels, the accepted seeds and the last label given. Components that
-    fail join the least labelled system that they touch, or stay unlabelled.
+    fail join the least labelled system that they touch, or stay unlabelled. ``scan_rules``: voxels on
+    the rim and isolated ones start no component and hand none on.
     """
     free = materialize(voxels.where(F.col("label").isNull() & candidates(threshold)).select("t", "y", "x", "area"), "candidates")
-    parts = materialize(voxel_components(free, ny, nx), "components")
+    visits = visitors(voxels, threshold, ny, nx) if scan_rules else None
+    parts = materialize(voxel_components(free, ny, nx, visits=visits), "components")
     records = materialize(seed_records(frame_areas(parts.join(free, ["t", "y", "x"])), min_area, min_lifetime), "seeds")
     new = materialize(numbered(records, last_label).withColumn("threshold", F.lit(threshold).cast("int")), "accepted")
     fixed = voxels.where("label is not null").select("t", "y", "x", "label")

@@ -42,7 +42,7 @@ def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, la
 
     for threshold, nxt in params.ladder():
         v = grown(v, F.col("bt") < threshold, params.delta_spread)
-        v, new, last = detect(v, threshold, params.min_area_seed, params.min_lifetime, last, ny, nx)
+        v, new, last = detect(v, threshold, params.min_area_seed, params.min_lifetime, last, ny, nx, params.scan_rules)
         v = materialize(v, "detected")
         seeds = new if seeds is None else seeds.union(new)
         v = grown(v, F.col("bt") <= nxt, params.delta_spread)

@@ -282,6 +282,20 @@ def connected_components(spark, d):
     return _components(spark, d).select("t", "y", "x", (F.row_number().over(w.orderBy("t", "y", "x")) == 1).alias("is_first"), F.count("*").over(w).alias("size"))
 
 
+_RIM = f"""{V}, {OFF}, six(dy, dx) AS (VALUES (0,1),(0,-1),(1,-1),(1,0),(1,1),(-1,-1)), c AS (SELECT t, y, x, CAST(t AS BIGINT) * 100000 + y * 15 + x AS id FROM v WHERE bt <= 190),
+ i AS (SELECT id FROM c WHERE x NOT IN (0, 14) AND y NOT IN (0, 6665) AND EXISTS (SELECT 1 FROM six, c b WHERE b.t = c.t AND b.y = c.y + six.dy AND b.x = c.x + six.dx)),
+ e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN i USING (id), o, c b WHERE b.t = a.t + o.dt AND b.y = a.y + o.dy AND b.x = a.x + o.dx), e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r(id, lab) AS (SELECT id, id FROM (SELECT id FROM i UNION SELECT b FROM e) UNION SELECT e2.b, r.lab FROM r JOIN e2 ON e2.a = r.id WHERE r.lab < e2.b), cc AS (SELECT id, min(lab) AS component FROM r GROUP BY 1)"""
+
+
+@query(RC + _RIM + " SELECT t, y, x, count(*) OVER (PARTITION BY component) AS size FROM cc JOIN c USING (id)")
+def components_with_scan_rules(spark, d):
+    v = _voxels(spark, d).withColumn("label", F.lit(None).cast("int"))
+    ny = 100000 // 15 + 1  # ids as in the other component queries
+    parts = components.voxel_components(v.where("bt <= 190"), ny, 15, visits=seeds.visitors(v, 190, 6666, 15))
+    return parts.select("t", "y", "x", F.count("*").over(Window.partitionBy("component")).alias("size"))
+
+
 def _frames(spark, d):
     return seeds.frame_areas(_components(spark, d).withColumn("area", F.lit(19.8)))
 

@@ -108,6 +108,13 @@ def test_ladder_equals_a_plain_model(spark):
     assert {r.label for r in seg.seeds.collect()} <= set(got.values())
 
 
+def test_scan_rules_leave_the_rim_alone(spark):
+    """A grid of one row is all rim: no seed starts there."""
+    v = spark.range(300).selectExpr("cast(id div 15 as int) t", "0 y", "cast(id % 15 as int) x", "185.0D bt", "1.0D area")
+    p = RunParams(min_bt=190, max_bt=190, step_bt=2, min_area_seed=4, min_lifetime=3, scan_rules=True)
+    assert detect_and_spread(v, p, 1, 15).seeds.isEmpty()
+
+
 def test_run_rule(spark):
     rng = random.Random(5)
     rows, want = [], {}
