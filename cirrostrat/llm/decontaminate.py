@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.text import slices
+from cirrostrat.llm.text import in_small_batches, slices
 
 #: Words of one automaton (about 1 kB each in a worker); longer benchmarks use several, one after the other.
 SHARD_WORDS = 200_000
@@ -146,7 +146,9 @@ def _merge(a: list[int], b: list[tuple[int, int]]) -> list[int]:
     return [x for s in out for x in s]
 
 
-def _scanner(shared, first: bool):
+def _scanner(shared, first: bool, most: float | None = None):
+    """Add the hits of one automaton; with ``most``, cut them out and leave out documents of which more is hit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in slices(batches):
@@ -159,41 +161,58 @@ def _scanner(shared, first: bool):
                 counts.append(len(words))
                 spans.append(_merge([] if first else old[k], s))
                 items.append(sorted(found if first else found | set(was[k])))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c not in ("n_words", "spans", "items")), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                names=[*(c for c in batch.schema.names if c not in ("n_words", "spans", "items")), "n_words", "spans", "items"],
-            )
+            names = [c for c in batch.schema.names if c not in ("n_words", "spans", "items")]
+            if most is None:
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in names), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "spans", "items"]
+                )
+                continue
+            kept = pa.array([sum(s[1::2]) - sum(s[::2]) <= most * n for s, n in zip(spans, counts, strict=True)])
+            texts = [cut_words(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names).filter(kept)
 
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` (with a ``text``) plus n_words, spans (word offsets, from and to in turn) and items (ids as strings).
-
-    ``items`` has item_id and text. Null or empty texts have no words and no spans; an item without
-    words marks nothing; items that repeat, or share windows, are all named. Other columns pass
-    through, but for any of the three names, which are replaced. Items are cut into shards of
-    ``SHARD_WORDS``; documents pass one automaton after the other, so a worker's memory stays bounded.
-    """
-    spark = docs.sparkSession
-    shards: list[dict[str, list[bytes]]] = [{}]
+def _shards(items: DataFrame) -> Iterator[dict[str, list[bytes]]]:
+    """Items by name, ``SHARD_WORDS`` words or one item at a time; one empty shard if there are none."""
+    shard: dict[str, list[bytes]] = {}
     held = 0
     for row in items.select(F.col("item_id").cast("string").alias("i"), "text").where("i is not null and text is not null").orderBy("i", "text").toLocalIterator():
         words = words_of(row.text)
         if held and held + len(words) > SHARD_WORDS:
-            shards.append({})
-            held = 0
+            yield shard
+            shard, held = {}, 0
         name = row.i
-        while name in shards[-1]:  # an id with several texts
+        while name in shard:  # an id with several texts
             name += "\0"
-        shards[-1][name] = words
+        shard[name] = words
         held += len(words)
-    out = docs.drop("n_words", "spans", "items")
-    for k, shard in enumerate(shards):
+    yield shard
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most: float | None = None) -> DataFrame:
+    """``docs`` (with a ``text``) plus n_words, spans (word offsets, from and to in turn) and items (ids as strings).
+
+    ``items`` has item_id and text. Null or empty texts have no words and no spans; an item without
+    words marks nothing; items that repeat, or share windows, are all named. Other columns pass
+    through, but for any of the three names, which are replaced. With ``most``, the spans are cut out of
+    the texts instead, and documents of which a larger share of the words is hit are left out. Items are cut into shards of
+    ``SHARD_WORDS``; documents pass one automaton after the other, so a worker's memory stays bounded.
+    """
+    spark = docs.sparkSession
+    out = in_small_batches(docs).drop("n_words", "spans", "items")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    hits = f"{schema}, n_words long, spans array<long>, items array<string>"
+    shards, first = _shards(items), True
+    shard = next(shards)
+    while shard is not None:
         automaton = SuffixAutomaton(shard, window)
         automaton.hits = {at: {n.rstrip("\0") for n in names} for at, names in automaton.hits.items()}
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in ("n_words", "spans", "items"))
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(automaton), k == 0), f"{schema}, n_words long, spans array<long>, items array<string>")
+        shard = next(shards, None)
+        finish = most if shard is None else None
+        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(automaton), first, finish), hits if finish is None else schema)
+        first = False
     return out
 
 
@@ -220,20 +239,9 @@ def cut_words(text: str, spans: list[int]) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [cut_words(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-        names = [n for n in batch.schema.names if n != "spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most: float = 0.5) -> DataFrame:
     """``docs`` without the contaminated spans; documents of which more than ``most`` of the words are hit go whole."""
-    found = contamination(docs, items, window)
-    n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    kept = found.where(n_hit <= F.col("n_words") * most).drop("n_words", "items")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return kept.mapInArrow(_cutter, schema).select(docs.columns)
+    return contamination(docs, items, window, most).select([c for c in docs.columns if c not in ("n_words", "spans", "items")])
 
 
 #: DuckDB SQL of ``hit_counts`` with windows of ten words over documents and benchmark.

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.text import slices
+from cirrostrat.llm.text import in_small_batches, slices
 
 #: The most labelled rows of either class that training takes.
 SAMPLE = 10_000
@@ -59,7 +59,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` plus a struct ``stats`` of the statistics of its texts (a ``stats`` that exists is replaced)."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "stats")
-    return docs.mapInArrow(_statistics, f"{schema}, stats struct<{', '.join(f'{s}: double' for s in STATISTICS)}>")
+    return in_small_batches(docs).mapInArrow(_statistics, f"{schema}, stats struct<{', '.join(f'{s}: double' for s in STATISTICS)}>")
 
 
 #: A rule: limits (statistic, whether above, limit) that all hold.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.llm.cells import assign_cells
-from cirrostrat.llm.text import mix, slices
+from cirrostrat.llm.text import in_small_batches, mix, slices
 from cirrostrat.runtime import materialize
 
 #: Bytes of pieces in one cell, and of a document that is hashed at once.
@@ -228,7 +228,7 @@ def repeated_spans(docs: DataFrame, least: int = 400, keep_first: bool = True, g
     hold the same first copy; of rows with a null doc_id none is earlier than one with an id. Other
     columns pass through, but for ``_rid`` and ``_spans``, which are replaced.
     """
-    base = docs.drop("_rid", "_spans", "_wanted").withColumn("_rid", F.xxhash64("doc_id", "text"))
+    base = in_small_batches(docs).drop("_rid", "_spans", "_wanted").withColumn("_rid", F.xxhash64("doc_id", "text"))
     rows = base.select("doc_id", "text", F.col("_rid").alias("rid"))
     pieces = materialize(rows.mapInArrow(_anchor_rows(least, gram), "doc_id long, rid long, start long, n long, key long, mark long, more array<long>"), "pieces")
     # most anchors occur once; only the others go on

@@ -24,6 +24,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if hi > lo:
                 yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()  # workers are kept and share their executor's memory
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cirrostrat.llm.text import slices
+from cirrostrat.llm.text import in_small_batches, slices
 from cirrostrat.runtime import materialize
 
 #: Lengths of one block of the suffix sums.
-SPAN = 1024
+SPAN = 128
 #: How byte-level BPE vocabularies of this kind cut a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters that are encoded at once; cuts fall where the pattern cuts too, before a space that follows a letter and precedes one.
@@ -62,7 +62,7 @@ def _rows(counts: dict[int, int]) -> pa.RecordBatch:
 
 def length_histogram(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(n_tokens, n_docs) of the whole texts; null and empty texts have length 0. ``vocabulary``: a ranks file that every worker has."""
-    partial = docs.select("text").mapInArrow(_lengths(vocabulary), "n_tokens long, n_docs long")
+    partial = in_small_batches(docs).select("text").mapInArrow(_lengths(vocabulary), "n_tokens long, n_docs long")
     return partial.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

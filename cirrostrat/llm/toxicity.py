@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.text import mix, slices
+from cirrostrat.llm.text import in_small_batches, mix, slices
 
 #: The most labelled texts of either class that training takes, and the most characters of one of them.
 SAMPLE, SAMPLE_CHARS = 4000, 100_000
@@ -150,7 +150,10 @@ def _fit(bags: _Bags, label: np.ndarray, owner: np.ndarray, learns: np.ndarray,
     """Table, outputs and biases fitted to the stretches that learn, by steps of their own size for each n-gram."""
     rng = np.random.default_rng(seed)
     known = bags.support(owner) >= SUPPORT
-    table = np.where(known[:, None], rng.uniform(-0.5, 0.5, (BUCKETS, DIM)).astype(np.float32) / DIM, np.float32(0))
+    table = rng.random((BUCKETS, DIM), dtype=np.float32)
+    table -= 0.5
+    table /= DIM
+    table[~known] = 0
     out = rng.uniform(-0.1, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     g_table, g_out = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32)
@@ -214,7 +217,7 @@ def _threshold(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Scorer:
     """Scores texts with trained log-odds; words are looked up once and kept, up to a bound."""
 
-    def __init__(self, log_odds: np.ndarray, bias: float, most: int = 400_000):
+    def __init__(self, log_odds: np.ndarray, bias: float, most: int = 200_000):
         self.log_odds, self.bias, self.most, self.known = log_odds, bias, most, {}
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -271,7 +274,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", sa
     rows = labelled_sample(docs, labels, label, sample).select("text", "y").toArrow()
     model = docs.sparkSession.sparkContext.broadcast(train(rows.column("text").to_pylist(), rows.column("y").to_pylist()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "score")
-    return docs.mapInArrow(_score(model), f"{schema}, score double")
+    return in_small_batches(docs).mapInArrow(_score(model), f"{schema}, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5, **how) -> DataFrame:
