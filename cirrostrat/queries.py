@@ -347,15 +347,27 @@ def seed_absorb(spark, d):
     return to.join(touching, "component").select("absorb_to", "f.t", "f.y", "f.x")
 
 
-def _segment(spark, d):
-    v = adapters.blob_voxels(spark).withColumn("area", F.lit(1.0))
-    return ladder.detect_and_spread(v, config.RunParams(min_bt=195, max_bt=235, step_bt=20, min_area_seed=4, min_lifetime=3), ny=30, nx=30)
+def _event_volume(spark, d):
+    return _voxels(spark, d).withColumn("area", F.lit(19.8))
 
 
 @query()
 def label_ladder(spark, d):
-    """The whole ladder (canonical seeds, one volume) over the moving blobs; the tests compare it with a plain model."""
-    return _segment(spark, d).voxels.where("label is not null").select("t", "y", "x", "label")
+    """The whole ladder (24 thresholds, canonical seeds, one volume) over all events; the tests compare it with a plain model."""
+    seg = ladder.detect_and_spread(_event_volume(spark, d), config.RunParams(), _height(spark, d), adapters.WIDTH)
+    return seg.voxels.where("label is not null").select("t", "y", "x", "label")
+
+
+#: Slots of a chunk, and those shared with the one before: the sixty slots of the events make four chunks.
+CHUNKED = config.RunParams(volume_slots=24, overlap_slots=8)
+
+
+@query()
+def label_ladder_chunks(spark, d):
+    """The same ladder in overlapping chunks, whose labels are carried on."""
+    v = _event_volume(spark, d)
+    slots = int(v.agg(F.max("t")).first()[0] or 0) + 1
+    return ladder.run_chunks(v, CHUNKED, _height(spark, d), adapters.WIDTH, slots)
 
 
 # ---- chunks and joins ------------------------------------------------------------------------

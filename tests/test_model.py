@@ -108,6 +108,30 @@ def test_ladder_equals_a_plain_model(spark):
     assert {r.label for r in seg.seeds.collect()} <= set(got.values())
 
 
+def test_ladder_queries_take_the_whole_table(spark, tmp_path, monkeypatch):
+    """What the queries hand to the ladder: every voxel of the events, its height and all thresholds (the ladder itself is tested above)."""
+    from cirrostrat import queries
+    from cirrostrat.plans import ladder
+
+    calls = []
+
+    def note(voxels, params, ny, nx, last_label=None, slots=None):
+        calls.append((sorted(map(tuple, voxels.select("t", "y", "x", "bt", "area").collect())), params, ny, nx))
+        return ladder.Segmentation(voxels.withColumn("label", F.lit(2)), None, 2)
+
+    monkeypatch.setattr(ladder, "detect_and_spread", note)
+    rows = [(0, 0, 5.0), (33, 14 * 15 + 3, 40.5), (59, 29 * 15 + 14, 61.0)]
+    events = spark.createDataFrame(rows, "t int, user_id long, value double")
+    events.selectExpr("timestamp_seconds(1704067200 + 43200 * t) as ts", "user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    voxels = [(t, u // 15, u % 15, 180 + v, 19.8) for t, u, v in rows]
+    assert queries.queries()["label_ladder"](spark, str(tmp_path)).count() == 3
+    assert calls == [(voxels, RunParams(), 30, 15)] and len(calls[0][1].ladder()) == 24
+    calls.clear()
+    assert {r.chunk for r in queries.queries()["label_ladder_chunks"](spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+    assert [c[0] for c in calls] == [voxels[:1], voxels[1:2], voxels[1:2], voxels[2:]]
+    assert all(c[2:] == (30, 15) and len(c[1].ladder()) == 24 for c in calls)
+
+
 def test_scan_rules_leave_the_rim_alone(spark):
     """A grid of one row is all rim: no seed starts there."""
     v = spark.range(300).selectExpr("cast(id div 15 as int) t", "0 y", "cast(id % 15 as int) x", "185.0D bt", "1.0D area")
