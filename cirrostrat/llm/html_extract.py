@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from cirrostrat.llm.text import in_small_batches, slices
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
+    r"""<!--.*?(?:-->|$)|<svg(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?<=/)>"""  # a self-closed svg is empty
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|$)"
     r"""|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z][^>]*>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$""",
     re.S | re.I,
 )

@@ -75,6 +75,17 @@ def test_main_text(spark):
         assert got[i].text == want and got[i].n_chars == len(want), PAGES[i]
 
 
+@pytest.mark.parametrize("tag", ["<svg-icon></svg-icon>", "<title-bar></title-bar>", "<template-card>", "<script-x />", "<svg/>", "<svg />", "<svg viewBox='0 0 > 9'/>", '<SVG class="x"\n/>'])
+def test_text_after_tags_that_are_not_raw(tag):
+    page = f"<article><p>a first paragraph</p>{tag}<p>and the second one</p></article>"
+    assert html_extract.main_text(page).split("\n") == ["a first paragraph", "and the second one"]
+
+
+@pytest.mark.parametrize("raw", ["<svg><text>no</text></svg>", "<svg\nwidth='1'><path/></svg>", "<title>no</title>", "<script>no</script >", "<template><p>no</p></template>"])
+def test_raw_elements_are_still_cut(raw):
+    assert html_extract.main_text(f"<article><p>a first paragraph</p>{raw}<p>and the second one</p></article>").split("\n") == ["a first paragraph", "and the second one"]
+
+
 def test_deep_and_long_pages():
     assert html_extract.main_text("<div>" * 5000 + "<p>deep, deep down in the page it is</p>" + "</div>" * 5000) == "deep, deep down in the page it is"
     long = "<article>" + "".join(f"<p>par {i}, and more</p>" for i in range(20000)) + "</article>"
