@@ -24,7 +24,7 @@ from cirrostrat.runtime import materialize
 #: Documents of one block of the reduction tree.
 BLOCK = 4096
 _M = (1 << 64) - 1
-_ROW = "doc_id long, source string, size long, source_size long, target double, whole int, p double"
+_ROW = "doc_id long, source string, size long, source_size long, target double, whole int, p double, tie long, row long"
 
 
 def _uniform(*parts: int) -> float:
@@ -49,7 +49,7 @@ def pivotal(units: list[tuple[int, int, float]], seed: int, last: bool) -> list[
         else:
             a, sa, pa_ = units[held][0], units[held][1], out[held]
             to_a, to_b = min((1 - pa_) * sa, pb * sb), min(pa_ * sa, (1 - pb) * sb)
-            if _uniform(seed, a, b) * (to_a + to_b) < to_b:
+            if _uniform(*((seed, a, b, j) if a == b else (seed, a, b))) * (to_a + to_b) < to_b:  # repeats of an id draw anew
                 full = (1 - pa_) * sa <= pb * sb
                 out[held], out[j] = (1.0, pb - to_a / sb) if full else (pa_ + to_a / sa, 0.0)
             else:
@@ -63,9 +63,9 @@ def pivotal(units: list[tuple[int, int, float]], seed: int, last: bool) -> list[
 
 def _round_block(seed: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"]))
+        rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["tie"] or 0, r["row"] or 0))
         shares = pivotal([(r["doc_id"] or 0, r["size"], r["p"]) for r in rows], seed, last)
-        return pa.Table.from_pylist([{k: r[k] for k in r if k not in ("block", "p")} | {"p": p} for r, p in zip(rows, shares, strict=True)], schema=pa.schema([table.schema.field(n) for n in ("doc_id", "source", "size", "source_size", "target", "whole", "p")]))
+        return pa.Table.from_pylist([{k: r[k] for k in r if k not in ("block", "p")} | {"p": p} for r, p in zip(rows, shares, strict=True)], schema=pa.schema([table.schema.field(n) for n in ("doc_id", "source", "size", "source_size", "target", "whole", "p", "tie", "row")]))
 
     return run
 
@@ -99,7 +99,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     whole ``cap`` never above ``cap`` times its size. An empty table gives no rows. Draws depend on
     seed, ids and sizes only, so reruns agree whatever the partitions.
     """
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    return _planned(docs, None, weights, share, cap, seed, block).drop("row")
+
+
+def _planned(docs: DataFrame, row: str | None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 1, block: int = BLOCK) -> DataFrame:
+    """``mix_sources`` with the key of each row (column ``row`` of ``docs``); equal ids and sizes are then drawn in the order of their texts."""
+    none = F.lit(None).cast("long")
+    keys = [(none if row is None else F.xxhash64("text")).alias("tie"), (none if row is None else F.col(row)).alias("row")]
+    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), *keys)
     sizes = materialize(sizes, "sizes")
     targets = source_targets(sizes, weights, share, cap).withColumnRenamed("source", "of")
     per = sizes.join(targets, sizes["source"].eqNullSafe(targets["of"])).drop("of")
@@ -121,13 +128,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     for part in done[1:]:
         out = out.union(part)
     copies = (F.col("whole") + F.col("p").cast("int")).alias("copies")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"), "row")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken, with ``copy`` counted from 1.
 
-    Rows that share a doc_id are all taken as often as the one of them that is taken least; a null doc_id is not taken.
+    Every row has a stored key of its own, by which it finds its copies; so rows of one doc_id and of none are taken as planned.
     """
-    plan = mix_sources(docs, **how).groupBy("doc_id").agg(F.min("copies").alias("_copies"))
-    return docs.join(plan.where("_copies > 0"), "doc_id").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    kept = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    plan = _planned(kept, "_row", **how).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
+    return kept.join(plan, "_row").select(*[kept[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))

@@ -428,6 +428,23 @@ def test_mixing(docs, corpus, nothing, block):
     assert out.columns == [*docs.columns, "copy"] and out.count() == sum(r.copies for r in rows)
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_every_row_is_taken_as_planned(spark, block):
+    """Rows that repeat, share an id or have none."""
+    rows = [(None, t, "a") for t in texts(31, 20)] + [(5, "one text of five words", "a")] * 20 + [(6, t, "b") for t in texts(32, 10)] + [(i, t, "b") for i, t in enumerate(texts(33, 20), 10)] + [(None, None, "a"), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for share in (0.7, 1.5):
+        plan, got = Counter(), Counter()
+        for r in mixing.mix_sources(docs, share=share, block=block).collect():
+            plan[r.doc_id, r.source, r.size] += r.copies
+        out = mixing.mixed(docs, share=share, block=block).collect()
+        for r in out:
+            got[r.doc_id, r.source, len((r.text or "").split())] += 1
+        assert got == +plan
+        again = mixing.mixed(docs.repartition(5), share=share, block=block).collect()
+        assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, out), key=repr)
+
+
 def test_pivotal_keeps_the_total_and_expectations():
     units = [(i, 1 + i % 5, 0.3) for i in range(40)]
     counts = Counter()
