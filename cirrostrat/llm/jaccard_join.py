@@ -178,10 +178,10 @@ def _node_rows(size: int, num: int, den: int):
             members = [_members(i, len(s), bands) if len(s) and bands.needs_join(len(s)) else [] for i, s in zip(ids, sets, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(members, pa.list_(pa.int64())),
+                    batch.column("doc_id"), batch.column("row_key"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(members, pa.list_(pa.int64())),
                     pa.array([common] + [None] * (len(sets) - 1), pa.list_(pa.struct([("s", pa.int64()), ("c", pa.int64())]))),
                 ],
-                names=["doc_id", "node", "n_shingles", "members", "common"],
+                names=["doc_id", "row_key", "node", "n_shingles", "members", "common"],
             )
 
     return run
@@ -251,13 +251,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
     Two documents link when ``den * |A & B| >= num * |A | B|`` on their sets of ``size``-word
     shingles; component_id is the least doc_id that links reach. Texts that are null or without
-    words have no shingles and stand alone, as does every row of a null doc_id among equals (the
-    least of no ids is null). Shorter texts are one shingle and link with equal ones only. Rows
+    words have no shingles and stand alone; rows without an id link like others (the least of no
+    ids is null). Shorter texts are one shingle and link with equal ones only. Rows
     that repeat an id are judged each by their own text. Other columns are not read; an empty
     table gives no rows. Sets are compared by 64-bit hashes of their shingles.
     """
-    docs = in_small_batches(docs).select("doc_id", "text")
-    schema = "doc_id long, node long, n_shingles long, members array<long>, common array<struct<s: long, c: long>>"
+    return _judged(docs, size, num, den).select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"))
+
+
+def _judged(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, row_key (of id and text), node, n_shingles and ``head``, the first row (z, doc_id, row_key) of its component."""
+    docs = in_small_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    schema = "doc_id long, row_key long, node long, n_shingles long, members array<long>, common array<struct<s: long, c: long>>"
     nodes = materialize(docs.mapInArrow(_node_rows(size, num, den), schema), "nodes")
     shared = nodes.where("common is not null").select(F.explode("common").alias("e")).groupBy("e.s").agg(F.sum("e.c").alias("c"))
     often = shared.where(F.col("c") >= COMMON_TEXTS).orderBy(F.desc("c"), "s").limit(COMMON).select("s").toArrow().column("s").to_numpy()
@@ -267,26 +272,42 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     met = rows.select("lo", "hi", least.alias("first"))
     edges = met.select(F.explode(F.array(F.struct(F.col("first").alias("src"), F.col("lo").alias("dst")), F.struct(F.col("lo").alias("src"), F.col("hi").alias("dst")))).alias("e")).select("e.*")
     families = connected_components(edges.where("src <> dst"))
-    one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "n_shingles")).alias("r"), F.first("members").alias("members"))
-    one = materialize(one.select("node", "r.doc_id", "r.n_shingles", "members"), "sets")
-    spread = one.select("node", "doc_id", "n_shingles", F.explode("members").alias("id"))
+    one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key", "n_shingles")).alias("r"), F.first("members").alias("members"))
+    one = materialize(one.select("node", "r.z", "r.doc_id", "r.row_key", "r.n_shingles", "members"), "sets")
+    spread = one.select("node", "row_key", "n_shingles", F.explode("members").alias("id"))
     members = materialize(spread.join(families.select("id", F.col("component").alias("family")), "id").drop("id"), "members")
     cells = assign_cells(members, "family", "node", "n_shingles", CELL_SHINGLES)
-    # a merge join at every size: members grow with the documents
-    texts = docs.join(cells.select("doc_id", "node", "family", "cell", "block").hint("merge"), "doc_id")
+    # by what the row holds, so that rows without an id are found; a merge join at every size: members grow with the documents
+    texts = docs.join(cells.select("row_key", "node", "family", "cell", "block").hint("merge"), "row_key")
     links = texts.select("cell", "family", "node", "block", "text").groupBy("cell").applyInArrow(_verify(size, num, den), "src long, dst long")
     parts = connected_components(links).withColumnRenamed("id", "node")
-    # the least document of a set, and of the sets that links join; then to every document of the set
-    least_of = parts.join(one.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("head"))
-    heads = materialize(one.select("node", F.col("doc_id").alias("first")).join(parts.join(least_of, "component").select("node", "head"), "node", "left"), "heads")
-    return nodes.join(heads, "node", "left").select("doc_id", "n_shingles", F.coalesce("head", "first", "doc_id").alias("component_id"))
+    # the least row of a set, and of the sets that links join, rows without an id last; then to every row of the set
+    own = one.select("node", F.struct("z", "doc_id", "row_key").alias("first"))
+    least_of = parts.join(own, "node").groupBy("component").agg(F.min("first").alias("joined"))
+    heads = own.join(parts.join(least_of, "component").select("node", "joined"), "node", "left")
+    heads = materialize(heads.select("node", F.coalesce("joined", "first").alias("head")), "heads")
+    return nodes.join(heads, "node", "left").select("doc_id", "row_key", "node", "n_shingles", "head")
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without near copies: of each component the row of the least doc_id stays; all columns are kept."""
-    found = jaccard_components(docs, size, num, den)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without near copies: of each component one row stays, that of the least doc_id (none last); all columns are kept.
+
+    Rows are judged by id and text. Of rows that agree in both, the least by all columns stays.
+    Texts without words are copies of nothing.
+    """
+    found = _judged(docs, size, num, den).where("node is not null")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row_key") == F.col("head.row_key"))
+    marks = found.groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(F.max(~is_head).alias("_gone"), F.count("*").alias("_n"))
+    marks = materialize(marks.where("_gone or _n > 1"), "marks")
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key"))
+    kept = keyed.join(marks, same, "left_anti").select(docs.columns)
+    repeated = marks.where("not _gone")
+    if repeated.isEmpty():
+        return kept
+    whole = F.struct(*docs.columns)
+    ones = keyed.join(repeated, same, "left_semi").groupBy("doc_id", "_row_key").agg(F.min_by(whole, F.to_json(whole)).alias("_whole"))
+    return kept.union(ones.select(*[F.col("_whole")[c].alias(c) for c in docs.columns]))
 
 
 #: DuckDB SQL of ``jaccard_components`` over documents, with three words and 90 / 100.

@@ -301,6 +301,26 @@ def test_components_of_odd_tables(spark, docs, nothing):
     assert kept.columns == docs.columns and kept.count() < docs.count()
 
 
+def test_near_copies_are_judged_by_row(spark):
+    """Repeated rows, rows without an id, and an id with two texts."""
+    a, b, c, d = texts(41, 4, 40, 41)
+    near = " ".join(a.split()[:39])
+    rows = [(5, a, 1), (5, a, 2), (5, a, 3), (None, b, 4), (None, b, 5), (None, near, 6), (9, c, 7), (2, c, 8), (9, d, 9), (None, None, 10), (None, "", 11), (5, "", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = sorted(r.n for r in jaccard_join.keep_one_of_each(docs).collect())
+    assert kept == [1, 4, 8, 9, 10, 11, 12]
+
+
+def test_sets_without_an_id_link_others(spark):
+    """Two documents that hang together by a text that only rows without an id hold."""
+    w = texts(43, 1, 60, 61)[0].split()
+    rows = [(8, " ".join(w[:50])), (None, " ".join(w[4:54])), (3, " ".join(w[8:58])), (None, " ".join(w[4:54]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.component_id for r in jaccard_join.jaccard_components(docs, 3, 80, 100).collect()]
+    assert got == [3] * 4
+    assert [r.doc_id for r in jaccard_join.keep_one_of_each(docs, 3, 80, 100).collect()] == [3]
+
+
 def test_bands_hold_all_partners():
     for num in (50, 80, 90):
         b = jaccard_join.Bands(num, 100)
