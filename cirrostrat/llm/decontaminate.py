@@ -31,11 +31,11 @@ def words_of(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised suffix automaton of items, each a list of word ids."""
 
-    def __init__(self, items: dict[str, list[bytes]], window: int):
+    def __init__(self, items: dict[tuple[str | None, int], list[bytes]], window: int):
         self.window, self.vocab = window, {}
         self.next, self.link, self.length = [{}], [-1], [0]
         self.holders: list[set[str]] = [set()]
-        ends: list[tuple[str, list[int]]] = []
+        ends: list[tuple[tuple[str | None, int], list[int]]] = []
         self.shortest = window
         for name, words in items.items():
             if not words:
@@ -160,7 +160,7 @@ def _scanner(shared, first: bool, most: float | None = None):
                 s, found = automaton.scan(words)
                 counts.append(len(words))
                 spans.append(_merge([] if first else old[k], s))
-                items.append(sorted(found if first else found | set(was[k])))
+                items.append(sorted(found if first else found | set(was[k]), key=lambda n: (n is None, n or "")))
             names = [c for c in batch.schema.names if c not in ("n_words", "spans", "items")]
             if most is None:
                 yield pa.RecordBatch.from_arrays(
@@ -174,19 +174,16 @@ def _scanner(shared, first: bool, most: float | None = None):
     return run
 
 
-def _shards(items: DataFrame) -> Iterator[dict[str, list[bytes]]]:
-    """Items by name, ``SHARD_WORDS`` words or one item at a time; one empty shard if there are none."""
-    shard: dict[str, list[bytes]] = {}
+def _shards(items: DataFrame) -> Iterator[dict[tuple[str | None, int], list[bytes]]]:
+    """Items by id (or none) and number, ``SHARD_WORDS`` words or one item at a time; one empty shard if there are none."""
+    shard: dict[tuple[str | None, int], list[bytes]] = {}
     held = 0
-    for row in items.select(F.col("item_id").cast("string").alias("i"), "text").where("i is not null and text is not null").orderBy("i", "text").toLocalIterator():
+    for row in items.select(F.col("item_id").cast("string").alias("i"), "text").where("text is not null").orderBy("i", "text").toLocalIterator():
         words = words_of(row.text)
         if held and held + len(words) > SHARD_WORDS:
             yield shard
             shard, held = {}, 0
-        name = row.i
-        while name in shard:  # an id with several texts
-            name += "\0"
-        shard[name] = words
+        shard[row.i, len(shard)] = words  # an id may have several texts
         held += len(words)
     yield shard
 
@@ -195,7 +192,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most: flo
     """``docs`` (with a ``text``) plus n_words, spans (word offsets, from and to in turn) and items (ids as strings).
 
     ``items`` has item_id and text. Null or empty texts have no words and no spans; an item without
-    words marks nothing; items that repeat, or share windows, are all named. Other columns pass
+    words marks nothing; items that repeat, or share windows, are all named. Items without an id mark
+    like any other and are named by one null, the last of ``items``. Other columns pass
     through, but for any of the three names, which are replaced. With ``most``, the spans are cut out of
     the texts instead, and documents of which a larger share of the words is hit are left out. Items are cut into shards of
     ``SHARD_WORDS``; documents pass one automaton after the other, so a worker's memory stays bounded.
@@ -208,7 +206,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most: flo
     shard = next(shards)
     while shard is not None:
         automaton = SuffixAutomaton(shard, window)
-        automaton.hits = {at: {n.rstrip("\0") for n in names} for at, names in automaton.hits.items()}
+        automaton.hits = {at: {n for n, _ in names} for at, names in automaton.hits.items()}
         shard = next(shards, None)
         finish = most if shard is None else None
         out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(automaton), first, finish), hits if finish is None else schema)
@@ -217,7 +215,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most: flo
 
 
 def hit_counts(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, of what ``contamination`` returns."""
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, of what ``contamination`` returns.
+
+    As in the SQL, items without an id count as one in n_items and are left out of items_sha256.
+    """
     n_hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

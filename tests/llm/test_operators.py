@@ -251,6 +251,23 @@ def test_contamination_equals_brute_force(spark, docs, corpus, nothing, shard, m
     assert none.where("contaminated").isEmpty() and none.count() == docs.count()
 
 
+@pytest.mark.parametrize("shard", [200_000, 12])
+def test_items_without_an_id_mark_like_others(spark, shard, monkeypatch):
+    monkeypatch.setattr(dc, "SHARD_WORDS", shard)
+    a, b, c = texts(21, 3, 14, 15)
+    rows = [(1, f"x {a} y"), (2, f"{b} z {c}"), (3, c), (4, "free of all")]
+    table = [(None, a), (None, b), (7, c), (None, ""), (None, None)]
+    items = spark.createDataFrame(table, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in dc.hit_counts(dc.contamination(docs, items)).collect()}
+    con = views()
+    con.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in rows) + ") v(doc_id, text)")
+    con.sql("CREATE OR REPLACE VIEW benchmark AS SELECT * FROM (VALUES " + ", ".join(f"({'NULL' if i is None else i}::BIGINT, {'NULL' if t is None else repr(t)})" for i, t in table) + ") v(item_id, text)")
+    assert got == {r[0]: r[1:] for r in con.sql(dc.CONTAMINATION_SQL).fetchall()}
+    assert {i: r[2] for i, r in got.items()} == {1: 1, 2: 2, 3: 1, 4: 0}
+    assert {r.doc_id for r in dc.decontaminate(docs, items).collect()} == {4}
+
+
 def test_decontaminated_texts_hold_no_window(spark, docs, corpus):
     items = spark.createDataFrame([(1, dict(corpus)[2])], "item_id long, text string")
     clean = dc.decontaminate(docs, items, most=0.9)
