@@ -256,7 +256,17 @@ def isolated_voxels(spark, d):
 
 @query(f"WITH {V} SELECT t, y, x, bt, x IN (0, 14) OR y IN (0, 9) AS edge FROM v WHERE bt > 0 AND bt <= 200")
 def seed_candidates(spark, d):
-    return _voxels(spark, d).where(seeds.candidates(200)).select("t", "y", "x", "bt", neighbors.is_edge(10, 15).alias("edge"))
+    return _candidates(spark, d, 10)  # the ten rows that the SQL fixes
+
+
+def _candidates(spark, d, ny):
+    return _voxels(spark, d).where(seeds.candidates(200)).select("t", "y", "x", "bt", neighbors.is_edge(ny, 15).alias("edge"))
+
+
+@query()
+def seed_candidates_own_rim(spark, d):
+    """The candidates with the rim of the table itself, whatever its height."""
+    return _candidates(spark, d, _height(spark, d))
 
 
 @query(f"WITH {V}, l AS (SELECT unnest(range(190, 237, 2)) AS threshold) SELECT CAST(threshold AS INT) AS threshold, CAST(least(threshold + 2, 235) AS INT) AS next, count(*) FILTER (bt <= threshold) AS n, count(*) FILTER (bt < threshold) AS n_below FROM l, v GROUP BY 1, 2")
@@ -272,8 +282,7 @@ def threshold_counts(spark, d):
 
 def _components(spark, d):
     cold = _voxels(spark, d).where("bt <= 190")
-    # a plane of 100000 cells keeps ids the same at every size
-    return components.voxel_components(cold, ny=100000 // 15 + 1, nx=15)
+    return components.voxel_components(cold, ny=_height(spark, d), nx=15)
 
 
 @query(RC + CC + " SELECT t, y, x, row_number() OVER (PARTITION BY component ORDER BY t, y, x) = 1 AS is_first, count(*) OVER (PARTITION BY component) AS size FROM cc JOIN c USING (id)")
@@ -290,9 +299,18 @@ _RIM = f"""{V}, {OFF}, six(dy, dx) AS (VALUES (0,1),(0,-1),(1,-1),(1,0),(1,1),(-
 
 @query(RC + _RIM + " SELECT t, y, x, count(*) OVER (PARTITION BY component) AS size FROM cc JOIN c USING (id)")
 def components_with_scan_rules(spark, d):
+    return _scanned(spark, d, 6666)  # the rows that the SQL fixes
+
+
+@query()
+def components_own_rim(spark, d):
+    """Components with scan rules and the rim of the table itself, whatever its height."""
+    return _scanned(spark, d, _height(spark, d))
+
+
+def _scanned(spark, d, rows):
     v = _voxels(spark, d).withColumn("label", F.lit(None).cast("int"))
-    ny = 100000 // 15 + 1  # ids as in the other component queries
-    parts = components.voxel_components(v.where("bt <= 190"), ny, 15, visits=seeds.visitors(v, 190, 6666, 15))
+    parts = components.voxel_components(v.where("bt <= 190"), _height(spark, d), 15, visits=seeds.visitors(v, 190, rows, 15))
     return parts.select("t", "y", "x", F.count("*").over(Window.partitionBy("component")).alias("size"))
 
 
@@ -326,7 +344,7 @@ _TILED = f"{V}, {OFF}, w AS (SELECT *, CASE WHEN bt <= 186 THEN 1 + y // 5 * 3 +
 @query(f"WITH {_TILED} SELECT b.t, b.y, b.x, CAST(arg_min(a.label, (CAST(a.t AS BIGINT) * 100000 + a.y * 15 + a.x) * 10 + k) AS INT) AS label FROM w a, o, w b WHERE a.label IS NOT NULL AND b.label IS NULL AND b.t = a.t + o.dt AND b.y = a.y + o.dy AND b.x = a.x + o.dx AND b.q + 100 >= a.q GROUP BY ALL")
 def grow_one_level(spark, d):
     v = _tiled(spark, d)
-    start = growth.start_frontier(v.where("label is not null"), 100000 // 15 + 1, 15)
+    start = growth.start_frontier(v.where("label is not null"), _height(spark, d), 15)
     free = v.where("label is null").select("t", "y", "x", scalar.centikelvin(F.col("bt")).alias("q"))
     return growth.grow_level(start, free, 1.0).select("t", "y", "x", "label")
 
@@ -334,7 +352,7 @@ def grow_one_level(spark, d):
 @query()
 def grow_full(spark, d):
     """Growth to the end; its conflicts follow a queue, so the tests compare it with one."""
-    return growth.grow(_tiled(spark, d), F.col("bt") <= 200, 1.0, 100000 // 15 + 1, 15)
+    return growth.grow(_tiled(spark, d), F.col("bt") <= 200, 1.0, _height(spark, d), 15)
 
 
 @query(RC + CC + ", lab AS (SELECT t, y, x, 1 + y // 5 * 3 + x // 5 AS label FROM v WHERE bt > 190 AND bt <= 192) SELECT CAST(min(label) AS INT) AS absorb_to, arg_min(c.t, c.id) AS t, arg_min(c.y, c.id) AS y, arg_min(c.x, c.id) AS x FROM cc JOIN c USING (id), o, lab WHERE lab.t = c.t + o.dt AND lab.y = c.y + o.dy AND lab.x = c.x + o.dx GROUP BY component")

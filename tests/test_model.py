@@ -132,6 +132,21 @@ def test_ladder_queries_take_the_whole_table(spark, tmp_path, monkeypatch):
     assert all(c[2:] == (30, 15) and len(c[1].ladder()) == 24 for c in calls)
 
 
+def test_queries_take_the_height_of_the_table(spark, tmp_path):
+    """Row 6667 of a slot is not row 0 of the next, and the last row is rim."""
+    from cirrostrat import queries
+
+    q = queries.queries()
+    rows = [(0, 6667 * 15 + 5, 5.0), (1, 5, 5.0), (4, 6667 * 15 + 8, 5.0), (4, 6667 * 15 + 9, 5.0), (7, 9 * 15 + 8, 5.0), (7, 9 * 15 + 9, 5.0)]
+    events = spark.createDataFrame(rows, "t int, user_id long, value double")
+    events.selectExpr("timestamp_seconds(1704067200 + 43200 * t) as ts", "user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    pair = [(4, 6667, 8), (4, 6667, 9), (7, 9, 8), (7, 9, 9)]
+    got = {(r.t, r.y, r.x): r["size"] for r in q["connected_components"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 6667, 5): 1, (1, 0, 5): 1, **dict.fromkeys(pair, 2)}
+    assert {(r.t, r.y): r.edge for r in q["seed_candidates_own_rim"](spark, str(tmp_path)).collect()} == {(0, 6667): True, (1, 0): True, (4, 6667): True, (7, 9): False}
+    assert {(r.t, r.y, r.x) for r in q["components_own_rim"](spark, str(tmp_path)).collect()} == set(pair[2:])
+
+
 def test_scan_rules_leave_the_rim_alone(spark):
     """A grid of one row is all rim: no seed starts there."""
     v = spark.range(300).selectExpr("cast(id div 15 as int) t", "0 y", "cast(id % 15 as int) x", "185.0D bt", "1.0D area")
