@@ -1,22 +1,33 @@
-"""Conditional growth of labels over a volume, level by level.
+"""Conditional growth of labels over a volume.
 
 A queue that starts with all labelled voxels in scan order and hands each label to neighbours in a
-fixed order resolves conflicts by who came first. Relationally, every frontier voxel carries the
+fixed order resolves conflicts by who came first. Growth never leaves a region of neighbouring voxels that are
+labelled or free, so regions of a bounded size are grown each in one task, by whole frontiers at a time.
+
+In larger regions one job takes one level. Relationally, every frontier voxel carries the
 path that it was reached by: its source's linear index, then the neighbour numbers of each step.
 Paths of one level have one length, so their order as strings is the order of the queue, and the
-least path that reaches a voxel wins. No level needs a global sort.
+least path that reaches a voxel wins. Every so often a sort gives paths short names in the same order.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.functions.scalar import centikelvin, voxel_index
-from cirrostrat.operators.neighbors import TEN, Offset, shifted
-from cirrostrat.runtime import materialize
+from cirrostrat.operators import stencil
+from cirrostrat.operators.components import REGION_VOXELS, voxel_components, with_groups
+from cirrostrat.operators.neighbors import SIX, TEN, Offset, neighbours, shifted
+from cirrostrat.runtime import materialize, shared_dir
+
+#: Levels after which paths are named anew.
+RENAME = 24
 
 
 def start_frontier(labelled: DataFrame, ny: int, nx: int) -> DataFrame:
@@ -37,27 +48,100 @@ def grow_level(frontier: DataFrame, free: DataFrame, delta: float, pattern: Sequ
     return best.select("t", "y", "x", "b.label", "b.q", "b.path")
 
 
-def grow(voxels: DataFrame, mask: Column, delta: float, ny: int, nx: int, pattern: Sequence[Offset] = TEN, max_levels: int = 10_000) -> DataFrame:
-    """``voxels`` (t, y, x, bt, label) with labels grown into the unlabelled voxels where ``mask`` holds.
+def grow_by_level(voxels: DataFrame, mask: Column, delta: float, ny: int, nx: int, pattern: Sequence[Offset] = TEN) -> DataFrame:
+    """``voxels`` with labels grown level by level, until a level reaches nothing; for regions of any size.
 
-    Voxels that no level reaches keep a null label. A voxel that all its labelled neighbours refuse
-    stays refused, since temperatures do not change, so only new voxels make up the next frontier.
+    A voxel that all its labelled neighbours refuse stays refused, since temperatures do not change, so only new voxels
+    make up the next frontier. What levels have reached is kept as one table that grows by a folder a level.
     """
-    seeds = voxels.where("label is not null")
-    if seeds.isEmpty():
-        return voxels
+    spark = voxels.sparkSession
     free = materialize(voxels.where(F.col("label").isNull() & mask).select("t", "y", "x", centikelvin(F.col("bt")).alias("q")), "free")
-    frontier, levels = start_frontier(seeds, ny, nx), []
-    for _ in range(max_levels):
-        level = materialize(grow_level(frontier, free, delta, pattern), "level")
-        if level.isEmpty():
+    frontier, at, levels = start_frontier(voxels.where("label is not null"), ny, nx), f"{shared_dir(spark)}/grown-{uuid.uuid4().hex}", 0
+    while True:
+        level = grow_level(frontier, free, delta, pattern)
+        if levels:
+            level = level.join(spark.read.parquet(at).select("t", "y", "x"), ["t", "y", "x"], "left_anti")
+        level.write.parquet(f"{at}/level={levels}")
+        frontier = spark.read.schema(level.schema).parquet(f"{at}/level={levels}")
+        if frontier.isEmpty():
             break
-        levels.append(level.select("t", "y", "x", F.col("label").alias("_new")))
-        free = materialize(free.join(level, ["t", "y", "x"], "left_anti"), "free")
-        frontier = level
-    if not levels:
-        return voxels
-    grown = levels[0]
-    for level in levels[1:]:
-        grown = grown.union(level)
-    return voxels.join(grown, ["t", "y", "x"], "left").select("t", "y", "x", "bt", F.coalesce("label", "_new").alias("label"))
+        levels += 1
+        if levels % RENAME == 0:
+            frontier = materialize(frontier.orderBy("path").withColumn("path", F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")), "frontier")
+    reached = spark.read.schema("t int, y int, x int, label int").parquet(at)
+    grown = reached.select("t", "y", "x", F.col("label").alias("_new"))
+    return voxels.join(grown, ["t", "y", "x"], "left").withColumn("label", F.coalesce("label", "_new")).drop("_new").select(voxels.columns)
+
+
+def _sweep_group(deltas: list[int], finds: bool, scan_rules: bool):
+    def run(table: pa.Table) -> pa.Table:
+        t, y, x = (table.column(c).to_numpy() for c in "tyx")
+        order = stencil.scan_order(t, y, x)
+        table = table.take(order)
+        near = stencil.neighbour_table(t[order], y[order], x[order], TEN)
+        label = table.column("label").fill_null(0).to_numpy().astype(np.int64)
+        q = table.column("_q").fill_null(1 << 30).to_numpy().astype(np.int64)  # a voxel without temperature hands on nothing
+        for k, delta in enumerate(deltas):
+            label = stencil.grown(near, label, table.column(f"_free{k}").to_numpy(), q, delta)
+        out = table.drop_columns(["_q", "_own", "_cold", "_rim", *(f"_free{k}" for k in range(len(deltas)))])
+        out = out.set_column(out.column_names.index("label"), "label", pa.array(label.astype(np.int32), mask=label == 0))
+        if finds:
+            own, cold = table.column("_own").to_numpy(), table.column("_cold").to_numpy()
+            member = cold & (label == 0)
+            starts = member
+            if scan_rules:
+                six = [TEN.index(o) for o in SIX]
+                starts = member & ~table.column("_rim").to_numpy() & np.r_[cold, False][near[:, six]].any(1)
+            root = stencil.parts(near, member, starts)
+            beside = stencil.least_beside(near, label, root >= 0)
+            out = out.append_column("component", pa.array(own[root], mask=root < 0)).append_column("beside", pa.array(beside.astype(np.int32), mask=beside == 0))
+        return out
+
+    return run
+
+
+def sweep(grouped: DataFrame, steps: Sequence[tuple[Column, float]], ny: int, nx: int, cold: Column | None = None, scan_rules: bool = False, large: bool = True) -> DataFrame:
+    """``grouped`` (t, y, x, bt, label, group and other columns) after growth steps (where it may go, margin), one after the other.
+
+    With ``cold``, the unlabelled voxels where it holds are joined up after the growth: ``component`` is the smallest linear
+    index of each part, ``beside`` the least label next to a voxel of a part. ``scan_rules``: voxels on the rim, and those without a cold one among
+    their six deciding neighbours, start no part and hand none on. ``large``: whether some voxels have no group.
+    """
+    finds, types = cold is not None, grouped.schema
+    rim = F.col("x").isin(0, nx - 1) | F.col("y").isin(0, ny - 1)
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    flags = {f"_free{k}": holds(mask) for k, (mask, _) in enumerate(steps)} | {"_cold": holds(cold) if finds else F.lit(False), "_rim": rim}
+    ready = grouped.withColumns({"_q": centikelvin(F.col("bt")), "_own": voxel_index(F.col("t"), F.col("y"), F.col("x"), ny, nx), **flags})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types.fields) + (", component long, beside int" if finds else "")
+    deltas = [int(round(100 * delta)) for _, delta in steps]
+    out = ready.where("group is not null").groupBy("group").applyInArrow(_sweep_group(deltas, finds, scan_rules), schema)
+    if not large:
+        return out
+    rest = grouped.where("group is null")
+    for mask, delta in steps:
+        rest = materialize(grow_by_level(rest, mask, delta, ny, nx), "grown")
+    if finds:
+        rest = materialize(rest, "grown")
+        free = rest.where(F.col("label").isNull() & cold).select("t", "y", "x")
+        visits = None
+        if scan_rules:
+            six = neighbours(rest.where(cold), pattern=SIX).select("t", "y", "x").distinct()
+            visits = free.where(~rim).join(six, ["t", "y", "x"], "left_semi")
+        found = materialize(voxel_components(free, ny, nx, visits=visits), "components")
+        fixed = rest.where("label is not null").select(F.col("t").alias("nt"), F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("label").alias("l"))
+        beside = neighbours(found, rest.where("label is not null")).join(fixed, ["nt", "ny", "nx"]).groupBy("t", "y", "x").agg(F.min("l").alias("beside"))
+        rest = rest.join(found.join(beside, ["t", "y", "x"], "left"), ["t", "y", "x"], "left").select(*types.names, "component", "beside")
+    return out.unionByName(rest)
+
+
+def grow(voxels: DataFrame, mask: Column, delta: float, ny: int, nx: int, most: int = REGION_VOXELS) -> DataFrame:
+    """``voxels`` (t, y, x, bt, label) with labels grown into the unlabelled voxels where ``mask`` holds.
+
+    Voxels that no label reaches keep a null label, and so do all if there is no label. Null temperatures neither
+    take nor hand on a label. ``most``: voxels of a region up to which one task grows it whole.
+    """
+    inside = F.col("label").isNotNull() | F.coalesce(mask, F.lit(False))
+    grouped = materialize(with_groups(voxels.where(inside), ny, nx, most=most), "grouped")
+    large = not grouped.where("group is null").isEmpty()
+    out = sweep(grouped, [(mask, delta)], ny, nx, large=large).drop("group")
+    return out.union(voxels.where(~inside).select(out.columns)).select("t", "y", "x", "bt", "label")

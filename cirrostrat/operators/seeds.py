@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cirrostrat.operators.components import voxel_components
 from cirrostrat.operators.neighbors import is_edge, isolated, neighbours
 from cirrostrat.runtime import materialize
 
@@ -15,10 +14,9 @@ def candidates(threshold: float) -> Column:
     return (F.col("bt") > 0) & (F.col("bt") <= threshold)
 
 
-def frame_areas(parts: DataFrame, area: str = "area", exact: bool = False) -> DataFrame:
-    """(component, t, area): km2 per slot; each pixel's area is cut to whole km2 first, unless ``exact``."""
-    one = F.col(area) if exact else F.floor(area)
-    return parts.groupBy("component", "t").agg(F.sum(one).alias("area"))
+def frame_areas(parts: DataFrame, area: str = "area") -> DataFrame:
+    """(component, t, area): km2 per slot; each pixel's area is cut to whole km2 first."""
+    return parts.groupBy("component", "t").agg(F.sum(F.floor(area)).alias("area"))
 
 
 def seed_records(frames: DataFrame, min_area: float, min_lifetime: int) -> DataFrame:
@@ -63,21 +61,16 @@ def visitors(voxels: DataFrame, threshold: float, ny: int, nx: int) -> DataFrame
     return cold.where(F.col("label").isNull() & ~is_edge(ny, nx)).select("t", "y", "x").join(isolated(cold), ["t", "y", "x"], "left_anti")
 
 
-def detect(voxels: DataFrame, threshold: float, min_area: float, min_lifetime: int, last_label: int, ny: int, nx: int, scan_rules: bool = False) -> tuple[DataFrame, DataFrame, int]:
-    """Label new systems among the unlabelled voxels up to ``threshold`` (voxels: t, y, x, bt, area, label).
+def named_systems(swept: DataFrame, threshold: float, min_area: float, min_lifetime: int, last_label: int) -> tuple[DataFrame, DataFrame, int]:
+    """Label the parts that a sweep has found (swept: t, area, label, component, beside and other columns).
 
-    Returns the voxels with new labels, the accepted seeds and the last label given. Components that
-    fail join the least labelled system that they touch, or stay unlabelled. ``scan_rules``: voxels on
-    the rim and isolated ones start no component and hand none on.
+    Returns the voxels with new labels, the accepted seeds and the last label given. Parts that fail join the least
+    labelled system that they touch, or stay unlabelled.
     """
-    free = materialize(voxels.where(F.col("label").isNull() & candidates(threshold)).select("t", "y", "x", "area"), "candidates")
-    visits = visitors(voxels, threshold, ny, nx) if scan_rules else None
-    parts = materialize(voxel_components(free, ny, nx, visits=visits), "components")
-    records = materialize(seed_records(frame_areas(parts.join(free, ["t", "y", "x"])), min_area, min_lifetime), "seeds")
+    found = swept.where("component is not null")
+    records = seed_records(frame_areas(found), min_area, min_lifetime)
     new = materialize(numbered(records, last_label).withColumn("threshold", F.lit(threshold).cast("int")), "accepted")
-    fixed = voxels.where("label is not null").select("t", "y", "x", "label")
-    rejected = parts.join(records.where("not accepted").select("component"), "component")
-    joined = new.select("component", F.col("label").alias("_new")).union(absorbing(rejected, fixed).select("component", "absorb_to"))
-    given = parts.join(joined, "component").select("t", "y", "x", "_new")
-    out = voxels.join(given, ["t", "y", "x"], "left").withColumn("label", F.coalesce("label", "_new")).drop("_new")
+    beside = found.where("beside is not null").groupBy("component").agg(F.min("beside").alias("_new")).join(new.select("component"), "component", "left_anti")
+    given = new.select("component", F.col("label").alias("_new")).union(beside)
+    out = swept.drop("beside").join(given, "component", "left").withColumn("label", F.coalesce("label", "_new")).drop("_new", "component")
     return out, new, last_label + new.count()

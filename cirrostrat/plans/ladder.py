@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.config import RunParams
-from cirrostrat.operators.growth import grow
+from cirrostrat.operators.components import REGION_VOXELS, with_groups
+from cirrostrat.operators.growth import sweep
 from cirrostrat.operators.joins import carried_over
-from cirrostrat.operators.seeds import detect
+from cirrostrat.operators.seeds import candidates, named_systems
 from cirrostrat.runtime import materialize
 
 
@@ -23,31 +24,29 @@ class Segmentation:
     last_label: int
 
 
-def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, last_label: int | None = None, slots: int | None = None) -> Segmentation:
+def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, last_label: int | None = None, slots: int | None = None, most: int = REGION_VOXELS) -> Segmentation:
     """Segment a volume (t, y, x, bt, area and, for labels carried over, label).
 
     For each threshold, coldest first: grow the labels into colder voxels, detect new seeds, grow up
     to the next threshold; at last grow once more with a wide temperature margin. Only voxels up to
-    the warmest threshold take part.
+    the warmest threshold take part. Regions of those that touch each other (up to ``most`` voxels) stay together from
+    the first threshold to the last, so a threshold costs one sweep over its regions and one aggregate of its parts.
     """
     last = params.first_label if last_label is None else last_label
     warmest = max(t for pair in params.ladder() for t in pair)
     v = voxels if "label" in voxels.columns else voxels.withColumn("label", F.lit(None).cast("int"))
-    v = materialize(v.where(F.col("bt") <= warmest).select("t", "y", "x", "bt", "area", "label"), "volume")
-    areas, seeds = v.select("t", "y", "x", "area"), None
-    nxt = params.max_bt
-
-    def grown(v: DataFrame, mask, delta: float) -> DataFrame:
-        return materialize(grow(v.select("t", "y", "x", "bt", "label"), mask, delta, ny, nx).join(areas, ["t", "y", "x"]), "grown")
-
+    v = with_groups(v.where(F.col("bt") <= warmest).select("t", "y", "x", "bt", "area", "label"), ny, nx, most=most)
+    v = materialize(v, "volume")
+    large = not v.where("group is null").isEmpty()
+    seeds, after = None, []
     for threshold, nxt in params.ladder():
-        v = grown(v, F.col("bt") < threshold, params.delta_spread)
-        v, new, last = detect(v, threshold, params.min_area_seed, params.min_lifetime, last, ny, nx, params.scan_rules)
-        v = materialize(v, "detected")
+        steps = [*after, (F.col("bt") < threshold, params.delta_spread)]
+        swept = materialize(sweep(v, steps, ny, nx, candidates(threshold), params.scan_rules, large), "swept")
+        v, new, last = named_systems(swept, threshold, params.min_area_seed, params.min_lifetime, last)
         seeds = new if seeds is None else seeds.union(new)
-        v = grown(v, F.col("bt") <= nxt, params.delta_spread)
-    v = grown(v, F.col("bt") <= nxt, params.final_delta)
-    return Segmentation(v, seeds, last)
+        after = [(F.col("bt") <= nxt, params.delta_spread)]
+    v = sweep(v, [*after, (after[0][0], params.final_delta)], ny, nx, large=large)
+    return Segmentation(materialize(v.drop("group"), "segmented"), seeds, last)
 
 
 def chunk_bounds(slots: int, length: int, overlap: int) -> list[tuple[int, int]]:

@@ -209,6 +209,87 @@ def test_components_of_a_long_path(spark):
     assert connected_components(edges.where("src > 900")).count() == 0
 
 
+def test_rounds_do_not_follow_the_length_of_a_path(spark, monkeypatch):
+    from cirrostrat.operators import graph
+
+    names, keep = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: names.append(name) or keep(df, name))
+    edges = spark.range(5000).selectExpr("id src", "id + 1 dst")
+    got = graph.connected_components(edges, last_edges=50)
+    assert got.count() == 5001 and got.where("component <> 0").isEmpty()
+    assert 3 <= names.count("level") <= 20
+
+
+@pytest.mark.parametrize("last", [500_000, 20])
+def test_components_of_random_graphs(spark, last):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(1500), rng.randrange(1500)) for _ in range(900)]
+    root = list(range(1500))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    edges = spark.createDataFrame([*pairs, *pairs[:40], (None, 1), (5, None)], "src long, dst long")
+    assert {r.id: r.component for r in connected_components(edges, last_edges=last).collect()} == {x: find(x) for p in pairs for x in p}
+
+
+@pytest.mark.parametrize("tile", [(16, 128, 128), (2, 3, 3)])
+def test_components_across_tiles(spark, tile):
+    rng = random.Random(4)
+    cells = [(t, y, x) for t in range(5) for y in range(9) for x in range(9) if rng.random() < 0.3]
+    df = spark.createDataFrame(cells, "t int, y int, x int")
+    want = {v: (p := min(part))[0] * 81 + p[1] * 9 + p[2] for part in parts_of(cells) for v in part}
+    assert {(r.t, r.y, r.x): r.component for r in voxel_components(df, 9, 9, tile=tile).collect()} == want
+    starts = [v for v in cells if v[2] % 3]
+    pairs = [(v, n) for v in starts for o in TEN if (n := tuple(a + b for a, b in zip(v, o))) in set(cells)]
+    root = {v: v for v in [*starts, *(n for _, n in pairs)]}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {v: (p := find(v))[0] * 81 + p[1] * 9 + p[2] for v in root}
+    got = voxel_components(df, 9, 9, visits=spark.createDataFrame(starts, "t int, y int, x int"), tile=tile)
+    assert {(r.t, r.y, r.x): r.component for r in got.collect()} == want
+
+
+def test_large_regions_grow_alike(spark, monkeypatch):
+    """Level by level, with paths named anew, as in one task."""
+    from cirrostrat.operators import growth
+
+    monkeypatch.setattr(growth, "RENAME", 2)
+    rng = random.Random(6)
+    bt = {(t, y, x): rng.randrange(19000, 19600) / 100 for t in range(3) for y in range(6) for x in range(6)}
+    label = {v: k + 1 for k, v in enumerate(rng.sample(sorted(bt), 4))}
+    df = spark.createDataFrame([(*v, b, label.get(v)) for v, b in bt.items()], "t int, y int, x int, bt double, label int")
+    want = fifo(bt, label, lambda b: b <= 195, 1.0)
+    for most in (3, 1000):
+        assert {(r.t, r.y, r.x): r.label for r in grow(df, F.col("bt") <= 195, 1.0, 6, 6, most=most).collect() if r.label is not None} == want
+    assert grow(df.withColumn("label", F.lit(None).cast("int")), F.col("bt") <= 195, 1.0, 6, 6).where("label is not null").isEmpty()
+    assert grow(df.where("false"), F.col("bt") <= 195, 1.0, 6, 6).isEmpty()
+
+
+@pytest.mark.parametrize("scan_rules", [False, True])
+def test_ladder_of_large_regions(spark, scan_rules):
+    rng = random.Random(9)
+    p = RunParams(min_bt=200, max_bt=210, step_bt=10, min_area_seed=1, min_lifetime=2, scan_rules=scan_rules)
+    rows = [(t, y, x, 195 + rng.randrange(0, 2400) / 100, 1.0) for t in range(4) for y in range(6) for x in range(6)]
+    v = spark.createDataFrame(rows, "t int, y int, x int, bt double, area double")
+    one, two = ({(r.t, r.y, r.x): r.label for r in detect_and_spread(v, p, 6, 6, most=m).voxels.collect()} for m in (1000, 2))
+    assert one == two and any(one.values())
+    if not scan_rules:
+        assert {k: x for k, x in one.items() if x is not None} == model_ladder({r[:3]: r[3] for r in rows if r[3] <= 210}, p)
+
+
 def test_asof_ties_nulls_and_empty(spark):
     left = spark.createDataFrame([(1, "2024-01-01 00:01:00"), (2, "2024-01-01 05:00:00"), (3, None)], "id int, s string").selectExpr("id", "cast(s as timestamp) ts")
     right = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:02:00"), ("c", "2024-01-01 00:02:00")], "path string, s string").selectExpr("path", "cast(s as timestamp) ts")
