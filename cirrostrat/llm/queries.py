@@ -33,7 +33,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"), least=400, keep_first=False)
-    return suffix_dedup.removal_digest(spans)
+    return suffix_dedup.removal_digest(spans, texts=True)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,13 @@ equal ones), so equal strings have equal anchors wherever they stand. Each docum
 pieces by anchor: the starts of all strings that share an anchor, with the bytes that these strings
 cover. Pieces that are equal repeat as a whole and are settled by an aggregate; unequal pieces of one
 anchor meet in bounded cells. There a suffix array of the pieces, in corpus order, is built by
-prefix doubling to depth ``least``; a string whose neighbourhood in suffix order (common prefix of
-``least`` or more) has a smaller position on either side has an earlier match, which is the
-longest-previous-factor test at that length. Anchors that a large part of all documents share are
-cut into blocks, every two of which meet in one cell.
+prefix doubling to depth ``least``, and the longest-previous-factor array follows from the previous and the next smaller
+position in suffix order and the least common prefix on the way there. Its mirror (greater positions) gives the
+longest later match. A string goes where either array reaches ``least``, or, if first copies stay, where the first does.
+
+Strings that stand at different distances from their anchor are never equal. The pieces of an anchor that outgrows a cell are therefore
+cut by that distance, and meet only under the bytes that all strings of a cut have in common; cuts that still outgrow a cell
+are cut into single strings, whose equality is that of their hashes. So the work follows the bytes of a hot anchor, not their square.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from cirrostrat.runtime import materialize
 
 #: Bytes of pieces in one cell, and of a document that is hashed at once.
 CELL_BYTES, CHUNK = 2_500_000, 1 << 20
+#: Distances from the anchor that the cuts of a hot anchor's pieces take together, first and at last.
+CUTS = (48, 1)
 _SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 _ODD = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
@@ -76,22 +81,37 @@ def _signed(x: Sequence[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def _anchor_rows(least: int, k: int):
+def _cuts(raw: bytes, s: int, n: int, a: int, least: int, g: int) -> Iterator[tuple[int, int, int]]:
+    """(start, number of starts, key) of a piece's strings by ``g`` distances to the anchor at ``a``; the key names what they all hold."""
+    for j in range((a - s - n + 1) // g, (a - s) // g + 1):
+        lo, hi = max(s, a - (j + 1) * g + 1), min(s + n - 1, a - j * g)
+        yield lo, hi - lo + 1, xxhash.xxh3_64_intdigest(raw[a - j * g : a - (j + 1) * g + 1 + least], seed=j + 1)
+
+
+def _anchor_rows(least: int, k: int, cuts: Sequence[int] = ()):
+    """Rows of pieces; with ``cuts``, of the cut pieces of those whose key (anchor, then cut by cut) is among the row's ``hot`` ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for doc, rid, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), strict=True):
+            hot = batch.column("hot").to_pylist() if cuts else [()] * batch.num_rows
+            for doc, rid, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text")), hot, strict=True):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 if len(raw) < least:
                     continue
                 own: dict[tuple[int, int], list[int]] = {}  # a periodic text has a piece many times
+                keys = set(wanted)
                 first, count, anchor = anchored_pieces(np.frombuffer(raw, np.uint8), least, k)
                 for s, n, a in zip(first.tolist(), count.tolist(), anchor.tolist(), strict=True):
-                    kind = (xxhash.xxh3_64_intdigest(raw[a : a + k]), xxhash.xxh3_64_intdigest(raw[s : s + n + least - 1]))
-                    if (seen := own.get(kind)) is None:
-                        own[kind] = [n, s]
-                    else:
-                        seen.append(s)
+                    found = [(s, n, xxhash.xxh3_64_intdigest(raw[a : a + k]))]
+                    for g in cuts:
+                        found = [c for s1, n1, key in found if _to_signed(key) in keys for c in _cuts(raw, s1, n1, a, least, g)]
+                    for s1, n1, key in found:
+                        kind = (key, xxhash.xxh3_64_intdigest(raw[s1 : s1 + n1 + least - 1]))
+                        if (seen := own.get(kind)) is None:
+                            own[kind] = [n1, s1]
+                        else:
+                            seen.append(s1)
                 rows += [(doc, rid, at[1], at[0], *kind, at[2:] or None) for kind, at in own.items()]
             if rows:
                 doc, rid, start, n, key, mark, more = zip(*rows, strict=True)
@@ -103,6 +123,10 @@ def _anchor_rows(least: int, k: int):
     return run
 
 
+def _to_signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The given starts that share ``depth`` bytes with another one, in suffix order, and their classes (numbered upwards).
 
@@ -134,7 +158,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
     elif len(live):
         fresh = np.r_[True, rank[live][1:] != rank[live][:-1]]
     else:
-        return live, live
+        return live.astype(np.int64), live.astype(np.int64)
     keep = _shared(fresh)
     return live[keep].astype(np.int64), (np.cumsum(fresh) - 1)[keep]
 
@@ -164,16 +188,45 @@ def _begins(fresh: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh).astype(np.int32)[np.cumsum(fresh, dtype=np.int32) - 1]
 
 
+def _to_smaller(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix, the common prefix with the nearest one before it in suffix order that has a smaller position (0: none).
+
+    All suffixes step back at once, over what they have passed already, until they meet a smaller position or share nothing.
+    """
+    at, common = np.arange(len(order)) - 1, lcp.copy()
+    common[:1] = 0
+    open_ = np.flatnonzero(common)
+    while len(open_):
+        open_ = open_[order[at[open_]] > order[open_]]
+        p = at[open_]
+        common[open_], at[open_] = np.minimum(common[open_], common[p]), at[p]
+        open_ = open_[common[open_] > 0]
+    return common
+
+
+def previous_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array, in suffix order: the longest match of each suffix that starts earlier.
+
+    It is with the previous or the next smaller position in suffix order. ``lcp``: common prefix of each suffix with the one before.
+    """
+    back = np.zeros_like(lcp)
+    back[1:] = lcp[:0:-1]
+    return np.maximum(_to_smaller(order, lcp), _to_smaller(order[::-1], back)[::-1])
+
+
+def following_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The mirror: the longest match of each suffix that starts later."""
+    return previous_factors(-order, lcp)
+
+
+def common_prefixes(classes: np.ndarray, depth: int) -> np.ndarray:
+    """Of each suffix with the one before, up to ``depth``; shorter ones count as 0."""
+    return np.where(np.diff(classes, prepend=-1) > 0, 0, depth)
+
+
 def earlier_matches(order: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Which suffixes have a smaller position before or after them in suffix order, within their class."""
-    if not len(order):
-        return np.zeros(0, bool)
-    far = np.int64(1) << 40
-    down = order + (classes[-1] - classes) * far  # the least so far starts anew with each class
-    up = order + classes * far
-    previous = np.r_[np.iinfo(np.int64).max, np.minimum.accumulate(down)[:-1]] < down
-    following = np.r_[np.minimum.accumulate(up[::-1])[::-1][1:], np.iinfo(np.int64).max] < up
-    return previous | following
+    """Which suffixes have a previous factor of the full depth."""
+    return previous_factors(order, common_prefixes(classes, 1)) > 0
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -193,14 +246,17 @@ def _match_cell(least: int, first: bool):
         counts = np.array([p[4] for p in ordered], np.int64)
         starts = np.repeat(offsets, counts) + np.arange(counts.sum()) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
         order, classes = suffix_order(data, starts, least)
-        hit = order[earlier_matches(order, classes)] if first else order
+        lcp = common_prefixes(classes, least)
+        goes = previous_factors(order, lcp) >= least
+        if not first:
+            goes |= following_factors(order, lcp) >= least
         flags = np.zeros(len(data), bool)
-        flags[hit] = True
-        found: dict[int, list[dict[str, int]]] = {}
+        flags[order[goes]] = True
+        found: dict[tuple[int | None, int], list[dict[str, int]]] = {}
         for p, offset in zip(ordered, offsets.tolist(), strict=True):
             for a, b in _runs(flags[offset : offset + p[4]]):
-                found.setdefault(p[2], []).append({"lo": p[3] + a, "hi": p[3] + b - 1 + least})
-        return pa.table({"rid": pa.array(list(found), pa.int64()), "spans": pa.array(list(found.values()), _SPANS)})
+                found.setdefault((None if p[0] else p[1], p[2]), []).append({"lo": p[3] + a, "hi": p[3] + b - 1 + least})
+        return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()), "rid": pa.array([r for _, r in found], pa.int64()), "spans": pa.array(list(found.values()), _SPANS)})
 
     return run
 
@@ -209,7 +265,7 @@ def _cut_pieces(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for doc, rid, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_rid", "text", "_wanted")), strict=True):
+            for doc, rid, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text", "wanted")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 rows += [(w["cell"], doc, rid, w["start"], w["n"], w["key"], w["mark"], raw[w["start"] : w["start"] + w["n"] + least - 1]) for w in wanted]
             cols = list(zip(*rows, strict=True)) or [()] * 8
@@ -218,7 +274,26 @@ def _cut_pieces(least: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, least: int = 400, keep_first: bool = True, gram: int = 32) -> DataFrame:
+_PIECES = "doc_id long, rid long, start long, n long, key long, mark long, more array<long>"
+
+
+def _copies():
+    return F.lit(1) + F.greatest(F.size("more"), F.lit(0))
+
+
+def _repeated(pieces: DataFrame) -> DataFrame:
+    """The pieces whose key occurs more than once, and whether ``several`` different pieces have it."""
+    met = pieces.groupBy("key").agg(F.sum(_copies()).alias("c"), F.min("mark").alias("m0"), F.max("mark").alias("m1")).where("c > 1")
+    return materialize(pieces.join(met.select("key", (F.col("m0") != F.col("m1")).alias("several")), "key"), "repeated")
+
+
+def _of_rows(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """Rows with what is said about them: by id and hash of id and text, of which rows without an id have the hash alone."""
+    other = about.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), *[c for c in about.columns if c not in ("doc_id", "rid")])
+    return rows.join(other, (F.col("rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d", "_r")
+
+
+def repeated_spans(docs: DataFrame, least: int = 400, keep_first: bool = True, gram: int = 32, cell: int | None = None) -> DataFrame:
     """``docs`` (doc_id, text) with ``_spans``: an array of (lo, hi) byte ranges that repeat, unsorted and overlapping.
 
     A byte lies in a span if some string of ``least`` bytes that covers it also starts elsewhere: at
@@ -226,32 +301,46 @@ def repeated_spans(docs: DataFrame, least: int = 400, keep_first: bool = True, g
     first copy stays. Matches never cross documents; they are judged on the input. Null, empty and
     shorter texts have no spans. Rows that repeat in doc_id and text count as places of their own, but
     hold the same first copy; of rows with a null doc_id none is earlier than one with an id. Other
-    columns pass through, but for ``_rid`` and ``_spans``, which are replaced.
+    columns pass through, but for ``_rid`` and ``_spans``, which are replaced. ``cell``: bytes of pieces that one task compares (``CELL_BYTES``).
     """
-    base = in_small_batches(docs).drop("_rid", "_spans", "_wanted").withColumn("_rid", F.xxhash64("doc_id", "text"))
+    cell = cell or CELL_BYTES
+    base = in_small_batches(docs).drop("_rid", "_spans").withColumn("_rid", F.xxhash64("doc_id", "text"))
     rows = base.select("doc_id", "text", F.col("_rid").alias("rid"))
-    pieces = materialize(rows.mapInArrow(_anchor_rows(least, gram), "doc_id long, rid long, start long, n long, key long, mark long, more array<long>"), "pieces")
+    pieces = materialize(rows.mapInArrow(_anchor_rows(least, gram), _PIECES), "pieces")
     # most anchors occur once; only the others go on
-    count = F.lit(1) + F.greatest(F.size("more"), F.lit(0))
-    met = pieces.groupBy("key").agg(F.sum(count).alias("c"), F.min("mark").alias("m0"), F.max("mark").alias("m1")).where("c > 1")
-    pieces = materialize(pieces.join(met.select("key", (F.col("m0") != F.col("m1")).alias("several")), "key"), "repeated")
+    done, pieces, keys = None, _repeated(pieces), None
+    for k in range(len(CUTS)):
+        size = pieces.where("several").groupBy("key", "mark").agg(F.first("n").alias("n")).groupBy("key").agg(F.sum(F.col("n") + least - 1).alias("size"))
+        hot = materialize(size.where(F.col("size") > cell).select("key"), "hot")
+        if hot.isEmpty():
+            break
+        cool = pieces.join(hot, "key", "left_anti")
+        done = cool if done is None else done.unionByName(cool)
+        at = pieces.join(hot, "key").groupBy("doc_id", "rid").agg(F.collect_set("key").alias("hot"))
+        if keys is not None:
+            at = _of_rows(at, keys.withColumnRenamed("hot", "above")).withColumn("hot", F.concat("hot", "above")).drop("above")
+        keys = materialize(at, "keys")
+        cut = _of_rows(rows, keys).mapInArrow(_anchor_rows(least, gram, CUTS[: k + 1]), _PIECES)
+        pieces = _repeated(materialize(cut, "pieces"))
+    if done is not None:
+        pieces = materialize(done.unionByName(pieces), "repeated")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid", "start", "n")
-    kinds = pieces.groupBy("key", "mark").agg(F.sum(count).alias("copies"), F.min(place).alias("at"), F.first("several").alias("several"))
-    kinds = materialize(kinds.where("several or copies > 1").select("key", "mark", "copies", "several", "at.rid", "at.start", "at.n"), "kinds")
-    apart = kinds.where("several").select("key", "mark", "rid", "start", "n", (F.col("n") + least - 1).alias("size"))
-    cells = assign_cells(apart, "key", "mark", "size", CELL_BYTES)
-    wanted = cells.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("cell", "start", "n", "key", "mark")).alias("_wanted"))
+    kinds = pieces.groupBy("key", "mark").agg(F.sum(_copies()).alias("copies"), F.min(place).alias("at"), F.first("several").alias("several"))
+    kinds = materialize(kinds.where("several or copies > 1").select("key", "mark", "copies", "several", "at.doc_id", "at.rid", "at.start", "at.n"), "kinds")
+    apart = kinds.where("several").select("key", "mark", "doc_id", "rid", "start", "n", (F.col("n") + least - 1).alias("size"))
+    cells = assign_cells(apart, "key", "mark", "size", cell)
+    wanted = cells.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("cell", "start", "n", "key", "mark")).alias("wanted"))
     # both joins with the texts read the same columns, so Spark shuffles the texts once
-    cut = base.join(wanted, "_rid").mapInArrow(_cut_pieces(least), "cell long, doc_id long, rid long, start long, n long, key long, mark long, piece binary")
-    near = cut.groupBy("cell").applyInArrow(_match_cell(least, keep_first), "rid long, spans array<struct<lo: long, hi: long>>")
-    equal = kinds.where("copies > 1").select("key", "mark", F.col("rid").alias("r0"), F.col("start").alias("s0"))
+    cut = _of_rows(rows, wanted).mapInArrow(_cut_pieces(least), "cell long, doc_id long, rid long, start long, n long, key long, mark long, piece binary")
+    near = cut.groupBy("cell").applyInArrow(_match_cell(least, keep_first), "doc_id long, rid long, spans array<struct<lo: long, hi: long>>")
+    equal = kinds.where("copies > 1").select("key", "mark", F.col("doc_id").alias("d0"), F.col("rid").alias("r0"), F.col("start").alias("s0"))
     starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<long>")))
     if keep_first:
-        starts = F.filter(starts, lambda s: (F.col("rid") != F.col("r0")) | (s != F.col("s0")))
+        starts = F.filter(starts, lambda s: ~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("rid") == F.col("r0")) & (s == F.col("s0"))))
     spans = F.transform(starts, lambda s: F.struct(s.alias("lo"), (s + F.col("n") + least - 1).alias("hi")))
-    whole = pieces.join(equal, ["key", "mark"]).select("rid", spans.alias("spans")).where(F.size("spans") > 0)
-    spans = near.union(whole).groupBy(F.col("rid").alias("_rid")).agg(F.flatten(F.collect_set("spans")).alias("_spans"))
-    return base.join(spans, "_rid", "left").drop("_rid")
+    whole = pieces.join(equal, ["key", "mark"]).select("doc_id", "rid", spans.alias("spans")).where(F.size("spans") > 0)
+    spans = near.union(whole).groupBy(F.col("doc_id").alias("_d"), F.col("rid").alias("_r")).agg(F.flatten(F.collect_set("spans")).alias("_spans"))
+    return base.join(spans, (F.col("_rid") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_rid", "_d", "_r")
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
@@ -286,19 +375,29 @@ def kept_text(text: str, runs: list[tuple[int, int]]) -> str:
     return kept_bytes(raw, whole).decode("utf-8", "surrogatepass")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        rows = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-            raw, runs = text.encode("utf-8", "surrogatepass") if text else b"", merged(spans)
-            rows.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(raw, runs)).hexdigest()))
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _digest(texts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows, kept = [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+                raw, runs = text.encode("utf-8", "surrogatepass") if text else b"", merged(spans)
+                rows.append((len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(raw, runs)).hexdigest()))
+                if texts:
+                    kept.append(kept_text(text, runs) if runs else text)
+            cols = list(zip(*rows, strict=True))
+            columns, names = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if texts else [])], names=[*names, *(["text"] if texts else [])])
+
+    return run
 
 
-def removal_digest(spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what ``repeated_spans`` returns."""
-    return spans.select("doc_id", "text", "_spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def removal_digest(spans: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what ``repeated_spans`` returns; with ``texts``, what is kept too.
+
+    The kept text is that of the kept bytes, but for characters of which a span covers a part only: these stay whole. Null texts stay null.
+    """
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if texts else "")
+    return spans.select("doc_id", "text", "_spans").mapInArrow(_digest(texts), schema)
 
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,6 +152,32 @@ def test_suffix_order_finds_classes():
     assert [i for i, e in zip(order, early) if not e] == [i for i, c in zip(order, classes) if firsts[c] == i]
 
 
+def test_factors_equal_their_definition():
+    rng = random.Random(11)
+    for _ in range(60):
+        n = rng.randrange(0, 40)
+        data = bytes(rng.choice(b"ab") for _ in range(n))
+        order = sorted(range(n), key=lambda i: data[i:])
+        common = lambda i, j: next((k for k in range(n) if max(i, j) + k >= n or data[i + k] != data[j + k]), 0)
+        lcp = np.array([0 if k == 0 else common(order[k - 1], order[k]) for k in range(n)], np.int64)
+        for of, factors in ((lambda i: range(i), suffix_dedup.previous_factors), (lambda i: range(i + 1, n), suffix_dedup.following_factors)):
+            assert factors(np.array(order, np.int64), lcp).tolist() == [max((common(i, j) for j in of(i)), default=0) for i in order]
+
+
+def test_hot_anchor_is_cut_down(spark):
+    """One line in all texts, near copies around it: cuts by distance, then single strings, find what brute force finds."""
+    rng = random.Random(5)
+    line = "0123456789abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, "".join(rng.choice("xy") for _ in range(40)) + line + "".join(rng.choice("xy") for _ in range(40))) for i in range(30)]
+    rows += [(100 + i, rows[i][1][20:90] + str(i)) for i in range(12)] + [(200, None), (201, ""), (202, line)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
+    for first in (False, True):
+        got = suffix_dedup.removal_digest(suffix_dedup.repeated_spans(df, 50, first, gram=8, cell=300), texts=True).collect()
+        want = brute_spans([*rows, (10**6, rows[0][1])], 50, first)
+        assert {r.doc_id or 10**6 if r.doc_id is None else r.doc_id: tuple(r)[1:5] for r in got} == want
+        assert all(len((r.text or "").encode()) == r.n_bytes - r.n_removed for r in got)
+
+
 # ---- 3 and 8 --------------------------------------------------------------------------------
 
 
