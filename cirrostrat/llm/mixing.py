@@ -85,8 +85,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     level = (F.sum("source_size").over(every) * share - F.coalesce(F.sum("top").over(before), F.lit(0.0))) / (F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    per = per.withColumn("level", level)
-    free = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(every)
+    per = per.withColumn("level", level).withColumn("nr", F.row_number().over(order))
+    # the level of the first that fits, in this very order: a later one of equal ratio has the caps before it taken off
+    free = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("nr", "level"))).over(every)
     return per.select("source", "source_size", F.least("top", F.coalesce(free["level"] * F.col("w"), F.col("top"))).alias("target"))
 
 
