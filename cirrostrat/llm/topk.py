@@ -1,17 +1,16 @@
 """Exact top-k inner-product search over an impact-ordered index, score at a time.
 
-Vectors become integers. A block's index holds, for each dimension, postings in segments of one
-quantised impact. A query takes the segments of all dimensions by descending contribution (query
-component times impact), adds them to accumulators, and keeps for each dimension the most that its
-segments still to come can add. It stops only when the k-th best lower bound is above the upper
-bound of all rows but a few possible members, or when the segments end; these are then rescored
-exactly. Blocks of vectors are dealt to tasks; each answers all queries in chunks, and the
-best k of a query meet in one aggregate that combines before the shuffle.
+Vectors become integers. A block's index holds the postings of each dimension, ordered by value and cut into segments of one
+quantised impact. A query takes the segments of all dimensions by descending impact (what a segment's best posting adds above
+the least of its dimension) and adds their postings to one accumulator for each row. What the segments to come can still add
+bounds every score from above. The query stops only on the proof that all rows but a few possible members stay
+below k lower bounds, or when its segments end; possible members are then rescored exactly. Blocks of vectors are dealt to tasks; each
+answers all queries in chunks, and the best k of a query meet in one aggregate that combines before the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,110 +18,135 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a block of vectors, and of a chunk of queries.
-BLOCK, CHUNK = 8192, 1024
+from cirrostrat.runtime import materialize
+
+#: The most rows of a block of vectors, the most components in one, and queries of a chunk.
+BLOCK, BLOCK_CELLS, CHUNK = 8192, 1 << 21, 1024
+#: Segments of a dimension, parts of a query's postings after which it looks for a proof, and members it rescores for each result.
+LEVELS, STEPS, MEMBERS = 8, 8, 16
+_LONG = (1 << 63) - 1
 
 
 class ImpactIndex:
-    """Postings of one block of integer vectors: by dimension, segments of one quantised impact.
+    """Postings (row, value) of one block of integer vectors: by dimension and value, in segments of one quantised impact.
 
-    A segment's postings are a row of ``members``, so that a batch of queries adds a round of
-    segments to all its accumulators in one product.
+    Memory is that of the postings, whatever the number of segments.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 8):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors.astype(np.float64)
-        lo, hi = vectors.min(0), vectors.max(0)
-        level = (vectors - lo) // np.maximum(1, -(-(hi - lo + 1) // levels))
-        dim, low, high, members = [], [], [], []
-        for d in range(vectors.shape[1]):
-            for x in np.unique(level[:, d]):
-                there = level[:, d] == x
-                v = vectors[there, d]
-                dim.append(d)
-                low.append(v.min())
-                high.append(v.max())
-                members.append(there)
-        self.dim, self.low, self.high = np.array(dim), np.array(low, np.float64), np.array(high, np.float64)
+        n, dims = vectors.shape
+        order = np.argsort(self.vectors, axis=0, kind="stable")
+        self.rows = order.T.ravel().astype(np.int32)
+        self.values = np.take_along_axis(self.vectors, order, 0).T.ravel()
+        low, high = self.vectors.min(0), self.vectors.max(0)
+        level = np.floor((self.values - np.repeat(low, n)) / np.repeat(np.maximum(1, (high - low + 1) / LEVELS), n))
+        dim = np.repeat(np.arange(dims), n)
+        self.start = np.flatnonzero(np.r_[True, (level[1:] != level[:-1]) | (dim[1:] != dim[:-1])])
+        self.end = np.r_[self.start[1:], n * dims]
+        self.dim = dim[self.start]
+        self.low, self.high = self.values[self.start], self.values[self.end - 1]
         self.first = np.flatnonzero(np.r_[True, self.dim[1:] != self.dim[:-1]])
-        self.members = np.array(members, np.float64)
-
-    def top_k(self, queries: np.ndarray, but: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-        """For each query the (score, id) of its k best rows but those named ``but``; ties to the smaller id.
-
-        All sums are of whole numbers below 2**53, so exact.
-        """
-        q = queries[:, self.dim].astype(np.float64)
-        most, least = np.maximum(q * self.low, q * self.high), np.minimum(q * self.low, q * self.high)
-        floor = np.minimum.reduceat(least, self.first, axis=1)
-        # impact of a segment: what it can add above the least of its dimension
-        turn = np.argsort(np.argsort(floor[:, self.dim] - most, axis=1, kind="stable"), axis=1, kind="stable")
-        other = self.ids[None, :] != but[:, None]
-        n, segments = len(self.ids), len(self.dim)
-        for part in (0.5, 0.75, 1.0):
-            seen = turn < part * segments
-            rest = np.maximum.reduceat(np.where(seen, -np.inf, most), self.first, axis=1)  # the most that unseen segments add
-            rest[np.isinf(rest)] = 0.0
-            upper = rest.sum(1)[:, None] + np.where(seen, most - rest[:, self.dim], 0.0) @ self.members
-            lower = floor.sum(1)[:, None] + np.where(seen, least - floor[:, self.dim], 0.0) @ self.members
-            if n <= k + 1:
-                alive = other
-                break
-            lower[~other] = -np.inf
-            bar = np.partition(lower, n - k, axis=1)[:, n - k]
-            alive = other & (upper >= bar[:, None])  # the proof: every other row stays below k lower bounds
-            if alive.sum() <= 64 * k * len(q):
+
+    def top_k(self, query: np.ndarray, but: int | None, k: int) -> list[tuple[int, int]]:
+        """The (score, id) of the ``k`` best rows but that at ``but``; ties to the smaller id. All sums are of whole numbers below 2**53, so exact."""
+        q, n = query.astype(np.float64), len(self.ids)
+        most = np.maximum(q[self.dim] * self.low, q[self.dim] * self.high)
+        floor = np.minimum.reduceat(np.minimum(q[self.dim] * self.low, q[self.dim] * self.high), self.first)
+        gain = most - floor[self.dim]  # the impact of a segment
+        best = np.maximum.reduceat(gain, self.first)
+        turn = np.argsort(-gain, kind="stable")
+        sizes = np.cumsum((self.end - self.start)[turn])
+        total, unseen = np.zeros(n), np.full(n, best.sum())  # above the floors; the most that unseen dimensions add
+        alive, done = np.arange(n), 0
+        for step in range(1, STEPS + 1):
+            upto = len(turn) if step == STEPS else int(np.searchsorted(sizes, n * len(q) * step / STEPS))
+            segments = turn[done:upto]
+            done = upto
+            if len(segments):
+                length = self.end[segments] - self.start[segments]
+                at = np.arange(length.sum()) + np.repeat(self.start[segments] - np.r_[0, np.cumsum(length)[:-1]], length)
+                rows, dims = self.rows[at], np.repeat(self.dim[segments], length)
+                total += np.bincount(rows, self.values[at] * q[dims] - floor[dims], n)
+                unseen -= np.bincount(rows, best[dims], n)
+            rest = np.zeros(len(q))
+            np.maximum.at(rest, self.dim[turn[done:]], gain[turn[done:]])
+            if n > k + 1:
+                lower = total.copy()
+                if but is not None:
+                    lower[but] = -1.0
+                bar = np.partition(lower, n - k)[n - k]
+                # the proof: every other row's upper bound stays below k lower bounds
+                alive = np.flatnonzero(total + np.minimum(unseen, rest.sum()) + 0.5 >= bar)
+            if len(alive) <= MEMBERS * k:
                 break
-        out = []
-        for mine, row in zip(queries.astype(np.float64), alive, strict=True):
-            at = np.flatnonzero(row)
-            score = self.vectors[at] @ mine
-            best = np.lexsort((self.ids[at], -score))[:k]
-            out.append([(int(score[b]), int(self.ids[at[b]])) for b in best])
-        return out
+        alive = alive[alive != but] if but is not None else alive
+        score = self.vectors[alive] @ q
+        at = np.lexsort((self.ids[alive], -score))[:k]
+        return [(int(score[i]), int(self.ids[alive[i]])) for i in at]
+
+
+def _whole(x: float, scale: int) -> int:
+    return math.floor(x * scale) if abs(x) < 2**52 else int(x) * scale
 
 
-def _search(k: int):
+def _search(k: int, scale: int):
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        rows = table.to_pandas()
-        for _, same in rows.groupby(rows["v"].map(len)):  # vectors of one length
-            cand, asks = same[~same["asks"]].sort_values("vec_id"), same[same["asks"]]
-            if len(cand) and len(asks):
-                index = ImpactIndex(cand["vec_id"].to_numpy(np.int64), np.stack(cand["v"].to_numpy()).astype(np.int64))
-                names, ask = asks["vec_id"].to_numpy(np.int64), np.stack(asks["v"].to_numpy()).astype(np.int64)
-                for lo in range(0, len(names), 128):
-                    found = index.top_k(ask[lo : lo + 128], names[lo : lo + 128], k)
-                    out += [(int(query), i, s) for query, best in zip(names[lo : lo + 128], found, strict=True) for s, i in best]
-        return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
+        out: list[tuple[int, int, int, int]] = []
+        frame = table.to_pandas()
+        for size, same in frame.groupby(frame["v"].map(len)):  # vectors of one length
+            x = np.stack(same["v"].to_numpy()).astype(np.float64)
+            ids, rows, asks = same["vec_id"].to_numpy(np.int64), same["row"].to_numpy(np.int64), same["asks"].to_numpy(bool)
+            # vectors whose products stay below 2**53 whatever they meet; the others are scored in whole numbers of any size
+            tame = np.abs(x).max(1) * scale + 1 < math.sqrt(2**52 / size)
+            cand = np.flatnonzero(~asks & tame)
+            cand = cand[np.argsort(ids[cand], kind="stable")]
+            wild = [(int(ids[i]), int(rows[i]), [_whole(c, scale) for c in x[i].tolist()]) for i in np.flatnonzero(~asks & ~tame)]
+            index = ImpactIndex(ids[cand], np.floor(x[cand] * scale)) if len(cand) else None
+            at = {int(r): j for j, r in enumerate(rows[cand])}
+            for i in np.flatnonzero(asks):
+                found: list[tuple[int, int]] = []
+                if not tame[i]:
+                    q = [_whole(c, scale) for c in x[i].tolist()]
+                    found = [(sum(a * int(b) for a, b in zip(q, v, strict=True)), int(ids[j])) for j, v in zip(cand, np.floor(x[cand] * scale), strict=True) if rows[j] != rows[i]]
+                elif index is not None:
+                    found = index.top_k(np.floor(x[i] * scale), at.get(int(rows[i])), k)
+                if wild:
+                    q = [_whole(c, scale) for c in x[i].tolist()]
+                    found += [(sum(a * b for a, b in zip(q, v, strict=True)), name) for name, row, v in wild if row != rows[i]]
+                found = sorted(((max(-_LONG - 1, min(_LONG, s)), name) for s, name in found), key=lambda f: (-f[0], f[1]))
+                out += [(int(rows[i]), int(ids[i]), name, s) for s, name in found[:k]]
+        return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("row", "query_id", "vec_id", "score"))})
 
     return run
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v) with each component as ``floor(scale * x)``; vectors null, empty or holding null or non-finite components take no part."""
+def searchable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v) with components as doubles; vectors null, empty or holding null or non-finite components take no part, nor do null ids."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.coalesce(bad, F.lit(False))).select(
-        "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v")
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")
     )
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """The ``k`` best rows for every vector whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
-    A row is no candidate of its own id; rows that repeat an id are all candidates and all queries of
-    it give one answer. Vectors of different lengths do not meet. Ties go to the smaller vec_id. Fewer
-    rows than ``k`` give all of them; an empty table none.
+    A component x counts as ``floor(scale * x)``. A row is no candidate of its own; rows that repeat an id are candidates of
+    each other, and each is a query with an answer under that id. Vectors of different lengths do not meet. Ties go to the smaller
+    vec_id. Fewer rows than ``k`` give all of them; an empty table none. Scores beyond a long become its limit, and rank so.
+    Other columns are not read.
     """
-    v = quantised(vectors, scale)
-    n = v.count()
-    blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-n // every // CHUNK))
-    put = v.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int"))
-    deal = put.select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"))
-    asked = v.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(chunks)).cast("int"))
-    asks = asked.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "chunk", F.lit(True).alias("asks"))
-    near = deal.union(asks.select(deal.columns)).groupBy("block", "chunk").applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    v = materialize(searchable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    n, longest = v.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n // max(1, min(BLOCK, BLOCK_CELLS // (longest or 1)))))
+    chunks = max(1, -(-n // every // CHUNK))
+    put = v.withColumn("block", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(blocks)).cast("int"))
+    deal = put.select("vec_id", "row", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"))
+    asked = v.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(chunks)).cast("int"))
+    asks = asked.select("vec_id", "row", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "chunk", F.lit(True).alias("asks"))
+    near = deal.union(asks.select(deal.columns)).groupBy("block", "chunk").applyInArrow(_search(k, scale), "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -388,6 +388,33 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert {r.vec_id for r in topk.top_k(df.where("vec_id < 3"), 5, 10).collect()} == {1, 2}
 
 
+@pytest.mark.parametrize("huge", [1e4, 1e9, 1e20, 3e38])
+def test_topk_of_repeated_ids_and_huge_values(spark, huge):
+    """Each row with an id is a query and leaves out itself only; large components are whole numbers of any size."""
+    rng = random.Random(9)
+    rows = [(i % 40, [rng.uniform(-1, 1) * (huge if i % 7 == 0 else 1) for _ in range(4)]) for i in range(90)] + [(None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e in rows[:90]]
+    want = []
+    for k, (q, e) in enumerate(v):
+        if q % 10 == 0:
+            top = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(e, f)))), i) for j, (i, f) in enumerate(v) if j != k)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(top)]
+    assert sorted(tuple(r) for r in topk.top_k(df, 5, 10).collect()) == sorted(want)
+
+
+def test_topk_stops_on_proof_only():
+    """Few queries read all postings where a few rows stand out, and the answer is the same."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-40, 40, (500, 8))
+    v[:7] *= 20
+    index = topk.ImpactIndex(np.arange(500), v)
+    for i in range(0, 500, 25):
+        score = v @ v[i]
+        want = sorted((-int(score[j]), j) for j in range(500) if j != i)[:5]
+        assert index.top_k(v[i], i, 5) == [(-s, j) for s, j in want]
+
+
 # ---- 7 --------------------------------------------------------------------------------------
 
 
@@ -508,6 +535,31 @@ def test_every_row_is_taken_as_planned(spark, block):
         assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, out), key=repr)
 
 
+def test_targets_of_ties(spark):
+    """Sources of equal cap over weight, of one size, and of none."""
+    rng = random.Random(12)
+    for sizes, weights in [({"a": 300, "b": 100}, (3, 1)), ({"a": 0, None: 0}, (3, 1, 2)), *[({c: rng.choice((0, 60, 120, 180, 360)) for c in "abcdefgh"[: rng.randrange(1, 9)]}, (3, 1, 2)) for _ in range(8)]]:
+        df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+        got = {r.source: r.target for r in mixing.source_targets(df, weights, 1.5, 2.0).collect()}
+        assert got == pytest.approx(brute_targets(sizes, weights, 1.5, 2.0))
+
+
+def test_mixing_query(spark):
+    rows = llm_queries.op10_mixing(spark, DATA)
+    assert rows.columns[:5] == ["doc_id", "source", "size", "source_size", "target"] and dict(rows.dtypes)["taken"] == "bigint"
+    per, taken, largest = Counter(), Counter(), Counter()
+    table = {r.doc_id: (r.source, len((r.text or "").encode().split())) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for source, n in table.values():
+        per[source] += n
+    want, got = brute_targets(per, (3, 1, 2), 1.5, 2.0), rows.collect()
+    assert len(got) == len(table)
+    for r in got:
+        assert (r.source, r.size) == table[r.doc_id] and r.source_size == per[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in want)
+
+
 def test_pivotal_keeps_the_total_and_expectations():
     units = [(i, 1 + i % 5, 0.3) for i in range(40)]
     counts = Counter()
