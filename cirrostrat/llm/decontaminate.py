@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.llm.text import in_small_batches, slices
+from cirrostrat.runtime import materialize
 
-#: Words of one automaton (about 1 kB each in a worker); longer benchmarks use several, one after the other.
+#: Words of one automaton (about 1 kB each in a worker); longer benchmarks use several, one job after the other.
 SHARD_WORDS = 200_000
 
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -146,21 +147,41 @@ def _merge(a: list[int], b: list[tuple[int, int]]) -> list[int]:
     return [x for s in out for x in s]
 
 
+def _sorted_items(names: set[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda n: (n is None, n or ""))
+
+
+def _hits(shared):
+    """The texts that one automaton hits: their keys, spans and items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in slices(batches):
+            found = [automaton.scan(words_of(text)) for text in batch.column("text").to_pylist()]
+            spans = pa.array([[x for span in s for x in span] for s, _ in found], pa.list_(pa.int64()))
+            items = pa.array([_sorted_items(names) for _, names in found], pa.list_(pa.string()))
+            out = pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), spans, items], names=["_k1", "_k2", "spans", "items"])
+            yield out.filter(pa.array([bool(s) for s, _ in found]))
+
+    return run
+
+
 def _scanner(shared, first: bool, most: float | None = None):
-    """Add the hits of one automaton; with ``most``, cut them out and leave out documents of which more is hit."""
+    """Add the hits of the last automaton to those of earlier ones; with ``most``, cut them out and leave out documents of which more is hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in slices(batches):
             spans, items, counts = [], [], []
-            old = None if first else batch.column("spans").to_pylist()
-            was = None if first else batch.column("items").to_pylist()
+            n = batch.num_rows
+            old = [None] * n if first else batch.column("spans").to_pylist()
+            was = [None] * n if first else batch.column("items").to_pylist()
             for k, text in enumerate(batch.column("text").to_pylist()):
                 words = words_of(text)
                 s, found = automaton.scan(words)
                 counts.append(len(words))
-                spans.append(_merge([] if first else old[k], s))
-                items.append(sorted(found if first else found | set(was[k]), key=lambda n: (n is None, n or "")))
+                spans.append(_merge(old[k] or [], s))
+                items.append(_sorted_items(found.union(was[k] or ())))
             names = [c for c in batch.schema.names if c not in ("n_words", "spans", "items")]
             if most is None:
                 yield pa.RecordBatch.from_arrays(
@@ -196,22 +217,36 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most: flo
     like any other and are named by one null, the last of ``items``. Other columns pass
     through, but for any of the three names, which are replaced. With ``most``, the spans are cut out of
     the texts instead, and documents of which a larger share of the words is hit are left out. Items are cut into shards of
-    ``SHARD_WORDS``; documents pass one automaton after the other, so a worker's memory stays bounded.
+    ``SHARD_WORDS`` (an item with more is one of its own). Each but the last has a job to itself, whose hits are stored, and its automaton is
+    released before the next is built, so the memory of driver and workers does not grow with the benchmark.
     """
     spark = docs.sparkSession
-    out = in_small_batches(docs).drop("n_words", "spans", "items")
+    out = in_small_batches(docs).drop("n_words", "spans", "items", "_k1", "_k2")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    hits = f"{schema}, n_words long, spans array<long>, items array<string>"
-    shards, first = _shards(items), True
+    shards, earlier = _shards(items), None
     shard = next(shards)
-    while shard is not None:
-        automaton = SuffixAutomaton(shard, window)
-        automaton.hits = {at: {n for n, _ in names} for at, names in automaton.hits.items()}
-        shard = next(shards, None)
-        finish = most if shard is None else None
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(automaton), first, finish), hits if finish is None else schema)
-        first = False
-    return out
+    while (following := next(shards, None)) is not None:
+        shared = spark.sparkContext.broadcast(_automaton(shard, window))
+        hits = materialize(_keyed(out.select("text")).mapInArrow(_hits(shared), "_k1 long, _k2 long, spans array<long>, items array<string>"), "hits")
+        shared.destroy()
+        earlier = hits if earlier is None else earlier.union(hits)
+        shard = following
+    if earlier is not None:
+        both = earlier.distinct().groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        out = _keyed(out).join(both, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    last = spark.sparkContext.broadcast(_automaton(shard, window))
+    return out.mapInArrow(_scanner(last, earlier is None, most), f"{schema}, n_words long, spans array<long>, items array<string>" if most is None else schema)
+
+
+def _automaton(shard: dict[tuple[str | None, int], list[bytes]], window: int) -> SuffixAutomaton:
+    automaton = SuffixAutomaton(shard, window)
+    automaton.hits = {at: {n for n, _ in names} for at, names in automaton.hits.items()}
+    return automaton
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Two hashes of the text: what is hit depends on nothing else."""
+    return docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), "text")})
 
 
 def hit_counts(found: DataFrame) -> DataFrame:
