@@ -43,6 +43,9 @@ _CUT_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs "
     "pagination pager footer masthead share sharing social related recommended recommendations widget toolbar skip tags outbrain taboola feedback discussion".split()
 )
+#: Of these, words that also name parts of articles: there they cut only with a second word, or where links or form controls agree.
+_WEAK_WORDS = frozenset("discussion side tags related feedback respond reply replies rail skip recommended promotion signup login pager masthead widget".split())
+_CONTROLS = frozenset("form input button select textarea".split())
 _GOOD_WORDS = frozenset("article body content entry main post story text page hentry".split())
 #: A start tag of the first kind ends an open one of the second.
 _CLOSES = {
@@ -132,12 +135,18 @@ def _is_cut(node: Node, within: bool) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
-    for k, w in enumerate(node.words):
-        if w in _CUT_WORDS and (k == 0 or node.words[k - 1] not in ("no", "has", "with", "without")) and not (tag == "article" and w not in ("comment", "comments", "related", "reply", "ad", "promo", "sponsored")):
-            return True
-        if w == "header" and not within:
-            return True
-    return False
+    named = {w for k, w in enumerate(node.words) if w in _CUT_WORDS and (k == 0 or node.words[k - 1] not in ("no", "has", "with", "without"))}
+    if tag == "article":
+        named &= {"comment", "comments", "related", "reply", "ad", "promo", "sponsored"}
+    if within and len(named) == 1 and named <= _WEAK_WORDS and not _is_beside(node):
+        named = set()
+    return bool(named) or ("header" in node.words and not within)
+
+
+def _is_beside(node: Node) -> bool:
+    """Whether a part of an article reads like none of its text: it is half links, or holds form controls."""
+    total, links, _ = _measure(node)
+    return links > 0.5 * total or any(n.tag in _CONTROLS for n in _walk(node))
 
 
 def prune(node: Node, within: bool = False) -> None:
@@ -254,8 +263,32 @@ def _is_menu(node: Node) -> bool:
     return bool(total) and links > 0.9 * total and sum(1 for k in node.kids if not isinstance(k, str)) > 2
 
 
-def blocks(node: Node, out: list[str], line: list[str]) -> None:
-    """Append the text of each block; inline text gathers in ``line``."""
+def _in_article(node: Node | None) -> bool:
+    while node is not None:
+        if node.tag in ("article", "main") or node.attrs.get("role") in ("main", "article") or node.attrs.get("itemprop") == "articleBody":
+            return True
+        node = node.parent
+    return False
+
+
+def _introduced(node: Node) -> bool:
+    """Whether a heading, or a block that ends in a colon, stands right before."""
+    before = None
+    for k in node.parent.kids if node.parent else ():
+        if k is node:
+            break
+        if not (isinstance(k, str) and not k.strip()):
+            before = k
+    if before is None:
+        return False
+    if isinstance(before, str):
+        return before.rstrip().endswith(":")
+    text = "".join(k for n in _walk(before) for k in n.kids if isinstance(k, str)).rstrip()
+    return before.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or text.endswith(":")
+
+
+def blocks(node: Node, out: list[str], line: list[str], article: bool = False) -> None:
+    """Append the text of each block; inline text gathers in ``line``. Lists of links are menus unless they stand in an ``article`` or are introduced."""
     own = node.tag in _BLOCK
     if own:
         _flush(out, line)
@@ -264,8 +297,8 @@ def blocks(node: Node, out: list[str], line: list[str]) -> None:
             line.append(k)
         elif k.tag == "br":
             line.append(" ")
-        elif not _is_menu(k):
-            blocks(k, out, line)
+        elif article or not _is_menu(k) or _introduced(k):
+            blocks(k, out, line, article)
     if own:
         _flush(out, line)
 
@@ -286,7 +319,7 @@ def main_text(page: str | None) -> str:
     out: list[str] = []
     line: list[str] = []
     for node in with_siblings(best_container(root)):
-        blocks(node, out, line)
+        blocks(node, out, line, _in_article(node))
         _flush(out, line)
     return "\n".join(out)
 

@@ -86,6 +86,32 @@ def test_raw_elements_are_still_cut(raw):
     assert html_extract.main_text(f"<article><p>a first paragraph</p>{raw}<p>and the second one</p></article>").split("\n") == ["a first paragraph", "and the second one"]
 
 
+@pytest.mark.parametrize(
+    ("part", "kept"),
+    [
+        ("<h2>References</h2><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul>", ["References", "One", "Two", "Three"]),
+        ("<div class=discussion><p>The discussion of these results, which goes on.</p></div>", ["The discussion of these results, which goes on."]),
+        ("<div class=side><p>The other side of it, told at length.</p></div>", ["The other side of it, told at length."]),
+        ("<div class=discussion><form><input></form><p>Say something, please.</p></div>", []), ("<div class='related tags'><p>More, of this.</p></div>", []),
+        ("<div class=related><a href=1>More of it</a> <a href=2>and more</a></div>", []), ("<div class=comments><p>I, think, so.</p></div>", []), ("<div class=notice><p>This, is, a notice.</p></div>", []),
+    ],
+)
+def test_parts_of_an_article_go_on_evidence_only(part, kept):
+    page = f"<nav><a href=1>Home</a></nav><article><p>A first paragraph, which is long enough to be one.</p>{part}<p>The last one.</p></article>"
+    assert html_extract.main_text(page).split("\n") == ["A first paragraph, which is long enough to be one.", *kept, "The last one."]
+
+
+def test_menus_outside_articles_go():
+    menu = "<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About</a></ul>"
+    page = f"<div class=content>{menu}<p>Some text, which is long enough, with commas, to be the main one.</p><p>More of it, and more.</p></div>"
+    assert html_extract.main_text(page).split("\n") == ["Some text, which is long enough, with commas, to be the main one.", "More of it, and more."]
+
+
+def test_no_pages(spark):
+    out = html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string, text int"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == 0
+
+
 def test_deep_and_long_pages():
     assert html_extract.main_text("<div>" * 5000 + "<p>deep, deep down in the page it is</p>" + "</div>" * 5000) == "deep, deep down in the page it is"
     long = "<article>" + "".join(f"<p>par {i}, and more</p>" for i in range(20000)) + "</article>"
