@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.llm.text import in_small_batches, mix, slices
+from cirrostrat.runtime import discard, materialize
 
-#: The most labelled texts of either class that training takes, and the most characters of one of them.
-SAMPLE, SAMPLE_CHARS = 4000, 100_000
+#: The most labelled texts of either class that training takes.
+SAMPLE = 4000
 BUCKETS, DIM, STRETCH = 1 << 20, 8, 128
-#: Stretches of one text in training.
-STRETCHES = 8
+#: Stretches of one text in training, and the most characters of one of them (longer words than these hold are junk; scoring takes texts whole).
+STRETCHES, STRETCH_CHARS = 8, 4000
 #: A stretch counts as this many words at least, so that no single word decides.
 LEAST_WORDS = 32
 #: Every so many-th text of the sample sets the threshold and does not train.
@@ -117,33 +118,23 @@ def _word_vectors(bags: _Bags, words: np.ndarray, table: np.ndarray) -> tuple[np
     return np.add.reduceat(table[grams], start, axis=0) / count[:, None], grams, count, start
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
-    """Fit on labelled texts; returns the log-odds that each bucket adds to a word, and the bias.
+def train(texts: list[list[str]], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
+    """Fit on the stretches of labelled texts; returns the log-odds that each bucket adds to a word, and the bias.
 
-    The first third of the rounds takes all stretches (up to ``STRETCHES`` of a text, drawn at random), later ones of
+    The first third of the rounds takes all stretches, later ones of
     each text the one that the model finds worst so far, as scoring does.
     """
-    rng = np.random.default_rng(seed)
     bags, owner, label = _Bags(), [], []
-    for k, (text, y) in enumerate(zip(texts, labels, strict=True)):
-        own = stretches(words_of(text))
-        for i in rng.permutation(len(own))[:STRETCHES]:
-            bags.add(own[i])
+    for k, (own, y) in enumerate(zip(texts, labels, strict=True)):
+        for stretch in own:
+            bags.add(words_of(stretch))
             owner.append(k)
             label.append(y)
     if len(set(label)) < 2:
         return np.zeros(BUCKETS, np.float32), 4.0 if label and label[0] else -4.0
     bags.close()
-    label, owner, y = np.array(label), np.array(owner), np.array(labels)
-    # the bias is set by what clean and toxic texts that did not train reach in their worst stretch
-    model = _fit(bags, label, owner, owner % HELD != 0, seed, max(6, STEPS * BATCH // len(texts)))
-    held = np.flatnonzero(owner % HELD == 0)
-    worst, seen = np.full(len(texts), -np.inf), np.zeros(len(texts), bool)
-    np.maximum.at(worst, owner[held], _margins(bags, *model, held))
-    seen[owner[held]] = True
-    table, out, bias = model
-    cut, scale = _threshold(worst[seen], y[seen]) if len(set(y[seen])) == 2 else (0.0, 1.0)
-    return ((table @ (out[:, 1] - out[:, 0])) * scale).astype(np.float32), float((bias[1] - bias[0] - cut) * scale)
+    table, out, bias = _fit(bags, np.array(label), np.array(owner), np.ones(len(label), bool), seed, max(6, STEPS * BATCH // len(texts)))
+    return (table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
 def _fit(bags: _Bags, label: np.ndarray, owner: np.ndarray, learns: np.ndarray, seed: int, epochs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +211,7 @@ class Scorer:
     def __init__(self, log_odds: np.ndarray, bias: float, most: int = 200_000):
         self.log_odds, self.bias, self.most, self.known = log_odds, bias, most, {}
 
-    def scores(self, texts: list[str | None]) -> list[float]:
+    def margins(self, texts: list[str | None]) -> list[float]:
         split = [words_of(t) for t in texts]
         new = list(set().union(*split).difference(self.known))
         if len(self.known) + len(new) > self.most:
@@ -231,7 +222,7 @@ class Scorer:
             gram, count = subwords(part)
             means = np.add.reduceat(self.log_odds[gram], np.r_[0, np.cumsum(count)[:-1]]) / count
             self.known.update(zip(part, means.tolist(), strict=True))
-        return [_sigmoid((max(self._stretch(w[i : i + STRETCH]) for i in stretch_starts(len(w))) if w else 0.0) + self.bias) for w in split]
+        return [(max(self._stretch(w[i : i + STRETCH]) for i in stretch_starts(len(w))) if w else 0.0) + self.bias for w in split]
 
     def _stretch(self, words: list[str]) -> float:
         return math.fsum(map(self.known.__getitem__, set(words))) / max(len(words), LEAST_WORDS)
@@ -241,38 +232,73 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else (e := math.exp(x)) / (1 + e)
 
 
-def _score(model):
+def _score(model, margins: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for batch in slices(batches):
-            scores = scorer.scores(batch.column("text").to_pylist())
+            scores = scorer.margins(batch.column("text").to_pylist())
+            if not margins:
+                scores = [_sigmoid(m) for m in scores]
             names = [n for n in batch.schema.names if n != "score"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], names=[*names, "score"])
 
     return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(doc_id, text, y) of up to ``most`` rows of either class, drawn by the hash of the id; texts above ``chars`` do not train."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+def labelled_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, y) of up to ``most`` ids of either class, drawn by their hashes; an id that is labelled both 0 and 1 counts as 1."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     ids = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(most)
         ids = part if ids is None else ids.union(part)
-    # at most twice ``most`` ids, so the broadcast is bounded
-    return docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text")
+    return ids
+
+
+def _drawn_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Up to ``STRETCHES`` stretches of each text, drawn by the hash of the text."""
+    for batch in slices(batches):
+        out = []
+        for text in batch.column("text").to_pylist():
+            own = stretches(words_of(text))
+            seed = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))
+            out.append([" ".join(own[i])[:STRETCH_CHARS] for i in np.random.default_rng(seed).permutation(len(own))[:STRETCHES]])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "y", "stretches"])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple[np.ndarray, float]:
+    """The trained model, with its bias where the fewest labelled texts that did not train are judged wrongly.
+
+    Tasks cut the sample into stretches, so the driver gets ``2 * sample * STRETCHES`` of these at most, however long the texts are.
+    The texts that set the bias are scored whole in tasks, by all their stretches, as any other text; one number of each comes back.
+    """
+    # at most twice ``sample`` ids, so the broadcast is bounded
+    rows = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(labelled_ids(labels, label, sample)), "doc_id")
+    rows = materialize(rows.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(HELD)) == 0), "labelled")
+    drawn = rows.where("not held").select("doc_id", "text", "y").mapInArrow(_drawn_stretches, "doc_id long, y int, stretches array<string>")
+    learns = drawn.orderBy("doc_id", "stretches").toArrow()
+    table, bias = train(learns.column("stretches").to_pylist(), learns.column("y").to_pylist())
+    model = docs.sparkSession.sparkContext.broadcast((table, bias))
+    seen = rows.where("held").select("doc_id", "text", "y").mapInArrow(_score(model, margins=True), "doc_id long, text string, y int, score double")
+    seen = seen.select("score", "y").orderBy("score", "y").toArrow()
+    model.destroy()
+    discard(rows)
+    x, y = seen.column("score").to_numpy(), seen.column("y").to_numpy()
+    if not table.any() or len(set(y.tolist())) < 2:
+        return table, bias
+    cut, scale = _threshold(x, y)
+    return table * np.float32(scale), (bias - cut) * scale
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """``docs`` (with a ``text``) plus ``score``, the probability of label 1.
 
     ``labels``: doc_id and 0/1 labels of the rows to learn from, of which up to ``sample`` of either
-    class train; null labels are left out. Null and empty texts score as a text of no words. Other
+    class train; null labels are left out, and an id with both labels counts as 1. Null and empty texts score as a text of no words. Other
     columns pass through; a ``score`` that exists is replaced. Without labels of both classes every
     text has one score.
     """
-    rows = labelled_sample(docs, labels, label, sample).select("text", "y").toArrow()
-    model = docs.sparkSession.sparkContext.broadcast(train(rows.column("text").to_pylist(), rows.column("y").to_pylist()))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, label, sample))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "score")
     return in_small_batches(docs).mapInArrow(_score(model), f"{schema}, score double")
 
