@@ -142,11 +142,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", s
     """``docs`` (with a ``text``) plus ``score``, the probability of label 1.
 
     ``labels``: doc_id and 0/1 labels of the rows to learn from, of which up to ``sample`` of either
-    class train; null labels are left out. Null and empty texts have zero statistics and the score
+    class train; null labels are left out, and an id with both labels counts as 0. Null and empty texts have zero statistics and the score
     that these get. Other columns pass through; ``stats`` is used inside, and a ``score`` that exists
     is replaced. Without labels of both classes every text has one score.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
     ids = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample)
