@@ -1,7 +1,7 @@
 """URL filtering by association rules (DataFrame and SQL functions only).
 
-FP-growth mines combinations of URL tokens from labelled URLs. Rules that lead to the blocked
-label and pass the support, confidence and lift limits are matched by an inverted index: each
+FP-growth mines combinations of URL tokens from a part of the labelled URLs. Rules that lead to the blocked
+label and pass the support, confidence and lift limits there, and the confidence limit on the rest too, are matched by an inverted index: each
 rule stands under its rarest token, URLs look up their tokens there, and a hit counts when the
 URL holds every token of the rule. Given host and path rules come first, the longest one.
 """
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cirrostrat.runtime import materialize
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLOCK = "label=block"
 
@@ -38,27 +40,62 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(F.when(F.size(labels) > 0, suffixes).otherwise(F.array().cast("array<string>")), words, names))
 
 
-def mine_rules(labelled: DataFrame, support: float = 0.01, confidence: float = 0.5, lift: float = 1.2) -> DataFrame:
-    """(tokens, confidence) of the rules that lead from URL tokens to ``blocked`` (labelled: url, blocked boolean)."""
+def _distinct_tokens(baskets: DataFrame) -> DataFrame:
+    """``baskets`` (items) without host suffixes that say what a longer one says: those found in the very same baskets as it."""
+    keyed = baskets.withColumn("_b", F.monotonically_increasing_id())
+    token = keyed.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    hosts = token.where(F.startswith("token", F.lit("host:")))
+    up = hosts.select(F.concat(F.lit("host:"), F.regexp_extract("token", r"^host:[^.]*\.(.*)$", 1)).alias("token"), "n")
+    same = hosts.join(up, ["token", "n"], "left_semi").select("token").distinct()
+    kept = keyed.select("_b", F.explode("items").alias("token")).join(same, "token", "left_anti")
+    return kept.groupBy("_b").agg(F.collect_list("token").alias("items")).select("items")
+
+
+def mine_rules(labelled: DataFrame, support: float = 0.01, confidence: float = 0.5, lift: float = 1.2, implied: bool = True) -> DataFrame:
+    """(tokens, confidence) of the rules that lead from URL tokens to ``blocked`` (labelled: url, blocked boolean).
+
+    Without ``implied``, a host suffix found in the same URLs as a longer one is left out, so that nested suffixes do not double the itemsets.
+    """
     baskets = labelled.where("url is not null and blocked is not null").select(
         F.concat(url_tokens(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(_BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")
     )
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets.where(F.size("items") > 0))
+    baskets = baskets.where(F.size("items") > 0)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets if implied else _distinct_tokens(baskets))
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == _BLOCK) & (F.col("lift") >= lift))
     return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence")
 
 
-def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct urls of ``urls`` that hold all the tokens of some rule, found through each rule's rarest token."""
+def held_rules(labelled: DataFrame, confidence: float = 0.5, held: int = 4, **limits: float) -> DataFrame:
+    """(tokens, confidence) of rules mined from the labelled URLs but every ``held``-th (by hash), whose confidence on those surely reaches the limit too.
+
+    Surely: at the lower end of the score interval of two standard errors, so that no rule passes on a few URLs (four at least, at the limit of a half).
+    The confidence is that on the held URLs.
+    """
+    known = labelled.where("url is not null and blocked is not null").withColumn("_held", F.pmod(F.xxhash64("url", F.lit(29)), F.lit(held)) == 0)
+    rules = materialize(mine_rules(known.where("not _held"), confidence=confidence, implied=False, **limits), "rules")
+    seen = known.where("_held")
+    found = rule_matches(seen, rules).join(seen.select("url", "blocked"), "url").groupBy("needs").agg(F.avg(F.col("blocked").cast("int")).alias("confidence"), F.count("*").alias("n"))
+    p, n = F.col("confidence"), F.col("n")
+    low = (p + 2 / n - 2 * F.sqrt(p * (1 - p) / n + 1 / (n * n))) / (1 + 4 / n)
+    return found.where(low >= confidence - 1e-9).select(F.col("needs").alias("tokens"), "confidence")
+
+
+def rule_matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, needs) of the distinct urls that hold all the tokens that some rule needs, found through each rule's rarest token."""
     tokens = urls.where("url is not null").select("url").distinct().withColumn("tokens", url_tokens(F.col("url")))
     posted = tokens.select("url", F.explode("tokens").alias("token"))
-    of_rules = rules.select(F.monotonically_increasing_id().alias("rule"), "tokens", F.explode("tokens").alias("token"))
+    of_rules = rules.select("tokens", F.explode("tokens").alias("token"))
     wanted = of_rules.select("token").distinct()
     counts = posted.join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("tokens").orderBy(F.coalesce("n", F.lit(0)), "token")
     index = of_rules.join(counts, "token", "left").withColumn("k", F.row_number().over(rarest)).where("k = 1").select("token", F.col("tokens").alias("needs"))
     hits = tokens.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return hits.where(F.size(F.array_except("needs", "tokens")) == 0).select("url").distinct()
+    return hits.where(F.size(F.array_except("needs", "tokens")) == 0).select("url", "needs")
+
+
+def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The distinct urls of ``urls`` that some rule fits."""
+    return rule_matches(urls, rules).select("url").distinct()
 
 
 def judge(pages: DataFrame, given: Sequence[tuple[str, str, str]], labelled: DataFrame, **limits: float) -> DataFrame:
@@ -70,7 +107,7 @@ def judge(pages: DataFrame, given: Sequence[tuple[str, str, str]], labelled: Dat
     which fits no rule, and are allowed. URLs that repeat are matched once. Columns of ``pages`` named like the four new ones are replaced.
     """
     host, path = host_and_path(F.col("url"))
-    verdicts = blocked_urls(pages, mine_rules(labelled, **limits)).select(F.col("url").alias("_u"), F.lit(True).alias("_b"))
+    verdicts = blocked_urls(pages, materialize(held_rules(labelled, **limits), "rules")).select(F.col("url").alias("_u"), F.lit(True).alias("_b"))
     plain = pages.drop("host", "path", "rule", "verdict", "_u", "_b").withColumns({"host": host, "path": path})
     rule, said = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, verdict in sorted(given, key=lambda g: len(g[0]) + len(g[1])):

@@ -505,6 +505,19 @@ def test_mined_rules_equal_counts(spark):
     assert got == want
 
 
+def test_rules_must_hold_on_held_urls(spark):
+    """Labels that follow no token leave no rule; those that follow a host do, and nested suffixes count once."""
+    rng = random.Random(3)
+    rows = [(f"http://h{rng.randrange(12)}.site.io/p{rng.choice('abc')}/{i}", rng.random() < 0.3) for i in range(300)]
+    noise = spark.createDataFrame(rows, "url string, blocked boolean")
+    assert url_rules.held_rules(noise).isEmpty() and url_rules.held_rules(noise.where("false")).isEmpty()
+    both = noise.union(spark.createDataFrame([(f"http://a.spam.example/x/{i}", True) for i in range(60)] + [(None, True), ("http://b.io/", None)], "url string, blocked boolean"))
+    rules = {tuple(r.tokens) for r in url_rules.held_rules(both).collect()}
+    assert ("host:a.spam.example",) in rules and not any(t == "host:example" for r in rules for t in r)
+    hit = {r.url for r in url_rules.blocked_urls(both, url_rules.held_rules(both)).collect()}
+    assert hit == {f"http://a.spam.example/x/{i}" for i in range(60)}
+
+
 # ---- 10 -------------------------------------------------------------------------------------
 
 
