@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
 
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cirrostrat.llm import decontaminate, html_extract, mixing, quality_rules, suffix_dedup, token_counts, topk, toxicity, url_rules
@@ -31,9 +32,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
-def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    """The digest columns; as registered below, with the kept texts after them."""
     spans = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"), least=400, keep_first=False)
-    return suffix_dedup.removal_digest(spans, texts=True)
+    return suffix_dedup.removal_digest(spans, texts)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return found | {"op2_suffix_array_dedup": partial(op2_suffix_array_dedup, texts=True)}
 
 
 def oracle_sql() -> dict[str, str]:

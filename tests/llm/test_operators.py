@@ -621,3 +621,14 @@ def test_repeated_strings_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = {r.doc_id: tuple(r)[1:] for r in llm_queries.op2_suffix_array_dedup(spark, DATA).collect()}
     assert got == brute_spans(rows, 400, False)
+
+
+def test_registered_repeated_strings_query(spark):
+    """As registered: the digest, and the texts that it is the digest of, but for characters cut in two."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = llm_queries.queries()["op2_suffix_array_dedup"](spark, DATA)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = got.collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in got} == brute_spans(rows, 400, False)
+    whole = [r for r in got if len((r.text or "").encode()) == r.n_bytes - r.n_removed]
+    assert len(whole) > 0.9 * len(got) and all(hashlib.sha256((r.text or "").encode()).hexdigest() == r.kept_sha256 for r in whole)
