@@ -126,18 +126,26 @@ def dense(lc: DataFrame, columns: Sequence[str]) -> DataFrame:
     return every.join(have, ["label", "ts"], "left").select("label", "ts", *[F.coalesce(F.col(c).cast("double"), F.lit(float(MISSING))).alias(c) for c in columns])
 
 
-def online_tracks(pixels: DataFrame, grid: DataFrame, threshold: float = 235) -> DataFrame:
-    """The incremental tracker's summary: centres rounded to even cells, systems seen once dropped, great-circle distances."""
+def online_places(pixels: DataFrame, grid: DataFrame, threshold: float = 235) -> DataFrame:
+    """The incremental tracker's rows of (label, ts): centres rounded to even cells, coldest temperature, cold surface."""
     per = pixels.groupBy("label", "ts").agg(
         F.rint(F.avg("y")).cast("int").alias("cy"), F.rint(F.avg("x")).cast("int").alias("cx"), F.min("bt").alias("tbmin"),
         F.coalesce(F.sum(F.when(F.col("bt") <= threshold, F.col("area").cast("double"))), F.lit(0.0)).alias("km2"),
     )
-    return finish_tracks(at_cells(per, grid, "cy", "cx"))
+    return at_cells(per, grid, "cy", "cx")
+
+
+def online_tracks(pixels: DataFrame, grid: DataFrame, threshold: float = 235) -> DataFrame:
+    """The incremental tracker's summary: systems seen once dropped, great-circle distances."""
+    return finish_tracks(online_places(pixels, grid, threshold))
 
 
 def finish_tracks(per: DataFrame) -> DataFrame:
     """Summaries of (label, ts, lat, lon, tbmin, km2) rows, one row per system seen at two times or more."""
     d = per.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("ts", "lat", "lon")).alias("a"), F.max(F.struct("ts", "lat", "lon")).alias("z"), F.min("tbmin").alias("tb_min"), F.max("km2").alias("surfmax"), F.sum("km2").alias("surfcum")).where("n >= 2")
-    seconds = epoch_seconds(F.col("z.ts")) - epoch_seconds(F.col("a.ts"))
+    first, last = epoch_seconds(F.col("a.ts")), epoch_seconds(F.col("z.ts"))
     km = great_circle_km(F.col("a.lat"), F.col("a.lon"), F.col("z.lat"), F.col("z.lon"))
-    return d.select("label", "n", (seconds / 3600).alias("duration_hours"), "tb_min", "surfmax", "surfcum", km.alias("distance_km"), F.try_divide(km * 1000, seconds).alias("velocity_ms"))
+    return d.select(
+        "label", "n", ((last - first) / 3600).alias("duration_hours"), "tb_min", "surfmax", "surfcum", km.alias("distance_km"), F.try_divide(km * 1000, last - first).alias("velocity_ms"),
+        first.alias("utc_init"), last.alias("utc_end"), F.col("a.lat").alias("lat_init"), F.col("a.lon").alias("lon_init"), F.col("z.lat").alias("lat_end"), F.col("z.lon").alias("lon_end"),
+    )

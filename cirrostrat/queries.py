@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from cirrostrat import config
 from cirrostrat.functions import filetime, scalar
 from cirrostrat.operators import components, growth, joins, lifecycle, neighbors, seeds
-from cirrostrat.plans import ladder
+from cirrostrat.plans import ladder, segment, track
 from cirrostrat.sources import adapters, grid, listing, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,7 +263,7 @@ def _candidates(spark, d, ny):
     return _voxels(spark, d).where(seeds.candidates(200)).select("t", "y", "x", "bt", neighbors.is_edge(ny, 15).alias("edge"))
 
 
-@query()
+@query(f"WITH {V} SELECT t, y, x, bt, x IN (0, 14) OR y IN (0, (SELECT max(y) FROM v)) AS edge FROM v WHERE bt > 0 AND bt <= 200")
 def seed_candidates_own_rim(spark, d):
     """The candidates with the rim of the table itself, whatever its height."""
     return _candidates(spark, d, _height(spark, d))
@@ -302,7 +302,7 @@ def components_with_scan_rules(spark, d):
     return _scanned(spark, d, 6666)  # the rows that the SQL fixes
 
 
-@query()
+@query(RC + _RIM.replace("6665", "(SELECT max(y) FROM v)") + " SELECT t, y, x, count(*) OVER (PARTITION BY component) AS size FROM cc JOIN c USING (id)")
 def components_own_rim(spark, d):
     """Components with scan rules and the rim of the table itself, whatever its height."""
     return _scanned(spark, d, _height(spark, d))
@@ -349,9 +349,17 @@ def grow_one_level(spark, d):
     return growth.grow_level(start, free, 1.0).select("t", "y", "x", "label")
 
 
-@query()
+#: Level by level: the least path (source, then neighbour numbers) that reaches a voxel wins, as in a queue.
+_GROWN = f"""WITH RECURSIVE {_TILED.replace("w AS (SELECT *,", "w AS (SELECT *, CAST(t AS BIGINT) * 100000000 + y * 15 + x AS id,")},
+ r(id, t, y, x, q, label, path) USING KEY (id) AS (SELECT id, t, y, x, q, label, printf('%016d', id) FROM w WHERE label IS NOT NULL
+ UNION SELECT b.id, any_value(b.t), any_value(b.y), any_value(b.x), any_value(b.q), arg_min(r.label, r.path || CAST(k AS VARCHAR)), min(r.path || CAST(k AS VARCHAR))
+ FROM r, o, w b WHERE b.label IS NULL AND b.t = r.t + o.dt AND b.y = r.y + o.dy AND b.x = r.x + o.dx AND b.q + 100 >= r.q AND b.id NOT IN (SELECT id FROM recurring.r) GROUP BY b.id)
+ SELECT w.t, w.y, w.x, w.bt, CAST(r.label AS INT) AS label FROM w LEFT JOIN r USING (id)"""
+
+
+@query(_GROWN)
 def grow_full(spark, d):
-    """Growth to the end; its conflicts follow a queue, so the tests compare it with one."""
+    """Growth to the end."""
     return growth.grow(_tiled(spark, d), F.col("bt") <= 200, 1.0, _height(spark, d), 15)
 
 
@@ -524,6 +532,54 @@ def published_summary(spark, d):
     return sinks.published(lifecycle.summary(_life(spark, d), 720)).select("DCS_number", "INT_duration", "INT_UTC_timeInit", "QCgeo_DCS")
 
 
+_SYSTEMS = {
+    "label": "INT_DCSnumber", "11100": "INT_DCS_qualitycontrol", "duration_hours": "INT_duration", "utc_init": "INT_UTC_timeInit", "utc_end": "INT_UTC_timeEnd",
+    "round(lon_init, 4)": "INT_lonInit", "round(lat_init, 4)": "INT_latInit", "round(lon_end, 4)": "INT_lonEnd", "round(lat_end, 4)": "INT_latEnd",
+    f"round({CHORD.format(a='lat_init', b='lat_end', c='lon_init', d='lon_end')} * 1000 / (duration_hours * 3600), 6)": "INT_velocityAvg", f"round({CHORD.format(a='lat_init', b='lat_end', c='lon_init', d='lon_end')}, 5)": "INT_distance",
+    "round(lon_min, 4)": "INT_lonmin", "round(lon_max, 4)": "INT_lonmax", "round(lat_min, 4)": "INT_latmin", "round(lat_max, 4)": "INT_latmax", "tb_min": "INT_tbmin",
+    "round(m235, 4)": "INT_surfmaxkm2_235K", "round(m220, 4)": "INT_surfmaxkm2_220K", "round(m210, 4)": "INT_surfmaxkm2_210K", "round(m200, 4)": "INT_surfmaxkm2_200K", "round(c235, 3)": "INT_surfcumkm2_235K",
+}
+_UNKNOWN = ("INT_classif", "INT_classif_JIRAK", "INT_classif_MADDOX", "INT_TS_number_IBTRACS", "INT_TS_nature_IBTRACS", "INT_TS_mindistance_IBTRACS")
+_PLACES = {"INT_lonInit": 4, "INT_latInit": 4, "INT_lonEnd": 4, "INT_latEnd": 4, "INT_velocityAvg": 6, "INT_distance": 5, "INT_lonmin": 4, "INT_lonmax": 4, "INT_latmin": 4, "INT_latmax": 4, "INT_surfcumkm2_235K": 3} | {f"INT_surfmaxkm2_{k}K": 4 for k in (235, 220, 210, 200)}
+
+
+def _rounded(df, places):
+    return df.select(*[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in df.columns])
+
+
+def _tracked(spark, d):
+    """The end-to-end run over the events as images, with tiles as label images."""
+    v = _voxels(spark, d).withColumn("ts", adapters.slot_time())
+    labels = v.where("bt <= 235").select("ts", "y", "x", F.expr("cast(1 + y div 5 * 3 + x div 5 as int)").alias("label"))
+    return track.track(labels, v.select("ts", "y", "x", "bt"), _grid(spark, d), "2000-01-01 00:00:00", "2100-01-01 00:00:00", 720)
+
+
+@query(f"WITH {_INT} SELECT " + ", ".join(f"{e} AS {n}" for e, n in _SYSTEMS.items()) + ", " + ", ".join(f"-999 AS {n}" for n in _UNKNOWN) + " FROM i")
+def tracked_systems(spark, d):
+    return _rounded(sinks.published_systems(_tracked(spark, d)[0]), _PLACES)
+
+
+_CYCLE = {
+    "tbmin": "LC_tbmin", "round(a235, 6)": "LC_tbavg_235K", "round(a208, 6)": "LC_tbavg_208K", "round(a200, 6)": "LC_tbavg_200K", "round(tb90, 4)": "LC_tb90th", "s": "LC_UTC_time", "round(lon, 4)": "LC_lon", "round(lat, 4)": "LC_lat",
+    "cx": "LC_x", "cy": "LC_y", "round(velocity, 6)": "LC_velocity", "p235": "LC_surfPix_235K", "p210": "LC_surfPix_210K", "round(k235, 4)": "LC_surfkm2_235K", "round(k220, 4)": "LC_surfkm2_220K", "round(k210, 4)": "LC_surfkm2_210K", "round(k200, 4)": "LC_surfkm2_200K",
+}
+_SHAPES = [f"LC_{n}_{k}K" for k in (235, 220) for n in ("semiminor", "semimajor", "ecc", "orientation")]
+_VEL = f"lv AS (SELECT *, coalesce(1000 * {CHORD.format(a='plat', b='lat', c='plon', d='lon')} / nullif(s - ps, 0), -999) AS velocity FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(s) OVER w AS ps FROM lc WINDOW w AS (PARTITION BY label ORDER BY t)))"
+
+
+@query(f"WITH {LC}, {_VEL} SELECT l.label AS DCS, a.s AS time, 1 AS QCgeo_IRimage, " + ", ".join(f"CAST(coalesce({e}, -999) AS DOUBLE) AS {n}" for e, n in ({k.replace("lon,", "lv.lon,").replace("lat,", "lv.lat,"): v for k, v in _CYCLE.items()} | {"lv.s": "LC_UTC_time"}).items() if e != "s") + ", " + ", ".join(f"CAST(-999 AS DOUBLE) AS {n}" for n in _SHAPES) + " FROM (SELECT DISTINCT label FROM lc) l CROSS JOIN (SELECT DISTINCT t, s FROM lc) a LEFT JOIN lv ON lv.label = l.label AND lv.t = a.t")
+def tracked_cycle(spark, d):
+    places = {"LC_tbavg_235K": 6, "LC_tbavg_208K": 6, "LC_tbavg_200K": 6, "LC_tb90th": 4, "LC_lon": 4, "LC_lat": 4, "LC_velocity": 6} | {f"LC_surfkm2_{k}K": 4 for k in (235, 220, 210, 200)}
+    return _rounded(sinks.published_cycle(_tracked(spark, d)[1]), places)
+
+
+@query()
+def segmented_images(spark, d):
+    """The end-to-end run over the events as images: slots, chunks of the production length, the whole ladder."""
+    v = _voxels(spark, d).withColumn("ts", adapters.slot_time())
+    return segment.segment(v.select("ts", "y", "x", "bt"), _grid(spark, d), "2000-01-01 00:00:00", "2100-01-01 00:00:00")
+
+
 @query(f"WITH {LC} SELECT l.label, a.t, coalesce(tbmin, -999) AS tbmin, CAST(coalesce(n, -999) AS DOUBLE) AS n FROM (SELECT DISTINCT label FROM lc) l CROSS JOIN (SELECT DISTINCT t FROM lc) a LEFT JOIN lc USING (label, t)")
 def lc_dense_matrix(spark, d):
     return lifecycle.dense(_life(spark, d), ["tbmin", "n"]).select("label", _slot(), "tbmin", "n")

@@ -65,3 +65,36 @@ def test_tracking_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "run/systems")).count() == spark.read.parquet(str(tmp_path / "run/life_cycle")).count() == 1
     sinks.write_grid(a, str(tmp_path / "grid"))
     assert sinks.published(a).columns == ["DCS_number", "INT_duration"]
+
+
+def test_segmentation_and_tracking_end_to_end(spark, tmp_path):
+    """Images in, label images by slot, then the tables of systems: two blobs that last become two systems with their numbers of slots."""
+    from cirrostrat.config import RunParams
+    from cirrostrat.plans import segment, track
+
+    cold = {(t, y, x) for t in range(4) for y in range(2, 5) for x in range(2, 5)} | {(t, y, x) for t in range(1, 5) for y in range(10, 13) for x in range(10, 13)}
+    rows = [(t, y, x, 195.0 if (t, y, x) in cold else 280.0) for t in range(6) for y in range(16) for x in range(16)]
+    images = spark.createDataFrame(rows, "s int, y int, x int, bt double").selectExpr("timestamp_seconds(1704067200 + 1800 * s) ts", "y", "x", "bt")
+    grid_ = spark.range(256).selectExpr("cast(id div 16 as int) y", "cast(id % 16 as int) x").selectExpr("y", "x", "y * 1.0D lat", "x * 1.0D lon", "20.0D area")
+    p = RunParams(min_bt=190, max_bt=230, step_bt=20, min_area_seed=100, min_lifetime=3, volume_slots=4, overlap_slots=2)
+    period = ("2024-01-01 00:00:00", "2024-01-01 02:30:00")
+    segment.run_segmentation(images, grid_, *period, (1, 14), (0, 15), str(tmp_path / "run"), p)
+    labels, cells = spark.read.parquet(str(tmp_path / "run/labels")), spark.read.parquet(str(tmp_path / "run/grid"))
+    assert (cells.count(), cells.first().crop_y0, cells.first().crop_y1) == (14 * 16, 1, 14)
+    got = {(r.s, r.y + 1, r.x) for r in labels.selectExpr("cast((unix_seconds(ts) - 1704067200) / 1800 as int) s", "y", "x").collect()}
+    assert got == cold and labels.select("label").distinct().count() == 2
+    systems, lc = track.track(labels.select("ts", "y", "x", "label"), segment.cropped(images, grid_, (1, 14), (0, 15))[0], cells, *period)
+    assert sorted(r.duration_hours for r in systems.collect()) == [2.0, 2.0] and lc.count() == 8
+    track.run_tracking(labels.select("ts", "y", "x", "label"), segment.cropped(images, grid_, (1, 14), (0, 15))[0], cells, *period, str(tmp_path / "out"))
+    assert len(spark.read.parquet(str(tmp_path / "out/systems")).columns) == 27 and spark.read.parquet(str(tmp_path / "out/life_cycle")).count() == 10
+    assert segment.segment(images.where("false"), grid_, *period, p).isEmpty()
+    late = labels.select((F.col("ts") + F.expr("interval 30 seconds")).alias("ts"), "y", "x", "label")
+    assert track.matched_pixels(late, images, grid_).count() == labels.count() and track.matched_pixels(late, images, grid_, 10).isEmpty()
+    old = sinks.legacy_systems(lifecycle_tracks(track.matched_pixels(labels, images, grid_), grid_))
+    assert len(old.columns) == 13 and old.count() == 2
+
+
+def lifecycle_tracks(pixels, grid_):
+    from cirrostrat.operators.lifecycle import online_tracks
+
+    return online_tracks(pixels, grid_)
