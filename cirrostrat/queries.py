@@ -490,7 +490,7 @@ def tb_avg_thresholds(spark, d):
 def _ellipse_sql(k: int) -> str:
     return f"""WITH {LC}, e AS (SELECT p.label, p.t, count(*) AS n, var_samp(p.lon) * pow(111 * cos(radians(any_value(lc.lat))), 2) AS sxx, var_samp(p.lat) * 12321 AS syy, covar_samp(p.lon, p.lat) * 12321 * cos(radians(any_value(lc.lat))) AS sxy
  FROM p JOIN lc ON lc.label = p.label AND lc.t = p.t WHERE p.bt <= {k} GROUP BY ALL), h AS (SELECT *, (sxx + syy) / 2 AS m, sqrt(pow((sxx - syy) / 2, 2) + sxy * sxy) AS r FROM e WHERE n >= 5)
- SELECT lc.label, lc.t, round(2 * sqrt(m + r), 4) AS semimajor, round(2 * sqrt(greatest(m - r, 0)), 3) AS semiminor FROM lc LEFT JOIN h USING (label, t)"""
+ SELECT lc.label, lc.t, round(2 * sqrt(m + r), 4) AS semimajor, CASE WHEN m IS NOT NULL THEN round(2 * sqrt(greatest(m - r, 0)), 3) END AS semiminor FROM lc LEFT JOIN h USING (label, t)"""
 
 
 def _ellipse(spark, d, k):
