@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.text import in_small_batches, slices
+from cirrostrat.llm.text import aside, in_small_batches, slices
 from cirrostrat.runtime import materialize
 
 #: Words of one automaton (about 1 kB each in a worker); longer benchmarks use several, one job after the other.
@@ -276,8 +276,9 @@ def cut_words(text: str, spans: list[int]) -> str:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most: float = 0.5) -> DataFrame:
-    """``docs`` without the contaminated spans; documents of which more than ``most`` of the words are hit go whole."""
-    return contamination(docs, items, window, most).select([c for c in docs.columns if c not in ("n_words", "spans", "items")])
+    """``docs`` without the contaminated spans; documents of which more than ``most`` of the words are hit go whole. All other columns stay as they are."""
+    rows, own = aside(docs, "n_words", "spans", "items", "_k1", "_k2")
+    return own(contamination(rows, items, window, most))
 
 
 #: DuckDB SQL of ``hit_counts`` with windows of ten words over documents and benchmark.

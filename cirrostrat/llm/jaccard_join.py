@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cirrostrat.llm.cells import assign_cells
-from cirrostrat.llm.text import in_small_batches, mix, set_id, shingles, slices
+from cirrostrat.llm.text import aside, in_small_batches, mix, set_id, shingles, slices
 from cirrostrat.operators.graph import connected_components
 from cirrostrat.runtime import materialize
 
@@ -295,19 +295,20 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     Rows are judged by id and text. Of rows that agree in both, the least by all columns stays.
     Texts without words are copies of nothing.
     """
-    found = _judged(docs, size, num, den).where("node is not null")
+    rows, own = aside(docs, "_id", "_key", "_gone", "_n", "_row_key", "_whole")
+    found = _judged(rows, size, num, den).where("node is not null")
     is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row_key") == F.col("head.row_key"))
     marks = found.groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(F.max(~is_head).alias("_gone"), F.count("*").alias("_n"))
     marks = materialize(marks.where("_gone or _n > 1"), "marks")
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    keyed = rows.withColumn("_row_key", F.xxhash64("doc_id", "text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key"))
-    kept = keyed.join(marks, same, "left_anti").select(docs.columns)
+    kept = own(keyed.join(marks, same, "left_anti"))
     repeated = marks.where("not _gone")
     if repeated.isEmpty():
         return kept
-    whole = F.struct(*docs.columns)
+    whole = F.struct(*rows.columns)
     ones = keyed.join(repeated, same, "left_semi").groupBy("doc_id", "_row_key").agg(F.min_by(whole, F.to_json(whole)).alias("_whole"))
-    return kept.union(ones.select(*[F.col("_whole")[c].alias(c) for c in docs.columns]))
+    return kept.union(own(ones.select(*[F.col("_whole")[c].alias(c) for c in rows.columns])))
 
 
 #: DuckDB SQL of ``jaccard_components`` over documents, with three words and 90 / 100.

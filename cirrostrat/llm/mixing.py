@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cirrostrat.llm.text import aside
 from cirrostrat.runtime import materialize
 
 #: Documents of one block of the reduction tree.
@@ -135,8 +136,11 @@ def _planned(docs: DataFrame, row: str | None, weights: Sequence[float] = (3, 1,
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken, with ``copy`` counted from 1.
 
-    Every row has a stored key of its own, by which it finds its copies; so rows of one doc_id and of none are taken as planned.
+    Every row has a stored key of its own, by which it finds its copies; so rows of one doc_id and of none are taken as planned. A ``copy`` that exists is replaced.
     """
-    kept = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    docs = docs.drop("copy")
+    rows, _ = aside(docs, "_row", "_copies")
+    kept = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     plan = _planned(kept, "_row", **how).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
-    return kept.join(plan, "_row").select(*[kept[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    out = kept.join(plan, "_row").select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    return out.withColumnsRenamed({f"_own_{n}": n for n in ("_row", "_copies") if n in docs.columns})

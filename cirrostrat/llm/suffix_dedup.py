@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.llm.cells import assign_cells
-from cirrostrat.llm.text import in_small_batches, mix, slices
+from cirrostrat.llm.text import aside, in_small_batches, mix, slices
 from cirrostrat.runtime import materialize
 
 #: Bytes of pieces in one cell, and of a document that is hashed at once.
@@ -409,6 +409,7 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, least: int = 200, keep_first: bool = True) -> DataFrame:
     """``docs`` with repeated passages removed from the texts; every row and column stays."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    found = repeated_spans(docs, least, keep_first).select(*docs.columns, "_spans")
-    return found.mapInArrow(_cut_text, schema)
+    rows, own = aside(docs, "_rid", "_spans", "_d", "_r", "rid")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    found = repeated_spans(rows, least, keep_first).select(*rows.columns, "_spans")
+    return own(found.mapInArrow(_cut_text, schema))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into Python objects at once, and rows of an Arrow batch that brings them.
 SLICE_BYTES, BATCH_ROWS = 2_000_000, 1000
@@ -35,6 +36,13 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns of these names put under others, and how to get its own columns back, as they were, from what becomes of it."""
+    own = {n: f"_own_{n}" for n in docs.columns if n in names}
+    back = [F.col(own[n]).alias(n) if n in own else F.col(n) for n in docs.columns]
+    return docs.withColumnsRenamed(own), lambda out: out.select(back)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.text import in_small_batches, mix, slices
+from cirrostrat.llm.text import aside, in_small_batches, mix, slices
 from cirrostrat.runtime import discard, materialize
 
 #: The most labelled texts of either class that training takes.
@@ -304,5 +304,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", sa
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.5, **how) -> DataFrame:
-    """``docs`` without the rows that score ``most`` or more."""
-    return toxicity_scores(docs, labels, **how).where(F.col("score") < most).select(docs.columns)
+    """``docs`` without the rows that score ``most`` or more; a ``score`` of its own stays as it is."""
+    rows, own = aside(docs, "score")
+    return own(toxicity_scores(rows, labels, **how).where(F.col("score") < most))
