@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, tolerance_seconds: int = 60, ts: str = "ts", payload: str = "path") -> DataFrame:
@@ -54,6 +53,12 @@ def still_present(seeds: DataFrame, overlap: DataFrame) -> DataFrame:
     return seeds.join(overlap.where("label is not null").select("label").distinct(), "label", "left_semi")
 
 
+def rebased(seeds: DataFrame, overlap: DataFrame) -> DataFrame:
+    """Seeds whose label occurs in the overlap, with ``index``: their place counted from the least label that occurs there."""
+    least = overlap.where("label is not null").agg(F.min("label").alias("_least"))  # one row
+    return still_present(seeds, overlap).crossJoin(F.broadcast(least)).withColumn("index", F.col("label") - F.col("_least")).drop("_least")
+
+
 def assign_chunks(slots: DataFrame, length: int, overlap: int, last_slot: int) -> DataFrame:
     """(t, chunk): every chunk that a slot belongs to, in closed form."""
     stride = length - overlap
@@ -62,7 +67,3 @@ def assign_chunks(slots: DataFrame, length: int, overlap: int, last_slot: int) -
     chunk = F.explode(F.sequence(first.cast("int"), F.floor(t / F.lit(stride)).cast("int")))
     out = slots.select("t", chunk.alias("chunk"))
     return out.where(((F.col("chunk") == 0) & F.lit(last_slot > 0)) | ((F.col("chunk") >= 1) & (F.col("chunk") * stride + overlap < last_slot)))
-
-
-def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

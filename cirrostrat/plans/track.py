@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cirrostrat.operators.joins import asof_nearest, pixels
 from cirrostrat.operators.lifecycle import life_cycle, summary, with_velocity
 from cirrostrat.sources.listing import in_period
+from cirrostrat.sources.readers import read_labels
 from cirrostrat.sources.sinks import published_cycle, published_systems, write_tracking
 
 
@@ -17,9 +18,10 @@ def matched_pixels(labels: DataFrame, images: DataFrame, grid: DataFrame, tolera
     Only the times are matched, one row of each. Label images without an image within the tolerance are left out, as are images without labels.
     """
     times = images.select("ts").distinct().withColumn("path", F.col("ts"))
-    masks = labels.where(F.col("label") > 0).select("ts").distinct().withColumn("path", F.col("ts"))
+    labels = read_labels(labels)
+    masks = labels.select("ts").distinct().withColumn("path", F.col("ts"))
     pairs = asof_nearest(times, masks, tolerance_seconds).where("matched is not null").select(F.col("ts").alias("image_ts"), F.col("matched").alias("ts"))
-    own = labels.where(F.col("label") > 0).join(pairs, "ts").select(F.col("image_ts").alias("ts"), "y", "x", F.col("label").cast("int").alias("label"))
+    own = labels.join(pairs, "ts").select(F.col("image_ts").alias("ts"), "y", "x", "label")
     return pixels(own, images, grid)
 
 

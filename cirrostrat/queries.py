@@ -17,6 +17,7 @@ from cirrostrat.functions import filetime, scalar
 from cirrostrat.operators import components, growth, joins, lifecycle, neighbors, seeds
 from cirrostrat.plans import ladder, segment, track
 from cirrostrat.sources import adapters, grid, listing, readers, sinks
+from cirrostrat.streaming import tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -182,6 +183,21 @@ def voxel_index(spark, d):
     return _voxels(spark, d).select(i).select("id", t.alias("t"), y.alias("y"), x.alias("x"))
 
 
+@query(f"WITH {V}, h AS (SELECT max(y) + 1 AS ny FROM v) SELECT CAST(t AS BIGINT) * ny * 15 + y * 15 + x AS id, t, y, x FROM v, h")
+def voxel_round_trip(spark, d):
+    """The linear index of the table's own height, and the position that it leads back to."""
+    ny = _height(spark, d)
+    t, y, x = scalar.voxel_position(F.col("id"), ny, 15)
+    return _voxels(spark, d).select(scalar.voxel_index(F.col("t"), F.col("y"), F.col("x"), ny, 15).alias("id")).select("id", t.alias("t"), y.alias("y"), x.alias("x"))
+
+
+@query("SELECT c_custkey, round((lon - 10.5) * 111 * cos(radians(5.25)), 6) AS east, round((lat - 5.25) * 111, 6) AS north FROM (SELECT c_custkey, (c_custkey % 120) - 60.0 AS lat, (c_custkey % 350) - 175.0 AS lon FROM customer)")
+def local_projection(spark, d):
+    at = _read(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") % 120) - 60.0).alias("lat"), ((F.col("c_custkey") % 350) - 175.0).alias("lon"))
+    east, north = scalar.local_km(F.col("lat"), F.col("lon"), F.lit(5.25), F.lit(10.5))
+    return at.select("c_custkey", F.round(east, 6).alias("east"), F.round(north, 6).alias("north"))
+
+
 @query("SELECT c_custkey, round(" + CHORD.format(a="lat", b="lat + 1.5", c="lon", d="lon + 2.25") + ", 5) AS km FROM (SELECT c_custkey, (c_custkey % 120) - 60.0 AS lat, (c_custkey % 350) - 175.0 AS lon FROM customer)")
 def chord_distance(spark, d):
     lat, lon = F.col("c_custkey") % 120 - 60.0, F.col("c_custkey") % 350 - 175.0
@@ -414,6 +430,12 @@ def overlap_semi_join(spark, d):
     return joins.still_present(v.select("label").distinct(), v.where("t >= 55"))
 
 
+@query(f"WITH {V}, s AS (SELECT DISTINCT 1 + y // 5 * 3 + x // 5 AS label FROM v WHERE bt <= 185), o AS (SELECT DISTINCT 1 + y // 5 * 3 + x // 5 AS label FROM v WHERE t >= 55 AND bt <= 185) SELECT CAST(label AS BIGINT) AS label, CAST(label - (SELECT min(label) FROM o) AS BIGINT) AS index FROM s SEMI JOIN o USING (label)")
+def overlap_rebased(spark, d):
+    v = _voxels(spark, d).where("bt <= 185").select("t", F.expr("1 + y div 5 * 3 + x div 5").alias("label"))
+    return joins.rebased(v.select("label").distinct(), v.where("t >= 55"))
+
+
 @query(f"WITH {V}, c AS ({_chunk_sql(12, 3, 59)}) SELECT t, y, x, max(chunk) AS chunk FROM v JOIN c USING (t) WHERE bt <= 190 GROUP BY ALL")
 def last_chunk_wins(spark, d):
     chunks = joins.assign_chunks(spark.range(60).select(F.col("id").cast("int").alias("t")), 12, 3, 59)
@@ -507,6 +529,31 @@ def ellipse_220(spark, d):
     return _ellipse(spark, d, 220)
 
 
+def _shape_sql(k: int) -> str:
+    """The ratio of the axes and the direction of the longer one; a shape that is a circle or a line to rounding has neither."""
+    e = _ellipse_sql(k)
+    head = e[: e.index("\n SELECT lc.label")]
+    return f"{head} SELECT lc.label, lc.t, CASE WHEN m - r > 1e-3 THEN round(sqrt((m - r) / (m + r)), 4) END AS ratio, CASE WHEN r > 1e-3 AND abs(sxy) > 1e-6 THEN round(degrees(atan2(2 * sxy, sxx - syy) / 2), 3) END AS orientation FROM lc LEFT JOIN h USING (label, t)"
+
+
+def _shape(spark, d, k):
+    major, minor = F.col(f"semimajor_{k}"), F.col(f"semiminor_{k}")
+    ratio = F.when(F.pow(minor / 2, F.lit(2)) > 1e-3, F.round(f"ratio_{k}", 4)).alias("ratio")
+    r = (F.pow(major / 2, F.lit(2)) - F.pow(minor / 2, F.lit(2))) / 2
+    turned = F.abs(F.sin(F.radians(2 * F.col(f"orientation_{k}"))) * r) > 1e-6
+    return _life(spark, d).select("label", _slot(), ratio, F.when((r > 1e-3) & turned, F.round(f"orientation_{k}", 3)).alias("orientation"))
+
+
+@query(_shape_sql(235))
+def ellipse_shape_235(spark, d):
+    return _shape(spark, d, 235)
+
+
+@query(_shape_sql(220))
+def ellipse_shape_220(spark, d):
+    return _shape(spark, d, 220)
+
+
 @query(f"WITH {LC} SELECT label, t, round(coalesce(1000 * " + CHORD.format(a="plat", b="lat", c="plon", d="lon") + f" / nullif(s - ps, 0), -999), 6) AS velocity FROM (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(s) OVER w AS ps FROM lc WINDOW w AS (PARTITION BY label ORDER BY t))")
 def inst_velocity(spark, d):
     return lifecycle.with_velocity(_life(spark, d)).select("label", _slot(), F.round("velocity", 6).alias("velocity"))
@@ -597,6 +644,12 @@ def legacy_tracker(spark, d):
     return lifecycle.online_tracks(_pixels(spark, d), _grid(spark, d)).select("label", "n", "duration_hours", "tb_min", F.round("surfmax", 3).alias("surfmax"), F.round("surfcum", 3).alias("surfcum"))
 
 
+@query(f"WITH {P} SELECT label, CAST(s // 86400 * 86400 AS BIGINT) AS day, count(*) AS n, min(bt) AS tb_min, round(sum(area), 3) AS area FROM p GROUP BY ALL")
+def slot_sums(spark, d):
+    """The windowed sums of the stream, over a table."""
+    return tracker.slot_sums(_pixels(spark, d)).select("label", scalar.epoch_seconds(F.col("window.start")).alias("day"), "n", "tb_min", F.round("area", 3).alias("area"))
+
+
 @query(f"WITH {P} SELECT DISTINCT t FROM p")
 def global_time_axis(spark, d):
     return lifecycle.time_axis(_pixels(spark, d)).select(_slot())

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cirrostrat.functions.filetime import file_time
 from cirrostrat.functions.scalar import decode, olr_to_bt
 from cirrostrat.sources.grid import X_NAMES, Y_NAMES, resolve
 from cirrostrat.sources.listing import in_period
@@ -55,7 +56,10 @@ def read_images(raw: DataFrame, platform: str, scale: float = 1.0, offset: float
 
 
 def read_platform(spark: SparkSession, path: str, platform: str, **packing: float) -> DataFrame:
-    return read_images(spark.read.parquet(path), platform, **packing)
+    """Images of a platform's tables; where these have no times, or none in a row, the time in the file's name counts."""
+    raw = spark.read.parquet(path)
+    named = file_time(F.col("_metadata.file_path"))
+    return read_images(raw.withColumn("ts", F.coalesce("ts", named) if "ts" in raw.columns else named), platform, **packing)
 
 
 def volume(images: DataFrame, start: str, end: str, coldest: float | None = None) -> DataFrame:

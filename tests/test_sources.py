@@ -29,6 +29,14 @@ def test_flux_becomes_temperature(spark):
     assert got[:2] == [None, None] and got[2] == pytest.approx(260.59592675825054)  # (200 / sigma) ** 0.25 through the fixed quadratic
 
 
+def test_times_from_file_names(spark, tmp_path):
+    rows = spark.sql("select 0 y, explode(array(0, 1)) x, 210.0D IR_108")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/raw")
+    next((tmp_path / "raw").glob("part-*.parquet")).rename(tmp_path / "image_20230319_2130.parquet")
+    got = readers.read_platform(spark, f"file://{tmp_path}/image_20230319_2130.parquet", "MSGnative").selectExpr("string(ts) ts", "bt").collect()
+    assert [tuple(r) for r in got] == [("2023-03-19 21:30:00", 210.0)] * 2
+
+
 def test_volume_numbers_slots_with_images(spark):
     rows = spark.sql("select timestamp_seconds(1704067200 + 1800 * s) ts, 0 y, 0 x, cast(b as double) bt from values (0, 200), (3, 210), (5, 300) t(s, b)")
     v = readers.volume(rows, "2024-01-01 00:00:00", "2024-01-01 02:30:00", coldest=236)
