@@ -71,6 +71,11 @@ def _round_block(seed: int, last: bool):
     return run
 
 
+def _dealt(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """Rows with their block, by id, size and text."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "tie", F.lit(seed)), F.lit(blocks)))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """(source, source_size, target) from (source, size): weighted shares, none above ``cap`` times its size.
 
@@ -99,15 +104,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     ``floor`` copies, which is no word either way. A null source is a source of its own. Rows that
     repeat are drawn one by one. No document is taken more than ``ceil(cap)`` times, and with a
     whole ``cap`` never above ``cap`` times its size. An empty table gives no rows. Draws depend on
-    seed, ids and sizes only, so reruns agree whatever the partitions.
+    seed, ids, sizes and texts only, so reruns agree whatever the partitions. Rows without an id are dealt
+    to blocks by their texts; only rows alike in id and text share one for certain.
     """
     return _planned(docs, None, weights, share, cap, seed, block).drop("row")
 
 
 def _planned(docs: DataFrame, row: str | None, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 1, block: int = BLOCK) -> DataFrame:
-    """``mix_sources`` with the key of each row (column ``row`` of ``docs``); equal ids and sizes are then drawn in the order of their texts."""
-    none = F.lit(None).cast("long")
-    keys = [(none if row is None else F.xxhash64("text")).alias("tie"), (none if row is None else F.col(row)).alias("row")]
+    """``mix_sources`` with the key of each row (column ``row`` of ``docs``); equal ids and sizes are drawn in the order of their texts."""
+    keys = [F.xxhash64("text").alias("tie"), (F.lit(None) if row is None else F.col(row)).cast("long").alias("row")]
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), *keys)
     sizes = materialize(sizes, "sizes")
     targets = source_targets(sizes, weights, share, cap).withColumnRenamed("source", "of")
@@ -120,8 +125,7 @@ def _planned(docs: DataFrame, row: str | None, weights: Sequence[float] = (3, 1,
     blocks = max(1, math.ceil(sizes.count() / block))
     while True:
         last = blocks == 1
-        salted = open_.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(blocks)))
-        rounded = materialize(salted.groupBy("source", "block").applyInArrow(_round_block(seed, last), _ROW), "rounded")
+        rounded = materialize(_dealt(open_, blocks, seed).groupBy("source", "block").applyInArrow(_round_block(seed, last), _ROW), "rounded")
         done.append(rounded.where("p = 0 or p = 1"))
         if last:
             break

@@ -574,6 +574,17 @@ def test_every_row_is_taken_as_planned(spark, block):
         assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, out), key=repr)
 
 
+def test_rows_without_an_id_are_dealt_by_text(spark):
+    """Rows of no id and one size spread over the blocks, and reruns agree on the texts taken."""
+    docs = spark.createDataFrame([(None, f"a{i} b c", "s") for i in range(600)], "doc_id long, text string, source string")
+    mix = dict(weights=(1,), share=0.5, block=50)
+    first = sorted(r.text for r in mixing.mixed(docs, **mix).collect())
+    assert len(first) == len(set(first)) == 300 and first == sorted(r.text for r in mixing.mixed(docs.repartition(7), **mix).collect())
+    keyed = docs.select("doc_id", F.lit(3).alias("size"), F.xxhash64("text").alias("tie"))
+    blocks = [r["count"] for r in mixing._dealt(keyed, 12, 1).groupBy("block").count().collect()]
+    assert len(blocks) == 12 and max(blocks) < 100
+
+
 def test_targets_of_ties(spark):
     """Sources of equal cap over weight, of one size, and of none."""
     rng = random.Random(12)
