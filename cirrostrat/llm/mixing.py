@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,7 +26,7 @@ from cirrostrat.runtime import materialize
 #: Documents of one block of the reduction tree.
 BLOCK = 4096
 _M = (1 << 64) - 1
-_ROW = "doc_id long, source string, size long, source_size long, target double, whole int, p double, tie long, row long"
+_ROW = "doc_id long, source string, size long, source_size long, target double, whole int, p double, tie long, row long, nr long"
 
 
 def _uniform(*parts: int) -> float:
@@ -66,14 +67,37 @@ def _round_block(seed: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["tie"] or 0, r["row"] or 0))
         shares = pivotal([(r["doc_id"] or 0, r["size"], r["p"]) for r in rows], seed, last)
-        return pa.Table.from_pylist([{k: r[k] for k in r if k not in ("block", "p")} | {"p": p} for r, p in zip(rows, shares, strict=True)], schema=pa.schema([table.schema.field(n) for n in ("doc_id", "source", "size", "source_size", "target", "whole", "p", "tie", "row")]))
+        return pa.Table.from_pylist([{k: r[k] for k in r if k not in ("block", "p")} | {"p": p} for r, p in zip(rows, shares, strict=True)], schema=pa.schema([table.schema.field(n) for n in (c.split()[0] for c in _ROW.split(", "))]))
 
     return run
 
 
-def _dealt(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """Rows with their block, by id, size and text."""
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "tie", F.lit(seed)), F.lit(blocks)))
+def _numbered(sizes: DataFrame, block: int) -> DataFrame:
+    """``sizes`` with ``nr``: where more than ``block`` rows are alike in id, source, size and text, their rank among these, from 0; else 0.
+
+    Ranks are counted within each stored partition (``part``) and set off by the counts of the partitions before it,
+    so no task holds a group. How many rows have a rank does not depend on the partitions.
+    """
+    alike = ["doc_id", "source", "size", "tie"]
+    many = materialize(sizes.groupBy(alike).count().where(F.col("count") > block).select([F.col(c).alias(f"_{c}") for c in alike]), "alike")
+    if many.isEmpty():
+        return sizes.withColumn("nr", F.lit(0).cast("long"))
+
+    def same(*extra: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*alike, *extra)])
+
+    hot = sizes.join(many, same(), "left_semi")
+    counts = hot.groupBy(*alike, "part").count()
+    before = Window.partitionBy(alike).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in (*alike, "part")], F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    local = hot.withColumn("nr", F.row_number().over(Window.partitionBy(*alike, "part").orderBy("row")) - 1)
+    ranked = local.join(starts, same("part")).select(*sizes.columns, (F.col("nr") + F.col("_start")).alias("nr"))
+    return materialize(sizes.join(many, same(), "left_anti").withColumn("nr", F.lit(0).cast("long")).union(ranked), "numbered")
+
+
+def _dealt(rows: DataFrame, blocks: int, seed: int, run: Column | int = 0) -> DataFrame:
+    """Rows with their block, by id, size and text, and by the run of those alike in all."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "tie", run + F.lit(seed)), F.lit(blocks)))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -105,7 +129,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     repeat are drawn one by one. No document is taken more than ``ceil(cap)`` times, and with a
     whole ``cap`` never above ``cap`` times its size. An empty table gives no rows. Draws depend on
     seed, ids, sizes and texts only, so reruns agree whatever the partitions. Rows without an id are dealt
-    to blocks by their texts; only rows alike in id and text share one for certain.
+    to blocks by their texts, and rows alike in id and text, where they are many, by runs of ``block``.
     """
     return _planned(docs, None, weights, share, cap, seed, block).drop("row")
 
@@ -114,7 +138,7 @@ def _planned(docs: DataFrame, row: str | None, weights: Sequence[float] = (3, 1,
     """``mix_sources`` with the key of each row (column ``row`` of ``docs``); equal ids and sizes are drawn in the order of their texts."""
     keys = [F.xxhash64("text").alias("tie"), (F.lit(None) if row is None else F.col(row)).cast("long").alias("row")]
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), *keys)
-    sizes = materialize(sizes, "sizes")
+    sizes = _numbered(materialize(sizes.withColumn("part", F.spark_partition_id()), "sizes"), block)
     targets = source_targets(sizes, weights, share, cap).withColumnRenamed("source", "of")
     per = sizes.join(targets, sizes["source"].eqNullSafe(targets["of"])).drop("of")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -122,14 +146,14 @@ def _planned(docs: DataFrame, row: str | None, weights: Sequence[float] = (3, 1,
     per = per.withColumn("whole", F.floor(near).cast("int")).withColumn("p", F.when(F.col("size") > 0, near - F.floor(near)).otherwise(F.lit(0.0)))
     fields = [c.split()[0] for c in _ROW.split(", ")]
     open_, done = per.where("p > 0").select(fields), [per.where("p = 0").select(fields)]
-    blocks = max(1, math.ceil(sizes.count() / block))
+    blocks, span = max(1, math.ceil(sizes.count() / block)), block
     while True:
         last = blocks == 1
-        rounded = materialize(_dealt(open_, blocks, seed).groupBy("source", "block").applyInArrow(_round_block(seed, last), _ROW), "rounded")
+        rounded = materialize(_dealt(open_, blocks, seed, F.floor(F.col("nr") / span)).groupBy("source", "block").applyInArrow(_round_block(seed, last), _ROW), "rounded")
         done.append(rounded.where("p = 0 or p = 1"))
         if last:
             break
-        open_, blocks = rounded.where("p > 0 and p < 1"), math.ceil(blocks / block)
+        open_, blocks, span = rounded.where("p > 0 and p < 1"), math.ceil(blocks / block), span * block
     out = done[0]
     for part in done[1:]:
         out = out.union(part)

@@ -585,6 +585,25 @@ def test_rows_without_an_id_are_dealt_by_text(spark):
     assert len(blocks) == 12 and max(blocks) < 100
 
 
+def test_rows_alike_in_all_are_dealt_by_runs(spark):
+    """A group of exact copies far larger than a block spreads over the blocks, and is taken as planned; reruns agree."""
+    docs = spark.createDataFrame([(None, "a b c", "s")] * 400 + [(None, "a b c", None)] * 5 + [(i, f"x{i} b", "s") for i in range(100)], "doc_id long, text string, source string")
+    keys = docs.select("doc_id", "source", F.lit(3).alias("size"), F.xxhash64("text").alias("tie"), F.lit(None).cast("long").alias("row"), F.spark_partition_id().alias("part"))
+    numbered = mixing._numbered(keys, 20)
+    ranks = sorted(r.nr for r in numbered.where("doc_id is null and source = 's'").collect())
+    assert ranks == list(range(400)) and {r.nr for r in numbered.where("doc_id is not null or source is null").collect()} == {0}
+    assert numbered.count() == 505
+    blocks = [r["count"] for r in mixing._dealt(numbered, 26, 1, F.floor(F.col("nr") / 20)).groupBy("source", "block").count().collect()]
+    assert max(blocks) < 100
+    mix = dict(weights=(1, 1), share=0.5, block=20)
+    first = Counter(tuple(r) for r in mixing.mix_sources(docs, **mix).collect())
+    assert first == Counter(tuple(r) for r in mixing.mix_sources(docs.repartition(7), **mix).collect()) and sum(first.values()) == 505
+    for source in ("s", None):
+        rows = [r for r in first.elements() if r[1] == source]
+        assert abs(sum(r[6] for r in rows) - rows[0][4]) <= 3
+    assert mixing.mixed(docs, **mix).count() == sum(r[5] for r in first.elements())
+
+
 def test_targets_of_ties(spark):
     """Sources of equal cap over weight, of one size, and of none."""
     rng = random.Random(12)
