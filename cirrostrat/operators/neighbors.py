@@ -13,6 +13,8 @@ Offset = tuple[int, int, int]
 TEN: tuple[Offset, ...] = ((1, 0, 0), (-1, 0, 0), (0, 0, -1), (0, 0, 1), (0, 1, -1), (0, 1, 0), (0, 1, 1), (0, -1, -1), (0, -1, 0), (0, -1, 1))
 #: All within two steps along the axes, none of them further than one along each.
 EIGHTEEN: tuple[Offset, ...] = tuple((dt, dy, dx) for dt in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if 0 < abs(dt) + abs(dy) + abs(dx) <= 2)
+#: A voxel and its neighbours in the order in which a scan lists their labels.
+SCAN: tuple[Offset, ...] = ((0, 0, 0), (0, 0, 1), (0, 0, -1), (0, 1, -1), (0, 1, 0), (0, 1, 1), (0, -1, -1), (0, -1, 0), (0, -1, 1), (-1, 0, 0), (1, 0, 0))
 #: The six that decide whether a voxel is isolated (its row, and the row above but for two).
 SIX: tuple[Offset, ...] = ((0, 0, 1), (0, 0, -1), (0, 1, -1), (0, 1, 0), (0, 1, 1), (0, -1, -1))
 
@@ -48,6 +50,17 @@ def isolated(voxels: DataFrame) -> DataFrame:
     return degree(voxels, SIX).where("n = 0").select("t", "y", "x")
 
 
+def labels_around(voxels: DataFrame, labelled: DataFrame, pattern: Sequence[Offset] = SCAN) -> DataFrame:
+    """(t, y, x, labels): the distinct labels (not 0) at a voxel and around it, in the order of the pattern.
+
+    Voxels without any have no row; repeated voxels have one. No list is longer than the pattern.
+    """
+    there = labelled.where("label <> 0").select(F.col("t").alias("nt"), F.col("y").alias("ny"), F.col("x").alias("nx"), "label").distinct()
+    near = shifted(voxels.select("t", "y", "x").distinct(), pattern).join(there, ["nt", "ny", "nx"])
+    met = F.array_sort(F.collect_list(F.struct("k", "label")))
+    return near.groupBy("t", "y", "x").agg(F.array_distinct(F.transform(met, lambda e: e["label"])).alias("labels"))
+
+
 def is_edge(ny: int, nx: int) -> Column:
     """On the rim of the domain, where no seed starts."""
     return F.col("x").isin(0, nx - 1) | F.col("y").isin(0, ny - 1)

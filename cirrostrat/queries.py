@@ -265,6 +265,17 @@ def neighbour_degree(spark, d):
     return neighbors.degree(_voxels(spark, d).where("bt <= 195"))
 
 
+@query(f"""WITH {V}, o(k, dt, dy, dx) AS (VALUES (0,0,0,0), (1,0,0,1), (2,0,0,-1), (3,0,1,-1), (4,0,1,0), (5,0,1,1), (6,0,-1,-1), (7,0,-1,0), (8,0,-1,1), (9,-1,0,0), (10,1,0,0)),
+lab AS (SELECT t, y, x, 1 + y // 5 * 3 + x // 5 AS label FROM v WHERE bt > 190 AND bt <= 200),
+f AS (SELECT a.t, a.y, a.x, label, min(k) AS k FROM v a, o, lab WHERE a.bt <= 200 AND lab.t = a.t + o.dt AND lab.y = a.y + o.dy AND lab.x = a.x + o.dx GROUP BY ALL)
+SELECT t, y, x, string_agg(CAST(label AS VARCHAR), ',' ORDER BY k) AS labels, count(*) AS n_labels FROM f GROUP BY ALL""")
+def labels_around(spark, d):
+    v = _voxels(spark, d).where("bt <= 200")
+    lab = v.where("bt > 190").withColumn("label", F.expr("cast(1 + y div 5 * 3 + x div 5 as int)"))
+    found = neighbors.labels_around(v, lab)
+    return found.select("t", "y", "x", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"), F.size("labels").cast("long").alias("n_labels"))
+
+
 @query(f"WITH {V}, o(dy, dx) AS (VALUES (0,1),(0,-1),(1,-1),(1,0),(1,1),(-1,-1)), c AS (SELECT * FROM v WHERE bt <= 190) SELECT t, y, x FROM c a WHERE NOT EXISTS (SELECT 1 FROM o, c b WHERE b.t = a.t AND b.y = a.y + o.dy AND b.x = a.x + o.dx)")
 def isolated_voxels(spark, d):
     return neighbors.isolated(_voxels(spark, d).where("bt <= 190"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cirrostrat.config import RunParams, read_params, run_params
+from cirrostrat.operators import neighbors
 from cirrostrat.operators.components import voxel_components
 from cirrostrat.operators.graph import connected_components
 from cirrostrat.operators.growth import grow
@@ -306,3 +307,12 @@ def test_params_and_errors(spark, tmp_path):
         read_images(spark.range(1), "OTHER")
     with pytest.raises(ValueError):
         apply_crop(spark.createDataFrame([(0, 0)], "y int, x int"), spark.sql("select cast(null as int) y0, 1 y1, 1 x0, 1 x1"))
+
+
+def test_labels_around_keep_the_order_of_the_scan(spark):
+    """Self first, then right and left, then rows below and above, then slots; 0 is no label and repeats count once."""
+    lab = [(1, 5, 5, 0), (1, 5, 6, 4), (1, 5, 4, 9), (1, 6, 5, 4), (1, 4, 6, 2), (0, 5, 5, 7), (2, 5, 5, 1), (2, 6, 5, 8)]
+    labelled = spark.createDataFrame(lab + lab[:2], "t int, y int, x int, label int")
+    found = neighbors.labels_around(spark.createDataFrame([(1, 5, 5), (1, 5, 5), (8, 8, 8)], "t int, y int, x int"), labelled).collect()
+    assert [tuple(r) for r in found] == [(1, 5, 5, [4, 9, 2, 7, 1])]
+    assert neighbors.labels_around(labelled.limit(0), labelled).isEmpty()
