@@ -7,11 +7,12 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrostrat.llm import decontaminate, html_extract, mixing, quality_rules, suffix_dedup, token_counts, topk, toxicity, url_rules
+from cirrostrat.llm import alignment, bpe, decontaminate, html_extract, mixing, quality_rules, suffix_dedup, token_counts, topk, toxicity, url_rules, whitening
 from cirrostrat.llm.jaccard_join import COMPONENTS_SQL, jaccard_components
 
-#: A public vocabulary; every worker has the file.
+#: Public vocabularies; every worker has the files.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+WORD_VOCABULARY, BYTE_VOCABULARY, PIECE_MODEL = (f"/opt/tokenizers/{name}" for name in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 #: Host, path, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -79,6 +80,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000)
+
+
+def op12_bpe_encoding(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_VOCABULARY) -> DataFrame:
+    return bpe.encoding_digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str, a: str = BYTE_VOCABULARY, b: str = PIECE_MODEL) -> DataFrame:
+    return alignment.alignment_digest(_table(spark, sf_dir, "documents"), a, b)
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return found | {"op2_suffix_array_dedup": partial(op2_suffix_array_dedup, texts=True)}
