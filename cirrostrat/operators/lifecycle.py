@@ -39,17 +39,17 @@ def _when(condition: Column, value: Column) -> Column:
 
 
 def ellipse(lat: Column, lon: Column, inside: Column, k: int) -> dict[str, Column]:
-    """Aggregates of the ellipse of the pixels where ``inside`` holds; coordinates in degrees, finished by ``finish_ellipse``."""
+    """Aggregates of the ellipse of the pixels where ``inside`` holds, with the cell of their own mean position; coordinates in degrees, finished by ``finish_ellipse``."""
     return {
         f"_n{k}": F.count(_when(inside, lat)), f"_sxx{k}": F.var_samp(_when(inside, lon)), f"_syy{k}": F.var_samp(_when(inside, lat)),
-        f"_sxy{k}": F.covar_samp(_when(inside, lon), _when(inside, lat)),
+        f"_sxy{k}": F.covar_samp(_when(inside, lon), _when(inside, lat)), f"_cy{k}": F.avg(_when(inside, F.col("y"))).cast("int"), f"_cx{k}": F.avg(_when(inside, F.col("x"))).cast("int"),
     }
 
 
 def finish_ellipse(k: int, lat0: Column) -> dict[str, Column]:
     """Semi-axes (km), their ratio and the orientation (degrees, in (-90, 90]) from the principal axes; null below five pixels.
 
-    A local projection scales longitudes by the cosine of the centre's latitude, so variances in
+    A local projection scales longitudes by the cosine of the latitude ``lat0`` of the centre of the pixels inside, so variances in
     kilometres follow from those in degrees.
     """
     c = KM_PER_DEGREE * F.cos(F.radians(lat0))
@@ -67,8 +67,8 @@ def life_cycle(pixels: DataFrame, grid: DataFrame, surfaces: Sequence[int] = SUR
     """One row per (label, ts) of labelled pixels (ts, y, x, label, bt, lat, lon, area).
 
     Count, centre (mean position cut to a cell, with that cell's coordinates), coldest and 90th
-    percentile temperature, means and cold surfaces by threshold, ellipses. One aggregate computes
-    all of it; pixels without temperature count in ``n`` only.
+    percentile temperature, means and cold surfaces by threshold, ellipses around the centres of their own cold pixels. One
+    aggregate computes all of it; pixels without temperature count in ``n`` only.
     """
     cold = {k: F.col("bt") <= k for k in {*surfaces, *means, *ellipses}}
     aggs = [F.count("*").alias("n"), F.avg("y").cast("int").alias("cy"), F.avg("x").cast("int").alias("cx"), F.min("bt").alias("tbmin"), F.percentile("bt", 0.9).alias("tb90")]
@@ -77,10 +77,11 @@ def life_cycle(pixels: DataFrame, grid: DataFrame, surfaces: Sequence[int] = SUR
     aggs += [F.coalesce(F.sum(F.when(cold[k], F.col("area").cast("double"))), F.lit(0.0)).alias(f"km2_{k}") for k in surfaces]
     for k in ellipses:
         aggs += [c.alias(n) for n, c in ellipse(F.col("lat"), F.col("lon"), cold[k], k).items()]
-    per = at_cells(pixels.groupBy("label", "ts").agg(*aggs), grid, "cy", "cx")
+    per = pixels.groupBy("label", "ts").agg(*aggs)
     for k in ellipses:
-        per = per.withColumns(finish_ellipse(k, F.col("lat")))
-    return per.drop(*[f"_{m}{k}" for m in ("n", "sxx", "syy", "sxy") for k in ellipses])
+        per = at_cells(per, grid, f"_cy{k}", f"_cx{k}").drop("lon").withColumnRenamed("lat", f"_lat{k}")
+        per = per.withColumns(finish_ellipse(k, F.col(f"_lat{k}")))
+    return at_cells(per, grid, "cy", "cx").drop(*[f"_{m}{k}" for m in ("n", "sxx", "syy", "sxy", "cy", "cx", "lat") for k in ellipses])
 
 
 def with_velocity(lc: DataFrame) -> DataFrame:

@@ -520,9 +520,15 @@ def tb_avg_thresholds(spark, d):
     return _life(spark, d).select("label", _slot(), *[F.round(f"tbavg_{k}", 6).alias(f"tbavg_{k}") for k in lifecycle.MEANS])
 
 
+def _ellipse_tables(k: int, s: str = "") -> str:
+    """Tables c to h: the pixels up to ``k``, the cell of their mean position, their places in km around it, covariances, principal axes."""
+    return f"""c{s} AS (SELECT * FROM p WHERE bt <= {k}), m{s} AS (SELECT label, t, count(*) AS n, CAST(trunc(avg(y)) AS INT) AS y0, CAST(trunc(avg(x)) AS INT) AS x0 FROM c{s} GROUP BY ALL),
+ km{s} AS (SELECT c.label, c.t, n, (c.lon - g.lon) * 111 * cos(radians(g.lat)) AS xk, (c.lat - g.lat) * 111 AS yk FROM c{s} c JOIN m{s} USING (label, t) JOIN g ON g.y = y0 AND g.x = x0),
+ e{s} AS (SELECT label, t, var_samp(xk) AS sxx, var_samp(yk) AS syy, covar_samp(xk, yk) AS sxy FROM km{s} WHERE n >= 5 GROUP BY ALL), h{s} AS (SELECT *, (sxx + syy) / 2 AS m, sqrt(pow((sxx - syy) / 2, 2) + sxy * sxy) AS r FROM e{s})"""
+
+
 def _ellipse_sql(k: int) -> str:
-    return f"""WITH {LC}, e AS (SELECT p.label, p.t, count(*) AS n, var_samp(p.lon) * pow(111 * cos(radians(any_value(lc.lat))), 2) AS sxx, var_samp(p.lat) * 12321 AS syy, covar_samp(p.lon, p.lat) * 12321 * cos(radians(any_value(lc.lat))) AS sxy
- FROM p JOIN lc ON lc.label = p.label AND lc.t = p.t WHERE p.bt <= {k} GROUP BY ALL), h AS (SELECT *, (sxx + syy) / 2 AS m, sqrt(pow((sxx - syy) / 2, 2) + sxy * sxy) AS r FROM e WHERE n >= 5)
+    return f"""WITH {LC}, {_ellipse_tables(k)}
  SELECT lc.label, lc.t, round(2 * sqrt(m + r), 4) AS semimajor, CASE WHEN m IS NOT NULL THEN round(2 * sqrt(greatest(m - r, 0)), 3) END AS semiminor FROM lc LEFT JOIN h USING (label, t)"""
 
 
@@ -631,6 +637,19 @@ def tracked_cycle(spark, d):
     return _rounded(sinks.published_cycle(_tracked(spark, d)[1]), places)
 
 
+def _published_shapes_sql() -> str:
+    tables = ", ".join(_ellipse_tables(k, str(k)) for k in (235, 220))
+    axes = ", ".join(f"coalesce(round(2 * sqrt(h{k}.m + h{k}.r), 3), -999) AS LC_semimajor_{k}K, coalesce(CASE WHEN h{k}.m IS NOT NULL THEN round(2 * sqrt(greatest(h{k}.m - h{k}.r, 0)), 2) END, -999) AS LC_semiminor_{k}K" for k in (235, 220))
+    return f"WITH {LC}, {tables} SELECT l.label AS DCS, a.s AS time, {axes} FROM (SELECT DISTINCT label FROM lc) l CROSS JOIN (SELECT DISTINCT t, s FROM lc) a LEFT JOIN h235 ON h235.label = l.label AND h235.t = a.t LEFT JOIN h220 ON h220.label = l.label AND h220.t = a.t"
+
+
+@query(_published_shapes_sql())
+def tracked_shapes(spark, d):
+    """The ellipses of the published life cycle, which fills them if asked to."""
+    cycle = sinks.published_cycle(_tracked(spark, d)[1], ellipses=True)
+    return _rounded(cycle, {f"LC_semimajor_{k}K": 3 for k in (235, 220)} | {f"LC_semiminor_{k}K": 2 for k in (235, 220)}).select("DCS", "time", *[f"LC_{c}_{k}K" for k in (235, 220) for c in ("semimajor", "semiminor")])
+
+
 @query()
 def segmented_images(spark, d):
     """The end-to-end run over the events as images: slots, chunks of the production length, the whole ladder."""

@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,3 +317,25 @@ def test_labels_around_keep_the_order_of_the_scan(spark):
     found = neighbors.labels_around(spark.createDataFrame([(1, 5, 5), (1, 5, 5), (8, 8, 8)], "t int, y int, x int"), labelled).collect()
     assert [tuple(r) for r in found] == [(1, 5, 5, [4, 9, 2, 7, 1])]
     assert neighbors.labels_around(labelled.limit(0), labelled).isEmpty()
+
+
+def test_ellipses_lie_at_the_centre_of_their_own_cold_pixels(spark):
+    """A tall system, rows at 0 to 50 degrees, whose cold pixels lie at 40 to 50: longitudes shrink by the latitude of those."""
+    from cirrostrat.operators.lifecycle import life_cycle
+
+    rows = [(y, x, 0.5 * y, 0.5 * x, 210.0 if y >= 80 else 230.0) for y in range(101) for x in range(30)]
+    grid = spark.createDataFrame([r[:4] for r in rows], "y int, x int, lat double, lon double")
+    px = spark.createDataFrame([(1, *r[:2], 7, r[4], r[2], r[3], 20.0) for r in rows], "ts int, y int, x int, label int, bt double, lat double, lon double, area double")
+    got = life_cycle(px, grid).first()
+
+    def axes(limit):
+        cold = [r for r in rows if r[4] <= limit]
+        y0, x0 = (sum(r[i] for r in cold) / len(cold) for i in (0, 1))
+        lat0, lon0 = 0.5 * int(y0), 0.5 * int(x0)
+        km = np.array([[(r[3] - lon0) * 111 * np.cos(np.radians(lat0)) for r in cold], [(r[2] - lat0) * 111 for r in cold]])
+        return sorted(2 * np.sqrt(np.linalg.eigvalsh(np.cov(km))))
+
+    for k in (235, 220):
+        minor, major = axes(k)
+        assert got[f"semiminor_{k}"] == pytest.approx(minor) and got[f"semimajor_{k}"] == pytest.approx(major) and got[f"ratio_{k}"] == pytest.approx(minor / major)
+    assert (got.cy, got.lat) == (50, 25.0)
