@@ -4,15 +4,17 @@ A queue that starts with all labelled voxels in scan order and hands each label
 fixed order resolves conflicts by who came first. Growth never leaves a region of neighbouring voxels that are
 labelled or free, so regions of a bounded size are grown each in one task, by whole frontiers at a time.
 
-In larger regions one job takes one level. Relationally, every frontier voxel carries the
-path that it was reached by: its source's linear index, then the neighbour numbers of each step.
-Paths of one level have one length, so their order as strings is the order of the queue, and the
-least path that reaches a voxel wins. Every so often a sort gives paths short names in the same order.
+What the queue gives a voxel is the label of the nearest source, in steps; of several that are equally near, of the first in scan order:
+voxels leave the queue by level, and within a level by the source that reached them. So (level, source) is a key
+that only falls, and larger regions are grown by correcting keys tile by tile: a tile runs its own queue to the end,
+hands on the keys of its faces that became less, and runs again when it receives such. Rounds follow the tiles that
+growth crosses, not its levels, and between rounds only keys of faces are kept.
+
+``grow_level`` is one level of the queue as a join, with the path that reached each voxel.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,12 +24,13 @@ from pyspark.sql import functions as F
 
 from cirrostrat.functions.scalar import centikelvin, voxel_index
 from cirrostrat.operators import stencil
-from cirrostrat.operators.components import REGION_VOXELS, voxel_components, with_groups
+from cirrostrat.operators.components import REGION_VOXELS, TILE, voxel_components, with_groups
 from cirrostrat.operators.neighbors import SIX, TEN, Offset, neighbours, shifted
-from cirrostrat.runtime import materialize, shared_dir
+from cirrostrat.runtime import discard, materialize
 
-#: Levels after which paths are named anew.
-RENAME = 24
+#: A key of a voxel on the face of a tile: steps from its source, the source's linear index and label.
+_FACE = "t int, y int, x int, q int, level int, source long, label int"
+_NO_Q = 1 << 30
 
 
 def start_frontier(labelled: DataFrame, ny: int, nx: int) -> DataFrame:
@@ -48,28 +51,98 @@ def grow_level(frontier: DataFrame, free: DataFrame, delta: float, pattern: Sequ
     return best.select("t", "y", "x", "b.label", "b.q", "b.path")
 
 
-def grow_by_level(voxels: DataFrame, mask: Column, delta: float, ny: int, nx: int, pattern: Sequence[Offset] = TEN) -> DataFrame:
-    """``voxels`` with labels grown level by level, until a level reaches nothing; for regions of any size.
+def _grow_tile(pattern: Sequence[Offset], delta: int, tile: tuple[int, int, int], finish: bool):
+    def run(cells: pa.Table, faces: pa.Table) -> pa.Table:
+        own, k = cells.num_rows, faces.num_rows
+        if not own:  # nothing to grow beside this face
+            return pa.table({n: pa.array([], t) for n, t in zip(("t", "y", "x", "label"), [pa.int32()] * 4, strict=True)} if finish else {f.split()[0]: pa.array([], pa.int64() if "long" in f else pa.int32()) for f in _FACE.split(", ")})
+        t, y, x = (np.r_[cells.column(c).to_numpy(), faces.column(c).to_numpy()] for c in "tyx")
+        q = np.r_[cells.column("q").fill_null(_NO_Q).to_numpy(), faces.column("q").to_numpy()].astype(np.int64)
+        free = np.r_[cells.column("free").to_numpy(zero_copy_only=False), np.zeros(k, bool)]
+        label = np.r_[cells.column("label").fill_null(0).to_numpy(), faces.column("label").to_numpy()].astype(np.int64)
+        source = np.r_[np.where(label[:own] != 0, cells.column("own").to_numpy(), -1), faces.column("source").to_numpy()]
+        level = np.r_[np.where(label[:own] != 0, 0, -1), faces.column("level").to_numpy()]
+        order = stencil.scan_order(t, y, x)
+        # a cell of this tile whose key came back keeps its row, the face's row names the key it had
+        t, y, x, q, free, label, source, level, mine = (a[order] for a in (t, y, x, q, free, label, source, level, np.arange(own + k) < own))
+        twin = np.r_[False, (t[1:] == t[:-1]) & (y[1:] == y[:-1]) & (x[1:] == x[:-1])]
+        first = np.flatnonzero(~twin)
+        slot = np.cumsum(~twin) - 1
+        n = len(first)
+        at = np.full(n, -1)  # the row of each voxel's cell, if it lies in this tile
+        at[slot[mine]] = np.flatnonzero(mine)
+        inside, row = at >= 0, np.where(at >= 0, at, first)
+        names, rank = np.unique(source[source >= 0], return_inverse=True)
+        key = np.full(n, stencil.FAR)
+        np.minimum.at(key, slot[source >= 0], (level[source >= 0].astype(np.int64) << 32) | rank)
+        had = np.full(n, stencil.FAR)
+        known = ~mine
+        np.minimum.at(had, slot[known], (level[known].astype(np.int64) << 32) | np.searchsorted(names, source[known]))
+        label_of = np.zeros(len(names), np.int64)
+        label_of[rank] = label[source >= 0]
+        ty, yy, xx = t[row], y[row], x[row]
+        key = stencil.least_keys(stencil.neighbour_table(ty, yy, xx, pattern), key, inside & free[row], q[row], delta)
+        got = inside & (key < stencil.FAR)
+        if finish:
+            out = np.flatnonzero(got & (key >> 32 > 0))
+            return pa.table({"t": ty[out], "y": yy[out], "x": xx[out], "label": label_of[key[out] & 0xFFFFFFFF].astype(np.int32)})
+        rim = np.zeros(n, bool)
+        for c, size in zip((ty, yy, xx), tile, strict=True):
+            rim |= (c % size == 0) | (c % size == size - 1)
+        out = np.flatnonzero(got & rim & (key < had) & (q[row] < _NO_Q))
+        won = key[out] & 0xFFFFFFFF
+        return pa.table({"t": ty[out], "y": yy[out], "x": xx[out], "q": q[row][out].astype(np.int32), "level": (key[out] >> 32).astype(np.int32), "source": names[won], "label": label_of[won].astype(np.int32)})
+
+    return run
+
+
+def grow_by_tiles(voxels: DataFrame, mask: Column, delta: float, ny: int, nx: int, pattern: Sequence[Offset] = TEN, tile: tuple[int, int, int] = TILE) -> DataFrame:
+    """``voxels`` with labels grown tile by tile, for regions of any size.
 
-    A voxel that all its labelled neighbours refuse stays refused, since temperatures do not change, so only new voxels
-    make up the next frontier. What levels have reached is kept as one table that grows by a folder a level.
+    In each round only tiles run that receive a lesser key for a voxel next to them; one more run of all tiles with the keys of
+    their faces gives the labels. The pattern must hold each offset with its opposite, and reach one step.
     """
-    spark = voxels.sparkSession
-    free = materialize(voxels.where(F.col("label").isNull() & mask).select("t", "y", "x", centikelvin(F.col("bt")).alias("q")), "free")
-    frontier, at, levels = start_frontier(voxels.where("label is not null"), ny, nx), f"{shared_dir(spark)}/grown-{uuid.uuid4().hex}", 0
+    tiles = [f"tile_{c}" for c in "tyx"]
+
+    def of(names: Sequence[str]) -> dict[str, Column]:
+        return {t: F.floor(F.col(c) / n).cast("int") for t, c, n in zip(tiles, names, tile, strict=True)}
+
+    free = F.col("label").isNull() & F.coalesce(mask & F.col("bt").isNotNull(), F.lit(False))
+    cells = voxels.where(F.col("label").isNotNull() | free).select("t", "y", "x", "label", centikelvin(F.col("bt")).alias("q"), free.alias("free"), voxel_index(F.col("t"), F.col("y"), F.col("x"), ny, nx).alias("own"))
+    cells = materialize(cells.withColumns(of("tyx")), "cells")
+
+    def near(faces: DataFrame) -> DataFrame:
+        """Each face once for every tile that it touches, its own too."""
+        beside = shifted(faces, [(0, 0, 0), *pattern]).withColumns(of(["nt", "ny", "nx"]))
+        return beside.select(*faces.columns, *tiles).dropDuplicates(["t", "y", "x", *tiles])
+
+    step, rounds = int(round(100 * delta)), 0
+    faces: DataFrame | None = None
+    new = cells.where("label is not null").select(*tiles).distinct()  # tiles with sources run first
     while True:
-        level = grow_level(frontier, free, delta, pattern)
-        if levels:
-            level = level.join(spark.read.parquet(at).select("t", "y", "x"), ["t", "y", "x"], "left_anti")
-        level.write.parquet(f"{at}/level={levels}")
-        frontier = spark.read.schema(level.schema).parquet(f"{at}/level={levels}")
-        if frontier.isEmpty():
+        active = cells.join(new, tiles, "left_semi")
+        known = (near(faces).join(new, tiles, "left_semi") if faces is not None else cells.sparkSession.createDataFrame([], _FACE).withColumns(of("tyx"))).withColumnsRenamed({t: f"to_{t}" for t in tiles})
+        out = active.groupBy(*tiles).cogroup(known.groupBy(*[f"to_{t}" for t in tiles])).applyInArrow(_grow_tile(pattern, step, tile, False), _FACE)
+        less = materialize(out, "faces")
+        if less.isEmpty():
+            discard(less)
             break
-        levels += 1
-        if levels % RENAME == 0:
-            frontier = materialize(frontier.orderBy("path").withColumn("path", F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")), "frontier")
-    reached = spark.read.schema("t int, y int, x int, label int").parquet(at)
-    grown = reached.select("t", "y", "x", F.col("label").alias("_new"))
+        rounds += 1
+        merged = less if faces is None else materialize(faces.join(less.select("t", "y", "x"), ["t", "y", "x"], "left_anti").unionByName(less), "faces")
+        passed = shifted(less.select("t", "y", "x"), pattern)
+        elsewhere = F.lit(False)
+        for c, n in zip("tyx", tile, strict=True):
+            elsewhere = elsewhere | (F.floor(F.col(f"n{c}") / n) != F.floor(F.col(c) / n))
+        reached = materialize(passed.where(elsewhere).select(*of(["nt", "ny", "nx"]).values()).toDF(*tiles).distinct(), "reached")
+        if faces is not None:
+            discard(faces, less)
+        if rounds > 1:
+            discard(new)
+        faces, new = merged, reached
+    known = (near(faces) if faces is not None else cells.sparkSession.createDataFrame([], _FACE).withColumns(of("tyx"))).withColumnsRenamed({t: f"to_{t}" for t in tiles})
+    ends = cells.groupBy(*tiles).cogroup(known.groupBy(*[f"to_{t}" for t in tiles])).applyInArrow(_grow_tile(pattern, step, tile, True), "t int, y int, x int, label int")
+    grown = materialize(ends.withColumnRenamed("label", "_new"), "grown")
+    discard(cells, *([faces] if faces is not None else []))
     return voxels.join(grown, ["t", "y", "x"], "left").withColumn("label", F.coalesce("label", "_new")).drop("_new").select(voxels.columns)
 
 
@@ -100,7 +173,7 @@ def _sweep_group(deltas: list[int], finds: bool, scan_rules: bool):
     return run
 
 
-def sweep(grouped: DataFrame, steps: Sequence[tuple[Column, float]], ny: int, nx: int, cold: Column | None = None, scan_rules: bool = False, large: bool = True) -> DataFrame:
+def sweep(grouped: DataFrame, steps: Sequence[tuple[Column, float]], ny: int, nx: int, cold: Column | None = None, scan_rules: bool = False, large: bool = True, tile: tuple[int, int, int] = TILE) -> DataFrame:
     """``grouped`` (t, y, x, bt, label, group and other columns) after growth steps (where it may go, margin), one after the other.
 
     With ``cold``, the unlabelled voxels where it holds are joined up after the growth: ``component`` is the smallest linear
@@ -119,7 +192,7 @@ def sweep(grouped: DataFrame, steps: Sequence[tuple[Column, float]], ny: int, nx
         return out
     rest = grouped.where("group is null")
     for mask, delta in steps:
-        rest = materialize(grow_by_level(rest, mask, delta, ny, nx), "grown")
+        rest = materialize(grow_by_tiles(rest, mask, delta, ny, nx, tile=tile), "grown")
     if finds:
         rest = materialize(rest, "grown")
         free = rest.where(F.col("label").isNull() & cold).select("t", "y", "x")
@@ -134,14 +207,14 @@ def sweep(grouped: DataFrame, steps: Sequence[tuple[Column, float]], ny: int, nx
     return out.unionByName(rest)
 
 
-def grow(voxels: DataFrame, mask: Column, delta: float, ny: int, nx: int, most: int = REGION_VOXELS) -> DataFrame:
+def grow(voxels: DataFrame, mask: Column, delta: float, ny: int, nx: int, most: int = REGION_VOXELS, tile: tuple[int, int, int] = TILE) -> DataFrame:
     """``voxels`` (t, y, x, bt, label) with labels grown into the unlabelled voxels where ``mask`` holds.
 
     Voxels that no label reaches keep a null label, and so do all if there is no label. Null temperatures neither
-    take nor hand on a label. ``most``: voxels of a region up to which one task grows it whole.
+    take nor hand on a label. ``most``: voxels of a region up to which one task grows it whole; ``tile``: what a task holds of larger ones.
     """
     inside = F.col("label").isNotNull() | F.coalesce(mask, F.lit(False))
     grouped = materialize(with_groups(voxels.where(inside), ny, nx, most=most), "grouped")
     large = not grouped.where("group is null").isEmpty()
-    out = sweep(grouped, [(mask, delta)], ny, nx, large=large).drop("group")
+    out = sweep(grouped, [(mask, delta)], ny, nx, large=large, tile=tile).drop("group")
     return out.union(voxels.where(~inside).select(out.columns)).select("t", "y", "x", "bt", "label")

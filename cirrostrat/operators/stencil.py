@@ -48,6 +48,37 @@ def grown(near: np.ndarray, label: np.ndarray, free: np.ndarray, q: np.ndarray,
     return label
 
 
+#: A key that no source has reached.
+FAR = np.iinfo(np.int64).max
+
+
+def least_keys(near: np.ndarray, key: np.ndarray, free: np.ndarray, q: np.ndarray, delta: int) -> np.ndarray:
+    """Least keys (level << 32 | rank of the source) after growth into ``free``, from keys that sources and faces of other tiles have.
+
+    Voxels are settled level by level, so each hands on its key once.
+    """
+    n, key = len(key), key.copy()
+    waits = np.flatnonzero(key < FAR)
+    waits = waits[np.argsort(key[waits], kind="stable")]
+    told = key[waits] >> 32
+    level, taken, frontier = (int(told[0]) if len(waits) else 0), 0, np.empty(0, np.int64)
+    while taken < len(waits) or len(frontier):
+        if not len(frontier):
+            level = int(told[taken])
+        upto = int(np.searchsorted(told, level, side="right"))
+        late = waits[taken:upto]
+        frontier, taken = np.unique(np.r_[frontier, late[key[late] >> 32 == level]]), upto
+        to, of = near[frontier].ravel(), np.repeat(frontier, near.shape[1])
+        there = to < n
+        to, of = to[there], of[there]
+        offer = ((level + 1) << 32) | (key[of] & 0xFFFFFFFF)
+        better = free[to] & (offer < key[to]) & (q[to] + delta >= q[of])
+        to, offer = to[better], offer[better]
+        np.minimum.at(key, to, offer)
+        frontier, level = np.unique(to), level + 1
+    return key
+
+
 def parts(near: np.ndarray, member: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each voxel the least index of the members that hang together with it, or -1.
 
@@ -70,3 +101,23 @@ def least_beside(near: np.ndarray, label: np.ndarray, member: np.ndarray) -> np.
     padded = np.r_[np.where(label > 0, label, far), far]
     least = padded[near].min(1)
     return np.where(member & (least < far), least, 0)
+
+
+def lasting(part: np.ndarray, slot: np.ndarray, km2: np.ndarray, min_area: float, min_lifetime: int) -> np.ndarray:
+    """The parts (of voxels' part, slot and whole km2) that last: the rule of ``seeds.seed_records``."""
+    parts, of = np.unique(part, return_inverse=True)
+    slots = slot - slot.min()
+    cell, at = np.unique(of * (int(slots.max()) + 1) + slots, return_inverse=True)
+    owner, when = np.divmod(cell, int(slots.max()) + 1)
+    area = np.bincount(at, km2)
+    first, last = np.full(len(parts), when.max() + 1), np.full(len(parts), -1)
+    np.minimum.at(first, owner, when)
+    np.maximum.at(last, owner, when)
+    large = np.flatnonzero(area >= min_area)
+    owns, whens = owner[large], when[large]
+    begins = np.r_[True, (owns[1:] != owns[:-1]) | (whens[1:] != whens[:-1] + 1)] if len(large) else np.empty(0, bool)
+    runs = np.bincount(np.cumsum(begins) - 1) if len(large) else np.empty(0, np.int64)
+    longest = np.zeros(len(parts), np.int64)
+    np.maximum.at(longest, owns[begins], runs)
+    total = np.bincount(owner, area, len(parts))
+    return parts[(last - first + 1 >= min_lifetime) & (longest >= max(1, min_lifetime)) & (total >= min_area * min_lifetime)]

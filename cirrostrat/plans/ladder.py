@@ -4,49 +4,129 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cirrostrat.config import RunParams
+from cirrostrat.functions.scalar import centikelvin, voxel_index
+from cirrostrat.operators import stencil
 from cirrostrat.operators.components import REGION_VOXELS, with_groups
 from cirrostrat.operators.growth import sweep
 from cirrostrat.operators.joins import carried_over
-from cirrostrat.operators.seeds import candidates, named_systems
-from cirrostrat.runtime import materialize
+from cirrostrat.operators.neighbors import SIX, TEN, is_edge
+from cirrostrat.operators.seeds import candidates, frame_areas, named_systems, seed_records
+from cirrostrat.runtime import discard, materialize
+
+_LABELLED = "t int, y int, x int, bt double, area double, label int, seed long, detected int"
 
 
 @dataclass
 class Segmentation:
-    """Labelled voxels, accepted seeds (with the threshold of their detection) and the last label."""
+    """Labelled voxels, accepted seeds (with the threshold of their detection), the last label, and the seeds' areas by slot (label, t, area)."""
 
     voxels: DataFrame
     seeds: DataFrame
     last_label: int
+    frames: DataFrame | None = None
+
+
+def _ladder_group(params: RunParams):
+    """The whole ladder over one group of regions; new systems are named by their first voxel and the threshold that found them."""
+    six = [TEN.index(o) for o in SIX]
+
+    def run(table: pa.Table) -> pa.Table:
+        t, y, x = (table.column(c).to_numpy() for c in "tyx")
+        table = table.take(stencil.scan_order(t, y, x))
+        t, y, x, own = (table.column(c).to_numpy() for c in ("t", "y", "x", "own"))
+        near = stencil.neighbour_table(t, y, x, TEN)
+        bt, q = table.column("bt").to_numpy().astype(float), table.column("q").fill_null(1 << 30).to_numpy().astype(np.int64)
+        km2 = np.nan_to_num(np.floor(table.column("area").to_numpy(zero_copy_only=False).astype(float)))
+        carried = table.column("label").fill_null(0).to_numpy().astype(np.int64)
+        kept, label = np.unique(np.r_[0, carried], return_inverse=True)  # labels count from 1 within the group, in their order
+        label, detected, names = label[1:], np.zeros(len(t), np.int32), [-1] * len(kept)
+        rim = table.column("rim").to_numpy(zero_copy_only=False)
+        delta, after = int(round(100 * params.delta_spread)), None
+        for threshold, following in params.ladder():
+            if after is not None:
+                label = stencil.grown(near, label, bt <= after, q, delta)
+            label = stencil.grown(near, label, bt < threshold, q, delta)
+            cold = (bt > 0) & (bt <= threshold)
+            member = cold & (label == 0)
+            starts = member & ~rim & np.r_[cold, False][near[:, six]].any(1) if params.scan_rules else member
+            root = stencil.parts(near, member, starts)
+            found = np.flatnonzero(root >= 0)
+            if len(found):
+                new = stencil.lasting(root[found], t[found], km2[found], params.min_area_seed, params.min_lifetime)
+                given = np.zeros(len(t) + 1, np.int64)  # by root
+                beside = stencil.least_beside(near, label, root >= 0)
+                least = np.full(len(t), stencil.FAR)
+                touch = found[beside[found] > 0]
+                np.minimum.at(least, root[touch], beside[touch])
+                given[:-1][least < stencil.FAR] = least[least < stencil.FAR]
+                given[new] = len(names) + np.arange(len(new))
+                names += own[new].tolist()
+                label = np.where(root >= 0, given[root], label)
+                detected[found[np.isin(root[found], new)]] = threshold
+            after = following
+        label = stencil.grown(near, label, bt <= after, q, delta)
+        label = stencil.grown(near, label, bt <= after, q, int(round(100 * params.final_delta)))
+        seed, old = np.array(names)[label], kept[np.minimum(label, len(kept) - 1)]
+        out = table.select(["t", "y", "x", "bt", "area"])
+        out = out.append_column("label", pa.array(old.astype(np.int32), mask=(label == 0) | (seed >= 0)))
+        return out.append_column("seed", pa.array(seed, mask=seed < 0)).append_column("detected", pa.array(detected, mask=detected == 0))
 
+    return run
 
-def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, last_label: int | None = None, slots: int | None = None, most: int = REGION_VOXELS) -> Segmentation:
+
+def _ladder_of_large(v: DataFrame, params: RunParams, ny: int, nx: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """The ladder over regions that no task holds whole, threshold by threshold: voxels as ``_ladder_group`` gives them but for ``detected``, and the seeds' frames."""
+    frames, after, seeds, first = None, [], None, last
+    for threshold, nxt in params.ladder():
+        steps = [*after, (F.col("bt") < threshold, params.delta_spread)]
+        swept = materialize(sweep(v, steps, ny, nx, candidates(threshold), params.scan_rules), "swept")
+        v, new, last = named_systems(swept, threshold, params.min_area_seed, params.min_lifetime, last)
+        found = frame_areas(swept.where("component is not null").join(new.select("component"), "component", "left_semi")).withColumn("threshold", F.lit(threshold).cast("int"))
+        frames, seeds = (found, new) if frames is None else (frames.union(found), seeds.union(new))
+        after = [(F.col("bt") <= nxt, params.delta_spread)]
+    v = sweep(v, [*after, (after[0][0], params.final_delta)], ny, nx)
+    own = seeds.select("label", F.col("component").alias("seed"))
+    v = v.join(own, "label", "left").withColumn("label", F.when(F.col("label") <= first, F.col("label")))
+    return v.select("t", "y", "x", "bt", "area", "label", "seed", F.lit(None).cast("int").alias("detected")), frames
+
+
+def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, last_label: int | None = None, most: int = REGION_VOXELS) -> Segmentation:
     """Segment a volume (t, y, x, bt, area and, for labels carried over, label).
 
     For each threshold, coldest first: grow the labels into colder voxels, detect new seeds, grow up
     to the next threshold; at last grow once more with a wide temperature margin. Only voxels up to
-    the warmest threshold take part. Regions of those that touch each other (up to ``most`` voxels) stay together from
-    the first threshold to the last, so a threshold costs one sweep over its regions and one aggregate of its parts.
+    the warmest threshold take part. Nothing passes between regions of those that do not touch each other, so regions of up to
+    ``most`` voxels go through all thresholds in one task. New systems are named by the first voxel of their seed there, and numbered once at
+    the end, by threshold and that voxel, which is the order in which one threshold after the other would number them.
     """
     last = params.first_label if last_label is None else last_label
     warmest = max(t for pair in params.ladder() for t in pair)
     v = voxels if "label" in voxels.columns else voxels.withColumn("label", F.lit(None).cast("int"))
-    v = with_groups(v.where(F.col("bt") <= warmest).select("t", "y", "x", "bt", "area", "label"), ny, nx, most=most)
-    v = materialize(v, "volume")
-    large = not v.where("group is null").isEmpty()
-    seeds, after = None, []
-    for threshold, nxt in params.ladder():
-        steps = [*after, (F.col("bt") < threshold, params.delta_spread)]
-        swept = materialize(sweep(v, steps, ny, nx, candidates(threshold), params.scan_rules, large), "swept")
-        v, new, last = named_systems(swept, threshold, params.min_area_seed, params.min_lifetime, last)
-        seeds = new if seeds is None else seeds.union(new)
-        after = [(F.col("bt") <= nxt, params.delta_spread)]
-    v = sweep(v, [*after, (after[0][0], params.final_delta)], ny, nx, large=large)
-    return Segmentation(materialize(v.drop("group"), "segmented"), seeds, last)
+    v = v.where(F.col("bt") <= warmest).select("t", "y", "x", F.col("bt").cast("double").alias("bt"), F.col("area").cast("double").alias("area"), "label")
+    v = materialize(with_groups(v, ny, nx, most=most), "volume")
+    ready = v.where("group is not null").withColumns({"q": centikelvin(F.col("bt")), "own": voxel_index(F.col("t"), F.col("y"), F.col("x"), ny, nx), "rim": is_edge(ny, nx)})
+    swept = materialize(ready.groupBy("group").applyInArrow(_ladder_group(params), _LABELLED), "laddered")
+    frames = swept.where("detected is not null").groupBy(F.col("seed").alias("component"), F.col("detected").alias("threshold"), "t").agg(F.sum(F.floor("area")).alias("area"))
+    if not v.where("group is null").isEmpty():
+        rest, more = _ladder_of_large(v.where("group is null"), params, ny, nx, last)
+        swept, frames = swept.unionByName(rest), frames.unionByName(more)
+    frames = materialize(frames, "frames")
+    found = frames.select("component", "threshold").distinct()
+    number = (F.row_number().over(Window.orderBy("threshold", "component")) + last).cast("int")  # a row for each system, not its voxels
+    seeds = seed_records(frames, params.min_area_seed, params.min_lifetime).join(found, "component").withColumn("label", number)
+    seeds = materialize(seeds, "seeds")
+    named = swept.join(seeds.select(F.col("component").alias("seed"), F.col("label").alias("_new")), "seed", "left")
+    out = materialize(named.select("t", "y", "x", "bt", "area", F.coalesce("_new", "label").alias("label")), "segmented")
+    discard(v, swept)
+    by_slot = frames.join(seeds.select("component", "label"), "component").select("label", "t", "area")
+    return Segmentation(out, seeds, last + seeds.count(), by_slot)
 
 
 def chunk_bounds(slots: int, length: int, overlap: int) -> list[tuple[int, int]]:

@@ -64,8 +64,8 @@ def lasts(part, min_area, min_life):
     return best >= min_life
 
 
-def model_ladder(bt, p):
-    label, last = {}, p.first_label
+def model_ladder(bt, p, carried=(), last=None):
+    label, last = dict(carried), p.first_label if last is None else last
     for thr, nxt in p.ladder():
         label = fifo(bt, label, lambda b: b < thr, p.delta_spread)
         fixed = dict(label)
@@ -110,6 +110,40 @@ def test_ladder_equals_a_plain_model(spark):
     assert {r.label for r in seg.seeds.collect()} <= set(got.values())
 
 
+def noisy_volume():
+    """Blobs under noise, cold enough for all thresholds, with a few carried labels."""
+    rng = random.Random(12)
+    spots = [(4, 5, 5, 70), (6, 12, 9, 62), (9, 4, 12, 78), (10, 13, 14, 55), (5, 14, 3, 48)]
+    bt = {}
+    for t, y, x in itertools.product(range(14), range(18), range(18)):
+        depth = sum(a * np.exp(-((t - t0) ** 2) / 14 - ((y - y0) ** 2 + (x - x0) ** 2) / 9) for t0, y0, x0, a in spots)
+        b = round(float(258 - depth) + rng.randrange(-600, 600) / 100, 2)
+        if b <= 236:
+            bt[t, y, x] = b
+    carried = {v: 1 + k % 2 for k, v in enumerate(sorted(bt)) if v[0] == 0 or bt[v] < 186}
+    return bt, dict(list(carried.items())[:6])
+
+
+def test_production_ladder_equals_a_plain_model(spark):
+    """All 24 thresholds; parts are accepted, rejected and absorbed."""
+    p = RunParams(min_area_seed=3, min_lifetime=3)
+    bt, carried = noisy_volume()
+    v = spark.createDataFrame([(*k, b, 1.9, carried.get(k)) for k, b in bt.items()], "t int, y int, x int, bt double, area double, label int").repartition(5)
+    seg = detect_and_spread(v, p, 18, 18, last_label=2)
+    want = model_ladder(bt, p, carried, 2)
+    assert {(r.t, r.y, r.x): r.label for r in seg.voxels.collect() if r.label is not None} == want
+    seeds = {r.label: r for r in seg.seeds.collect()}
+    assert sorted(seeds) == list(range(3, seg.last_label + 1)) and len(seeds) >= 4 and len({r.threshold for r in seeds.values()}) >= 3
+    frames = {}
+    for r in seg.frames.collect():
+        frames.setdefault(r.label, {})[r.t] = r.area
+    for name, r in seeds.items():
+        mine = frames[name]
+        assert (min(mine), max(mine), sum(mine.values())) == (r.t_min, r.t_max, r.total_area) and r.accepted
+    empty = detect_and_spread(v.where("false"), p, 18, 18)
+    assert empty.voxels.isEmpty() and empty.seeds.isEmpty() and empty.last_label == p.first_label
+
+
 def test_ladder_queries_take_the_whole_table(spark, tmp_path, monkeypatch):
     """What the queries hand to the ladder: every voxel of the events, its height and all thresholds (the ladder itself is tested above)."""
     from cirrostrat import queries
@@ -264,20 +298,40 @@ def test_components_across_tiles(spark, tile):
     assert {(r.t, r.y, r.x): r.component for r in got.collect()} == want
 
 
-def test_large_regions_grow_alike(spark, monkeypatch):
-    """Level by level, with paths named anew, as in one task."""
-    from cirrostrat.operators import growth
-
-    monkeypatch.setattr(growth, "RENAME", 2)
+@pytest.mark.parametrize(("most", "tile", "delta"), [(1000, (16, 128, 128), 1.0), (3, (16, 128, 128), 0.0), (3, (1, 2, 3), 1.0), (3, (2, 3, 4), 5.5)])
+def test_large_regions_grow_alike(spark, most, tile, delta):
+    """Tile by tile, with keys handed over faces, as in one task."""
     rng = random.Random(6)
     bt = {(t, y, x): rng.randrange(19000, 19600) / 100 for t in range(3) for y in range(6) for x in range(6)}
     label = {v: k + 1 for k, v in enumerate(rng.sample(sorted(bt), 4))}
     df = spark.createDataFrame([(*v, b, label.get(v)) for v, b in bt.items()], "t int, y int, x int, bt double, label int")
-    want = fifo(bt, label, lambda b: b <= 195, 1.0)
-    for most in (3, 1000):
-        assert {(r.t, r.y, r.x): r.label for r in grow(df, F.col("bt") <= 195, 1.0, 6, 6, most=most).collect() if r.label is not None} == want
-    assert grow(df.withColumn("label", F.lit(None).cast("int")), F.col("bt") <= 195, 1.0, 6, 6).where("label is not null").isEmpty()
-    assert grow(df.where("false"), F.col("bt") <= 195, 1.0, 6, 6).isEmpty()
+    grown = {(r.t, r.y, r.x): r.label for r in grow(df, F.col("bt") <= 195, delta, 6, 6, most=most, tile=tile).collect() if r.label is not None}
+    assert grown == fifo(bt, label, lambda b: b <= 195, delta)
+
+
+def test_large_regions_without_labels_rows_or_temperatures(spark):
+    rows = [(0, 0, x, None if x == 3 else 190.0, 5 if x in (0, 3) else None) for x in range(8)]
+    df = spark.createDataFrame(rows, "t int, y int, x int, bt double, label int")
+    for most in (1, 1000):
+        got = {r.x: r.label for r in grow(df, F.col("bt") <= 195, 1.0, 1, 8, most=most, tile=(1, 1, 2)).collect()}
+        assert got == {0: 5, 1: 5, 2: 5, 3: 5, 4: None, 5: None, 6: None, 7: None}
+        assert grow(df.withColumn("label", F.lit(None).cast("int")), F.col("bt") <= 195, 1.0, 1, 8, most=most).where("label is not null").isEmpty()
+        assert grow(df.where("false"), F.col("bt") <= 195, 1.0, 6, 6, most=most).isEmpty()
+
+
+def test_rounds_follow_tiles_not_levels(spark, monkeypatch):
+    """A disc of 11,000 voxels and 60 levels, in tiles of 32 by 32, as the queue grows it, in a few rounds; tables that no step reads go."""
+    from cirrostrat.operators import growth
+
+    written, gone, keep, drop = [], [], growth.materialize, growth.discard
+    monkeypatch.setattr(growth, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    monkeypatch.setattr(growth, "discard", lambda *tables: gone.extend(tables) or drop(*tables))
+    cells = [(0, y, x) for y in range(120) for x in range(120) if (y - 60) ** 2 + (x - 60) ** 2 <= 3500]
+    label = {(0, 60, 60): 1, (0, 58, 64): 2, (0, 10, 60): 3}
+    df = spark.createDataFrame([(*v, 200.0, label.get(v)) for v in cells], "t int, y int, x int, bt double, label int")
+    got = {(r.t, r.y, r.x): r.label for r in growth.grow_by_tiles(df, F.col("bt") <= 235, 1.0, 120, 120, tile=(16, 32, 32)).collect()}
+    assert got == fifo(dict.fromkeys(cells, 200.0), label, lambda b: b <= 235, 1.0)
+    assert written.count("reached") <= 8 and len(gone) >= len(written) - 3
 
 
 @pytest.mark.parametrize("scan_rules", [False, True])
