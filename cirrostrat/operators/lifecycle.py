@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from cirrostrat.functions.scalar import KM_PER_DEGREE, MISSING, chord_km, epoch_seconds, great_circle_km, normalised
 from cirrostrat.operators.joins import at_cells
+from cirrostrat.operators.ranks import percentile_by_rank
+from cirrostrat.runtime import materialize
 
 #: Thresholds (K) of cold surfaces, mean temperatures and ellipses in the published tables.
 SURFACES, MEANS, ELLIPSES = (235, 220, 210, 200), (235, 208, 200), (235, 220)
@@ -63,21 +65,25 @@ def finish_ellipse(k: int, lat0: Column) -> dict[str, Column]:
     }
 
 
-def life_cycle(pixels: DataFrame, grid: DataFrame, surfaces: Sequence[int] = SURFACES, means: Sequence[int] = MEANS, ellipses: Sequence[int] = ELLIPSES) -> DataFrame:
+def life_cycle(pixels: DataFrame, grid: DataFrame, surfaces: Sequence[int] = SURFACES, means: Sequence[int] = MEANS, ellipses: Sequence[int] = ELLIPSES, by_rank: bool = False) -> DataFrame:
     """One row per (label, ts) of labelled pixels (ts, y, x, label, bt, lat, lon, area).
 
     Count, centre (mean position cut to a cell, with that cell's coordinates), coldest and 90th
     percentile temperature, means and cold surfaces by threshold, ellipses around the centres of their own cold pixels. One
-    aggregate computes all of it; pixels without temperature count in ``n`` only.
+    aggregate computes all of it; pixels without temperature count in ``n`` only. ``by_rank``: the percentile comes from counts of ranks
+    over all tasks, for systems whose images hold too many different temperatures for the one map that the aggregate keeps for each.
     """
     cold = {k: F.col("bt") <= k for k in {*surfaces, *means, *ellipses}}
-    aggs = [F.count("*").alias("n"), F.avg("y").cast("int").alias("cy"), F.avg("x").cast("int").alias("cx"), F.min("bt").alias("tbmin"), F.percentile("bt", 0.9).alias("tb90")]
+    aggs = [F.count("*").alias("n"), F.avg("y").cast("int").alias("cy"), F.avg("x").cast("int").alias("cx"), F.min("bt").alias("tbmin")]
+    aggs += [] if by_rank else [F.percentile("bt", 0.9).alias("tb90")]
     aggs += [F.avg(F.when(cold[k], F.col("bt"))).alias(f"tbavg_{k}") for k in means]
     aggs += [F.count(F.when(cold[k], F.lit(1))).cast("int").alias(f"pix_{k}") for k in surfaces]
     aggs += [F.coalesce(F.sum(F.when(cold[k], F.col("area").cast("double"))), F.lit(0.0)).alias(f"km2_{k}") for k in surfaces]
     for k in ellipses:
         aggs += [c.alias(n) for n, c in ellipse(F.col("lat"), F.col("lon"), cold[k], k).items()]
     per = pixels.groupBy("label", "ts").agg(*aggs)
+    if by_rank:
+        per = per.join(percentile_by_rank(pixels, ["label", "ts"], "bt", 0.9, "tb90"), ["label", "ts"], "left")
     for k in ellipses:
         per = at_cells(per, grid, f"_cy{k}", f"_cx{k}").drop("lon").withColumnRenamed("lat", f"_lat{k}")
         per = per.withColumns(finish_ellipse(k, F.col(f"_lat{k}")))
@@ -119,12 +125,26 @@ def time_axis(lc: DataFrame) -> DataFrame:
 def dense(lc: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for every system and every time of the axis, with missing values where a system was not seen.
 
-    Rows are made by handing each system the axis between all first and last times, as the export
-    asks for a full matrix; its size is systems times slots by definition.
+    Times get their place on the axis; each system's rows are sorted by it into one array, whose gaps are filled with
+    missing values, and the array becomes rows again. So systems and times never cross, and one shuffle by system does it.
+    Rows without time take no part; a system that has several rows of one time keeps them all.
     """
-    every = lc.select("label").distinct().crossJoin(lc.select("ts").distinct())
-    have = lc.select("label", "ts", *columns)
-    return every.join(have, ["label", "ts"], "left").select("label", "ts", *[F.coalesce(F.col(c).cast("double"), F.lit(float(MISSING))).alias(c) for c in columns])
+    place = (F.row_number().over(Window.orderBy("ts")) - 1).alias("i")
+    axis = materialize(lc.where("ts is not null").select("ts").distinct().select("ts", place), "axis")  # one row a slot
+    slots, gap = axis.count(), F.lit(float(MISSING))
+    nothing = F.struct(*[gap.alias(c) for c in columns])
+    seen = lc.select("label", "ts", F.struct(*[F.coalesce(F.col(c).cast("double"), gap).alias(c) for c in columns]).alias("v")).join(axis, "ts")
+
+    def missing(after: Column, before: Column) -> Column:
+        steps = F.transform(F.sequence(after + 1, before - 1), lambda k: F.struct(k.alias("i"), nothing.alias("v")))
+        return F.when(before - after > 1, steps).otherwise(F.slice(F.array(F.struct(after.alias("i"), nothing.alias("v"))), 1, 0))
+
+    one = seen.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("e"))
+    e = F.col("e")
+    filled = F.transform(e, lambda r, j: F.concat(missing(F.when(j > 0, F.get(e, j - 1)["i"]).otherwise(F.lit(-1)), r["i"]), F.array(r)))
+    whole = F.flatten(F.concat(filled, F.array(missing(F.get(e, F.size(e) - 1)["i"], F.lit(slots)))))
+    rows = one.select("label", F.explode(whole).alias("r")).select("label", F.col("r.i").alias("i"), "r.v.*")
+    return rows.join(axis, "i").select("label", "ts", *columns)
 
 
 def online_places(pixels: DataFrame, grid: DataFrame, threshold: float = 235) -> DataFrame:
@@ -144,6 +164,11 @@ def online_tracks(pixels: DataFrame, grid: DataFrame, threshold: float = 235) ->
 def finish_tracks(per: DataFrame) -> DataFrame:
     """Summaries of (label, ts, lat, lon, tbmin, km2) rows, one row per system seen at two times or more."""
     d = per.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("ts", "lat", "lon")).alias("a"), F.max(F.struct("ts", "lat", "lon")).alias("z"), F.min("tbmin").alias("tb_min"), F.max("km2").alias("surfmax"), F.sum("km2").alias("surfcum")).where("n >= 2")
+    return track_columns(d)
+
+
+def track_columns(d: DataFrame) -> DataFrame:
+    """The summary's columns from (label, n, a, z, tb_min, surfmax, surfcum), a and z the first and last (ts, lat, lon)."""
     first, last = epoch_seconds(F.col("a.ts")), epoch_seconds(F.col("z.ts"))
     km = great_circle_km(F.col("a.lat"), F.col("a.lon"), F.col("z.lat"), F.col("z.lon"))
     return d.select(

@@ -512,7 +512,8 @@ def cold_surfaces(spark, d):
 
 @query(f"WITH {LC} SELECT label, t, tbmin, round(tb90, 4) AS tb90 FROM lc")
 def tb_min_p90(spark, d):
-    return _life(spark, d).select("label", _slot(), "tbmin", F.round("tb90", 4).alias("tb90"))
+    life = lifecycle.life_cycle(_pixels(spark, d), _grid(spark, d), by_rank=True)
+    return life.select("label", _slot(), "tbmin", F.round("tb90", 4).alias("tb90"))
 
 
 @query(f"WITH {LC} SELECT label, t, round(a235, 6) AS tbavg_235, round(a208, 6) AS tbavg_208, round(a200, 6) AS tbavg_200 FROM lc")

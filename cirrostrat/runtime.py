@@ -39,9 +39,14 @@ def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote for these tables; for tables that no later step reads."""
     for df in tables:
         if path := getattr(df, "_stored_at", None):
-            sc = df.sparkSession.sparkContext
-            target = sc._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system that Spark knows, if it is there."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _shipped: set[str] = set()
