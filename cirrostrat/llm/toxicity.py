@@ -1,10 +1,10 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax.
 
 A word is the mean of the vectors of its character n-grams and of itself, all hashed into one
-table; a stretch of text is the mean of its distinct words, padded to its length; two linear outputs
-and a softmax follow. Table and outputs
-are trained jointly in numpy on a bounded sample of labelled texts, so unseen misspellings share the
-n-grams of the words that they come from. A long text is scored by its worst stretch.
+table; a stretch of a few words is the mean of its distinct words, padded to its length; two linear outputs
+and a softmax follow. Table and outputs are trained jointly in numpy on a bounded sample of labelled texts, so unseen misspellings
+share the n-grams of the words that they come from. A text is scored by its worst stretches, and training takes
+of each text those that the model finds worst among all that it has, so hard clean stretches come from whole texts.
 """
 
 from __future__ import annotations
@@ -17,23 +17,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cirrostrat.llm.text import aside, in_small_batches, mix, slices
 from cirrostrat.runtime import discard, materialize
 
-#: The most labelled texts of either class that training takes.
-SAMPLE = 4000
-BUCKETS, DIM, STRETCH = 1 << 20, 8, 128
-#: Stretches of one text in training, and the most characters of one of them (longer words than these hold are junk; scoring takes texts whole).
-STRETCHES, STRETCH_CHARS = 8, 4000
-#: A stretch counts as this many words at least, so that no single word decides.
-LEAST_WORDS = 32
+#: The most labelled texts of either class that training takes, and the most bytes of them together; both are parameters of ``toxicity_scores``.
+SAMPLE, SAMPLE_BYTES = 4000, 12_000_000
+#: Words of a stretch (the next begins after half of them), and the worst stretches whose mean scores a text.
+BUCKETS, DIM, STRETCH, WORST = 1 << 20, 8, 6, 4
 #: Every so many-th text of the sample sets the threshold and does not train.
 HELD = 5
-#: Stretches of a training step, and the fewest steps.
-BATCH, STEPS = 128, 120
+#: Stretches of a training step, rounds over the texts, and stretches of each text in the first third of them.
+BATCH, ROUNDS, DRAWN = 128, 30, 4
 #: n-grams of fewer texts of the sample say nothing (their vector is zero), so that no text is learnt by heart.
 SUPPORT = 5
+#: Fixed point of a word's log-odds in scores, so that sums do not depend on their order.
+UNIT = float(1 << 32)
 _EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…*#$%&|/\\-_=+~`^@"
 
 
@@ -62,85 +62,87 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found)[order] % np.uint64(BUCKETS)).astype(np.int32), np.bincount(of, minlength=len(marked))
 
 
-def stretch_starts(n: int) -> list[int]:
-    """Where the stretches of a text of ``n`` words begin, each half over the next."""
+def stretches(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of a text's words as rows of sorted codes, and which of these are a row's first of their kind; one shorter row for a short text."""
+    n = len(codes)
     if n <= STRETCH:
-        return [0]
-    starts = list(range(0, n - STRETCH + 1, STRETCH // 2))
-    return starts if starts[-1] + STRETCH == n else [*starts, n - STRETCH]
-
-
-def stretches(words: list[str]) -> list[list[str]]:
-    return [words[i : i + STRETCH] for i in stretch_starts(len(words))] if words else []
+        rows = np.sort(codes)[None, :]
+    else:
+        start = np.arange(0, n - STRETCH + 1, STRETCH // 2)
+        start = start if start[-1] + STRETCH == n else np.r_[start, n - STRETCH]
+        rows = np.sort(codes[start[:, None] + np.arange(STRETCH)], axis=1)
+    first = np.ones(rows.shape, bool)
+    first[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    return rows, first
 
 
 class _Bags:
-    """Texts as sparse bags over the distinct words of the sample."""
-
-    def __init__(self) -> None:
-        self._at: dict[str, int] = {}
-        self.word: list[np.ndarray] = []
-        self.part: list[float] = []
-
-    def add(self, words: list[str]) -> None:
-        own, at = dict.fromkeys(words), self._at
-        self.word.append(np.fromiter((at.setdefault(w, len(at)) for w in own), np.int32, len(own)))
-        self.part.append(1 / max(len(words), LEAST_WORDS))
-
-    def close(self) -> None:
-        """No more texts: the words themselves are no longer needed."""
-        names, parts = list(self._at), []
+    """The stretches of texts as sparse bags over their distinct words."""
+
+    def __init__(self, texts: list[str | None]):
+        at: dict[str, int] = {}
+        words, sizes, owner = [], [], []
+        for k, text in enumerate(texts):
+            codes = np.fromiter((at.setdefault(w, len(at)) for w in words_of(text)), np.int32)
+            if len(codes):
+                rows, first = stretches(codes)
+                words.append(rows[first])
+                sizes.append(first.sum(axis=1))
+                owner.append(np.full(len(rows), k, np.int32))
+        self.word, self.size, self.owner = (np.concatenate(p) if p else np.empty(0, np.int32) for p in (words, sizes, owner))
+        self.start = np.r_[0, np.cumsum(self.size)]
+        names, parts = list(at), [(np.empty(0, np.int32), np.empty(0, np.int64))]
         for lo in range(0, len(names), 20_000):
             parts.append(subwords(names[lo : lo + 20_000]))
-        self._at = {}
         self.gram = np.concatenate([p[0] for p in parts])
         self.gram_from = np.r_[0, np.cumsum(np.concatenate([p[1] for p in parts]))]
 
-    def support(self, owner: np.ndarray) -> np.ndarray:
+    def support(self) -> np.ndarray:
         """The number of texts that each bucket occurs in."""
         out = np.zeros(BUCKETS, np.int64)
-        cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+        cuts = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1], True])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            out[np.unique(_grams_of(self, np.unique(np.concatenate(self.word[lo:hi])))[0])] += 1
+            words = np.unique(self.word[self.start[lo] : self.start[hi]])
+            out[np.unique(_ranges(self.gram, self.gram_from, words)[0])] += 1
         return out
 
+    def margins(self, log_odds: np.ndarray) -> np.ndarray:
+        words = np.add.reduceat(log_odds[self.gram], self.gram_from[:-1]) / np.diff(self.gram_from)
+        return np.add.reduceat(words[self.word], self.start[:-1]) / STRETCH
 
-def _grams_of(bags: _Bags, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the words one after the other, how many each has, and where each begins."""
-    lo, hi = bags.gram_from[words], bags.gram_from[words + 1]
-    count = hi - lo
-    start = np.r_[0, np.cumsum(count)[:-1]]
-    return bags.gram[np.arange(count.sum()) - np.repeat(start, count) + np.repeat(lo, count)], count, start
+    def worst(self, value: np.ndarray, k: int) -> np.ndarray:
+        """The ``k`` stretches of the highest value of each text."""
+        order = np.lexsort((-value, self.owner))
+        begins = np.r_[True, self.owner[order][1:] != self.owner[order][:-1]]
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))
+        return order[place < k]
 
 
-def _word_vectors(bags: _Bags, words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    grams, count, start = _grams_of(bags, words)
-    return np.add.reduceat(table[grams], start, axis=0) / count[:, None], grams, count, start
+def _ranges(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What lies within the rows' bounds, one after the other, how many each has, and where each begins."""
+    lo = bounds[rows]
+    count = bounds[rows + 1] - lo
+    start = np.r_[0, np.cumsum(count)[:-1]]
+    return values[np.arange(count.sum()) - np.repeat(start, count) + np.repeat(lo, count)], count, start
 
 
-def train(texts: list[list[str]], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
     """Fit on the stretches of labelled texts; returns the log-odds that each bucket adds to a word, and the bias.
 
-    The first third of the rounds takes all stretches, later ones of
-    each text the one that the model finds worst so far, as scoring does.
+    The first third of the rounds takes ``DRAWN`` stretches of each text, drawn anew each time, later ones
+    of each text the one among all its own that the model finds worst so far.
     """
-    bags, owner, label = _Bags(), [], []
-    for k, (own, y) in enumerate(zip(texts, labels, strict=True)):
-        for stretch in own:
-            bags.add(words_of(stretch))
-            owner.append(k)
-            label.append(y)
-    if len(set(label)) < 2:
-        return np.zeros(BUCKETS, np.float32), 4.0 if label and label[0] else -4.0
-    bags.close()
-    table, out, bias = _fit(bags, np.array(label), np.array(owner), np.ones(len(label), bool), seed, max(6, STEPS * BATCH // len(texts)))
+    bags, label = _Bags(texts), np.array(labels, np.int64)
+    if len(set(label[bags.owner].tolist())) < 2:
+        return np.zeros(BUCKETS, np.float32), 4.0 if labels and labels[0] else -4.0
+    table, out, bias = _fit(bags, label[bags.owner], seed)
     return (table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def _fit(bags: _Bags, label: np.ndarray, owner: np.ndarray, learns: np.ndarray, seed: int, epochs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Table, outputs and biases fitted to the stretches that learn, by steps of their own size for each n-gram."""
+def _fit(bags: _Bags, label: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table, outputs and biases fitted to the stretches that each round takes, by steps of their own size for each n-gram."""
     rng = np.random.default_rng(seed)
-    known = bags.support(owner) >= SUPPORT
+    known = bags.support() >= SUPPORT
     table = rng.random((BUCKETS, DIM), dtype=np.float32)
     table -= 0.5
     table /= DIM
@@ -148,32 +150,24 @@ def _fit(bags: _Bags, label: np.ndarray, owner: np.ndarray, learns: np.ndarray,
     out = rng.uniform(-0.1, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     g_table, g_out = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32)
-    for epoch in range(epochs):
-        chosen = np.flatnonzero(learns)
-        if 3 * epoch >= epochs:  # of each text, the worst stretch
-            margin = _margins(bags, table, out, bias, np.arange(len(label)))
-            best = {}
-            for i in chosen.tolist():
-                if owner[i] not in best or margin[i] > margin[best[owner[i]]]:
-                    best[owner[i]] = i
-            chosen = np.array(list(best.values()), np.int64)
+    for turn in range(ROUNDS):
+        chosen = bags.worst(rng.random(len(label)), DRAWN) if 3 * turn < ROUNDS else bags.worst(bags.margins(table @ (out[:, 1] - out[:, 0])), 1)
         share = np.bincount(label[chosen], minlength=2) / len(chosen)
         order = rng.permutation(chosen)
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
-            size = np.array([len(bags.word[i]) for i in rows])
-            words, at = np.unique(np.concatenate([bags.word[i] for i in rows]), return_inverse=True)
-            part = np.repeat(np.array([bags.part[i] for i in rows], np.float32), size)
-            vec, grams, count, _ = _word_vectors(bags, words, table)
-            start = np.r_[0, np.cumsum(size)[:-1]]
-            hidden = np.add.reduceat(vec[at] * part[:, None], start, axis=0)
+            words, size, start = _ranges(bags.word, bags.start, rows)
+            words, at = np.unique(words, return_inverse=True)
+            grams, count, first = _ranges(bags.gram, bags.gram_from, words)
+            vec = np.add.reduceat(table[grams], first, axis=0) / count[:, None]
+            hidden = np.add.reduceat(vec[at], start, axis=0) / STRETCH
             logit = hidden @ out + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             err = (p - np.eye(2, dtype=np.float32)[label[rows]]) * (0.5 / share[label[rows]])[:, None].astype(np.float32)
             d_out, d_hidden = hidden.T @ err, err @ out.T
             d_word = np.zeros_like(vec)
-            np.add.at(d_word, at, part[:, None] * np.repeat(d_hidden, size, axis=0))
+            np.add.at(d_word, at, np.repeat(d_hidden, size, axis=0) / STRETCH)
             d_gram = np.repeat(d_word / count[:, None], count, axis=0)
             names, back = np.unique(grams, return_inverse=True)
             d_table = np.stack([np.bincount(back, d_gram[:, j], len(names)) for j in range(DIM)], 1).astype(np.float32)
@@ -185,47 +179,52 @@ def _fit(bags: _Bags, label: np.ndarray, owner: np.ndarray, learns: np.ndarray,
     return table, out, bias
 
 
-def _margins(bags: _Bags, table: np.ndarray, out: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    log_odds = table @ (out[:, 1] - out[:, 0])
-    words = np.add.reduceat(log_odds[bags.gram], bags.gram_from[:-1]) / np.diff(bags.gram_from)
-    return np.array([words[bags.word[i]].sum() * bags.part[i] for i in rows]) + (bias[1] - bias[0])
-
-
 def _threshold(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Where to cut and how steeply: fewest errors, clean texts counting twice; in the middle of the widest gap among the best cuts."""
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    wrong = np.r_[0, np.cumsum(y == 1)] + 2 * ((y == 0).sum() - np.r_[0, np.cumsum(y == 0)])
-    wrong = wrong[1:-1] if len(x) > 1 else wrong
-    gap = np.diff(x)
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
-    k = best[np.argmax(gap[best])]
-    cut = float(x[k] + gap[k] / 2)
-    spread = max(1e-3, float(np.median(np.abs(x - cut))))
-    return cut, 3.0 / spread
+    """Where to cut and how steeply: a logistic curve through the held margins, fitted by Newton steps to targets drawn in a little from 0 and 1."""
+    n1, n0 = int(y.sum()), int((y == 0).sum())
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    middle, spread = float(np.median(x)), max(1e-6, float(np.std(x)))
+    z = np.stack([(x - middle) / spread, np.ones(len(x))], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (p - target) + 1e-6 * w)
+        w = w - step * min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
+        if float(np.abs(step).max()) < 1e-9:
+            break
+    slope = max(float(w[0]), 1e-3)  # a model that has learnt nothing must not turn around
+    return middle - spread * float(w[1]) / slope, slope / spread
 
 
 class Scorer:
     """Scores texts with trained log-odds; words are looked up once and kept, up to a bound."""
 
     def __init__(self, log_odds: np.ndarray, bias: float, most: int = 200_000):
-        self.log_odds, self.bias, self.most, self.known = log_odds, bias, most, {}
+        self.log_odds, self.bias, self.most = log_odds, bias, most
+        self.known: dict[str, int] = {}
+        self.values = np.empty(0, np.int64)
 
     def margins(self, texts: list[str | None]) -> list[float]:
         split = [words_of(t) for t in texts]
         new = list(set().union(*split).difference(self.known))
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list(set().union(*split))
+            self.values, new = np.empty(0, np.int64), list(set().union(*split))
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
             gram, count = subwords(part)
-            means = np.add.reduceat(self.log_odds[gram], np.r_[0, np.cumsum(count)[:-1]]) / count
-            self.known.update(zip(part, means.tolist(), strict=True))
-        return [(max(self._stretch(w[i : i + STRETCH]) for i in stretch_starts(len(w))) if w else 0.0) + self.bias for w in split]
+            means = np.add.reduceat(self.log_odds[gram].astype(np.float64), np.r_[0, np.cumsum(count)[:-1]]) / count
+            self.known.update(zip(part, range(len(self.values), len(self.values) + len(part)), strict=True))
+            self.values = np.r_[self.values, np.rint(means * UNIT).astype(np.int64)]
+        return [self._worst(w) + self.bias for w in split]
 
-    def _stretch(self, words: list[str]) -> float:
-        return math.fsum(map(self.known.__getitem__, set(words))) / max(len(words), LEAST_WORDS)
+    def _worst(self, words: list[str]) -> float:
+        if not words:
+            return 0.0
+        rows, first = stretches(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+        sums = np.where(first, self.values[rows], 0).sum(axis=1)
+        k = min(WORST, len(sums))
+        return int(np.partition(sums, len(sums) - k)[-k:].sum()) / (k * STRETCH * UNIT)
 
 
 def _sigmoid(x: float) -> float:
@@ -255,29 +254,30 @@ def labelled_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
     return ids
 
 
-def _drawn_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to ``STRETCHES`` stretches of each text, drawn by the hash of the text."""
-    for batch in slices(batches):
-        out = []
-        for text in batch.column("text").to_pylist():
-            own = stretches(words_of(text))
-            seed = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))
-            out.append([" ".join(own[i])[:STRETCH_CHARS] for i in np.random.default_rng(seed).permutation(len(own))[:STRETCHES]])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "y", "stretches"])
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, sample_bytes: int) -> DataFrame:
+    """(doc_id, text, y, held) of the labelled texts to learn from, stored: up to ``sample`` of each class, by the hash of their ids.
+
+    The ids are drawn first, so the broadcast is bounded. Texts of more than a sixteenth of ``sample_bytes`` set the threshold only; of the
+    others those train that come first by hash while they fit in ``sample_bytes`` a class, whole texts all of them.
+    """
+    known = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(labelled_ids(labels, label, sample)), "doc_id").distinct()
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "text").limit(sample) for y in (0, 1)]
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = parts[0].union(parts[1]).withColumns({"held": F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(HELD)) == 0, "_size": size})
+    apart = F.col("held") | (F.col("_size") > sample_bytes // 16)
+    upto = F.sum("_size").over(Window.partitionBy("y", "_apart").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "text"))  # ``sample`` rows each
+    rows = rows.withColumn("_apart", apart).withColumn("_upto", upto).where(F.col("_apart") | (F.col("_upto") <= sample_bytes))
+    return materialize(rows.select("doc_id", "text", "y", F.col("_apart").alias("held")), "labelled")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple[np.ndarray, float]:
+def fitted(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
     """The trained model, with its bias where the fewest labelled texts that did not train are judged wrongly.
 
-    Tasks cut the sample into stretches, so the driver gets ``2 * sample * STRETCHES`` of these at most, however long the texts are.
-    The texts that set the bias are scored whole in tasks, by all their stretches, as any other text; one number of each comes back.
+    The driver gets ``2 * sample_bytes`` of texts at most. The texts that set the bias are scored in tasks, as any other text; one number of each comes back.
     """
-    # at most twice ``sample`` ids, so the broadcast is bounded
-    rows = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(labelled_ids(labels, label, sample)), "doc_id")
-    rows = materialize(rows.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(HELD)) == 0), "labelled")
-    drawn = rows.where("not held").select("doc_id", "text", "y").mapInArrow(_drawn_stretches, "doc_id long, y int, stretches array<string>")
-    learns = drawn.orderBy("doc_id", "stretches").toArrow()
-    table, bias = train(learns.column("stretches").to_pylist(), learns.column("y").to_pylist())
+    rows = learning_rows(docs, labels, label, sample, sample_bytes)
+    learns = rows.where("not held").select("text", "y", "doc_id").orderBy("doc_id", "text").toArrow()
+    table, bias = train(learns.column("text").to_pylist(), learns.column("y").to_pylist())
     model = docs.sparkSession.sparkContext.broadcast((table, bias))
     seen = rows.where("held").select("doc_id", "text", "y").mapInArrow(_score(model, margins=True), "doc_id long, text string, y int, score double")
     seen = seen.select("score", "y").orderBy("score", "y").toArrow()
@@ -290,15 +290,15 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple
     return table * np.float32(scale), (bias - cut) * scale
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """``docs`` (with a ``text``) plus ``score``, the probability of label 1.
 
     ``labels``: doc_id and 0/1 labels of the rows to learn from, of which up to ``sample`` of either
-    class train; null labels are left out, and an id with both labels counts as 1. Null and empty texts score as a text of no words. Other
-    columns pass through; a ``score`` that exists is replaced. Without labels of both classes every
-    text has one score.
+    class, and ``sample_bytes`` of their texts, train; null labels are left out, and an id with both labels counts as 1. Null and empty texts score
+    as a text of no words. Every text is scored by all its stretches. Rows that repeat each have their score; other
+    columns pass through; a ``score`` that exists is replaced. Without labels of both classes every text has one score.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, label, sample))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, label, sample, sample_bytes))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "score")
     return in_small_batches(docs).mapInArrow(_score(model), f"{schema}, score double")
 

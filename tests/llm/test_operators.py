@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -237,6 +238,53 @@ def test_toxicity_held_out(spark, nothing):
     assert kept.columns == docs.columns and 170 <= kept.count() <= 190
 
 
+def test_toxicity_of_repeats_and_clashing_columns(spark):
+    docs, labels = labelled(spark)
+    odd = docs.select("doc_id", "text", F.lit("own").alias("score"), F.lit(1).alias("y"), F.lit(2).alias("held"), F.lit(3).alias("_size"))
+    odd = odd.union(odd.where("doc_id < 40")).union(odd.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    kept = toxicity.drop_toxic(odd, labels)
+    assert kept.columns == odd.columns and kept.where("score <> 'own'").isEmpty()
+    scored = toxicity.toxicity_scores(odd, labels)
+    assert scored.count() == 281 and scored.groupBy("text").agg(F.countDistinct("score").alias("n")).where("n > 1").isEmpty()
+
+
+def test_toxicity_scores_all_stretches_of_a_text():
+    """The worst stretches count wherever they stand, and scores are those of a plain walk."""
+    rng = random.Random(1)
+    table = np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    scorer = toxicity.Scorer(table, 0.25)
+    value = {w: sum(float(table[g]) for g in toxicity.subwords([w])[0]) / len(toxicity.subwords([w])[0]) for w in WORDS}
+    for n in (1, 3, 6, 7, 8, 9, 50, 301):
+        w = [rng.choice(WORDS) for _ in range(n)]
+        starts = sorted({*range(0, max(1, n - 5), 3), max(0, n - 6)})
+        sums = sorted((sum(value[x] for x in set(w[i : i + 6])) / 6 for i in starts), reverse=True)[:4]
+        assert scorer.margins([" ".join(w)])[0] == pytest.approx(sum(sums) / len(sums) + 0.25, abs=1e-6)
+    assert scorer.margins([None, "", " "]) == [0.25] * 3
+
+
+def test_learning_texts_are_whole_and_bounded(spark):
+    """Bytes of the texts that train are bounded by whole rows; longer texts set the threshold only."""
+    docs, labels = labelled(spark)
+    rows = toxicity.learning_rows(docs, labels, "toxic", 100, 8000).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.text == text[r.doc_id] for r in rows) and {r.y for r in rows} == {0, 1}
+    for y in (0, 1):
+        mine = [r for r in rows if r.y == y]
+        assert 0 < sum(len(r.text) for r in mine if not r.held) <= 8000 and len(mine) <= 100
+    assert all(r.held for r in rows if len(r.text) > 500)
+
+
+def test_toxicity_query(spark):
+    rows = llm_queries.op3_toxicity(spark, DATA).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert {r.doc_id for r in rows} == set(docs) and len(rows) == len(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").where("toxic is not null").collect()}
+    assert sum(r.predicted for r in rows if not toxic.get(r.doc_id, 1)) <= 0.03 * len(toxic)
+    again = {r.doc_id: r.score for r in llm_queries.op3_toxicity(spark, DATA).collect()}
+    assert again == {r.doc_id: r.score for r in rows}
+
+
 def test_quality_rules(spark, docs, nothing):
     rng = random.Random(4)
     rows, labels = [], []
