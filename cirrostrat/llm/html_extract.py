@@ -44,7 +44,15 @@ _CUT_WORDS = frozenset(
     "pagination pager footer masthead share sharing social related recommended recommendations widget toolbar skip tags outbrain taboola feedback discussion".split()
 )
 #: Of these, words that also name parts of articles: there they cut only with a second word, or where links or form controls agree.
-_WEAK_WORDS = frozenset("discussion side tags related feedback respond reply replies rail skip recommended promotion signup login pager masthead widget".split())
+_WEAK_WORDS = frozenset(
+    "discussion side tags related feedback respond reply replies rail skip recommended promotion signup login pager masthead widget menu alert banner consent social footer modal overlay toolbar promoted".split()
+)
+#: Words beside them in a name that tell nothing else; in an article a name with other words (``ad-hoc``, ``social-history``) counts as weak.
+_FRAME_WORDS = frozenset(
+    "article area auto bar block body bottom box btn button buttons card center centre class col column container content contents count desktop end first float footer form frame google group header heading "
+    "holder icon icons id image in inline inner item items js large last left link links list lists main mid middle mobile module native new note outer page panel post reader readers right row section site "
+    "slot small sticky text thread title top unit user users video visitor wrap wrapper zone".split()
+)
 _CONTROLS = frozenset("form input button select textarea".split())
 _GOOD_WORDS = frozenset("article body content entry main post story text page hentry".split())
 #: A start tag of the first kind ends an open one of the second.
@@ -52,19 +60,24 @@ _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "thead": ("tr", "td", "th", "thead", "tbody"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"),
 }
-#: Elements nest this deep; deeper ones lie beside each other, as in browsers.
-_DEEPEST = 200
 _FENCE = frozenset("table td th ul ol dl div section article main body html blockquote form aside nav header footer".split())
 
 
 class Node:
-    __slots__ = ("attrs", "depth", "kids", "parent", "score", "tag", "words")
+    """An element; ``measure`` adds the characters, characters in links and commas below it, and whether form controls are."""
+
+    __slots__ = ("attrs", "commas", "controls", "kids", "links", "names", "parent", "score", "tag", "total")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict[str, str]):
         self.tag, self.parent, self.attrs, self.kids, self.score = tag, parent, attrs, [], 0.0
-        self.depth = 0 if parent is None else parent.depth + 1
+        self.total = self.links = self.commas = 0
+        self.controls = False
         named = f"{attrs.get('class', '')} {attrs.get('id', '')}" if attrs else ""
-        self.words = [w.lower() for w in _WORD.findall(named)] if named.strip() else []
+        self.names = [[w.lower() for w in _WORD.findall(n)] for n in named.split()]
+
+    @property
+    def words(self) -> list[str]:
+        return [w for n in self.names for w in n]
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -72,9 +85,17 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; texts stand among the children as strings, character references decoded."""
+    """The tree of a page, as deep as its tags nest; texts stand among the children as strings, character references decoded."""
     root = at = Node("html", None, {})
-    end, flat = 0, Counter()
+    end, still = 0, Counter()  # tags that are open, so that an end tag without a start costs no walk
+
+    def closed(upto: Node) -> Node:
+        nonlocal at
+        while at is not upto:
+            still[at.tag] -= 1
+            at = at.parent
+        return at
+
     for m in _TAG.finditer(page):
         if m.start() > end:
             at.kids.append(html.unescape(page[end : m.start()]))
@@ -83,18 +104,15 @@ def parse(page: str) -> Node:
             tag = tag.lower()
             if tag in ("html", "body", "head") and at is not root and tag != "body":
                 continue
-            at = _close_for(at, tag)
+            closed(_close_for(at, tag, still))
             node = Node(tag, at, _attributes(m["attrs"]))
             at.kids.append(node)
             if tag not in _VOID and not (m["attrs"].endswith("/") and tag not in _BLOCK):
-                if node.depth < _DEEPEST:
-                    at = node
-                else:
-                    flat[tag] += 1
+                at = node
+                still[tag] += 1
         elif tag := m["end"]:
             tag = tag.lower()
-            if flat[tag]:
-                flat[tag] -= 1
+            if not still[tag]:
                 continue
             up = at
             while up is not root and up.tag != tag:
@@ -103,20 +121,20 @@ def parse(page: str) -> Node:
                     break
                 up = up.parent
             if up is not root:
-                at = up.parent
+                closed(up.parent)
     if end < len(page):
         at.kids.append(html.unescape(page[end:]))
     return root
 
 
-def _close_for(at: Node, tag: str) -> Node:
-    if tag in _BLOCK and tag not in ("body", "html"):  # a block ends an open paragraph
+def _close_for(at: Node, tag: str, still: Counter) -> Node:
+    if still["p"] and tag in _BLOCK and tag not in ("body", "html"):  # a block ends an open paragraph
         up = at
         while up.parent is not None and up.tag != "p" and up.tag not in _FENCE and up.tag != "li":
             up = up.parent
         if up.tag == "p":
             at = up.parent
-    if tag in _CLOSES:
+    if tag in _CLOSES and any(still[t] for t in _CLOSES[tag]):
         ends, up = _CLOSES[tag], at
         while up.parent is not None and (up.tag in ends or up.tag not in _FENCE):
             if up.tag in ends:
@@ -125,6 +143,35 @@ def _close_for(at: Node, tag: str) -> Node:
     return at
 
 
+def walk(node: Node) -> Iterator[Node]:
+    """A node and all below it, in page order."""
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
+
+
+def _count(kids: list) -> tuple[int, int, int]:
+    """Characters, characters in links, and commas of measured children."""
+    total = links = commas = 0
+    for k in kids:
+        if isinstance(k, str):
+            total += len(k.strip())
+            commas += k.count(",") + k.count("，") + k.count("、")
+        else:
+            total, links, commas = total + k.total, links + k.links, commas + k.commas
+    return total, links, commas
+
+
+def measure(root: Node) -> None:
+    for node in reversed(list(walk(root))):
+        node.total, node.links, node.commas = _count(node.kids)
+        if node.tag == "a":
+            node.links = node.total
+        node.controls = node.tag in _CONTROLS or any(k.controls for k in node.kids if not isinstance(k, str))
+
+
 def _is_cut(node: Node, within: bool) -> bool:
     tag, attrs = node.tag, node.attrs
     if tag in _CUT or (tag in ("header", "head") and not within):
@@ -135,42 +182,30 @@ def _is_cut(node: Node, within: bool) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
-    named = {w for k, w in enumerate(node.words) if w in _CUT_WORDS and (k == 0 or node.words[k - 1] not in ("no", "has", "with", "without"))}
+    told = [{w for k, w in enumerate(n) if w in _CUT_WORDS and (k == 0 or n[k - 1] not in ("no", "has", "with", "without"))} for n in node.names]
+    named = set().union(*told)
     if tag == "article":
         named &= {"comment", "comments", "related", "reply", "ad", "promo", "sponsored"}
-    if within and len(named) == 1 and named <= _WEAK_WORDS and not _is_beside(node):
-        named = set()
-    return bool(named) or ("header" in node.words and not within)
+    if within and len(named) == 1 and not _is_beside(node):
+        plain = any(t & named and all(w in t or w in _FRAME_WORDS or len(w) < 2 or w.isdigit() for w in n) for t, n in zip(told, node.names, strict=True))
+        if named <= _WEAK_WORDS or not plain:
+            named = set()
+    return bool(named) or (not within and "header" in node.words)
 
 
 def _is_beside(node: Node) -> bool:
     """Whether a part of an article reads like none of its text: it is half links, or holds form controls."""
-    total, links, _ = _measure(node)
-    return links > 0.5 * total or any(n.tag in _CONTROLS for n in _walk(node))
-
-
-def prune(node: Node, within: bool = False) -> None:
-    within = within or node.tag in ("article", "main") or node.attrs.get("role") in ("main", "article")
-    node.kids = [k for k in node.kids if isinstance(k, str) or not _is_cut(k, within)]
-    for k in node.kids:
-        if not isinstance(k, str):
-            prune(k, within)
+    return node.links > 0.5 * node.total or node.controls
 
 
-def _measure(node: Node, linked: bool = False) -> tuple[int, int, int]:
-    """Characters, characters in links, and commas."""
-    total = links = commas = 0
-    linked = linked or node.tag == "a"
-    for k in node.kids:
-        if isinstance(k, str):
-            n = len(k.strip())
-            total += n
-            links += n if linked else 0
-            commas += k.count(",") + k.count("，") + k.count("、")
-        else:
-            t, a, c = _measure(k, linked)
-            total, links, commas = total + t, links + a, commas + c
-    return total, links, commas
+def prune(root: Node) -> None:
+    """Cut what cannot be main text, at any depth; the tree is measured before."""
+    todo = [(root, False)]
+    while todo:
+        node, within = todo.pop()
+        within = within or node.tag in ("article", "main") or node.attrs.get("role") in ("main", "article")
+        node.kids = [k for k in node.kids if isinstance(k, str) or not _is_cut(k, within)]
+        todo += [(k, within) for k in node.kids if not isinstance(k, str)]
 
 
 def _is_paragraph(node: Node) -> bool:
@@ -181,16 +216,15 @@ def _is_paragraph(node: Node) -> bool:
 
 def best_container(root: Node) -> Node:
     scored: list[Node] = []
-
-    def visit(node: Node) -> None:
+    wide = ("div", "section", "article", "main", "body")
+    for node in walk(root):
         if _is_paragraph(node):
-            own = [k for k in node.kids if isinstance(k, str) or k.tag not in _BLOCK] if node.tag in ("div", "section", "article", "main", "body") else node.kids
-            part = Node(node.tag, None, {})
-            part.kids = own
-            total, links, commas = _measure(part)
+            total, links, commas = _count([k for k in node.kids if isinstance(k, str) or k.tag not in _BLOCK] if node.tag in wide else node.kids)
+            if node.tag == "a":
+                links = total
             if total:
                 points = (1 + commas + min(total / 100, 3)) * (1 - links / total)
-                up, share = (node if node.tag in ("div", "section", "article", "main", "body") else node.parent), 1.0
+                up, share = (node if node.tag in wide else node.parent), 1.0
                 for level in range(5):
                     if up is None:
                         break
@@ -199,20 +233,14 @@ def best_container(root: Node) -> Node:
                         scored.append(up)
                         share = 0.5 if level == 0 else share / 2
                     up = up.parent
-        for k in node.kids:
-            if not isinstance(k, str):
-                visit(k)
-
-    visit(root)
     best, top = None, -1.0
     for node in dict.fromkeys(scored):
         weight = 1.5 if node.tag in ("article", "main") else 1.2 if _GOOD_WORDS & set(node.words) else 1.0
-        total, links, _ = _measure(node)
-        value = node.score * weight * (1 - (links / total if total else 0))
+        value = node.score * weight * (1 - (node.links / node.total if node.total else 0))
         if value > top:
             best, top = node, value
     if best is None:
-        best = next((n for n in _walk(root) if n.tag in ("article", "main")), root)
+        best = next((n for n in walk(root) if n.tag in ("article", "main")), root)
     up = best  # the article around the best part is all main text
     while up is not None:
         if up.tag == "article" or up.attrs.get("itemprop") == "articleBody":
@@ -226,13 +254,6 @@ def best_container(root: Node) -> Node:
     return best
 
 
-def _walk(node: Node) -> Iterator[Node]:
-    yield node
-    for k in node.kids:
-        if not isinstance(k, str):
-            yield from _walk(k)
-
-
 def with_siblings(best: Node) -> list[Node]:
     """The best container and the siblings that go on with its text, in page order."""
     if best.parent is None or best.tag in ("body", "html", "main"):
@@ -242,25 +263,25 @@ def with_siblings(best: Node) -> list[Node]:
         if k is best:
             keep.append(k)
         elif not isinstance(k, str):
-            total, links, _ = _measure(k)
-            density = links / total if total else 1.0
+            total, density = k.total, k.links / k.total if k.total else 1.0
             if k.score >= max(10.0, 0.2 * best.score) and density < 0.3:
                 keep.append(k)
+            elif best.tag == k.tag == "article" and density < 0.3 and any(_is_paragraph(n) and not n.links and _ends(n) for n in walk(k)):
+                keep.append(k)  # an article with text of its own
             elif best.tag != "article" and total and k.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") and density < 0.3 and (k.tag[0] == "h" or total > 80 or _ends(k)):
                 keep.append(k)
     return keep
 
 
 def _ends(node: Node) -> bool:
-    text = "".join(k for n in _walk(node) for k in n.kids if isinstance(k, str)).rstrip()
+    text = "".join(k for n in walk(node) for k in n.kids if isinstance(k, str)).rstrip()
     return text.endswith((".", "!", "?", ":", "…"))
 
 
 def _is_menu(node: Node) -> bool:
     if node.tag not in ("ul", "ol", "dl"):
         return False
-    total, links, _ = _measure(node)
-    return bool(total) and links > 0.9 * total and sum(1 for k in node.kids if not isinstance(k, str)) > 2
+    return bool(node.total) and node.links > 0.9 * node.total and sum(1 for k in node.kids if not isinstance(k, str)) > 2
 
 
 def _in_article(node: Node | None) -> bool:
@@ -283,24 +304,28 @@ def _introduced(node: Node) -> bool:
         return False
     if isinstance(before, str):
         return before.rstrip().endswith(":")
-    text = "".join(k for n in _walk(before) for k in n.kids if isinstance(k, str)).rstrip()
+    text = "".join(k for n in walk(before) for k in n.kids if isinstance(k, str)).rstrip()
     return before.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or text.endswith(":")
 
 
 def blocks(node: Node, out: list[str], line: list[str], article: bool = False) -> None:
     """Append the text of each block; inline text gathers in ``line``. Lists of links are menus unless they stand in an ``article`` or are introduced."""
-    own = node.tag in _BLOCK
-    if own:
-        _flush(out, line)
-    for k in node.kids:
-        if isinstance(k, str):
+    todo: list[tuple[Node | None, Iterator]] = [(None, iter([node]))]
+    while todo:
+        own, kids = todo[-1]
+        k = next(kids, None)
+        if k is None:
+            todo.pop()
+            if own is not None and own.tag in _BLOCK:
+                _flush(out, line)
+        elif isinstance(k, str):
             line.append(k)
         elif k.tag == "br":
             line.append(" ")
-        elif article or not _is_menu(k) or _introduced(k):
-            blocks(k, out, line, article)
-    if own:
-        _flush(out, line)
+        elif article or k is node or not _is_menu(k) or _introduced(k):
+            if k.tag in _BLOCK:
+                _flush(out, line)
+            todo.append((k, iter(k.kids)))
 
 
 def _flush(out: list[str], line: list[str]) -> None:
@@ -315,7 +340,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    measure(root)
     prune(root)
+    measure(root)
     out: list[str] = []
     line: list[str] = []
     for node in with_siblings(best_container(root)):

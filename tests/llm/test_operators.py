@@ -102,6 +102,34 @@ def test_parts_of_an_article_go_on_evidence_only(part, kept):
     assert html_extract.main_text(page).split("\n") == ["A first paragraph, which is long enough to be one.", *kept, "The last one."]
 
 
+@pytest.mark.parametrize("part", ["section id=social-history", "div class=ad-hoc", "div id=informed-consent", "section class=menu", "div class=editor-comment", "div class=alert", "section id=banner"])
+def test_sections_of_an_article_stay_if_they_read_like_it(part):
+    tag = part.split()[0]
+    page = f"<article><p>A first paragraph, which is long enough.</p><{part}><p>Of soup, there is one each day, and bread with it.</p></{tag}><p>The last one.</p></article>"
+    assert html_extract.main_text(page).split("\n") == ["A first paragraph, which is long enough.", "Of soup, there is one each day, and bread with it.", "The last one."]
+    links = f"<article><p>A first paragraph, which is long enough.</p><{part}><a href=1>Home</a> <a href=2>News</a></{tag}><p>The last one.</p></article>"
+    assert html_extract.main_text(links).split("\n") == ["A first paragraph, which is long enough.", "The last one."]
+
+
+@pytest.mark.parametrize("part", ["div class=ad-unit", "div class='ad-box top'", "div id=comments-list", "section class=reader-comments", "div class=cookie-notice", "div class='share-buttons js-2'", "aside", "div class=sidebar"])
+def test_parts_beside_an_article_still_go(part):
+    page = f"<article><p>A first paragraph, which is long enough.</p><{part}><p>Buy now, cheap, today.</p></{part.split()[0]}><p>The last one.</p></article>"
+    assert html_extract.main_text(page).split("\n") == ["A first paragraph, which is long enough.", "The last one."]
+
+
+@pytest.mark.parametrize("depth", [3, 190, 200, 260, 1000, 20_000])
+def test_parts_are_cut_at_any_depth(depth):
+    inner = "<nav><a href=1>Menu one</a></nav><article><aside class=ad><p>Buy now, cheap</p></aside><p>A first paragraph, which is long enough.</p><p>The last one.</p></article>"
+    assert html_extract.main_text("<div>" * depth + inner + "</div>" * depth).split("\n") == ["A first paragraph, which is long enough.", "The last one."]
+    assert html_extract.main_text("<article><p>Before, all this.</p>" + "<div>" * depth + "<div class=menu><a href=1>Menu</a></div><p>Deep, down here.</p>").split("\n") == ["Before, all this.", "Deep, down here."]
+    assert html_extract.main_text("<article><p>One.</p>" + "<b>" * depth + "bold" + "</i>" * depth).split("\n") == ["One.", "bold"]
+
+
+def test_articles_beside_each_other_stay():
+    page = "<main><article><p>The first one has a text of its own.</p></article><article><p>The second is longer, and scores more, with commas, and with more words, all of them about it.</p></article><article><a href=1>Teaser</a></article></main>"
+    assert html_extract.main_text(page).split("\n") == ["The first one has a text of its own.", "The second is longer, and scores more, with commas, and with more words, all of them about it."]
+
+
 def test_menus_outside_articles_go():
     menu = "<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About</a></ul>"
     page = f"<div class=content>{menu}<p>Some text, which is long enough, with commas, to be the main one.</p><p>More of it, and more.</p></div>"
