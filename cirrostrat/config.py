@@ -25,6 +25,8 @@ class RunParams:
     overlap_slots: int = 8
     slot_minutes: int = 30
     scan_rules: bool = False
+    #: Seeds by one scan whose order decides, instead of components; for regions that a task holds whole.
+    exact_scan: bool = False
 
     def ladder(self) -> list[tuple[int, int]]:
         """(threshold, next threshold); the last threshold overshoots ``max_bt`` where the step does not divide the range, the next one never does."""

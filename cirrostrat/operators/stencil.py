@@ -103,6 +103,14 @@ def least_beside(near: np.ndarray, label: np.ndarray, member: np.ndarray) -> np.
     return np.where(member & (least < far), least, 0)
 
 
+def least_of_parts(root: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """By root, the least label (0: none) beside the voxels of its part."""
+    least = np.full(len(root), FAR)
+    touch = np.flatnonzero((root >= 0) & (beside > 0))
+    np.minimum.at(least, root[touch], beside[touch])
+    return np.where(least < FAR, least, 0)
+
+
 def lasting(part: np.ndarray, slot: np.ndarray, km2: np.ndarray, min_area: float, min_lifetime: int) -> np.ndarray:
     """The parts (of voxels' part, slot and whole km2) that last: the rule of ``seeds.seed_records``."""
     parts, of = np.unique(part, return_inverse=True)
@@ -121,3 +129,57 @@ def lasting(part: np.ndarray, slot: np.ndarray, km2: np.ndarray, min_area: float
     np.maximum.at(longest, owns[begins], runs)
     total = np.bincount(owner, area, len(parts))
     return parts[(last - first + 1 >= min_lifetime) & (longest >= max(1, min_lifetime)) & (total >= min_area * min_lifetime)]
+
+
+def scanned(near: np.ndarray, cold: np.ndarray, label: np.ndarray, rim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that one scan over the voxels finds, step by step: for each voxel the one that started its part or -1, and for each that started one the label that would absorb it.
+
+    ``near`` has a voxel and its neighbours in the pattern ``SCAN``. Voxels are visited in order, but for the rim and for those without a cold
+    one among their six deciding neighbours. A visit with no label around starts a part; the first label around, if it is a part's, spreads to the free
+    cold voxels around; several labels around become neighbours of the first, and it theirs. Parts then join up from the oldest on, depth first and in the
+    order in which neighbours were met, but never through a system; the last system met so absorbs the whole. Labels are systems' (0: none).
+    """
+    n, held = len(label), np.r_[cold & (label == 0), False]
+    beside = np.r_[cold, False][near[:, 1:7]].any(1)
+    visits = np.flatnonzero(cold & ~rim & beside & held[near].any(1))  # elsewhere a visit finds nothing to spread to, nor a part
+    lab, free = label.tolist(), held.tolist()  # parts have negative labels
+    starts: list[int] = []
+    met: list[dict[int, None]] = []
+    for i in visits.tolist():
+        cells = [c for c in near[i].tolist() if c < n]
+        around = list(dict.fromkeys(lab[c] for c in cells if lab[c]))
+        if not around:
+            starts.append(i)
+            met.append({})
+            lab[i], around = -len(starts), [-len(starts)]
+            free[i] = False
+        first = around[0]
+        if first < 0:
+            for c in cells:
+                if free[c]:
+                    lab[c], free[c] = first, False
+        if len(around) > 1:
+            for other in around:
+                if first < 0:
+                    met[-first - 1].setdefault(other)
+                if other < 0:
+                    met[-other - 1].setdefault(first)
+    top, absorbs = [-1] * len(starts), [0] * len(starts)
+    for part in range(len(starts)):
+        if top[part] >= 0:
+            continue
+        top[part], ways = part, [iter(met[part])]
+        while ways:
+            other = next(ways[-1], None)
+            if other is None:
+                ways.pop()
+            elif other > 0:
+                absorbs[part] = other
+            elif top[-other - 1] < 0:
+                top[-other - 1] = part
+                ways.append(iter(met[-other - 1]))
+    begun = np.array([*(starts[k] for k in top), -1])
+    of = np.array(lab)
+    absorbed = np.zeros(n, np.int64)
+    absorbed[starts] = absorbs
+    return begun[np.where(of < 0, -of - 1, len(starts))], absorbed

@@ -16,7 +16,7 @@ from cirrostrat.operators import stencil
 from cirrostrat.operators.components import REGION_VOXELS, with_groups
 from cirrostrat.operators.growth import sweep
 from cirrostrat.operators.joins import carried_over
-from cirrostrat.operators.neighbors import SIX, TEN, is_edge
+from cirrostrat.operators.neighbors import SCAN, SIX, TEN, is_edge
 from cirrostrat.operators.seeds import candidates, frame_areas, named_systems, seed_records
 from cirrostrat.runtime import discard, materialize
 
@@ -42,6 +42,7 @@ def _ladder_group(params: RunParams):
         table = table.take(stencil.scan_order(t, y, x))
         t, y, x, own = (table.column(c).to_numpy() for c in ("t", "y", "x", "own"))
         near = stencil.neighbour_table(t, y, x, TEN)
+        around = stencil.neighbour_table(t, y, x, SCAN) if params.exact_scan else None
         bt, q = table.column("bt").to_numpy().astype(float), table.column("q").fill_null(1 << 30).to_numpy().astype(np.int64)
         km2 = np.nan_to_num(np.floor(table.column("area").to_numpy(zero_copy_only=False).astype(float)))
         carried = table.column("label").fill_null(0).to_numpy().astype(np.int64)
@@ -55,17 +56,15 @@ def _ladder_group(params: RunParams):
             label = stencil.grown(near, label, bt < threshold, q, delta)
             cold = (bt > 0) & (bt <= threshold)
             member = cold & (label == 0)
-            starts = member & ~rim & np.r_[cold, False][near[:, six]].any(1) if params.scan_rules else member
-            root = stencil.parts(near, member, starts)
+            if params.exact_scan:
+                root, given = stencil.scanned(around, cold, label, rim)
+            else:
+                starts = member & ~rim & np.r_[cold, False][near[:, six]].any(1) if params.scan_rules else member
+                root = stencil.parts(near, member, starts)
+                given = stencil.least_of_parts(root, stencil.least_beside(near, label, root >= 0))
             found = np.flatnonzero(root >= 0)
             if len(found):
                 new = stencil.lasting(root[found], t[found], km2[found], params.min_area_seed, params.min_lifetime)
-                given = np.zeros(len(t) + 1, np.int64)  # by root
-                beside = stencil.least_beside(near, label, root >= 0)
-                least = np.full(len(t), stencil.FAR)
-                touch = found[beside[found] > 0]
-                np.minimum.at(least, root[touch], beside[touch])
-                given[:-1][least < stencil.FAR] = least[least < stencil.FAR]
                 given[new] = len(names) + np.arange(len(new))
                 names += own[new].tolist()
                 label = np.where(root >= 0, given[root], label)
@@ -105,6 +104,8 @@ def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, la
     the warmest threshold take part. Nothing passes between regions of those that do not touch each other, so regions of up to
     ``most`` voxels go through all thresholds in one task. New systems are named by the first voxel of their seed there, and numbered once at
     the end, by threshold and that voxel, which is the order in which one threshold after the other would number them.
+    With ``exact_scan`` seeds, and the systems that absorb what fails, are those of one scan whose order decides (``stencil.scanned``); it is
+    refused for volumes with a larger region.
     """
     last = params.first_label if last_label is None else last_label
     warmest = max(t for pair in params.ladder() for t in pair)
@@ -115,6 +116,8 @@ def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, la
     swept = materialize(ready.groupBy("group").applyInArrow(_ladder_group(params), _LABELLED), "laddered")
     frames = swept.where("detected is not null").groupBy(F.col("seed").alias("component"), F.col("detected").alias("threshold"), "t").agg(F.sum(F.floor("area")).alias("area"))
     if not v.where("group is null").isEmpty():
+        if params.exact_scan:
+            raise ValueError(f"a region holds more than {most} voxels: its scan cannot be divided; raise `most`, or leave exact_scan")
         rest, more = _ladder_of_large(v.where("group is null"), params, ny, nx, last)
         swept, frames = swept.unionByName(rest), frames.unionByName(more)
     frames = materialize(frames, "frames")

@@ -411,6 +411,13 @@ def label_ladder(spark, d):
     return seg.voxels.where("label is not null").select("t", "y", "x", "label")
 
 
+@query()
+def label_ladder_scan(spark, d):
+    """The whole ladder in the exact scan mode, whose seeds depend on the order of one scan; the tests compare it with a plain model."""
+    seg = ladder.detect_and_spread(_event_volume(spark, d), config.RunParams(exact_scan=True), _height(spark, d), adapters.WIDTH)
+    return seg.voxels.where("label is not null").select("t", "y", "x", "label")
+
+
 #: Slots of a chunk, and those shared with the one before: the sixty slots of the events make four chunks.
 CHUNKED = config.RunParams(volume_slots=24, overlap_slots=8)
 

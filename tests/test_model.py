@@ -144,6 +144,104 @@ def test_production_ladder_equals_a_plain_model(spark):
     assert empty.voxels.isEmpty() and empty.seeds.isEmpty() and empty.last_label == p.first_label
 
 
+def model_scan(bt, label, thr, ny, nx):
+    """Seeds of one scan over a dense volume, cell by cell: (part of each voxel, number of its first voxel's visit), and what absorbs each part."""
+    steps = [(0, 0, 0), (0, 0, 1), (0, 0, -1), (0, 1, -1), (0, 1, 0), (0, 1, 1), (0, -1, -1), (0, -1, 0), (0, -1, 1), (-1, 0, 0), (1, 0, 0)]
+    cold = {v for v, b in bt.items() if 0 < b <= thr}
+    image = {v: ("fixed", n) for v, n in label.items()}
+    voisins, count = {}, 0
+    for v in sorted(cold):
+        t, y, x = v
+        if x in (0, nx - 1) or y in (0, ny - 1):
+            continue
+        around = [(t + a, y + b, x + c) for a, b, c in steps]
+        if not any(w in cold for w in around[1:7]):
+            continue
+        if not any(w in image for w in around):
+            count += 1
+            image[v] = ("part", count)
+            voisins["part", count] = []
+        seen = []
+        for w in around:
+            if w in image and image[w] not in seen:
+                seen.append(image[w])
+        if seen[0][0] == "part":
+            for w in around:
+                if w in cold and w not in image:
+                    image[w] = seen[0]
+        if len(seen) > 1:
+            for s in seen:
+                for a, b in ((seen[0], s), (s, seen[0])):
+                    if a[0] == "part" and b not in voisins[a]:
+                        voisins[a].append(b)
+    root, absorbs = {}, {}
+
+    def relabel(p, top):
+        root[p] = top
+        for o in voisins[p]:
+            if o[0] == "fixed":
+                absorbs[top] = o[1]
+            elif o not in root:
+                relabel(o, top)
+
+    for k in range(1, count + 1):
+        if ("part", k) not in root:
+            relabel(("part", k), k)
+    parts = {}
+    for v, p in image.items():
+        if p[0] == "part":
+            parts.setdefault(root[p], set()).add(v)
+    return [(parts[k], absorbs.get(k)) for k in sorted(parts)]
+
+
+def model_scan_ladder(bt, p, ny, nx):
+    label, last = {}, p.first_label
+    for thr, nxt in p.ladder():
+        label = fifo(bt, label, lambda b: b < thr, p.delta_spread)
+        for part, system in model_scan(bt, label, thr, ny, nx):
+            if lasts(part, p.min_area_seed, p.min_lifetime):
+                last += 1
+                label.update(dict.fromkeys(part, last))
+            elif system:
+                label.update(dict.fromkeys(part, system))
+        label = fifo(bt, label, lambda b: b <= nxt, p.delta_spread)
+    return fifo(bt, label, lambda b: b <= nxt, p.final_delta), last
+
+
+def exactly(spark, bt, p, ny, nx):
+    v = spark.createDataFrame([(*k, b, 1.0) for k, b in bt.items()], "t int, y int, x int, bt double, area double").repartition(3)
+    seg = detect_and_spread(v, p, ny, nx)
+    return {(r.t, r.y, r.x): r.label for r in seg.voxels.collect() if r.label is not None}, seg.last_label
+
+
+@pytest.mark.parametrize("min_area", [1, 4])
+def test_exact_scan_equals_a_plain_model_on_images(spark, min_area):
+    bt, _ = noisy_volume()
+    p = RunParams(min_area_seed=min_area, min_lifetime=3, exact_scan=True)
+    assert exactly(spark, bt, p, 18, 18) == model_scan_ladder(bt, p, 18, 18)
+
+
+def test_exact_scan_equals_a_plain_model_on_events(spark):
+    """The uncorrelated event volume, where the order of the scan decides most; and how far it lies from the canonical mode."""
+    from cirrostrat.sources import adapters
+
+    v = adapters.event_voxels(spark.read.parquet("/root/testdata/sf0.01/events.parquet")).where("bt <= 236")
+    bt = {(r.t, r.y, r.x): r.bt for r in v.collect()}
+    ny = max(y for _, y, _ in bt) + 1
+    p = RunParams(min_area_seed=1, min_lifetime=3, exact_scan=True)
+    got, last = exactly(spark, bt, p, ny, 15)
+    assert (got, last) == model_scan_ladder(bt, p, ny, 15)
+    plain = detect_and_spread(spark.createDataFrame([(*k, b, 1.0) for k, b in bt.items()], "t int, y int, x int, bt double, area double"), RunParams(min_area_seed=1, min_lifetime=3), ny, 15)
+    print(f"systems: canonical {plain.last_label - 1}, exact {last - 1}; labelled voxels {plain.voxels.where('label is not null').count()} and {len(got)} of {len(bt)}")
+    assert (plain.last_label - 1, last - 1) == (94, 70)
+
+
+def test_exact_scan_refuses_regions_beyond_a_task(spark):
+    v = spark.range(40).selectExpr("0 t", "0 y", "cast(id as int) x", "185.0D bt", "1.0D area")
+    with pytest.raises(ValueError, match="region"):
+        detect_and_spread(v, RunParams(exact_scan=True), 1, 40, most=10)
+
+
 def test_ladder_queries_take_the_whole_table(spark, tmp_path, monkeypatch):
     """What the queries hand to the ladder: every voxel of the events, its height and all thresholds (the ladder itself is tested above)."""
     from cirrostrat import queries
