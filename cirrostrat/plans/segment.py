@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrostrat.config import RunParams
+from cirrostrat.config import RunParams, read_params, run_params
 from cirrostrat.plans.ladder import run_chunks
 from cirrostrat.sources.grid import apply_crop, crop_mask
+from cirrostrat.sources.gridfiles import read_platform_grids
+from cirrostrat.sources.listing import in_period
 from cirrostrat.sources.readers import volume
-from cirrostrat.sources.sinks import last_chunk_wins, write_grid, write_labels
+from cirrostrat.sources.sinks import last_chunk_wins, write_grid, write_label_images, write_labels
 
 
 def cropped(images: DataFrame, grid: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -38,9 +40,23 @@ def segment(images: DataFrame, grid: DataFrame, start: str, end: str, params: Ru
     return last_chunk_wins(labelled.join(slots, "t").drop("t")).select("ts", "y", "x", "label")
 
 
-def run_segmentation(images: DataFrame, grid: DataFrame, start: str, end: str, lat: tuple[float, float], lon: tuple[float, float], path: str, params: RunParams | None = None) -> None:
-    """Crop, segment and write: ``path``/labels by day and slot, ``path``/grid with the indices of the crop."""
+def run_segmentation(images: DataFrame, grid: DataFrame, start: str, end: str, lat: tuple[float, float], lon: tuple[float, float], path: str, params: RunParams | None = None, files: dict[str, str] | None = None) -> None:
+    """Crop, segment and write: ``path``/labels by day and slot, ``path``/grid with the indices of the crop.
+
+    ``files`` (root, version, region, prefix and further attributes): the label images too, one gridded file for each slot of the period.
+    """
     near, cells, bounds = cropped(images, grid, lat, lon)
     b = bounds.first()
     write_grid(cells.withColumns({"crop_y0": F.lit(b.y0), "crop_y1": F.lit(b.y1), "crop_x0": F.lit(b.x0), "crop_x1": F.lit(b.x1)}), f"{path}/grid")
-    write_labels(segment(near, cells, start, end, params).withColumn("chunk", F.lit(0)), f"{path}/labels")
+    labels = segment(near, cells, start, end, params)
+    write_labels(labels.withColumn("chunk", F.lit(0)), f"{path}/labels")
+    if files:
+        slots = in_period(near, start, end).select("ts").distinct()
+        own = near.sparkSession.read.parquet(f"{path}/labels").join(slots, "ts", "left_semi")
+        write_label_images(own, cells, slots, scan_minutes=(params or RunParams()).slot_minutes, **files)
+
+
+def run_files(spark: SparkSession, config: str, images: str, platform: str, grid: DataFrame, start: str, end: str, lat: tuple[float, float], lon: tuple[float, float], path: str, files: dict[str, str] | None = None) -> None:
+    """A run from its parameter file and the gridded files of a platform: only those of the period are opened."""
+    params = run_params(read_params(spark, config))
+    run_segmentation(read_platform_grids(spark, images, platform, start=start, end=end), grid, start, end, lat, lon, path, params, files)

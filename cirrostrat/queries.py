@@ -6,6 +6,7 @@ closed-form blobs. Labelled voxels of the statistics are tiles of five by five p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from cirrostrat import config
 from cirrostrat.functions import filetime, scalar
 from cirrostrat.operators import components, growth, joins, lifecycle, neighbors, seeds
 from cirrostrat.plans import ladder, segment, track
-from cirrostrat.sources import adapters, grid, listing, readers, sinks
+from cirrostrat.runtime import shared_dir
+from cirrostrat.sources import adapters, grid, gridfiles, listing, readers, sinks
 from cirrostrat.streaming import tracker
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +164,17 @@ def param_parse(spark, d):
     return config.parse_lines(spark.createDataFrame([(x,) for x in text], "value string"))
 
 
+@query(f"WITH {V} SELECT t, y, x, bt FROM v WHERE t BETWEEN 20 AND 33 AND y BETWEEN 2 AND 5 AND x BETWEEN 3 AND 14")
+def grid_files(spark, d):
+    """The event volume as packed gridded files, one a slot, read back by time, row and column; files of other slots are not opened."""
+    v = _voxels(spark, d).withColumn("ts", adapters.slot_time())
+    root = f"{shared_dir(spark)}/grids-{uuid.uuid4().hex}"
+    images = v.select(scalar.slot_path(root, "1", F.lit("EVENTS"), F.lit("bt_"), F.col("ts")).alias("path"), "ts", "y", "x", F.col("bt").alias("value"))
+    gridfiles.write_grids(images, root, "Harmonized_irBT", type="int", scale=0.01, offset=100, fill=-32768)
+    back = gridfiles.read_platform_grids(spark, root, "MSG", start="2024-01-11 00:00:00", end="2024-01-17 12:00:00", y0=2, y1=5, x0=3)
+    return back.where("bt is not null").select(_slot(), "y", "x", F.round("bt", 2).alias("bt"))
+
+
 # ---- scalar functions ------------------------------------------------------------------------
 
 

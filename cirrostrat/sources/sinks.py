@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrostrat.functions.scalar import epoch_seconds, scan_end, slot_path, with_background
+from cirrostrat.functions.scalar import BACKGROUND, MISSING, epoch_seconds, scan_end, slot_path, with_background
 from cirrostrat.operators.lifecycle import dense
+from cirrostrat.sources.gridfiles import write_grids
+
+#: The variable of label images (a fixed value of the output format).
+LABEL_VARIABLE = "DCS_number"
 
 
 def last_chunk_wins(labels: DataFrame) -> DataFrame:
@@ -36,6 +40,16 @@ def label_images(labels: DataFrame, grid: DataFrame, slots: DataFrame, root: str
     return images.withColumns({"path": slot_path(root, version, F.lit(region), F.lit(prefix), F.col("ts")), "scan_end": scan_end(F.col("ts"), scan_minutes)})
 
 
+def write_label_images(labels: DataFrame, grid: DataFrame, slots: DataFrame, root: str, version: str, region: str, prefix: str, scan_minutes: int = 0, **told: str) -> None:
+    """One gridded file a slot under its dated path, with the published variable, its metadata and whatever attributes are ``told``.
+
+    Later runs replace the slots they hold. The grid decides the layout: without coordinates, with axes, or with two-dimensional ones.
+    """
+    images = label_images(labels, grid, slots, root, version, region, prefix, scan_minutes).withColumnRenamed("label", "value")
+    names = {"long_name": "number of Deep Cloud Systems", "standard_name": "number_of_Deep_Cloud_Systems"}
+    write_grids(images, root, LABEL_VARIABLE, type="int", fill=BACKGROUND, missing=MISSING, **names, attr_conventions="CF-1.6", attr_version=version, **{f"attr_{k}": v for k, v in told.items()})
+
+
 def write_grid(grid: DataFrame, path: str) -> None:
     grid.write.mode("overwrite").parquet(path)
 
