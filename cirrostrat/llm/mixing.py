@@ -4,8 +4,8 @@ A source's target over its size is the number of copies expected of each of its
 whole part is taken as it is; the fractional parts are rounded in pairs. A pair moves words from
 one document to the other, in a direction drawn so that expectations hold, until one of the two
 is in or out; the other goes on to the next pair. The words taken of a source thus stay at its
-target until the last document, and miss it by less than one document. Blocks of documents are
-rounded in parallel; what remains of each block, one document at most, meets in the next level of
+target until the last document, and miss it by less than one document; as the larger ones are decided
+first, by a small one. Blocks of documents are rounded in parallel; what remains of each block, one document at most, meets in the next level of
 the tree.
 """
 
@@ -65,7 +65,8 @@ def pivotal(units: list[tuple[int, int, float]], seed: int, last: bool) -> list[
 
 def _round_block(seed: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["tie"] or 0, r["row"] or 0))
+        # largest first: a fight leaves the larger document undecided, so the last one left, which the total misses by, is small
+        rows = sorted(table.to_pylist(), key=lambda r: (-r["size"], r["doc_id"] is None, r["doc_id"] or 0, r["tie"] or 0, r["row"] or 0))
         shares = pivotal([(r["doc_id"] or 0, r["size"], r["p"]) for r in rows], seed, last)
         return pa.Table.from_pylist([{k: r[k] for k in r if k not in ("block", "p")} | {"p": p} for r, p in zip(rows, shares, strict=True)], schema=pa.schema([table.schema.field(n) for n in (c.split()[0] for c in _ROW.split(", "))]))
 

@@ -75,6 +75,18 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, URL_RULES, labelled).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_rules_from_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mined part of op9 where labels do follow URLs: the given rules' verdicts on half of the URLs (by hash) teach it, and the other half is judged.
+
+    ``expected`` is what the given rules say of a row, allow if none fits; ``taught`` marks the half that was learnt from.
+    """
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    told = url_rules.judge(pages, URL_RULES, pages.select("url", F.lit(True).alias("blocked")).where("false")).select("page_id", "url", F.col("verdict").alias("expected"))
+    taught = F.coalesce(F.crc32("url") % 2 == 0, F.lit(False))
+    judged = url_rules.judge(told, (), told.where(taught).select("url", (F.col("expected") == "block").alias("blocked")))
+    return judged.select("page_id", "host", "path", "expected", taught.alias("taught"), "verdict")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return mix.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -94,7 +106,7 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str, a: str = BYTE_VOC
 
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
-    return found | {"op2_suffix_array_dedup": partial(op2_suffix_array_dedup, texts=True)}
+    return found | {"url_rules_from_verdicts": url_rules_from_verdicts, "op2_suffix_array_dedup": partial(op2_suffix_array_dedup, texts=True)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -705,6 +705,38 @@ def test_mixing_query(spark):
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in want)
 
 
+def test_sources_of_many_documents_come_near_their_targets(spark):
+    """The mean miss is a tenth of the largest document at most: what is left undecided at last is small."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(["w"] * int(rng.paretovariate(1.2) * 8)), f"s{i % 3}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    largest = max(len(t.split()) for _, t, _ in rows)
+    misses = []
+    for seed in range(4):
+        per = mixing.mix_sources(docs, seed=seed, block=100).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        misses += [abs(r.taken - r.target) for r in per]
+    assert sum(misses) / len(misses) <= largest / 10
+
+
+def test_rules_learn_the_given_verdicts(spark):
+    """Where labels follow URLs, mined rules decide: what they block on the half they did not learn from is what the given rules block."""
+    rows = llm_queries.url_rules_from_verdicts(spark, "/root/testdata/sf0.1").collect()
+    held = [r for r in rows if not r.taught]
+    right = sum(r.verdict == r.expected for r in held)
+    blocked = [r for r in held if r.verdict == "block"]
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.1/pages.parquet").count() and len(blocked) >= 100
+    assert right >= 0.9 * len(held) and sum(r.expected == "block" for r in blocked) >= 0.9 * len(blocked)
+
+
+def test_jaccard_of_a_frequent_key(spark):
+    """Hundreds of different texts around one passage, and copies of it: components as by brute force."""
+    rng = random.Random(17)
+    core = " ".join(rng.choice(WORDS) for _ in range(60))
+    rows = [(i, core if i % 3 else edited(core, rng.randrange(0, 5), rng)) for i in range(240)] + [(300, " ".join(rng.choice(WORDS) for _ in range(60)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 90, 100).collect()}
+    assert got == brute_components(rows, 3, 90, 100)
+
+
 def test_pivotal_keeps_the_total_and_expectations():
     units = [(i, 1 + i % 5, 0.3) for i in range(40)]
     counts = Counter()
