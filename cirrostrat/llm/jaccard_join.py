@@ -30,14 +30,15 @@ from pyspark.sql.window import Window
 from cirrostrat.llm.cells import assign_cells
 from cirrostrat.llm.text import aside, in_small_batches, mix, set_id, shingles, slices
 from cirrostrat.operators.graph import connected_components
-from cirrostrat.runtime import discard, materialize
+from cirrostrat.runtime import materialize
 
 #: Shingles of one verification cell, and the most shingles that count as common (8 bytes each in a worker).
 CELL_SHINGLES, COMMON = 1_000_000, 1_000_000
 #: Distinct texts in which a shingle is seen, where a batch has it twice, to be common.
 COMMON_TEXTS = 8
-#: Parts into which the names under one key are dealt.
-SALTS = 64
+#: Parts into which the names under a frequent key are dealt; the part of the documents (one in so many) in which keys are counted, and the rows
+#: there that make one frequent; how many keys count as frequent at most. They spread the work, and change no link.
+SALTS, SAMPLED, HOT_ROWS, HOT_KEYS = 64, 64, 64, 10_000
 
 
 class Bands:
@@ -270,14 +271,14 @@ def _judged(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     often = shared.where(F.col("c") >= COMMON_TEXTS).orderBy(F.desc("c"), "s").limit(COMMON).select("s").toArrow().column("s").to_numpy()
     common = docs.sparkSession.sparkContext.broadcast(np.sort(often.astype(np.int64).view(np.uint64)))
     rows = docs.select("text").mapInArrow(_key_rows(size, num, den, common), "key long, lo long, hi long")
-    # the names under a key meet in SALTS parts first, then one name of each part, so that no task holds a frequent key
-    least = F.min("lo").over(Window.partitionBy("key", "salt"))
-    met = materialize(rows.withColumn("salt", F.pmod("lo", F.lit(SALTS)).cast("int")).select("key", "salt", "lo", "hi", least.alias("first")), "met")
-    heads = met.select("key", "salt", "first").distinct().select("first", F.min("first").over(Window.partitionBy("key")).alias("top"))
-    pairs = (met.select(F.col("first").alias("src"), F.col("lo").alias("dst")), met.select(F.col("lo").alias("src"), F.col("hi").alias("dst")), heads.select(F.col("top").alias("src"), F.col("first").alias("dst")))
-    edges = pairs[0].union(pairs[1]).union(pairs[2])
+    # keys that many rows of a part of the documents hold meet in SALTS parts, each linked to a node of the key's own, so that no task holds a frequent key
+    seen = docs.where(F.pmod("row_key", F.lit(SAMPLED)) == 0).select("text").mapInArrow(_key_rows(size, num, den, common), "key long, lo long, hi long")
+    hot = seen.groupBy("key").count().where(F.col("count") >= HOT_ROWS).orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("hot"))
+    rows = rows.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("lo", F.lit(SALTS))).otherwise(0))
+    met = rows.select("lo", "hi", F.min("lo").over(Window.partitionBy("key", "salt")).alias("first"), F.when(F.col("hot"), F.xxhash64("key", F.lit("key"))).alias("top"))
+    pairs = (("first", "lo"), ("lo", "hi"), ("first", "top"))
+    edges = met.select(F.explode(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in pairs])).alias("e")).select("e.*")
     families = connected_components(edges.where("src <> dst"))
-    discard(met)
     one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key", "n_shingles")).alias("r"), F.first("members").alias("members"))
     one = materialize(one.select("node", "r.z", "r.doc_id", "r.row_key", "r.n_shingles", "members"), "sets")
     spread = one.select("node", "row_key", "n_shingles", F.explode("members").alias("id"))

@@ -728,8 +728,11 @@ def test_rules_learn_the_given_verdicts(spark):
     assert right >= 0.9 * len(held) and sum(r.expected == "block" for r in blocked) >= 0.9 * len(blocked)
 
 
-def test_jaccard_of_a_frequent_key(spark):
-    """Hundreds of different texts around one passage, and copies of it: components as by brute force."""
+@pytest.mark.parametrize("rows_of_hot_key", [2, 10_000])
+def test_jaccard_of_a_frequent_key(spark, monkeypatch, rows_of_hot_key):
+    """Hundreds of different texts around one passage, and copies of it: components as by brute force, whether or not keys count as frequent."""
+    monkeypatch.setattr(jaccard_join, "SAMPLED", 2)
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", rows_of_hot_key)
     rng = random.Random(17)
     core = " ".join(rng.choice(WORDS) for _ in range(60))
     rows = [(i, core if i % 3 else edited(core, rng.randrange(0, 5), rng)) for i in range(240)] + [(300, " ".join(rng.choice(WORDS) for _ in range(60)))]
