@@ -15,7 +15,8 @@ from cirrostrat.functions.scalar import centikelvin, voxel_index
 from cirrostrat.operators import stencil
 from cirrostrat.operators.components import REGION_VOXELS, with_groups
 from cirrostrat.operators.growth import sweep
-from cirrostrat.operators.joins import carried_over
+from cirrostrat.operators.graph import connected_components
+from cirrostrat.operators.joins import assign_chunks, carried_over
 from cirrostrat.operators.neighbors import SCAN, SIX, TEN, is_edge
 from cirrostrat.operators.seeds import candidates, frame_areas, named_systems, seed_records
 from cirrostrat.runtime import discard, materialize
@@ -158,3 +159,32 @@ def run_chunks(voxels: DataFrame, params: RunParams, ny: int, nx: int, slots: in
         labelled = before.select(F.lit(k).alias("chunk"), "t", "y", "x", "label")
         out = labelled if out is None else out.union(labelled)
     return out
+
+
+def matches(labelled: DataFrame) -> DataFrame:
+    """(src, dst): labels of neighbouring chunks (chunk, t, y, x, label) that share most of their voxels with each other; ties go to lesser labels."""
+    here, there = (labelled.select((F.col("chunk") + k).alias("at"), "t", "y", "x", F.col("label").alias(n)) for k, n in ((1, "src"), (0, "dst")))
+    shared = materialize(here.join(there, ["at", "t", "y", "x"]).groupBy("src", "dst").agg(F.count("*").alias("n")), "shared")
+    best = [shared.groupBy(a).agg(F.max(F.struct(F.col("n"), (-F.col(b)).alias("m"))).alias("m")).select(a, (-F.col("m.m")).alias(b)) for a, b in (("src", "dst"), ("dst", "src"))]
+    return best[0].join(best[1], ["src", "dst"])
+
+
+def run_chunks_apart(voxels: DataFrame, params: RunParams, ny: int, nx: int, slots: int) -> DataFrame:
+    """(chunk, t, y, x, label) as ``run_chunks``, but all chunks side by side: none waits for the labels of the one before.
+
+    The chunks are put into one volume with an empty slot between them, so nothing passes from one to the next. Systems of neighbouring
+    chunks are one if each is the other's largest share of their common slots, and chains of such matches are joined up and numbered
+    in the order of their least label. Where systems lie apart this is ``run_chunks`` up to names; where they touch, borders may differ, as a chunk
+    does not know how the one before drew them. A system that is found in an overlap by one chunk only keeps a name of its own.
+    """
+    stride, length = params.volume_slots - params.overlap_slots, params.volume_slots + 1
+    own = voxels.join(assign_chunks(voxels.select("t").distinct(), params.volume_slots, params.overlap_slots, slots - 1), "t")
+    side = own.withColumn("t", (F.col("chunk") * length + F.col("t") - F.col("chunk") * stride).cast("int"))
+    seg = detect_and_spread(side.select("t", "y", "x", "bt", "area"), params, ny, nx)
+    chunk = F.floor(F.col("t") / length).cast("int")
+    found = seg.voxels.where("label is not null").select(chunk.alias("chunk"), (F.col("t") - chunk * (length - stride)).cast("int").alias("t"), "y", "x", F.col("label").cast("long").alias("label"))
+    found = materialize(found, "apart")
+    chains = connected_components(matches(found), "src", "dst").select(F.col("id").alias("label"), "component")
+    names = found.select("label").distinct().join(chains, "label", "left").withColumn("component", F.coalesce("component", "label"))
+    order = (F.dense_rank().over(Window.orderBy("component")) + params.first_label).cast("int")  # a row for each system of a chunk
+    return found.join(names.select("label", order.alias("_new")), "label").select("chunk", "t", "y", "x", F.col("_new").alias("label"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cirrostrat.operators.joins import asof_nearest, pixels
 from cirrostrat.operators.lifecycle import life_cycle, summary, with_velocity
+from cirrostrat.sources.gridfiles import read_grids, read_platform_grids
 from cirrostrat.sources.listing import in_period
 from cirrostrat.sources.readers import read_labels
-from cirrostrat.sources.sinks import published_cycle, published_systems, write_tracking
+from cirrostrat.sources.sinks import LABEL_VARIABLE, published_cycle, published_systems, write_tracking
 
 
 def matched_pixels(labels: DataFrame, images: DataFrame, grid: DataFrame, tolerance_seconds: int = 60) -> DataFrame:
@@ -36,3 +37,9 @@ def run_tracking(labels: DataFrame, images: DataFrame, grid: DataFrame, start: s
     """Track and write the two published tables below ``path``."""
     systems, lc = track(labels, images, grid, start, end, slot_minutes)
     write_tracking(published_systems(systems), published_cycle(lc, ellipses), path)
+
+
+def track_files(spark: SparkSession, masks: str, images: str, platform: str, grid: DataFrame, start: str, end: str, path: str, slot_minutes: int = 30, ellipses: bool = False) -> None:
+    """``run_tracking`` over the gridded label images and images of a platform below two folders: only files of the period are opened."""
+    labels = read_grids(spark, masks, LABEL_VARIABLE, start=start, end=end).where("value > 0").select("ts", "y", "x", F.col("value").cast("int").alias("label"))
+    run_tracking(labels, read_platform_grids(spark, images, platform, start=start, end=end), grid, start, end, path, slot_minutes, ellipses)

@@ -145,23 +145,42 @@ def crop_voxels(spark, d):
     return grid.apply_crop(_voxels(spark, d), bounds)
 
 
-_NAMES = (
-    "mask_20120801_1430.nc", "img_msg04_202303192130.nc", "x_2023-03-19T21-30-00.nc", "20230319T2130.nc4", "20230319T213045.nc4", "99920230319213000.nc",
-    "navigation.nc", "a20230319_2130_x.nc", "S202303191.nc",
+#: Shapes of file names by order key; the time is that of the order's date, with its key as hour, minute and second.
+_SHAPES_OF_NAMES = (
+    ("mask_", "yyyyMMdd_HHmm", "%Y%m%d_%H%M", ".nc"), ("img_msg04_", "yyyyMMddHHmm", "%Y%m%d%H%M", ".nc"), ("x_", "yyyy-MM-dd'T'HH-mm-ss", "%Y-%m-%dT%H-%M-%S", ".nc"),
+    ("", "yyyyMMdd'T'HHmm", "%Y%m%dT%H%M", ".nc4"), ("", "yyyyMMdd'T'HHmmss", "%Y%m%dT%H%M%S", ".nc4"), ("img", "yyyyMMddHHmmss", "%Y%m%d%H%M%S", "0.nc"), ("navigation_", "yyyy", "%Y", ".nc"),
 )
-_TIMES = ("2012-08-01 14:30:00", "2023-03-19 21:30:00", "2023-03-19 21:30:00", "2023-03-19 21:30:00", "2023-03-19 21:30:00", "2023-03-19 21:30:00", None, None, None)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {f'epoch_us(TIMESTAMP {t!r}) // 1000000' if t else 'NULL'})" for n, t in zip(_NAMES, _TIMES, strict=True)) + ") AS v(path, s)")
-def filename_datetime(spark, d):
-    names = spark.createDataFrame([(n,) for n in _NAMES], "path string")
-    return names.select("path", F.unix_seconds(filetime.file_time(F.col("path"))).alias("s"))
+def _filename_sql() -> str:
+    names = " ".join(f"WHEN {k} THEN '{head}' || strftime(ts, '{form}') || '{end}'" for k, (head, _, form, end) in enumerate(_SHAPES_OF_NAMES))
+    timed = "CASE o_orderkey % 7 WHEN 2 THEN s WHEN 5 THEN s WHEN 6 THEN NULL ELSE s // 60 * 60 END"  # names without seconds, and the one that loses them
+    return f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) + to_seconds(o_orderkey % 59) AS ts FROM orders)
+SELECT path, {timed} AS s FROM (SELECT o_orderkey, epoch_us(ts) // 1000000 AS s, CASE o_orderkey % 7 {names} END AS path FROM o)"""
 
 
-@query("SELECT 'minBT_threshold' AS key, '190' AS value, 'int' AS kind UNION ALL SELECT 'version', '2.08', 'float' UNION ALL SELECT 'REGION', 'AFRICA', 'string' UNION ALL SELECT 'm', '8', 'int' UNION ALL SELECT 'm', '9', 'int' UNION ALL SELECT 'eq', 'a=b', 'string'")
+@query(_filename_sql())
+def filename_datetime(spark, d):
+    """Times in the names of files, one for each order."""
+    key = F.col("o_orderkey")
+    ts = F.col("o_orderdate").cast("timestamp") + F.make_interval(hours=(key % 24).cast("int"), mins=(key % 60).cast("int"), secs=(key % 59).cast("int"))
+    name = F.lit(None).cast("string")
+    for k, (head, form, _, end) in enumerate(_SHAPES_OF_NAMES):
+        name = F.when(key % len(_SHAPES_OF_NAMES) == k, F.concat(F.lit(head), F.date_format(ts, form), F.lit(end))).otherwise(name)
+    return _read(spark, d, "orders").select(name.alias("path")).select("path", F.unix_seconds(filetime.file_time(F.col("path"))).alias("s"))
+
+
+@query("""SELECT * FROM (SELECT 'size' || p_partkey AS key, CAST(p_size AS VARCHAR) AS value, 'int' AS kind FROM part WHERE p_partkey % 6 = 0
+UNION ALL SELECT 'price', CAST(CAST(p_partkey % 1000 AS DOUBLE) / 8 AS VARCHAR), 'float' FROM part WHERE p_partkey % 6 = 1
+UNION ALL SELECT 'name' || p_partkey, p_name, 'string' FROM part WHERE p_partkey % 6 = 2
+UNION ALL SELECT 'eq', 'a=' || p_partkey, 'string' FROM part WHERE p_partkey % 6 = 3)""")
 def param_parse(spark, d):
-    text = ["; comment", "", "minBT_threshold = 190", "version = 2.08", "REGION = 'AFRICA'", "m = 08", "m = 9", "no pair", "eq = a=b"]
-    return config.parse_lines(spark.createDataFrame([(x,) for x in text], "value string"))
+    """Lines of parameters made of the parts: numbers with leading zeros, decimals, quoted names, values that hold the sign; comments and lines without one are skipped."""
+    k, key = F.col("p_partkey") % 6, F.col("p_partkey").cast("string")
+    line = F.when(k == 0, F.concat(F.lit("  size"), key, F.lit(" = 00"), F.col("p_size").cast("string"))).when(k == 1, F.concat(F.lit("price = "), (F.col("p_partkey") % 1000 / 8).cast("string")))
+    line = line.when(k == 2, F.concat(F.lit("name"), key, F.lit("='"), F.col("p_name"), F.lit("' "))).when(k == 3, F.concat(F.lit("eq = a="), key))
+    line = line.when(k == 4, F.concat(F.lit("; size = "), key)).otherwise(F.concat(F.lit("no pair "), key))
+    return config.parse_lines(_read(spark, d, "part").select(line.alias("value")))
 
 
 @query(f"WITH {V} SELECT t, y, x, bt FROM v WHERE t BETWEEN 20 AND 33 AND y BETWEEN 2 AND 5 AND x BETWEEN 3 AND 14")
@@ -188,14 +207,6 @@ def quantise_bt(spark, d):
     return _voxels(spark, d).select("t", "y", "x", scalar.centikelvin(F.col("bt")).alias("q"))
 
 
-@query(f"WITH {V} SELECT CAST(t AS BIGINT) * 100000 + y * 15 + x AS id, t, CAST((y * 15 + x) // 15 AS INT) AS y, CAST((y * 15 + x) % 15 AS INT) AS x FROM v")
-def voxel_index(spark, d):
-    # a plane of 100000 cells, whatever the height, as in the component queries
-    i = (F.col("t").cast("long") * 100000 + F.col("y") * 15 + F.col("x")).alias("id")
-    t, y, x = F.floor(F.col("id") / 100000).cast("int"), F.floor(F.col("id") % 100000 / 15).cast("int"), (F.col("id") % 100000 % 15).cast("int")
-    return _voxels(spark, d).select(i).select("id", t.alias("t"), y.alias("y"), x.alias("x"))
-
-
 @query(f"WITH {V}, h AS (SELECT max(y) + 1 AS ny FROM v) SELECT CAST(t AS BIGINT) * ny * 15 + y * 15 + x AS id, t, y, x FROM v, h")
 def voxel_round_trip(spark, d):
     """The linear index of the table's own height, and the position that it leads back to."""
@@ -294,11 +305,6 @@ def isolated_voxels(spark, d):
     return neighbors.isolated(_voxels(spark, d).where("bt <= 190"))
 
 
-@query(f"WITH {V} SELECT t, y, x, bt, x IN (0, 14) OR y IN (0, 9) AS edge FROM v WHERE bt > 0 AND bt <= 200")
-def seed_candidates(spark, d):
-    return _candidates(spark, d, 10)  # the ten rows that the SQL fixes
-
-
 def _candidates(spark, d, ny):
     return _voxels(spark, d).where(seeds.candidates(200)).select("t", "y", "x", "bt", neighbors.is_edge(ny, 15).alias("edge"))
 
@@ -332,17 +338,12 @@ def connected_components(spark, d):
 
 
 _RIM = f"""{V}, {OFF}, six(dy, dx) AS (VALUES (0,1),(0,-1),(1,-1),(1,0),(1,1),(-1,-1)), c AS (SELECT t, y, x, CAST(t AS BIGINT) * 100000 + y * 15 + x AS id FROM v WHERE bt <= 190),
- i AS (SELECT id FROM c WHERE x NOT IN (0, 14) AND y NOT IN (0, 6665) AND EXISTS (SELECT 1 FROM six, c b WHERE b.t = c.t AND b.y = c.y + six.dy AND b.x = c.x + six.dx)),
+ i AS (SELECT id FROM c WHERE x NOT IN (0, 14) AND y NOT IN (0, (SELECT max(y) FROM v)) AND EXISTS (SELECT 1 FROM six, c b WHERE b.t = c.t AND b.y = c.y + six.dy AND b.x = c.x + six.dx)),
  e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN i USING (id), o, c b WHERE b.t = a.t + o.dt AND b.y = a.y + o.dy AND b.x = a.x + o.dx), e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  r(id, lab) AS (SELECT id, id FROM (SELECT id FROM i UNION SELECT b FROM e) UNION SELECT e2.b, r.lab FROM r JOIN e2 ON e2.a = r.id WHERE r.lab < e2.b), cc AS (SELECT id, min(lab) AS component FROM r GROUP BY 1)"""
 
 
 @query(RC + _RIM + " SELECT t, y, x, count(*) OVER (PARTITION BY component) AS size FROM cc JOIN c USING (id)")
-def components_with_scan_rules(spark, d):
-    return _scanned(spark, d, 6666)  # the rows that the SQL fixes
-
-
-@query(RC + _RIM.replace("6665", "(SELECT max(y) FROM v)") + " SELECT t, y, x, count(*) OVER (PARTITION BY component) AS size FROM cc JOIN c USING (id)")
 def components_own_rim(spark, d):
     """Components with scan rules and the rim of the table itself, whatever its height."""
     return _scanned(spark, d, _height(spark, d))
@@ -443,16 +444,30 @@ def label_ladder_chunks(spark, d):
     return ladder.run_chunks(v, CHUNKED, _height(spark, d), adapters.WIDTH, slots)
 
 
+@query()
+def label_ladder_stitched(spark, d):
+    """The chunks segmented apart, all in one run, and their labels joined up by what they share in the overlaps."""
+    v = _event_volume(spark, d)
+    slots = int(v.agg(F.max("t")).first()[0] or 0) + 1
+    return ladder.run_chunks_apart(v, CHUNKED, _height(spark, d), adapters.WIDTH, slots)
+
+
 # ---- chunks and joins ------------------------------------------------------------------------
 
 
-def _chunk_sql(z: int, o: int, e: int) -> str:
-    return f"SELECT CAST(t AS INT) AS t, CAST(k AS INT) AS chunk FROM (SELECT unnest(range({e + 1})) AS t) s, (SELECT unnest(range({e + 1})) AS k) c WHERE t BETWEEN k * {z - o} AND least(k * {z - o} + {z - 1}, {e}) AND ((k = 0 AND {e} > 0) OR (k >= 1 AND k * {z - o} + {o} < {e}))"
+def _chunk_sql(z: int, o: int) -> str:
+    """Chunks of the slots in ``v``, up to its last one."""
+    return f"SELECT t, CAST(k AS INT) AS chunk FROM (SELECT DISTINCT t FROM v) s, (SELECT max(t) AS e FROM v) l, (SELECT unnest(range(1000)) AS k) c WHERE t BETWEEN k * {z - o} AND least(k * {z - o} + {z - 1}, e) AND ((k = 0 AND e > 0) OR (k >= 1 AND k * {z - o} + {o} < e))"
+
+
+def _chunks(spark, d):
+    slots = _voxels(spark, d).select("t").distinct()
+    return joins.assign_chunks(slots, 12, 3, int(slots.agg(F.max("t")).first()[0] or 0))
 
 
-@query(_chunk_sql(12, 3, 59))
+@query(f"WITH {V} {_chunk_sql(12, 3)}")
 def chunk_assign(spark, d):
-    return joins.assign_chunks(spark.range(60).select(F.col("id").cast("int").alias("t")), 12, 3, 59)
+    return _chunks(spark, d)
 
 
 @query(f"WITH {V}, s AS (SELECT DISTINCT 1 + y // 5 * 3 + x // 5 AS label FROM v WHERE bt <= 185) SELECT CAST(label AS BIGINT) AS label FROM s WHERE label IN (SELECT 1 + y // 5 * 3 + x // 5 FROM v WHERE t >= 55 AND bt <= 185)")
@@ -467,10 +482,9 @@ def overlap_rebased(spark, d):
     return joins.rebased(v.select("label").distinct(), v.where("t >= 55"))
 
 
-@query(f"WITH {V}, c AS ({_chunk_sql(12, 3, 59)}) SELECT t, y, x, max(chunk) AS chunk FROM v JOIN c USING (t) WHERE bt <= 190 GROUP BY ALL")
+@query(f"WITH {V}, c AS ({_chunk_sql(12, 3)}) SELECT t, y, x, max(chunk) AS chunk FROM v JOIN c USING (t) WHERE bt <= 190 GROUP BY ALL")
 def last_chunk_wins(spark, d):
-    chunks = joins.assign_chunks(spark.range(60).select(F.col("id").cast("int").alias("t")), 12, 3, 59)
-    v = _voxels(spark, d).where("bt <= 190").join(F.broadcast(chunks), "t").withColumn("ts", F.col("t"))  # sixty slots
+    v = _voxels(spark, d).where("bt <= 190").join(_chunks(spark, d), "t").withColumn("ts", F.col("t"))
     return sinks.last_chunk_wins(v).select("t", "y", "x", "chunk")
 
 

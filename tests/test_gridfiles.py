@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cirrostrat.config import RunParams
 from cirrostrat.functions.filetime import file_time
-from cirrostrat.plans import segment
+from cirrostrat.plans import segment, track
 from cirrostrat.sources import sinks
 from cirrostrat.sources.adapters import blob_voxels, slot_time
 from cirrostrat.sources.classic import ClassicReader, write_classic
@@ -159,3 +159,6 @@ def test_a_run_from_files_to_files(spark, tmp_path):
     want = {(r.ts, r.y, r.x): r.label for r in segment.segment(v.select("ts", "y", "x", "bt"), cells, "2024-01-01 00:00:00", "2024-02-01 00:00:00", p).collect()}
     got = {(r.ts, r.y, r.x): int(r.value) for r in read_grids(spark, f"{tmp_path}/masks", "DCS_number").where("value is not null").collect()}
     assert got == want and len(set(want.values())) >= 2 and len(files_below(f"{tmp_path}/masks")) == 24
+    track.track_files(spark, f"{tmp_path}/masks", root, "ICON", cells, "2024-01-01 00:00:00", "2024-02-01 00:00:00", f"{tmp_path}/tracks", 720)
+    systems = spark.read.parquet(f"{tmp_path}/tracks/systems").collect()
+    assert {r.INT_DCSnumber for r in systems} == set(want.values())

@@ -16,7 +16,7 @@ from cirrostrat.operators.growth import grow
 from cirrostrat.operators.joins import asof_nearest, assign_chunks
 from cirrostrat.operators.neighbors import TEN
 from cirrostrat.operators.seeds import seed_records
-from cirrostrat.plans.ladder import chunk_bounds, detect_and_spread, run_chunks
+from cirrostrat.plans.ladder import chunk_bounds, detect_and_spread, matches, run_chunks, run_chunks_apart
 from cirrostrat.sources.adapters import blob_voxels
 from cirrostrat.sources.grid import apply_crop
 from cirrostrat.sources.readers import read_images
@@ -336,6 +336,46 @@ def test_chunked_run_keeps_labels(spark):
     assert first and all(second[v] == lab for v, lab in first.items())
 
 
+def same_up_to_names(a, b):
+    """Whether two labellings of the same voxels group them alike."""
+    return set(a) == set(b) and len({(a[v], b[v]) for v in a}) == len(set(a.values())) == len(set(b.values()))
+
+
+def test_chunks_apart_are_the_chunks_in_turn_where_systems_lie_apart(spark):
+    p = RunParams(min_bt=220, max_bt=235, step_bt=15, min_area_seed=4, min_lifetime=3, volume_slots=14, overlap_slots=6)
+    lone = [(3, 6, 6), (11, 22, 8), (19, 8, 22), (27, 24, 24)]  # slots, rows and columns of blobs that never touch
+    bt = {}
+    for t, y, x in itertools.product(range(32), range(30), range(30)):
+        depth = max(95 * np.exp(-((t - a) ** 2) / 40 - ((y - b) ** 2 + (x - c) ** 2) / 8) for a, b, c in lone)
+        if depth > 55:
+            bt[t, y, x] = round(290 - float(depth), 2)
+    v = spark.createDataFrame([(*k, b, 1.0) for k, b in bt.items()], "t int, y int, x int, bt double, area double").repartition(3)
+    turn, apart = ({(r.chunk, r.t, r.y, r.x): r.label for r in run(v, p, 30, 30, 32).collect()} for run in (run_chunks, run_chunks_apart))
+    assert same_up_to_names(turn, apart) and len(set(apart.values())) >= 3 and {k[0] for k in apart} == {0, 1, 2, 3}
+    crossing = {lab for (c, *_), lab in apart.items() if c == 0} & {lab for (c, *_), lab in apart.items() if c == 1}
+    assert crossing and min(apart.values()) == p.first_label + 1
+
+
+def test_chunks_apart_agree_with_chunks_in_turn_on_noisy_images(spark):
+    p = RunParams(min_area_seed=3, min_lifetime=3, volume_slots=8, overlap_slots=4)
+    bt, _ = noisy_volume()
+    v = spark.createDataFrame([(*k, b, 1.0) for k, b in bt.items()], "t int, y int, x int, bt double, area double")
+    turn, apart = ({(r.chunk, r.t, r.y, r.x): r.label for r in run(v, p, 18, 18, 14).collect()} for run in (run_chunks, run_chunks_apart))
+    shared = [k for k in turn if k in apart]
+    pairs = {}
+    for k in shared:
+        pairs.setdefault(turn[k], {}).setdefault(apart[k], []).append(k)
+    agree = sum(max(map(len, own.values())) for own in pairs.values())
+    print(f"labelled: in turn {len(turn)}, apart {len(apart)}, both {len(shared)}; in the same system {agree}")
+    assert len(shared) >= 0.9 * len(turn) and agree >= 0.7 * len(shared)  # touching systems, chunks of eight slots
+
+
+def test_matches_are_mutual(spark):
+    rows = [(0, 5, 0, x, 1) for x in range(6)] + [(0, 5, 1, x, 2) for x in range(3)] + [(1, 5, 0, x, 10) for x in range(4)] + [(1, 5, 0, x, 11) for x in (4, 5)] + [(1, 5, 1, x, 11) for x in range(3)] + [(2, 5, 0, 0, 20)]
+    got = matches(spark.createDataFrame(rows, "chunk int, t int, y int, x int, label long")).collect()
+    assert {tuple(r) for r in got} == {(1, 10), (2, 11), (10, 20)}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (None, 3)], "src long, dst long")
     got = {r.id: r.component for r in connected_components(edges).collect()}
