@@ -1,13 +1,13 @@
 """Every operator over the shared tables, with the SQL that says the same in DuckDB.
 
-Volumes are the event volume of ``sources.adapters`` (twelve-hour slots, users as pixels) and the
-closed-form blobs. Labelled voxels of the statistics are tiles of five by five pixels, up to 235 K.
+Volumes are the event volume of ``sources.adapters`` (twelve-hour slots, users as pixels). Labelled voxels of the statistics are tiles of five by five pixels, up to 235 K.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,13 +187,57 @@ def param_parse(spark, d):
 def grid_files(spark, d):
     """The event volume as packed gridded files, one a slot, read back by time, row and column; files of other slots are not opened."""
     v = _voxels(spark, d).withColumn("ts", adapters.slot_time())
-    root = f"{shared_dir(spark)}/grids-{uuid.uuid4().hex}"
+    root = _folder(spark, "grids")
     images = v.select(scalar.slot_path(root, "1", F.lit("EVENTS"), F.lit("bt_"), F.col("ts")).alias("path"), "ts", "y", "x", F.col("bt").alias("value"))
     gridfiles.write_grids(images, root, "Harmonized_irBT", type="int", scale=0.01, offset=100, fill=-32768)
     back = gridfiles.read_platform_grids(spark, root, "MSG", start="2024-01-11 00:00:00", end="2024-01-17 12:00:00", y0=2, y1=5, x0=3)
     return back.where("bt is not null").select(_slot(), "y", "x", F.round("bt", 2).alias("bt"))
 
 
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {V} SELECT DISTINCT t FROM v WHERE t BETWEEN 20 AND 33")
+def period_files(spark, d):
+    """Slots of the files of a period, by the times in their names."""
+    v, root = _voxels(spark, d).withColumn("ts", adapters.slot_time()), _folder(spark, "files")
+    images = v.select(scalar.slot_path(root, "1", F.lit("EVENTS"), F.lit("bt_"), F.col("ts")).alias("path"), "ts", "y", "x", F.col("bt").alias("value"))
+    gridfiles.write_grids(images, root, "BT", type="float", fill=-1)
+    return listing.period_files(spark, root, "2024-01-11 00:00:00", "2024-01-17 12:00:00").select(_slot())
+
+
+@query(f"WITH {V} SELECT t, y, x, CAST(1 + y // 5 * 3 + x // 5 AS INT) AS label FROM v WHERE bt <= 190")
+def label_image_files(spark, d):
+    """Label images written as one file a slot with their metadata, and read back."""
+    v, root = _voxels(spark, d).withColumn("ts", adapters.slot_time()), _folder(spark, "masks")
+    labels = v.where("bt <= 190").select("ts", "y", "x", F.expr("cast(1 + y div 5 * 3 + x div 5 as int)").alias("label"))
+    sinks.write_label_images(labels, _grid(spark, d), v.select("ts"), root, "1", "EVENTS", "mask_", scan_minutes=720)
+    back = gridfiles.read_grids(spark, root, sinks.LABEL_VARIABLE).where("value is not null")
+    return back.select(_slot(), "y", "x", F.col("value").cast("int").alias("label"))
+
+
+@query(f"WITH {V}, {G}, b AS (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM g WHERE lat BETWEEN -10.2 AND -7.4 AND lon BETWEEN -18.2 AND -15.4) SELECT y - y0 AS y, x - x0 AS x, round(lat, 4) AS lat, round(lon, 4) AS lon FROM g, b WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1")
+def written_grid(spark, d):
+    """The cropped grid as a run leaves it."""
+    path = _folder(spark, "grid")
+    sinks.write_grid(segment.cropped(_voxels(spark, d), _grid(spark, d), (-10.2, -7.4), (-18.2, -15.4))[1], path)
+    return spark.read.parquet(path).select("y", "x", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"))
+
+
+@query("""SELECT 'MSGnative' AS platform, CAST(event_id AS INT) AS y, CASE WHEN event_id % 1000 <> 7 THEN round(event_id % 1000 * 0.01 + 200, 4) END AS bt FROM events
+UNION ALL SELECT 'MSG', CAST(event_id AS INT), CASE WHEN event_id % 1000 <> 7 THEN round(event_id % 1000 * 0.25, 4) END FROM events
+UNION ALL SELECT 'ARPEGE', CAST(event_id AS INT), round(180 + value, 4) FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT 'ICON', CAST(event_id AS INT), round(180 + value, 4) FROM events""")
+def platform_readers(spark, d):
+    """Packed, levelled and plain images of four platforms, dimension names in any case."""
+    e = _read(spark, d, "events").select("ts", F.col("event_id").alias("Lat"), F.lit(0).alias("LON"), (F.col("event_id") % 2).alias("spec"), (F.col("event_id") % 1000).cast("int").alias("raw"), (180 + F.col("value")).alias("BT"))
+    packed = {"MSGnative": ("IR_108", {"scale": 0.01, "offset": 200.0}), "MSG": ("Harmonized_irBT", {"scale": 0.25})}
+    parts = [readers.read_images(e.drop("BT", "spec").withColumnRenamed("raw", n), p, fill=7, **how).withColumn("platform", F.lit(p)) for p, (n, how) in packed.items()]
+    parts += [readers.read_images(e.drop("raw"), p).withColumn("platform", F.lit(p)) for p in ("ARPEGE", "ICON")]
+    return reduce(DataFrame.unionByName, parts).select("platform", "y", F.round("bt", 4).alias("bt"))
+
+
 # ---- scalar functions ------------------------------------------------------------------------
 
 
@@ -425,6 +469,28 @@ def label_ladder(spark, d):
     return seg.voxels.where("label is not null").select("t", "y", "x", "label")
 
 
+#: Accepted seeds by their labels.
+_NUMBERED = f"{SEEDS}, n AS (SELECT component, CAST(1 + row_number() OVER (ORDER BY component) AS INT) AS label FROM s WHERE accepted)"
+#: A ladder of one threshold.
+ONE_STEP = config.RunParams(min_bt=190, max_bt=190, min_area_seed=19, min_lifetime=3)
+
+
+def _one_step(spark, d):
+    return ladder.detect_and_spread(_event_volume(spark, d), ONE_STEP, _height(spark, d), adapters.WIDTH)
+
+
+@query(RC + _NUMBERED + " SELECT c.t, c.y, c.x, label FROM cc JOIN c USING (id) JOIN n USING (component)")
+def ladder_one_step(spark, d):
+    """The ladder's whole run at one threshold: grown, detected, filtered, numbered, grown again."""
+    return _one_step(spark, d).voxels.where("label is not null").select("t", "y", "x", "label")
+
+
+@query(RC + _NUMBERED + " SELECT label, f.t, CAST(f.area AS BIGINT) AS area FROM f JOIN n USING (component)")
+def seed_frames(spark, d):
+    """Areas of the accepted seeds by slot."""
+    return _one_step(spark, d).frames.select("label", "t", "area")
+
+
 @query()
 def label_ladder_scan(spark, d):
     """The whole ladder in the exact scan mode, whose seeds depend on the order of one scan; the tests compare it with a plain model."""

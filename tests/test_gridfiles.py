@@ -13,9 +13,10 @@ from cirrostrat.config import RunParams
 from cirrostrat.functions.filetime import file_time
 from cirrostrat.plans import segment, track
 from cirrostrat.sources import sinks
-from cirrostrat.sources.adapters import blob_voxels, slot_time
+from cirrostrat.sources.adapters import slot_time
 from cirrostrat.sources.classic import ClassicReader, write_classic
 from cirrostrat.sources.gridfiles import read_grids, read_platform_grids, time_in_name, write_grids
+from tests.volumes import blob_voxels
 
 NAMES = [
     "mask_20120801_1430.nc", "img_msg04_202303192130.nc", "x_2023-03-19T21-30-00.nc", "20230319T2130.nc4", "20230319T213045.nc4", "99920230319213000.nc", "navigation.nc", "a20230319_2130_x.nc", "S202303191.nc",

@@ -17,9 +17,9 @@ from cirrostrat.operators.joins import asof_nearest, assign_chunks
 from cirrostrat.operators.neighbors import TEN
 from cirrostrat.operators.seeds import seed_records
 from cirrostrat.plans.ladder import chunk_bounds, detect_and_spread, matches, run_chunks, run_chunks_apart
-from cirrostrat.sources.adapters import blob_voxels
 from cirrostrat.sources.grid import apply_crop
 from cirrostrat.sources.readers import read_images
+from tests.volumes import blob_voxels
 
 
 def fifo(bt, label, mask, delta):

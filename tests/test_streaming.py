@@ -9,8 +9,8 @@ from cirrostrat.config import RunParams
 from cirrostrat.operators.lifecycle import dense, finish_tracks
 from cirrostrat.operators.ranks import percentile_by_rank
 from cirrostrat.sources import sinks
-from cirrostrat.sources.adapters import blob_voxels
 from cirrostrat.streaming.tracker import chunk_writer, closed_tracks, running_tracks
+from tests.volumes import blob_voxels
 
 SCHEMA = "label int, s string, lat double, lon double, tbmin double, km2 double"
 ROWS = [
