@@ -7,19 +7,22 @@ words or more, and whole items that are shorter than a window (full coverage).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrostrat.llm.text import aside, in_small_batches, slices
-from cirrostrat.runtime import materialize
+from cirrostrat.llm.text import aside, in_small_batches, mix, runs_of, slices
+from cirrostrat.runtime import discard, materialize
 
-#: Words of one automaton (about 1 kB each in a worker); longer benchmarks use several, one job after the other.
-SHARD_WORDS = 200_000
+#: Words of one automaton (about 1 kB each in a worker), and of the items whose windows (16 bytes each) one scan of the documents looks for.
+SHARD_WORDS, FILTER_WORDS = 200_000, 4_000_000
+#: Texts that one automaton of a shard of a long benchmark is built for.
+PART_TEXTS = 20_000
 
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -136,77 +139,149 @@ class SuffixAutomaton:
         return [(a, b) for a, b in spans], found
 
 
-def _merge(a: list[int], b: list[tuple[int, int]]) -> list[int]:
-    spans = sorted([*zip(a[::2], a[1::2], strict=True), *b])
-    out: list[list[int]] = []
-    for lo, hi in spans:
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
+def _merged(found: list[int]) -> list[int]:
+    """The union of spans, from and to in turn."""
+    out: list[int] = []
+    for lo, hi in sorted(zip(found[::2], found[1::2], strict=True)):
+        if out and lo <= out[-1]:
+            out[-1] = max(out[-1], hi)
         else:
-            out.append([lo, hi])
-    return [x for s in out for x in s]
+            out += [lo, hi]
+    return out
 
 
 def _sorted_items(names: set[str | None]) -> list[str | None]:
     return sorted(names, key=lambda n: (n is None, n or ""))
 
 
-def _hits(shared):
-    """The texts that one automaton hits: their keys, spans and items."""
+def _cutter(shared, most: float | None = None):
+    """Add words, spans and items: those of one automaton, or (without) those that come with the rows. With ``most``, cut them out and leave out documents of which more is hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
         for batch in slices(batches):
-            found = [automaton.scan(words_of(text)) for text in batch.column("text").to_pylist()]
-            spans = pa.array([[x for span in s for x in span] for s, _ in found], pa.list_(pa.int64()))
-            items = pa.array([_sorted_items(names) for _, names in found], pa.list_(pa.string()))
-            out = pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), spans, items], names=["_k1", "_k2", "spans", "items"])
-            yield out.filter(pa.array([bool(s) for s, _ in found]))
+            texts = batch.column("text").to_pylist()
+            if shared is not None:
+                found = []
+                for text in texts:
+                    words = words_of(text)
+                    hit, named = shared.value.scan(words)
+                    found.append((len(words), [x for span in hit for x in span], _sorted_items(named)))
+            else:
+                known = zip(texts, batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
+                found = [(len(words_of(text)), _merged(s or []), _sorted_items(set(i or ()))) for text, s, i in known]
+            names = [c for c in batch.schema.names if c not in ("n_words", "spans", "items")]
+            if most is None:
+                added = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], names=[*names, "n_words", "spans", "items"])
+                continue
+            kept = pa.array([sum(s[1::2]) - sum(s[::2]) <= most * n for n, s, _ in found])
+            cut = pa.array([cut_words(t, s) if s else t for t, (_, s, _) in zip(texts, found, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([cut if c == "text" else batch.column(c) for c in names], names=names).filter(kept)
 
     return run
 
 
-def _scanner(shared, first: bool, most: float | None = None):
-    """Add the hits of the last automaton to those of earlier ones; with ``most``, cut them out and leave out documents of which more is hit."""
+def _window_names(words: list[bytes], size: int) -> np.ndarray:
+    """A 64-bit name of every run of ``size`` words; unlike runs that share one cost work only, as automata decide."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    if len(h) < size:
+        return np.empty(0, np.int64)
+    acc = np.full(len(h) - size + 1, size, np.uint64)
+    for i in range(size):
+        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i])
+    return acc.view(np.int64)
+
 
+def _item_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
         for batch in slices(batches):
-            spans, items, counts = [], [], []
-            n = batch.num_rows
-            old = [None] * n if first else batch.column("spans").to_pylist()
-            was = [None] * n if first else batch.column("items").to_pylist()
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            for text, shard in zip(batch.column("text").to_pylist(), batch.column("shard").to_pylist(), strict=True):
                 words = words_of(text)
-                s, found = automaton.scan(words)
-                counts.append(len(words))
-                spans.append(_merge(old[k] or [], s))
-                items.append(_sorted_items(found.union(was[k] or ())))
-            names = [c for c in batch.schema.names if c not in ("n_words", "spans", "items")]
-            if most is None:
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in names), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "spans", "items"]
-                )
+                if size := min(window, len(words)):
+                    name = np.unique(_window_names(words, size))
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(name), shard)), pa.array(np.full(len(name), size))], names=["name", "shard", "size"])
+
+    return run
+
+
+def _sent(shared):
+    """The texts that hold windows, once for each shard that has them, with two hashes of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, shard, sizes = shared.value
+        for batch in slices(batches):
+            at, to = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                words, goes = words_of(text), set()
+                for size in sizes:
+                    own = _window_names(words, size)
+                    lo, hi = np.searchsorted(name, own, "left"), np.searchsorted(name, own, "right")
+                    for a, b in np.unique(np.stack([lo, hi], 1)[lo < hi], axis=0).tolist():
+                        goes.update(shard[a:b].tolist())
+                at += [k] * len(goes)
+                to += sorted(goes)
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column("_k1"), rows.column("_k2"), rows.column("text"), pa.array(to, pa.int64())], names=["_k1", "_k2", "text", "shard"])
+
+    return run
+
+
+def _shard_hits(window: int):
+    """Rows come by shard and part, items before texts: an automaton is built, then texts stream through it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, items, automaton = None, {}, None
+        for (shard, part, is_text), batch in runs_of(batches, "shard", "part", "is_text"):
+            if (shard, part) != group:
+                group, items, automaton = (shard, part), {}, None
+            if not is_text:
+                for name, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    items[name, len(items)] = words_of(text)
                 continue
-            kept = pa.array([sum(s[1::2]) - sum(s[::2]) <= most * n for s, n in zip(spans, counts, strict=True)])
-            texts = [cut_words(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names).filter(kept)
+            if automaton is None:
+                automaton, items = _automaton(items, window), {}
+            for some in slices(iter([batch])):
+                found = [automaton.scan(words_of(text)) for text in some.column("text").to_pylist()]
+                spans = pa.array([[x for span in s for x in span] for s, _ in found], pa.list_(pa.int64()))
+                named = pa.array([_sorted_items(names) for _, names in found], pa.list_(pa.string()))
+                out = pa.RecordBatch.from_arrays([some.column("_k1"), some.column("_k2"), spans, named], names=["_k1", "_k2", "spans", "items"])
+                yield out.filter(pa.array([bool(s) for s, _ in found]))
 
     return run
 
 
-def _shards(items: DataFrame) -> Iterator[dict[tuple[str | None, int], list[bytes]]]:
-    """Items by id (or none) and number, ``SHARD_WORDS`` words or one item at a time; one empty shard if there are none."""
-    shard: dict[tuple[str | None, int], list[bytes]] = {}
-    held = 0
-    for row in items.select(F.col("item_id").cast("string").alias("i"), "text").where("text is not null").orderBy("i", "text").toLocalIterator():
-        words = words_of(row.text)
-        if held and held + len(words) > SHARD_WORDS:
-            yield shard
-            shard, held = {}, 0
-        shard[row.i, len(shard)] = words  # an id may have several texts
-        held += len(words)
-    yield shard
+def _hits_by_shard(docs: DataFrame, items: DataFrame, words: int, window: int) -> DataFrame:
+    """(_k1, _k2, spans, items) of the texts that are hit, of items dealt to shards of about half ``SHARD_WORDS``.
+
+    One scan of ``docs`` for each ``FILTER_WORDS`` words of items, with the sorted names of their windows as a broadcast, finds the texts that hold one and the
+    shards that know it. Only those texts are shuffled, dealt in parts of ``PART_TEXTS``, each of which builds the automaton of its shard.
+    """
+    spark, shards = docs.sparkSession, -(-2 * words // SHARD_WORDS)
+    dealt = materialize(items.distinct().withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards))), "items")
+    windows = materialize(dealt.mapInArrow(_item_windows(window), "name long, shard long, size long").distinct(), "windows")
+    together, sent = max(1, FILTER_WORDS * shards // words), []
+    keyed = _keyed(docs.select("text"))
+    for lo in range(0, shards, together):
+        some = windows.where(F.col("shard").between(lo, lo + together - 1)).toArrow()
+        order = np.argsort(some.column("name").to_numpy(), kind="stable")
+        shared = spark.sparkContext.broadcast((some.column("name").to_numpy()[order], some.column("shard").to_numpy()[order], sorted(set(some.column("size").to_pylist()))))
+        sent.append(materialize(keyed.mapInArrow(_sent(shared), "_k1 long, _k2 long, text string, shard long"), "sent"))
+        shared.destroy()
+    texts = reduce(DataFrame.union, sent)
+    parts = texts.groupBy("shard").agg(F.ceil(F.count("*") / PART_TEXTS).alias("parts"))
+    nothing = F.lit(None)
+    known = dealt.join(F.broadcast(parts), "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_text"), "item", "text",
+        nothing.cast("long").alias("_k1"), nothing.cast("long").alias("_k2"),
+    )
+    asked = texts.withColumn("at", F.monotonically_increasing_id()).join(F.broadcast(parts), "shard").select(
+        "shard", F.pmod(F.xxhash64("at"), "parts").alias("part"), F.lit(True).alias("is_text"), nothing.cast("string").alias("item"), "text", "_k1", "_k2"
+    )
+    both = known.union(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "is_text")
+    hits = both.mapInArrow(_shard_hits(window), "_k1 long, _k2 long, spans array<long>, items array<string>").distinct()
+    out = materialize(hits.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")), "hits")
+    discard(dealt, windows, *sent)
+    return out
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most: float | None = None) -> DataFrame:
@@ -216,26 +291,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most: flo
     words marks nothing; items that repeat, or share windows, are all named. Items without an id mark
     like any other and are named by one null, the last of ``items``. Other columns pass
     through, but for any of the three names, which are replaced. With ``most``, the spans are cut out of
-    the texts instead, and documents of which a larger share of the words is hit are left out. Items are cut into shards of
-    ``SHARD_WORDS`` (an item with more is one of its own). Each but the last has a job to itself, whose hits are stored, and its automaton is
-    released before the next is built, so the memory of driver and workers does not grow with the benchmark.
+    the texts instead, and documents of which a larger share of the words is hit are left out. Items of up to ``SHARD_WORDS`` words make one automaton,
+    which every task has. Longer benchmarks are dealt to shards (an item with more words is one of its own): documents are scanned once more for the windows of the
+    items, and tasks build the automata that the texts found need, so no memory grows with the benchmark.
     """
     spark = docs.sparkSession
     out = in_small_batches(docs).drop("n_words", "spans", "items", "_k1", "_k2")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    shards, earlier = _shards(items), None
-    shard = next(shards)
-    while (following := next(shards, None)) is not None:
-        shared = spark.sparkContext.broadcast(_automaton(shard, window))
-        hits = materialize(_keyed(out.select("text")).mapInArrow(_hits(shared), "_k1 long, _k2 long, spans array<long>, items array<string>"), "hits")
-        shared.destroy()
-        earlier = hits if earlier is None else earlier.union(hits)
-        shard = following
-    if earlier is not None:
-        both = earlier.distinct().groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        out = _keyed(out).join(both, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    last = spark.sparkContext.broadcast(_automaton(shard, window))
-    return out.mapInArrow(_scanner(last, earlier is None, most), f"{schema}, n_words long, spans array<long>, items array<string>" if most is None else schema)
+    schema = f"{schema}, n_words long, spans array<long>, items array<string>" if most is None else schema
+    items = items.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
+    words = items.agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0))))).first()[0] or 0
+    if words <= SHARD_WORDS:
+        held = {(row.item, at): words_of(row.text) for at, row in enumerate(items.toLocalIterator())}  # an id may have several texts
+        return out.mapInArrow(_cutter(spark.sparkContext.broadcast(_automaton(held, window)), most), schema)
+    hits = _hits_by_shard(out, items, words, window)
+    return _keyed(out).join(hits, ["_k1", "_k2"], "left").drop("_k1", "_k2").mapInArrow(_cutter(None, most), schema)
 
 
 def _automaton(shard: dict[tuple[str | None, int], list[bytes]], window: int) -> SuffixAutomaton:

@@ -28,6 +28,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     pa.default_memory_pool().release_unused()  # workers are kept and share their executor's memory
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Cut Arrow batches of sorted rows where the values of these columns (numbers, booleans) change: the values, and the rows that have them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield tuple(k[lo].item() if hasattr(k[lo], "item") else k[lo] for k in keys), batch.slice(lo, hi - lo)
+
+
 def in_small_batches(docs: DataFrame) -> DataFrame:
     """``docs``; from now on the session sends tables to Python by ``BATCH_ROWS`` rows at most, as long texts make the usual batches large."""
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

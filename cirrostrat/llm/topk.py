@@ -5,23 +5,27 @@ quantised impact. A query takes the segments of all dimensions by descending imp
 the least of its dimension) and adds their postings to one accumulator for each row. What the segments to come can still add
 bounds every score from above. The query stops only on the proof that all rows but a few possible members stay
 below k lower bounds, or when its segments end; possible members are then rescored exactly. Blocks of vectors are dealt to tasks; each
-answers all queries in chunks, and the best k of a query meet in one aggregate that combines before the shuffle.
+indexes its block and lets the queries of a chunk pass by, and the best k of a query's blocks are ranked at the end.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cirrostrat.llm.text import runs_of
 from cirrostrat.runtime import materialize
 
-#: The most rows of a block of vectors, the most components in one, and queries of a chunk.
-BLOCK, BLOCK_CELLS, CHUNK = 8192, 1 << 21, 1024
+#: The most rows of a block of vectors, the most components in one, and queries of a chunk. A block goes through the shuffle once for each
+#: chunk, and chunks pass by in batches, so they are large: a minute or two of work for a task.
+BLOCK, BLOCK_CELLS, CHUNK = 8192, 1 << 21, 65536
 #: Segments of a dimension, parts of a query's postings after which it looks for a proof, and members it rescores for each result.
 LEVELS, STEPS, MEMBERS = 8, 8, 16
 _LONG = (1 << 63) - 1
@@ -47,6 +51,7 @@ class ImpactIndex:
         self.dim = dim[self.start]
         self.low, self.high = self.values[self.start], self.values[self.end - 1]
         self.first = np.flatnonzero(np.r_[True, self.dim[1:] != self.dim[:-1]])
+        self.read = 0  # postings that the last query read
 
     def top_k(self, query: np.ndarray, but: int | None, k: int) -> list[tuple[int, int]]:
         """The (score, id) of the ``k`` best rows but that at ``but``; ties to the smaller id. All sums are of whole numbers below 2**53, so exact."""
@@ -80,6 +85,7 @@ class ImpactIndex:
                 alive = np.flatnonzero(total + np.minimum(unseen, rest.sum()) + 0.5 >= bar)
             if len(alive) <= MEMBERS * k:
                 break
+        self.read = int(sizes[done - 1]) if done else 0
         alive = alive[alive != but] if but is not None else alive
         score = self.vectors[alive] @ q
         at = np.lexsort((self.ids[alive], -score))[:k]
@@ -90,33 +96,58 @@ def _whole(x: float, scale: int) -> int:
     return math.floor(x * scale) if abs(x) < 2**52 else int(x) * scale
 
 
+class _Candidates:
+    """The candidates of a block that have one length: an impact index, and those apart whose products could pass 2**53."""
+
+    def __init__(self, frame: pd.DataFrame, scale: int):
+        x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+        ids, rows = frame["vec_id"].to_numpy(np.int64), frame["row"].to_numpy(np.int64)
+        tame = _tame(x, scale)
+        held = np.flatnonzero(tame)
+        held = held[np.argsort(ids[held], kind="stable")]
+        self.wild = [(int(ids[i]), int(rows[i]), [_whole(c, scale) for c in x[i].tolist()]) for i in np.flatnonzero(~tame)]
+        self.index = ImpactIndex(ids[held], np.floor(x[held] * scale)) if len(held) else None
+        self.at = {int(r): j for j, r in enumerate(rows[held])}
+
+    def best(self, row: int, x: np.ndarray, k: int, scale: int) -> list[tuple[int, int]]:
+        """The (score, id) of the ``k`` best candidates but the query's own row."""
+        found: list[tuple[int, int]] = []
+        whole = [_whole(c, scale) for c in x.tolist()] if self.wild or not _tame(x[None], scale)[0] else None
+        if self.index is not None and (whole is None or _tame(x[None], scale)[0]):
+            found = self.index.top_k(np.floor(x * scale), self.at.get(row), k)
+        elif self.index is not None:
+            own = self.at.get(row)
+            found = [(sum(a * int(b) for a, b in zip(whole, v, strict=True)), int(name)) for j, (name, v) in enumerate(zip(self.index.ids, self.index.vectors, strict=True)) if j != own]
+        found += [(sum(a * b for a, b in zip(whole, v, strict=True)), name) for name, at, v in self.wild if at != row]
+        return sorted(((max(-_LONG - 1, min(_LONG, s)), name) for s, name in found), key=lambda f: (-f[0], f[1]))[:k]
+
+
+def _tame(x: np.ndarray, scale: int) -> np.ndarray:
+    """Vectors whose products stay below 2**53 whatever they meet; the others are scored in whole numbers of any size."""
+    return np.abs(x).max(1) * scale + 1 < math.sqrt(2**52 / x.shape[1])
+
+
 def _search(k: int, scale: int):
-    def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, int]] = []
-        frame = table.to_pandas()
-        for size, same in frame.groupby(frame["v"].map(len)):  # vectors of one length
-            x = np.stack(same["v"].to_numpy()).astype(np.float64)
-            ids, rows, asks = same["vec_id"].to_numpy(np.int64), same["row"].to_numpy(np.int64), same["asks"].to_numpy(bool)
-            # vectors whose products stay below 2**53 whatever they meet; the others are scored in whole numbers of any size
-            tame = np.abs(x).max(1) * scale + 1 < math.sqrt(2**52 / size)
-            cand = np.flatnonzero(~asks & tame)
-            cand = cand[np.argsort(ids[cand], kind="stable")]
-            wild = [(int(ids[i]), int(rows[i]), [_whole(c, scale) for c in x[i].tolist()]) for i in np.flatnonzero(~asks & ~tame)]
-            index = ImpactIndex(ids[cand], np.floor(x[cand] * scale)) if len(cand) else None
-            at = {int(r): j for j, r in enumerate(rows[cand])}
-            for i in np.flatnonzero(asks):
-                found: list[tuple[int, int]] = []
-                if not tame[i]:
-                    q = [_whole(c, scale) for c in x[i].tolist()]
-                    found = [(sum(a * int(b) for a, b in zip(q, v, strict=True)), int(ids[j])) for j, v in zip(cand, np.floor(x[cand] * scale), strict=True) if rows[j] != rows[i]]
-                elif index is not None:
-                    found = index.top_k(np.floor(x[i] * scale), at.get(int(rows[i])), k)
-                if wild:
-                    q = [_whole(c, scale) for c in x[i].tolist()]
-                    found += [(sum(a * b for a, b in zip(q, v, strict=True)), name) for name, row, v in wild if row != rows[i]]
-                found = sorted(((max(-_LONG - 1, min(_LONG, s)), name) for s, name in found), key=lambda f: (-f[0], f[1]))
-                out += [(int(rows[i]), int(ids[i]), name, s) for s, name in found[:k]]
-        return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("row", "query_id", "vec_id", "score"))})
+    """Rows come by block and chunk, candidates before queries: a block is indexed, then its queries pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, waiting, known = None, [], None
+        for (block, chunk, asks), batch in runs_of(batches, "block", "chunk", "asks"):
+            if (block, chunk) != group:
+                group, waiting, known = (block, chunk), [], None
+            if not asks:
+                waiting.append(batch)
+                continue
+            if known is None:
+                frame = pa.Table.from_batches(waiting).to_pandas() if waiting else pd.DataFrame({"v": []})
+                known = {size: _Candidates(same, scale) for size, same in frame.groupby(frame["v"].map(len))}
+                waiting = []
+            out: list[tuple[int, int, int, int]] = []
+            ids, rows = batch.column("vec_id").to_pylist(), batch.column("row").to_pylist()
+            for name, row, v in zip(ids, rows, batch.column("v").to_numpy(zero_copy_only=False), strict=True):
+                if (met := known.get(len(v))) is not None:
+                    out += [(row, name, found, s) for s, found in met.best(row, np.asarray(v, np.float64), k, scale)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -145,7 +176,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     deal = put.select("vec_id", "row", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"))
     asked = v.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(chunks)).cast("int"))
     asks = asked.select("vec_id", "row", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "chunk", F.lit(True).alias("asks"))
-    near = deal.union(asks.select(deal.columns)).groupBy("block", "chunk").applyInArrow(_search(k, scale), "row long, query_id long, vec_id long, score long")
+    both = deal.union(asks.select(deal.columns)).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "asks")
+    near = both.mapInArrow(_search(k, scale), "row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -396,6 +396,26 @@ def test_items_without_an_id_mark_like_others(spark, shard, monkeypatch):
     assert {r.doc_id for r in dc.decontaminate(docs, items).collect()} == {4}
 
 
+def test_documents_are_scanned_twice_whatever_the_shards(spark, docs, corpus, monkeypatch):
+    """Five shards and more, a passage that a third of the rows share, and few texts a part."""
+    monkeypatch.setattr(dc, "SHARD_WORDS", 60)
+    monkeypatch.setattr(dc, "PART_TEXTS", 7)
+    passage = texts(31, 1, 12, 13)[0]
+    rows = corpus + [(1000 + i, f"{t[:40]} {passage}") for i, t in enumerate(texts(32, 60, 20, 30))] + [(2000 + i, passage) for i in range(9)]
+    items = [(i, t) for i, t in enumerate(texts(33, 12, 11, 30))] + [(50, passage), (51, f"some {passage} more"), (52, rows[3][1]), (53, "ONE")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    found = dc.hit_counts(dc.contamination(table, spark.createDataFrame(items, "item_id long, text string")))
+    assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == brute_hits(rows, items)
+    assert seen.value == 2 * len(rows)
+
+
 def test_decontaminated_texts_hold_no_window(spark, docs, corpus):
     items = spark.createDataFrame([(1, dict(corpus)[2])], "item_id long, text string")
     clean = dc.decontaminate(docs, items, most=0.9)
@@ -476,8 +496,10 @@ def test_bands_hold_all_partners():
 # ---- 6 --------------------------------------------------------------------------------------
 
 
-def test_topk_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [4, 1000])
+def test_topk_equals_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(topk, "BLOCK", 60)
+    monkeypatch.setattr(topk, "CHUNK", chunk)
     rng = random.Random(8)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], 1) for i in range(170)]
     rows += [(170 + i, rows[i][1], 1) for i in range(10)]  # ties
@@ -511,10 +533,13 @@ def test_topk_stops_on_proof_only():
     v = rng.integers(-40, 40, (500, 8))
     v[:7] *= 20
     index = topk.ImpactIndex(np.arange(500), v)
+    read = []
     for i in range(0, 500, 25):
         score = v @ v[i]
         want = sorted((-int(score[j]), j) for j in range(500) if j != i)[:5]
         assert index.top_k(v[i], i, 5) == [(-s, j) for s, j in want]
+        read.append(index.read)
+    assert all(0 < n <= v.size for n in read) and sum(n < v.size for n in read) >= len(read) // 2
 
 
 # ---- 7 --------------------------------------------------------------------------------------
