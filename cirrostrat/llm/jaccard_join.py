@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cirrostrat.llm.cells import assign_cells
-from cirrostrat.llm.text import aside, in_small_batches, mix, set_id, shingles, slices
+from cirrostrat.llm.text import aside, in_small_batches, mix, set_name, shingles, slices
 from cirrostrat.operators.graph import connected_components
-from cirrostrat.runtime import materialize
+from cirrostrat.runtime import discard, materialize
 
 #: Shingles of one verification cell, and the most shingles that count as common (8 bytes each in a worker).
 CELL_SHINGLES, COMMON = 1_000_000, 1_000_000
@@ -135,15 +135,14 @@ def _key_rows(size: int, num: int, den: int, shared):
                 s = shingles(text, size)
                 if not len(s) or not bands.needs_join(len(s)):
                     continue
-                node = set_id(s)
-                if node in seen:
+                if (name := set_name(s)) in seen:
                     continue
-                seen.add(node)
+                seen.add(name)
                 k, rare = bands.band(len(s)), s
                 if len(common):
                     rare = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
                 # as the larger or equal partner in its own band, as the smaller one in the next
-                for band, member in zip((k, k + 1), _members(node, len(s), bands), strict=True):
+                for band, member in zip((k, k + 1), _members(name[0], len(s), bands), strict=True):
                     keys.append(segment_keys(rare, band, bands))
                     nodes.append(np.full(len(keys[-1]), member, np.int64))
             if not keys:
@@ -172,19 +171,19 @@ def _node_rows(size: int, num: int, den: int):
         bands = Bands(num, den)
         for batch in slices(batches):
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
-            ids = [set_id(s) if len(s) else None for s in sets]
+            ids = [set_name(s) if len(s) else None for s in sets]
             once = dict(zip(ids, sets, strict=True))
             once.pop(None, None)
             values, counts = np.unique(np.concatenate([*once.values(), np.empty(0, np.uint64)]), return_counts=True)
             often = counts > 1
             common = [dict(s=a, c=b) for a, b in zip(values[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
-            members = [_members(i, len(s), bands) if len(s) and bands.needs_join(len(s)) else [] for i, s in zip(ids, sets, strict=True)]
+            members = [_members(i[0], len(s), bands) if len(s) and bands.needs_join(len(s)) else [] for i, s in zip(ids, sets, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("row_key"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(members, pa.list_(pa.int64())),
+                    batch.column("doc_id"), batch.column("row_key"), *(pa.array([i and i[h] for i in ids], pa.int64()) for h in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(members, pa.list_(pa.int64())),
                     pa.array([common] + [None] * (len(sets) - 1), pa.list_(pa.struct([("s", pa.int64()), ("c", pa.int64())]))),
                 ],
-                names=["doc_id", "row_key", "node", "n_shingles", "members", "common"],
+                names=["doc_id", "row_key", "node", "half", "n_shingles", "members", "common"],
             )
 
     return run
@@ -236,10 +235,10 @@ def forest_links(nodes: list[int], sets: list[np.ndarray], blocks: list[int], nu
 def _verify(size: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         families: dict[int, dict[int, tuple[np.ndarray, int]]] = {}
-        for family, node, block, text in zip(*(table.column(c).to_pylist() for c in ("family", "node", "block", "text")), strict=True):
+        for family, at, node, half, block, text in zip(*(table.column(c).to_pylist() for c in ("family", "set", "node", "half", "block", "text")), strict=True):
             own = families.setdefault(family, {})
-            if node not in own and set_id(s := shingles(text, size)) == node:
-                own[node] = (s, block)
+            if at not in own and set_name(s := shingles(text, size)) == (node, half):
+                own[at] = (s, block)
         links = []
         for own in families.values():
             if len(own) > 1:
@@ -257,7 +256,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     words have no shingles and stand alone; rows without an id link like others (the least of no
     ids is null). Shorter texts are one shingle and link with equal ones only. Rows
     that repeat an id are judged each by their own text. Other columns are not read; an empty
-    table gives no rows. Sets are compared by 64-bit hashes of their shingles.
+    table gives no rows. Sets are compared by 64-bit hashes of their shingles and
+    named by 128 bits of those.
     """
     return _judged(docs, size, num, den).select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"))
 
@@ -265,7 +265,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 def _judged(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_key (of id and text), node, n_shingles and ``head``, the first row (z, doc_id, row_key) of its component."""
     docs = in_small_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    schema = "doc_id long, row_key long, node long, n_shingles long, members array<long>, common array<struct<s: long, c: long>>"
+    schema = "doc_id long, row_key long, node long, half long, n_shingles long, members array<long>, common array<struct<s: long, c: long>>"
     nodes = materialize(docs.mapInArrow(_node_rows(size, num, den), schema), "nodes")
     shared = nodes.where("common is not null").select(F.explode("common").alias("e")).groupBy("e.s").agg(F.sum("e.c").alias("c"))
     often = shared.where(F.col("c") >= COMMON_TEXTS).orderBy(F.desc("c"), "s").limit(COMMON).select("s").toArrow().column("s").to_numpy()
@@ -279,21 +279,23 @@ def _judged(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     pairs = (("first", "lo"), ("lo", "hi"), ("first", "top"))
     edges = met.select(F.explode(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in pairs])).alias("e")).select("e.*")
     families = connected_components(edges.where("src <> dst"))
-    one = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key", "n_shingles")).alias("r"), F.first("members").alias("members"))
-    one = materialize(one.select("node", "r.z", "r.doc_id", "r.row_key", "r.n_shingles", "members"), "sets")
-    spread = one.select("node", "row_key", "n_shingles", F.explode("members").alias("id"))
+    one = nodes.where("node is not null").groupBy("node", "half").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key", "n_shingles")).alias("r"), F.first("members").alias("members"))
+    # a set's number stands for its 128-bit name in links
+    one = materialize(one.select(F.monotonically_increasing_id().alias("set"), "node", "half", "r.z", "r.doc_id", "r.row_key", "r.n_shingles", "members"), "sets")
+    spread = one.select("set", "node", "half", "row_key", "n_shingles", F.explode("members").alias("id"))
     members = materialize(spread.join(families.select("id", F.col("component").alias("family")), "id").drop("id"), "members")
-    cells = assign_cells(members, "family", "node", "n_shingles", CELL_SHINGLES)
+    cells = assign_cells(members, "family", "set", "n_shingles", CELL_SHINGLES)
     # by what the row holds, so that rows without an id are found; a merge join at every size: members grow with the documents
-    texts = docs.join(cells.select("row_key", "node", "family", "cell", "block").hint("merge"), "row_key")
-    links = texts.select("cell", "family", "node", "block", "text").groupBy("cell").applyInArrow(_verify(size, num, den), "src long, dst long")
-    parts = connected_components(links).withColumnRenamed("id", "node")
+    texts = docs.join(cells.select("row_key", "set", "node", "half", "family", "cell", "block").hint("merge"), "row_key")
+    links = texts.select("cell", "family", "set", "node", "half", "block", "text").groupBy("cell").applyInArrow(_verify(size, num, den), "src long, dst long")
+    parts = connected_components(links).withColumnRenamed("id", "set")
     # the least row of a set, and of the sets that links join, rows without an id last; then to every row of the set
-    own = one.select("node", F.struct("z", "doc_id", "row_key").alias("first"))
-    least_of = parts.join(own, "node").groupBy("component").agg(F.min("first").alias("joined"))
-    heads = own.join(parts.join(least_of, "component").select("node", "joined"), "node", "left")
-    heads = materialize(heads.select("node", F.coalesce("joined", "first").alias("head")), "heads")
-    return nodes.join(heads, "node", "left").select("doc_id", "row_key", "node", "n_shingles", "head")
+    own = one.select("set", "node", "half", F.struct("z", "doc_id", "row_key").alias("first"))
+    least_of = parts.join(own, "set").groupBy("component").agg(F.min("first").alias("joined"))
+    heads = own.join(parts.join(least_of, "component").select("set", "joined"), "set", "left")
+    heads = materialize(heads.select("node", "half", F.coalesce("joined", "first").alias("head")), "heads")
+    discard(one, members)
+    return nodes.join(heads, ["node", "half"], "left").select("doc_id", "row_key", "node", "n_shingles", "head")
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:

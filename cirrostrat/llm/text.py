@@ -80,6 +80,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def set_id(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set of shingles (of its sorted hashes)."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)))
+def set_name(s: np.ndarray) -> tuple[int, int]:
+    """The 128-bit name of a set of shingles (of its sorted hashes), as two signed halves."""
+    whole = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+    return int(whole[0]), int(whole[1])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cirrostrat.llm import decontaminate as dc
-from cirrostrat.llm import html_extract, jaccard_join, mixing, quality_rules, suffix_dedup, token_counts, topk, toxicity, url_rules
+from cirrostrat.llm import html_extract, jaccard_join, mixing, quality_rules, suffix_dedup, text, token_counts, topk, toxicity, url_rules
 from cirrostrat.llm import queries as llm_queries
 from tests.compare import DATA, check, views
 
@@ -486,6 +486,20 @@ def test_sets_without_an_id_link_others(spark):
     assert [r.doc_id for r in jaccard_join.keep_one_of_each(docs, 3, 80, 100).collect()] == [3]
 
 
+def _half_alike(s):
+    return len(s), text.set_name(s)[1]
+
+
+def test_sets_that_agree_in_half_a_name_stay_apart(spark, monkeypatch):
+    """Unlike sets of one size agree in the first half of their names: they are candidates together, none is taken for another."""
+    rows = list(enumerate(texts(41, 8, 30, 31)))
+    rows += [(20 + i, t + " end") for i, t in rows[:3]] + [(30, rows[5][1])]
+    monkeypatch.setattr(jaccard_join, "set_name", _half_alike)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 3, 90, 100).collect()}
+    assert got == brute_components(rows, 3, 90, 100)
+
+
 def test_bands_hold_all_partners():
     for num in (50, 80, 90):
         b = jaccard_join.Bands(num, 100)
