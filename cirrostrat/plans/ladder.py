@@ -83,12 +83,15 @@ def _ladder_group(params: RunParams):
 
 def _ladder_of_large(v: DataFrame, params: RunParams, ny: int, nx: int, last: int) -> tuple[DataFrame, DataFrame]:
     """The ladder over regions that no task holds whole, threshold by threshold: voxels as ``_ladder_group`` gives them but for ``detected``, and the seeds' frames."""
-    frames, after, seeds, first = None, [], None, last
+    frames, after, seeds, first, old = None, [], None, last, []
     for threshold, nxt in params.ladder():
         steps = [*after, (F.col("bt") < threshold, params.delta_spread)]
         swept = materialize(sweep(v, steps, ny, nx, candidates(threshold), params.scan_rules), "swept")
+        discard(*old)
+        old = [swept]
         v, new, last = named_systems(swept, threshold, params.min_area_seed, params.min_lifetime, last)
         found = frame_areas(swept.where("component is not null").join(new.select("component"), "component", "left_semi")).withColumn("threshold", F.lit(threshold).cast("int"))
+        found = materialize(found, "found")  # so that one copy of the volume is kept, not one a threshold
         frames, seeds = (found, new) if frames is None else (frames.union(found), seeds.union(new))
         after = [(F.col("bt") <= nxt, params.delta_spread)]
     v = sweep(v, [*after, (after[0][0], params.final_delta)], ny, nx)
