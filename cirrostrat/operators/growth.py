@@ -51,16 +51,19 @@ def grow_level(frontier: DataFrame, free: DataFrame, delta: float, pattern: Sequ
     return best.select("t", "y", "x", "b.label", "b.q", "b.path")
 
 
-def _grow_tile(pattern: Sequence[Offset], delta: int, tile: tuple[int, int, int], finish: bool):
-    def run(cells: pa.Table, faces: pa.Table) -> pa.Table:
-        own, k = cells.num_rows, faces.num_rows
-        if not own:  # nothing to grow beside this face
-            return pa.table({n: pa.array([], t) for n, t in zip(("t", "y", "x", "label"), [pa.int32()] * 4, strict=True)} if finish else {f.split()[0]: pa.array([], pa.int64() if "long" in f else pa.int32()) for f in _FACE.split(", ")})
-        t, y, x = (np.r_[cells.column(c).to_numpy(), faces.column(c).to_numpy()] for c in "tyx")
-        q = np.r_[cells.column("q").fill_null(_NO_Q).to_numpy(), faces.column("q").to_numpy()].astype(np.int64)
-        free = np.r_[cells.column("free").to_numpy(zero_copy_only=False), np.zeros(k, bool)]
-        label = np.r_[cells.column("label").fill_null(0).to_numpy(), faces.column("label").to_numpy()].astype(np.int64)
-        source = np.r_[np.where(label[:own] != 0, cells.column("own").to_numpy(), -1), faces.column("source").to_numpy()]
+class Settled:
+    """A tile after its growth, from its cells (``t``, ``y``, ``x``, ``q``, ``free``, ``label``, ``own``) and the keys of the faces that it was told.
+
+    Voxels are in scan order, those of other tiles among them; ``row`` names the row of cells of those ``inside``.
+    """
+
+    def __init__(self, cells: dict[str, np.ndarray], faces: pa.Table, pattern: Sequence[Offset], delta: int):
+        own, k = len(cells["t"]), faces.num_rows
+        t, y, x = (np.r_[cells[c], faces.column(c).to_numpy()] for c in "tyx")
+        q = np.r_[cells["q"], faces.column("q").to_numpy()].astype(np.int64)
+        free = np.r_[cells["free"], np.zeros(k, bool)]
+        label = np.r_[cells["label"], faces.column("label").to_numpy()].astype(np.int64)
+        source = np.r_[np.where(label[:own] != 0, cells["own"], -1), faces.column("source").to_numpy()]
         level = np.r_[np.where(label[:own] != 0, 0, -1), faces.column("level").to_numpy()]
         order = stencil.scan_order(t, y, x)
         # a cell of this tile whose key came back keeps its row, the face's row names the key it had
@@ -71,27 +74,49 @@ def _grow_tile(pattern: Sequence[Offset], delta: int, tile: tuple[int, int, int]
         n = len(first)
         at = np.full(n, -1)  # the row of each voxel's cell, if it lies in this tile
         at[slot[mine]] = np.flatnonzero(mine)
-        inside, row = at >= 0, np.where(at >= 0, at, first)
-        names, rank = np.unique(source[source >= 0], return_inverse=True)
+        self.inside, row = at >= 0, np.where(at >= 0, at, first)
+        self.row = order[row]
+        self.names, rank = np.unique(source[source >= 0], return_inverse=True)
         key = np.full(n, stencil.FAR)
         np.minimum.at(key, slot[source >= 0], (level[source >= 0].astype(np.int64) << 32) | rank)
-        had = np.full(n, stencil.FAR)
+        self.had = np.full(n, stencil.FAR)
         known = ~mine
-        np.minimum.at(had, slot[known], (level[known].astype(np.int64) << 32) | np.searchsorted(names, source[known]))
-        label_of = np.zeros(len(names), np.int64)
-        label_of[rank] = label[source >= 0]
-        ty, yy, xx = t[row], y[row], x[row]
-        key = stencil.least_keys(stencil.neighbour_table(ty, yy, xx, pattern), key, inside & free[row], q[row], delta)
-        got = inside & (key < stencil.FAR)
-        if finish:
-            out = np.flatnonzero(got & (key >> 32 > 0))
-            return pa.table({"t": ty[out], "y": yy[out], "x": xx[out], "label": label_of[key[out] & 0xFFFFFFFF].astype(np.int32)})
-        rim = np.zeros(n, bool)
-        for c, size in zip((ty, yy, xx), tile, strict=True):
+        np.minimum.at(self.had, slot[known], (level[known].astype(np.int64) << 32) | np.searchsorted(self.names, source[known]))
+        self.label_of = np.zeros(len(self.names), np.int64)
+        self.label_of[rank] = label[source >= 0]
+        self.t, self.y, self.x, self.q = t[row], y[row], x[row], q[row]
+        self.near = stencil.neighbour_table(self.t, self.y, self.x, pattern)
+        self.key = stencil.least_keys(self.near, key, self.inside & free[row], self.q, delta)
+
+    def labels(self) -> np.ndarray:
+        """The label of each voxel, 0 if it has none."""
+        known = self.key < stencil.FAR
+        out = np.zeros(len(self.key), np.int64)
+        out[known] = self.label_of[self.key[known] & 0xFFFFFFFF]
+        return out
+
+    def told(self, tile: tuple[int, int, int]) -> dict[str, np.ndarray]:
+        """The keys of the tile's faces that are less than those it has told before."""
+        rim = np.zeros(len(self.key), bool)
+        for c, size in zip((self.t, self.y, self.x), tile, strict=True):
             rim |= (c % size == 0) | (c % size == size - 1)
-        out = np.flatnonzero(got & rim & (key < had) & (q[row] < _NO_Q))
-        won = key[out] & 0xFFFFFFFF
-        return pa.table({"t": ty[out], "y": yy[out], "x": xx[out], "q": q[row][out].astype(np.int32), "level": (key[out] >> 32).astype(np.int32), "source": names[won], "label": label_of[won].astype(np.int32)})
+        out = np.flatnonzero(self.inside & rim & (self.key < self.had) & (self.q < _NO_Q))
+        won = self.key[out] & 0xFFFFFFFF
+        return {"t": self.t[out], "y": self.y[out], "x": self.x[out], "q": self.q[out].astype(np.int32), "level": (self.key[out] >> 32).astype(np.int32), "source": self.names[won], "label": self.label_of[won]}
+
+
+def _grow_tile(pattern: Sequence[Offset], delta: int, tile: tuple[int, int, int], finish: bool):
+    def run(cells: pa.Table, faces: pa.Table) -> pa.Table:
+        if not cells.num_rows:  # nothing to grow beside this face
+            return pa.table({n: pa.array([], t) for n, t in zip(("t", "y", "x", "label"), [pa.int32()] * 4, strict=True)} if finish else {f.split()[0]: pa.array([], pa.int64() if "long" in f else pa.int32()) for f in _FACE.split(", ")})
+        own = {c: cells.column(c).to_numpy() for c in ("t", "y", "x", "own")}
+        own |= {"q": cells.column("q").fill_null(_NO_Q).to_numpy(), "free": cells.column("free").to_numpy(zero_copy_only=False), "label": cells.column("label").fill_null(0).to_numpy()}
+        settled = Settled(own, faces, pattern, delta)
+        if finish:
+            out = np.flatnonzero(settled.inside & (settled.key < stencil.FAR) & (settled.key >> 32 > 0))
+            return pa.table({"t": settled.t[out], "y": settled.y[out], "x": settled.x[out], "label": settled.labels()[out].astype(np.int32)})
+        told = settled.told(tile)
+        return pa.table(told | {"label": told["label"].astype(np.int32)})
 
     return run
 

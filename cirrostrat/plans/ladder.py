@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cirrostrat.config import RunParams
 from cirrostrat.functions.scalar import centikelvin, voxel_index
 from cirrostrat.operators import stencil
-from cirrostrat.operators.components import REGION_VOXELS, with_groups
-from cirrostrat.operators.growth import sweep
-from cirrostrat.operators.graph import connected_components
+from cirrostrat.operators.components import REGION_VOXELS, TILE, with_groups
+from cirrostrat.operators.graph import LAST_EDGES, connected_components, joined_up
+from cirrostrat.operators.growth import Settled
 from cirrostrat.operators.joins import assign_chunks, carried_over
-from cirrostrat.operators.neighbors import SCAN, SIX, TEN, is_edge
-from cirrostrat.operators.seeds import candidates, frame_areas, named_systems, seed_records
+from cirrostrat.operators.neighbors import SCAN, SIX, TEN, is_edge, shifted
+from cirrostrat.operators.seeds import seed_records
 from cirrostrat.runtime import discard, materialize
 
 _LABELLED = "t int, y int, x int, bt double, area double, label int, seed long, detected int"
@@ -81,26 +82,223 @@ def _ladder_group(params: RunParams):
     return run
 
 
-def _ladder_of_large(v: DataFrame, params: RunParams, ny: int, nx: int, last: int) -> tuple[DataFrame, DataFrame]:
-    """The ladder over regions that no task holds whole, threshold by threshold: voxels as ``_ladder_group`` gives them but for ``detected``, and the seeds' frames."""
-    frames, after, seeds, first, old = None, [], None, last, []
-    for threshold, nxt in params.ladder():
-        steps = [*after, (F.col("bt") < threshold, params.delta_spread)]
-        swept = materialize(sweep(v, steps, ny, nx, candidates(threshold), params.scan_rules), "swept")
+def _steps(params: RunParams) -> list[tuple[float, bool, int, int | None]]:
+    """The ladder as growths (limit, only below it, margin in hundredths), each with the threshold of the detection after it, if any.
+
+    A growth below a threshold that the growth before has reached would find nothing more, and is left out.
+    """
+    delta, out, after = int(round(100 * params.delta_spread)), [], None
+    for threshold, following in params.ladder():
+        if after is None or threshold > after:
+            out += [(after, False, delta, None)] if after is not None else []
+            out.append((threshold, True, delta, threshold))
+        else:
+            out.append((after, False, delta, threshold))
+        after = following
+    return [*out, (after, False, delta, None), (after, False, int(round(100 * params.final_delta)), None)]
+
+
+def _tile_shape(sizes: tuple[int, int, int], cells: int) -> tuple[int, int, int]:
+    """Slots, rows and columns of a tile of at most ``cells`` voxels: the volume, halved along its longest side until it fits."""
+    shape = [max(1, n) for n in sizes]
+    while shape[0] * shape[1] * shape[2] > max(1, cells):
+        longest = shape.index(max(shape))
+        shape[longest] = -(-shape[longest] // 2)
+    return tuple(shape)
+
+
+def _ladder_tile(params: RunParams, step: tuple[float, bool, int, int | None], ends: tuple[tuple[int, int], ...], tile: tuple[int, int, int], finish: bool):
+    """A step of the ladder in one tile: the keys that its growth tells other tiles, or its cells after the step.
+
+    Notes are keys of faces, and the labels that parts across tiles were given after the step before. Parts that end inside the tile are decided
+    here; voxels of others keep the part's first voxel in the tile (root), what they touch (beside) and their role (2: hands the part on, 1: reached, 0: reached by none here).
+    """
+    limit, below, delta, threshold = step
+
+    def run(cells: pa.Table, notes: pa.Table) -> pa.Table:
+        kinds = _CELL if finish else _FACE
+        if not cells.num_rows:
+            return pa.table({f.split()[0]: pa.array([], _ARROW[f.split()[1]]) for f in kinds.split(", ")})
+        t, y, x, q, own, bt = (cells.column(c).to_numpy() for c in ("t", "y", "x", "q", "own", "bt"))
+        label, detected, root = (cells.column(c).fill_null(none).to_numpy().copy() for c, none in (("label", 0), ("detected", 0), ("root", -1)))
+        is_face = notes.column("face").to_numpy(zero_copy_only=False)
+        given, faces = notes.filter(pa.array(~is_face)), notes.filter(pa.array(is_face))
+        if given.num_rows:
+            names, first = np.unique(given.column("source").to_numpy(), return_index=True)
+            at = np.minimum(np.searchsorted(names, root), len(names) - 1)
+            hit = (root >= 0) & (names[at] == root)
+            label[hit], detected[hit] = (given.column(c).to_numpy()[first][at[hit]] for c in ("label", "level"))
+        free = (label == 0) & ((bt < limit) if below else (bt <= limit))
+        s = Settled({"t": t, "y": y, "x": x, "q": q, "free": free, "label": label, "own": own}, faces, TEN, delta)
+        if not finish:
+            return pa.table(s.told(tile))
+        n, labels, inside = len(s.t), s.labels(), np.flatnonzero(s.inside)
+        row = s.row[inside]
+        found, role, beside, index = np.full(n, -1), np.zeros(n, np.int32), np.zeros(n, np.int64), np.full(n, -1)
+        index[inside] = own[row]
+        seen = np.zeros(n, np.int32)
+        seen[inside] = detected[row]
+        if threshold is not None:
+            temperature, km2 = np.full(n, np.nan), np.zeros(n)
+            temperature[inside] = bt[row]
+            km2[inside] = np.nan_to_num(np.floor(cells.column("area").to_numpy(zero_copy_only=False).astype(float)))[row]
+            member = (temperature > 0) & (temperature <= threshold) & (labels == 0)
+            starts = member
+            if params.scan_rules:
+                starts = starts.copy()
+                starts[inside] &= cells.column("visited").fill_null(np.inf).to_numpy()[row] <= threshold
+            part = stencil.parts(s.near, member, starts)
+            border = np.zeros(n, bool)
+            for c, size, (low, high) in zip((s.t, s.y, s.x), tile, ends, strict=True):
+                border |= ((c % size == 0) & (c > low)) | ((c % size == size - 1) & (c < high))
+            role = np.where(starts, 2, np.where(part >= 0, 1, 0)).astype(np.int32)
+            waits = np.flatnonzero(member & border & (part < 0))
+            part[waits] = waits
+            goes_on = np.zeros(n, bool)
+            goes_on[part[border & (part >= 0)]] = True
+            apart = (part >= 0) & goes_on[part]
+            beside = stencil.least_beside(s.near, labels, part >= 0)
+            closed = np.flatnonzero((part >= 0) & ~apart)
+            if len(closed):
+                to = stencil.least_of_parts(np.where(apart, -1, part), beside)
+                new = stencil.lasting(part[closed], s.t[closed], km2[closed], params.min_area_seed, params.min_lifetime)
+                to[new] = _name(threshold - params.min_bt) | index[new]
+                labels[closed] = to[part[closed]]
+                seen[closed[np.isin(part[closed], new)]] = threshold
+            found[apart] = index[part[apart]]
+        labels, seen, found, role, beside = (a[inside] for a in (labels, seen, found, role, beside))
+        out = cells.take(pa.array(row)).select([f.split()[0] for f in _CELL.split(", ")])
+        pending = found >= 0
+        for name, values, none in (("label", labels, labels == 0), ("detected", seen, seen == 0), ("root", found, ~pending), ("role", role, ~pending), ("beside", beside, ~pending | (beside == 0))):
+            out = out.set_column(out.column_names.index(name), name, pa.array(values, mask=none))
+        return out
+
+    return run
+
+
+#: Systems of large regions are named by their threshold and the first voxel of their seed until the end, above all labels carried over; names come in the order of the numbers.
+_CELL = "t int, y int, x int, bt double, area double, q int, own long, visited double, label long, detected int, root long, role int, beside long"
+_FACE = "t int, y int, x int, q int, level int, source long, label long"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+_OWN = (1 << 48) - 1
+
+
+def _name(above: int) -> int:
+    return (above + 1) << 48
+
+
+def _given(state: DataFrame, step: tuple, params: RunParams, ny: int, nx: int, tile: tuple[int, int, int], rim: int) -> DataFrame:
+    """(root, label, detected) of the parts of tiles that hang together across faces: a new system's name if they last, else the least label that they touch."""
+    threshold = step[3]
+    pending = state.where("root is not null")
+    face, elsewhere = F.lit(False), F.lit(False)
+    for c, n in zip("tyx", tile, strict=True):
+        face = face | F.pmod(c, F.lit(n)).isin(0, n - 1)
+        elsewhere = elsewhere | (F.floor(F.col(f"n{c}") / n) != F.floor(F.col(c) / n))
+    ends = pending.where(face).select("t", "y", "x", "root", "role")
+    there = ends.select(F.col("t").alias("nt"), F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("root").alias("other"))
+    edges = shifted(ends.where("role = 2"), TEN).where(elsewhere).join(there, ["nt", "ny", "nx"]).select("root", "other")
+    joined = (joined_up(edges, "root", "other") if rim * len(TEN) <= LAST_EDGES else connected_components(edges, "root", "other")).withColumnRenamed("id", "root")
+    parts = pending.groupBy("root", "t").agg(F.sum(F.floor("area")).alias("area"), F.min("beside").alias("beside"), F.max("role").alias("role"))
+    lone = pending.where("role = 0").select("root").distinct().withColumn("lone", F.lit(True))  # by its own tile's starts not reached
+    named = parts.join(joined, "root", "left").join(lone, "root", "left").withColumn("component", F.coalesce("component", F.when(F.col("lone").isNull(), F.col("root"))))
+    named = materialize(named.where("component is not null").select("root", "component", "t", "area", "beside"), "parts")
+    frames = named.groupBy("component", "t").agg(F.sum("area").alias("area"))
+    new = seed_records(frames, params.min_area_seed, params.min_lifetime).where("accepted").select("component", F.col("component").bitwiseOR(F.lit(_name(threshold - params.min_bt))).alias("name"))
+    touched = named.groupBy("component").agg(F.min("beside").alias("beside"))
+    out = named.select("root", "component").distinct().join(touched, "component").join(new, "component", "left")
+    given = materialize(out.select("root", F.coalesce("name", "beside").alias("label"), F.when(F.col("name").isNotNull(), threshold).otherwise(0).alias("detected")).where("label is not null"), "given")
+    discard(named)
+    return given
+
+
+def _ladder_of_large(v: DataFrame, params: RunParams, ny: int, nx: int, tile: tuple[int, int, int] | None = None) -> DataFrame:
+    """The ladder over regions that no task holds whole: voxels as ``_ladder_group`` gives them.
+
+    The volume is cut into tiles. At each step of the ladder tiles grow until no face has news for another (``growth.Settled``), then detect; only parts on faces, as one row for
+    each slot, meet those of other tiles, and what they become reaches the voxels with the next step's notes. Voxels join in when they get cold enough for a step.
+    """
+    low, high = v.agg(F.min("t"), F.max("t")).first()
+    tile = tile or _tile_shape((high + 1, ny, nx), TILE[0] * TILE[1] * TILE[2])
+    ends = ((low, high), (0, ny - 1), (0, nx - 1))
+    own = v.withColumns({"q": centikelvin(F.col("bt")), "own": voxel_index(F.col("t"), F.col("y"), F.col("x"), ny, nx), "visited": F.lit(None).cast("double"), "label": F.col("label").cast("long")})
+    if params.scan_rules:  # the coldest of the six that decide whether a voxel is isolated
+        six = shifted(v.where("bt > 0").select("t", "y", "x", "bt"), [tuple(-d for d in o) for o in SIX]).groupBy("nt", "ny", "nx").agg(F.min("bt").alias("visited"))
+        here = six.select(F.col("nt").alias("t"), F.col("ny").alias("y"), F.col("nx").alias("x"), "visited")
+        own = own.drop("visited").join(here, ["t", "y", "x"], "left").withColumn("visited", F.when(~is_edge(ny, nx), F.col("visited")))
+    none = {"detected": "int", "root": "long", "role": "int", "beside": "long"}
+    own = own.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items()}).select([f.split()[0] for f in _CELL.split(", ")])
+    if params.scan_rules:
+        own = materialize(own, "cells")
+    tiles = [f"tile_{c}" for c in "tyx"]
+
+    def of(t: Column, y: Column, x: Column) -> dict[str, Column]:
+        return {name: F.floor(c / n).cast("int") for name, c, n in zip(tiles, (t, y, x), tile, strict=True)}
+
+    def here(df: DataFrame) -> DataFrame:
+        return df.withColumns(of(F.col("t"), F.col("y"), F.col("x")))
+
+    def beside(faces: DataFrame) -> DataFrame:
+        """Each face once for every tile that it touches, its own too."""
+        shift = shifted(faces, [(0, 0, 0), *TEN])
+        return shift.withColumns(of(F.col("nt"), F.col("ny"), F.col("nx"))).select(*faces.columns, *tiles).dropDuplicates(["t", "y", "x", *tiles])
+
+    def news(faces: DataFrame) -> DataFrame:
+        """The tiles next to faces."""
+        elsewhere = F.lit(False)
+        for c, n in zip("tyx", tile, strict=True):
+            elsewhere = elsewhere | (F.floor(F.col(f"n{c}") / n) != F.floor(F.col(c) / n))
+        return shifted(faces.select("t", "y", "x"), TEN).where(elsewhere).select([c.alias(n) for n, c in of(F.col("nt"), F.col("ny"), F.col("nx")).items()]).distinct()
+
+    state, given, reached, labelled, steps = own.where("label is not null"), None, None, True, _steps(params)
+    for at, step in enumerate(steps):
+        limit = max(step[0], step[3] or step[0], reached or step[0])
+        fresh = own.where("label is null")
+        fresh = fresh if reached is None else fresh.where(F.col("bt") > reached)
+        cells = here(state.unionByName(fresh if at == len(steps) - 1 else fresh.where(F.col("bt") <= limit)))
+        told: list[DataFrame] = []
+        empty = own.where("false").select("t", "y", "x", "q", F.lit(0).alias("level"), F.col("own").alias("source"), "label", *[F.lit(0).alias(n) for n in tiles], F.lit(True).alias("face"))
+        root = F.col("root")
+        known = empty if given is None else given.select(
+            *[F.lit(0).alias(c) for c in ("t", "y", "x", "q")], F.col("detected").cast("int").alias("level"), root.alias("source"), "label",
+            *[c.alias(n) for n, c in of(F.floor(root / (ny * nx)), F.floor(root / nx) % ny, root % nx).items()], F.lit(False).alias("face"),
+        )
+
+        def notes(known: DataFrame = known, told: Sequence[DataFrame] = told) -> DataFrame:
+            out = known
+            for faces in told:
+                out = out.unionByName(beside(faces).withColumn("face", F.lit(True)))
+            return out
+
+        def run(cells: DataFrame, notes: DataFrame, finish: bool, step: tuple = step) -> DataFrame:
+            told = notes.withColumnsRenamed({t: f"to_{t}" for t in tiles})
+            return cells.groupBy(*tiles).cogroup(told.groupBy(*[f"to_{t}" for t in tiles])).applyInArrow(_ladder_tile(params, step, ends, tile, finish), _CELL if finish else _FACE)
+
+        while labelled:
+            active, heard = cells, notes()
+            if len(told) > 1:  # the first faces reach nearly every tile
+                only = news(told[-1])
+                active, heard = cells.join(only, tiles, "left_semi"), heard.join(only, tiles, "left_semi")
+            seen = Observation()
+            less = materialize(run(active, heard, False).observe(seen, F.count("*").alias("n")), "faces")
+            if not seen.get["n"]:
+                discard(less)
+                break
+            told.append(less)
+        seen, old = Observation(), (state, *([given] if given is not None else []), *told)
+        face = F.lit(False)
+        for c, n in zip("tyx", tile, strict=True):
+            face = face | F.pmod(c, F.lit(n)).isin(0, n - 1)
+        state = materialize(run(cells, notes(), True).observe(seen, F.count("label").alias("labels"), F.count(F.when(root.isNotNull() & face, 1)).alias("rim"), F.count("root").alias("pending")), "swept")
         discard(*old)
-        old = [swept]
-        v, new, last = named_systems(swept, threshold, params.min_area_seed, params.min_lifetime, last)
-        found = frame_areas(swept.where("component is not null").join(new.select("component"), "component", "left_semi")).withColumn("threshold", F.lit(threshold).cast("int"))
-        found = materialize(found, "found")  # so that one copy of the volume is kept, not one a threshold
-        frames, seeds = (found, new) if frames is None else (frames.union(found), seeds.union(new))
-        after = [(F.col("bt") <= nxt, params.delta_spread)]
-    v = sweep(v, [*after, (after[0][0], params.final_delta)], ny, nx)
-    own = seeds.select("label", F.col("component").alias("seed"))
-    v = v.join(own, "label", "left").withColumn("label", F.when(F.col("label") <= first, F.col("label")))
-    return v.select("t", "y", "x", "bt", "area", "label", "seed", F.lit(None).cast("int").alias("detected")), frames
-
-
-def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, last_label: int | None = None, most: int = REGION_VOXELS) -> Segmentation:
+        given = _given(state, step, params, ny, nx, tile, seen.get["rim"]) if seen.get["pending"] else None
+        labelled = seen.get["labels"] > 0 or given is not None
+        reached = limit
+    label = F.col("label")
+    return state.select("t", "y", "x", "bt", "area", F.when(label <= _OWN, label).cast("int").alias("label"), F.when(label > _OWN, label.bitwiseAND(F.lit(_OWN))).alias("seed"), "detected")
+
+
+def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, last_label: int | None = None, most: int = REGION_VOXELS, tile: tuple[int, int, int] | None = None) -> Segmentation:
     """Segment a volume (t, y, x, bt, area and, for labels carried over, label).
 
     For each threshold, coldest first: grow the labels into colder voxels, detect new seeds, grow up
@@ -118,12 +316,11 @@ def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, la
     v = materialize(with_groups(v, ny, nx, most=most), "volume")
     ready = v.where("group is not null").withColumns({"q": centikelvin(F.col("bt")), "own": voxel_index(F.col("t"), F.col("y"), F.col("x"), ny, nx), "rim": is_edge(ny, nx)})
     swept = materialize(ready.groupBy("group").applyInArrow(_ladder_group(params), _LABELLED), "laddered")
-    frames = swept.where("detected is not null").groupBy(F.col("seed").alias("component"), F.col("detected").alias("threshold"), "t").agg(F.sum(F.floor("area")).alias("area"))
     if not v.where("group is null").isEmpty():
         if params.exact_scan:
             raise ValueError(f"a region holds more than {most} voxels: its scan cannot be divided; raise `most`, or leave exact_scan")
-        rest, more = _ladder_of_large(v.where("group is null"), params, ny, nx, last)
-        swept, frames = swept.unionByName(rest), frames.unionByName(more)
+        swept = swept.unionByName(_ladder_of_large(v.where("group is null").drop("group"), params, ny, nx, tile))
+    frames = swept.where("detected is not null").groupBy(F.col("seed").alias("component"), F.col("detected").alias("threshold"), "t").agg(F.sum(F.floor("area")).alias("area"))
     frames = materialize(frames, "frames")
     found = frames.select("component", "threshold").distinct()
     number = (F.row_number().over(Window.orderBy("threshold", "component")) + last).cast("int")  # a row for each system, not its voxels

@@ -484,6 +484,25 @@ def test_ladder_of_large_regions(spark, scan_rules):
         assert {k: x for k, x in one.items() if x is not None} == model_ladder({r[:3]: r[3] for r in rows if r[3] <= 210}, p)
 
 
+@pytest.mark.parametrize(("tile", "scan_rules"), [((2, 3, 2), False), ((1, 2, 6), True)])
+def test_ladder_by_tiles_equals_whole_regions_and_stores_few_tables(spark, monkeypatch, tile, scan_rules):
+    """Growth, parts and labels carried over across the faces of tiles; a step of the ladder stores its rounds of growth and four tables."""
+    from cirrostrat.plans import ladder
+
+    rng, written = random.Random(5), []
+    store = ladder.materialize
+    monkeypatch.setattr(ladder, "materialize", lambda df, name="table": (written.append(name), store(df, name))[1])
+    p = RunParams(min_bt=200, max_bt=210, step_bt=10, min_area_seed=2, min_lifetime=2, scan_rules=scan_rules)
+    rows = [(t, y, x, round(195 + rng.randrange(0, 3000) / 100, 2), 1.9, 7 if (t, y, x) in ((0, 2, 2), (3, 0, 5)) else None) for t in range(5) for y in range(6) for x in range(6)]
+    v = spark.createDataFrame(rows, "t int, y int, x int, bt double, area double, label int")
+    one, two = (detect_and_spread(v, p, 6, 6, 7, **how) for how in ({}, {"most": 2, "tile": tile}))
+    got = [{(r.t, r.y, r.x): r.label for r in seg.voxels.collect()} for seg in (one, two)]
+    assert got[0] == got[1] and len(set(got[0].values())) > 1
+    assert sorted(one.frames.collect()) == sorted(two.frames.collect()) and one.last_label == two.last_label
+    assert len(written) - written.count("faces") <= 10 + 3 * 4
+    assert len(written) <= 40
+
+
 def test_asof_ties_nulls_and_empty(spark):
     left = spark.createDataFrame([(1, "2024-01-01 00:01:00"), (2, "2024-01-01 05:00:00"), (3, None)], "id int, s string").selectExpr("id", "cast(s as timestamp) ts")
     right = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:02:00"), ("c", "2024-01-01 00:02:00")], "path string, s string").selectExpr("path", "cast(s as timestamp) ts")
