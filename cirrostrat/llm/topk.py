@@ -41,7 +41,7 @@ class ImpactIndex:
         self.ids, self.vectors = ids, vectors.astype(np.float64)
         n, dims = vectors.shape
         order = np.argsort(self.vectors, axis=0, kind="stable")
-        self.rows = order.T.ravel().astype(np.int32)
+        self.rows = order.T.ravel()
         self.values = np.take_along_axis(self.vectors, order, 0).T.ravel()
         low, high = self.vectors.min(0), self.vectors.max(0)
         level = np.floor((self.values - np.repeat(low, n)) / np.repeat(np.maximum(1, (high - low + 1) / LEVELS), n))
@@ -69,11 +69,13 @@ class ImpactIndex:
             segments = turn[done:upto]
             done = upto
             if len(segments):
+                posted, dims = [slice(a, b) for a, b in zip(self.start[segments].tolist(), self.end[segments].tolist(), strict=True)], self.dim[segments]
                 length = self.end[segments] - self.start[segments]
-                at = np.arange(length.sum()) + np.repeat(self.start[segments] - np.r_[0, np.cumsum(length)[:-1]], length)
-                rows, dims = self.rows[at], np.repeat(self.dim[segments], length)
-                total += np.bincount(rows, self.values[at] * q[dims] - floor[dims], n)
-                unseen -= np.bincount(rows, best[dims], n)
+                rows, gained = np.concatenate([self.rows[p] for p in posted]), np.concatenate([self.values[p] for p in posted])
+                gained *= np.repeat(q[dims], length)
+                gained -= np.repeat(floor[dims], length)
+                total += np.bincount(rows, gained, n)
+                unseen -= np.bincount(rows, np.repeat(best[dims], length), n)
             rest = np.zeros(len(q))
             np.maximum.at(rest, self.dim[turn[done:]], gain[turn[done:]])
             if n > k + 1:

@@ -812,3 +812,22 @@ def test_registered_repeated_strings_query(spark):
     assert {r.doc_id: tuple(r)[1:5] for r in got} == brute_spans(rows, 400, False)
     whole = [r for r in got if len((r.text or "").encode()) == r.n_bytes - r.n_removed]
     assert len(whole) > 0.9 * len(got) and all(hashlib.sha256((r.text or "").encode()).hexdigest() == r.kept_sha256 for r in whole)
+
+
+def test_topk_adds_postings_from_their_segments():
+    """A part of the postings is added from slices of the index: no array of their places is built beside them."""
+    import tracemalloc
+
+    from cirrostrat.llm.topk import STEPS, ImpactIndex
+
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(0, 60, (4096, 64)))
+    index = ImpactIndex(np.arange(len(x)), x)
+    tracemalloc.start()
+    got = index.top_k(x[7], 7, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    score = x @ x[7]
+    score[7] = -np.inf
+    assert got == [(int(score[j]), int(j)) for j in np.lexsort((np.arange(len(x)), -score))[:5]]
+    assert most < 43 * x.size / STEPS
