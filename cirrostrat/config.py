@@ -25,7 +25,7 @@ class RunParams:
     overlap_slots: int = 8
     slot_minutes: int = 30
     scan_rules: bool = False
-    #: Seeds by one scan whose order decides, instead of components; for regions that a task holds whole.
+    #: Seeds by one scan whose order decides, instead of components; larger regions need ``divided``.
     exact_scan: bool = False
 
     def ladder(self) -> list[tuple[int, int]]:

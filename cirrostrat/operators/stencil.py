@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 
@@ -131,42 +131,59 @@ def lasting(part: np.ndarray, slot: np.ndarray, km2: np.ndarray, min_area: float
     return parts[(last - first + 1 >= min_lifetime) & (longest >= max(1, min_lifetime)) & (total >= min_area * min_lifetime)]
 
 
-def scanned(near: np.ndarray, cold: np.ndarray, label: np.ndarray, rim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts that one scan over the voxels finds, step by step: for each voxel the one that started its part or -1, and for each that started one the label that would absorb it.
+def scan(
+    near: np.ndarray, own: np.ndarray, cold: np.ndarray, label: np.ndarray, mayvisit: np.ndarray, told: Sequence[tuple[int, int, int]] = ()
+) -> tuple[np.ndarray, np.ndarray, dict[int, dict[int, int]]]:
+    """One scan over voxels in order of ``own``, visit by visit: the name of each voxel, the visit that gave it (-1: none), and what each part met, and when.
 
-    ``near`` has a voxel and its neighbours in the pattern ``SCAN``. Voxels are visited in order, but for the rim and for those without a cold
-    one among their six deciding neighbours. A visit with no label around starts a part; the first label around, if it is a part's, spreads to the free
-    cold voxels around; several labels around become neighbours of the first, and it theirs. Parts then join up from the oldest on, depth first and in the
-    order in which neighbours were met, but never through a system; the last system met so absorbs the whole. Labels are systems' (0: none).
+    ``near`` has a voxel and its neighbours in the pattern ``SCAN``. Voxels are visited in order, but for those that ``mayvisit`` rules out and those without a cold
+    one among their six deciding neighbours. A visit with no name around starts a part; the first name around, if it is a part's, spreads to the free
+    cold voxels around; several names around become neighbours of the first, and it theirs. Names above 0 are systems' labels; a part's is the complement of the
+    ``own`` of its first voxel. A voxel is named once and for all; ``told`` (visit, voxel, name), by visits, are names that visits elsewhere give.
     """
     n, held = len(label), np.r_[cold & (label == 0), False]
     beside = np.r_[cold, False][near[:, 1:7]].any(1)
-    visits = np.flatnonzero(cold & ~rim & beside & held[near].any(1))  # elsewhere a visit finds nothing to spread to, nor a part
-    lab, free = label.tolist(), held.tolist()  # parts have negative labels
-    starts: list[int] = []
-    met: list[dict[int, None]] = []
-    for i in visits.tolist():
-        cells = [c for c in near[i].tolist() if c < n]
-        around = list(dict.fromkeys(lab[c] for c in cells if lab[c]))
+    visits = np.flatnonzero(cold & mayvisit & beside & held[near].any(1))  # elsewhere a visit finds nothing to spread to, nor a part
+    lab, free, gave = [*label.tolist(), 0], held.tolist(), [-1] * n
+    met: dict[int, dict[int, int]] = {}
+    waits, news = len(told), 0
+    for i, when, cells in zip(visits.tolist(), own[visits].tolist(), near[visits].tolist(), strict=True):
+        while news < waits and told[news][0] < when:
+            by, c, name = told[news]
+            news += 1
+            if free[c]:
+                lab[c], free[c], gave[c] = name, False, by
+        around = list(dict.fromkeys([k for c in cells if (k := lab[c])]))
         if not around:
-            starts.append(i)
-            met.append({})
-            lab[i], around = -len(starts), [-len(starts)]
-            free[i] = False
+            around = [~when]
+            met[~when] = {}
+            lab[i], free[i], gave[i] = ~when, False, when
         first = around[0]
         if first < 0:
             for c in cells:
                 if free[c]:
-                    lab[c], free[c] = first, False
+                    lab[c], free[c], gave[c] = first, False, when
         if len(around) > 1:
-            for other in around:
+            for k, other in enumerate(around):
                 if first < 0:
-                    met[-first - 1].setdefault(other)
+                    met.setdefault(first, {}).setdefault(other, 16 * when + k)
                 if other < 0:
-                    met[-other - 1].setdefault(first)
-    top, absorbs = [-1] * len(starts), [0] * len(starts)
-    for part in range(len(starts)):
-        if top[part] >= 0:
+                    met.setdefault(other, {}).setdefault(first, 16 * when + k)
+    for by, c, name in told[news:]:
+        if free[c]:
+            lab[c], free[c], gave[c] = name, False, by
+    return np.array(lab[:n], np.int64), np.array(gave, np.int64), met
+
+
+def joined_in_order(met: Mapping[int, Iterable[int]]) -> tuple[dict[int, int], dict[int, int]]:
+    """The oldest part that each part of a scan hangs together with, and for these the system that would absorb the whole.
+
+    Parts join up from the oldest on, depth first and in the order in which neighbours were met, but never through a system; the last system met so absorbs.
+    """
+    top: dict[int, int] = {}
+    absorbs: dict[int, int] = {}
+    for part in sorted(met, reverse=True):
+        if part in top:
             continue
         top[part], ways = part, [iter(met[part])]
         while ways:
@@ -175,11 +192,20 @@ def scanned(near: np.ndarray, cold: np.ndarray, label: np.ndarray, rim: np.ndarr
                 ways.pop()
             elif other > 0:
                 absorbs[part] = other
-            elif top[-other - 1] < 0:
-                top[-other - 1] = part
-                ways.append(iter(met[-other - 1]))
-    begun = np.array([*(starts[k] for k in top), -1])
-    of = np.array(lab)
-    absorbed = np.zeros(n, np.int64)
-    absorbed[starts] = absorbs
-    return begun[np.where(of < 0, -of - 1, len(starts))], absorbed
+            elif other not in top:
+                top[other] = part
+                ways.append(iter(met[other]))
+    return top, absorbs
+
+
+def scanned(near: np.ndarray, cold: np.ndarray, label: np.ndarray, rim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that one scan over all voxels finds: for each voxel the one that started its part or -1, and for each that started one the label that would absorb it."""
+    n = len(label)
+    name, _, met = scan(near, np.arange(n), cold, label, ~rim)
+    top, absorbs = joined_in_order(met)
+    begun, absorbed = np.full(n + 1, -1), np.zeros(n, np.int64)
+    for part, first in top.items():
+        begun[~part] = ~first
+    for part, system in absorbs.items():
+        absorbed[~part] = system
+    return begun[np.where(name < 0, ~name, n)], absorbed

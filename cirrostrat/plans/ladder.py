@@ -110,7 +110,7 @@ def _tile_shape(sizes: tuple[int, int, int], cells: int) -> tuple[int, int, int]
 def _ladder_tile(params: RunParams, step: tuple[float, bool, int, int | None], ends: tuple[tuple[int, int], ...], tile: tuple[int, int, int], finish: bool):
     """A step of the ladder in one tile: the keys that its growth tells other tiles, or its cells after the step.
 
-    Notes are keys of faces, and the labels that parts across tiles were given after the step before. Parts that end inside the tile are decided
+    Notes are keys of faces, and the labels that parts across tiles (with ``exact_scan``: voxels) were given after the step before. Parts that end inside the tile are decided
     here; voxels of others keep the part's first voxel in the tile (root), what they touch (beside) and their role (2: hands the part on, 1: reached, 0: reached by none here).
     """
     limit, below, delta, threshold = step
@@ -125,8 +125,9 @@ def _ladder_tile(params: RunParams, step: tuple[float, bool, int, int | None], e
         given, faces = notes.filter(pa.array(~is_face)), notes.filter(pa.array(is_face))
         if given.num_rows:
             names, first = np.unique(given.column("source").to_numpy(), return_index=True)
-            at = np.minimum(np.searchsorted(names, root), len(names) - 1)
-            hit = (root >= 0) & (names[at] == root)
+            of = own if params.exact_scan else root
+            at = np.minimum(np.searchsorted(names, of), len(names) - 1)
+            hit = (of >= 0) & (names[at] == of)
             label[hit], detected[hit] = (given.column(c).to_numpy()[first][at[hit]] for c in ("label", "level"))
         free = (label == 0) & ((bt < limit) if below else (bt <= limit))
         s = Settled({"t": t, "y": y, "x": x, "q": q, "free": free, "label": label, "own": own}, faces, TEN, delta)
@@ -212,6 +213,155 @@ def _given(state: DataFrame, step: tuple, params: RunParams, ny: int, nx: int, t
     return given
 
 
+_SCANNED = "kind int, cell long, by long, part long, km2 double, tile_t int, tile_y int, tile_x int"
+#: What a tile tells of its scan: voxels of its own and their part, names that its visits give on and beyond its faces, voxels where these changed, and what parts met.
+_OF_PART, _GIVEN, _CHANGED, _MET = range(4)
+
+
+def _scan_tile(threshold: int, ny: int, nx: int, tile: tuple[int, int, int]):
+    """The visits of one scan in a tile, beside names that visits in other tiles give, as they told; cells are the tile's and those next to it."""
+
+    def run(cells: pa.Table, notes: pa.Table) -> pa.Table:
+        fields = [f.split() for f in _SCANNED.split(", ")]
+        here = cells.column("here").to_numpy(zero_copy_only=False)
+        if not here.any():
+            return pa.table({name: pa.array([], _ARROW[kind]) for name, kind in fields})
+        cells = cells.take(stencil.scan_order(*(cells.column(c).to_numpy() for c in "tyx")))
+        here = cells.column("here").to_numpy(zero_copy_only=False)
+        t, y, x, own, bt, km2 = (cells.column(c).to_numpy() for c in ("t", "y", "x", "own", "bt", "km2"))
+        label = cells.column("label").fill_null(0).to_numpy()
+        first = int(np.argmax(here))
+        mine = [int(c[first]) // n for c, n in zip((t, y, x), tile, strict=True)]
+
+        def visited_here(by: np.ndarray) -> np.ndarray:
+            at = (by // (ny * nx), by // nx % ny, by % nx)
+            return (by >= 0) & np.logical_and.reduce([c // n == m for c, n, m in zip(at, tile, mine, strict=True)])
+
+        cell, by, part = (notes.column(c).to_numpy() for c in ("cell", "by", "part"))
+        before = visited_here(by)
+        had = set(zip(cell[before].tolist(), by[before].tolist(), part[before].tolist(), strict=True))
+        cell, by, part = (a[~before][np.argsort(by[~before], kind="stable")] for a in (cell, by, part))
+        at = np.minimum(np.searchsorted(own, cell), len(own) - 1)
+        known = own[at] == cell
+        told = list(zip(by[known].tolist(), at[known].tolist(), (~part[known]).tolist(), strict=True))
+        rim = (x == 0) | (x == nx - 1) | (y == 0) | (y == ny - 1)
+        name, gave, met = stencil.scan(stencil.neighbour_table(t, y, x, SCAN), own, (bt > 0) & (bt <= threshold), label, here & ~rim, told)
+        face = ~here
+        for c, n in zip((t, y, x), tile, strict=True):
+            face |= (c % n == 0) | (c % n == n - 1)
+        of_part, given = np.flatnonzero(here & (name < 0)), np.flatnonzero(face & visited_here(gave))
+        now = set(zip(own[given].tolist(), gave[given].tolist(), (~name[given]).tolist(), strict=True))
+        changed = np.unique(np.array([c for c, _, _ in had ^ now], np.int64))
+        pairs = np.array([(other, when, ~p) for p, others in met.items() for other, when in others.items()], np.int64).reshape(-1, 3)
+        sizes = [len(of_part), len(given), len(changed), len(pairs)]
+        none = np.zeros(len(changed), np.int64)
+        out = {
+            "kind": np.repeat(np.array([_OF_PART, _GIVEN, _CHANGED, _MET], np.int32), sizes),
+            "cell": np.r_[own[of_part], own[given], changed, pairs[:, 0]],
+            "by": np.r_[gave[of_part], gave[given], none, pairs[:, 1]],
+            "part": np.r_[~name[of_part], ~name[given], none, pairs[:, 2]],
+            "km2": np.r_[km2[of_part], np.zeros(sum(sizes[1:]))],
+        }
+        return pa.table(out | {f"tile_{c}": np.full(sum(sizes), m, np.int32) for c, m in zip("tyx", mine, strict=True)})
+
+    return run
+
+
+def _absorbing(table: pa.Table) -> pa.Table:
+    """(component, last): the systems that absorb some components, by all that their parts met (part, other, when)."""
+    table = table.sort_by([("part", "ascending"), ("when", "ascending")])
+    met: dict[int, list[int]] = {}
+    for part, other in zip(table.column("part").to_pylist(), table.column("other").to_pylist(), strict=True):
+        met.setdefault(~part, []).append(other)
+    _, absorbs = stencil.joined_in_order(met)
+    return pa.table({"component": pa.array([~p for p in absorbs], pa.int64()), "last": pa.array(list(absorbs.values()), pa.int64())})
+
+
+def _scan_of_large(state: DataFrame, threshold: int, params: RunParams, ny: int, nx: int, tile: tuple[int, int, int], slots: tuple[int, int]) -> DataFrame:
+    """(own, label, detected, tile) of the voxels that one scan over all tiles names: ``stencil.scanned``, divided.
+
+    A voxel is named once, by the first visit that reaches it, so what a visit finds follows from the visits before it alone. Every tile runs its own visits beside the names that
+    visits of other tiles give to voxels next to it, as far as it was told, and tells them its own; it runs again when some that it was told changed. When none does, all
+    is as the one scan has it: the first visit that differed would have been told right. Only names on faces are kept between rounds. Components of parts that fail and touch
+    several systems are walked in the order of the scan, each as the graph of its parts; all others need no order.
+    """
+    tiles, position = [f"tile_{c}" for c in "tyx"], lambda c: (F.floor(c / (ny * nx)).cast("int"), (F.floor(c / nx) % ny).cast("int"), (c % nx).cast("int"))
+    last = (slots[1], ny - 1, nx - 1)
+
+    def struct(at: Sequence[Column]) -> Column:
+        return F.struct(*[F.floor(c / n).cast("int").alias(name) for name, c, n in zip(tiles, at, tile, strict=True)])
+
+    def near(df: DataFrame, at: Sequence[Column]) -> DataFrame:
+        """Rows once for each tile that their voxel lies in (``here``) or next to."""
+        face, inside = F.lit(False), F.lit(True)
+        for c, n in zip(at, tile, strict=True):
+            face = face | F.pmod(c, F.lit(n)).isin(0, n - 1)
+        beside = F.array_distinct(F.array(*[struct([c + d for c, d in zip(at, o, strict=True)]) for o in ((0, 0, 0), *TEN)]))
+        for name, n, end, low in zip(tiles, tile, last, (slots[0], 0, 0), strict=True):
+            inside = inside & F.col(f"_to.{name}").between(low // n, end // n)
+        to = df.drop(*tiles).withColumns({"_at": struct(at)}).withColumn("_to", F.explode(F.when(face, beside).otherwise(F.array("_at")))).where(inside)
+        return to.withColumn("here", F.col("_to") == F.col("_at")).select("*", *[F.col(f"_to.{name}").alias(name) for name in tiles]).drop("_to", "_at")
+
+    cold = (F.col("bt") > 0) & (F.col("bt") <= threshold)
+    cells = state.where(cold | F.col("label").isNotNull()).select("t", "y", "x", "own", "bt", F.coalesce(F.floor(F.nanvl("area", F.lit(None).cast("double"))), F.lit(0)).cast("double").alias("km2"), "label")
+    cells = near(cells, [F.col(c) for c in "tyx"])
+    held = near(state.where(cold & F.col("label").isNull()).select("t", "y", "x"), [F.col(c) for c in "tyx"]).select(*tiles).distinct()
+    cells = cells.join(held, tiles, "left_semi")
+    rounds: list[tuple[DataFrame, DataFrame | None]] = []
+
+    def latest() -> DataFrame:
+        out = rounds[0][0]
+        for told, ran in rounds[1:]:
+            out = out.join(ran, tiles, "left_anti").unionByName(told)
+        return out
+
+    only: DataFrame | None = None
+    while True:
+        notes = latest().where(F.col("kind") == _GIVEN) if rounds else cells.where("false").select(F.col("own").alias("cell"), F.col("own").alias("by"), F.col("own").alias("part"))
+        notes = near(notes.select("cell", "by", "part"), position(F.col("cell")))
+        active = cells
+        if only is not None:
+            active, notes = cells.join(only, tiles, "left_semi"), notes.join(only, tiles, "left_semi")
+        notes = notes.withColumnsRenamed({c: f"to_{c}" for c in tiles})
+        out = active.groupBy(*tiles).cogroup(notes.groupBy(*[f"to_{c}" for c in tiles])).applyInArrow(_scan_tile(threshold, ny, nx, tile), _SCANNED)
+        seen = Observation()
+        rounds.append((materialize(out.observe(seen, F.count(F.when(F.col("kind") == _CHANGED, 1)).alias("changed")), "scanned"), only))
+        if not seen.get["changed"]:
+            break
+        news = near(rounds[-1][0].where(F.col("kind") == _CHANGED).select("cell", *[F.col(c).alias(f"from_{c}") for c in tiles]), position(F.col("cell")))
+        elsewhere = F.lit(False)
+        for c in tiles:
+            elsewhere = elsewhere | (F.col(c) != F.col(f"from_{c}"))
+        only = materialize(news.where(elsewhere).select(*tiles).distinct(), "reached")
+        if len(rounds) > 6:  # plans stay short however many rounds there are
+            whole = materialize(latest(), "scanned")
+            discard(*[df for pair in rounds for df in pair if df is not None])
+            rounds = [(whole, None)]
+    found, part = latest(), F.col("part")
+    seen = Observation()
+    met = found.where(F.col("kind") == _MET).groupBy("part", F.col("cell").alias("other")).agg(F.min("by").alias("when"))
+    met = materialize(met.observe(seen, F.count("*").alias("n")), "met")
+    edges = met.where("other < 0").select("part", F.bitwise_not("other").alias("other")).where("part < other")
+    joined = (joined_up(edges, "part", "other") if seen.get["n"] <= 2 * LAST_EDGES else connected_components(edges, "part", "other")).withColumnRenamed("id", "part")
+    frames = found.where(F.col("kind") == _OF_PART).groupBy("part", F.floor(F.col("cell") / (ny * nx)).cast("int").alias("t")).agg(F.sum("km2").alias("area"))
+    named = materialize(frames.join(joined, "part", "left").withColumn("component", F.coalesce("component", part)), "parts")
+    new = seed_records(named.groupBy("component", "t").agg(F.sum("area").alias("area")), params.min_area_seed, params.min_lifetime).where("accepted")
+    new = materialize(new.select("component", F.col("component").bitwiseOR(F.lit(_name(threshold - params.min_bt))).alias("name")), "new")
+    parts = named.select("part", "component").distinct()
+    touched = met.where("other > 0").join(parts, "part").groupBy("component").agg(F.min("other").alias("least"), F.max("other").alias("most"))
+    touched = materialize(touched.join(new, "component", "left_anti"), "touched")
+    bins = 1 + seen.get["n"] // LAST_EDGES
+    several = met.join(parts, "part").join(touched.where("least < most").select("component"), "component", "left_semi").withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(bins)))
+    absorbed = several.select("bin", "part", "other", "when").groupBy("bin").applyInArrow(_absorbing, "component long, last long")
+    label = F.coalesce("name", "last", "least")
+    given = parts.join(new, "component", "left").join(touched.select("component", "least"), "component", "left").join(absorbed, "component", "left")
+    given = given.select("part", label.alias("label"), F.when(F.col("name").isNotNull(), threshold).otherwise(0).alias("detected")).where("label is not null")
+    out = found.where(F.col("kind") == _OF_PART).select(F.col("cell").alias("own"), "part", *tiles).join(given, "part").drop("part")
+    out = materialize(out, "given")
+    discard(met, named, new, touched, *[df for pair in rounds for df in pair if df is not None])
+    return out
+
+
 def _ladder_of_large(v: DataFrame, params: RunParams, ny: int, nx: int, tile: tuple[int, int, int] | None = None) -> DataFrame:
     """The ladder over regions that no task holds whole: voxels as ``_ladder_group`` gives them.
 
@@ -260,6 +410,8 @@ def _ladder_of_large(v: DataFrame, params: RunParams, ny: int, nx: int, tile: tu
         empty = own.where("false").select("t", "y", "x", "q", F.lit(0).alias("level"), F.col("own").alias("source"), "label", *[F.lit(0).alias(n) for n in tiles], F.lit(True).alias("face"))
         root = F.col("root")
         known = empty if given is None else given.select(
+            *[F.lit(0).alias(c) for c in ("t", "y", "x", "q")], F.col("detected").cast("int").alias("level"), F.col("own").alias("source"), "label", *tiles, F.lit(False).alias("face"),
+        ) if params.exact_scan else given.select(
             *[F.lit(0).alias(c) for c in ("t", "y", "x", "q")], F.col("detected").cast("int").alias("level"), root.alias("source"), "label",
             *[c.alias(n) for n, c in of(F.floor(root / (ny * nx)), F.floor(root / nx) % ny, root % nx).items()], F.lit(False).alias("face"),
         )
@@ -272,7 +424,8 @@ def _ladder_of_large(v: DataFrame, params: RunParams, ny: int, nx: int, tile: tu
 
         def run(cells: DataFrame, notes: DataFrame, finish: bool, step: tuple = step) -> DataFrame:
             told = notes.withColumnsRenamed({t: f"to_{t}" for t in tiles})
-            return cells.groupBy(*tiles).cogroup(told.groupBy(*[f"to_{t}" for t in tiles])).applyInArrow(_ladder_tile(params, step, ends, tile, finish), _CELL if finish else _FACE)
+            here = (*step[:3], None) if params.exact_scan else step  # a scan follows
+            return cells.groupBy(*tiles).cogroup(told.groupBy(*[f"to_{t}" for t in tiles])).applyInArrow(_ladder_tile(params, here, ends, tile, finish), _CELL if finish else _FACE)
 
         while labelled:
             active, heard = cells, notes()
@@ -289,16 +442,22 @@ def _ladder_of_large(v: DataFrame, params: RunParams, ny: int, nx: int, tile: tu
         face = F.lit(False)
         for c, n in zip("tyx", tile, strict=True):
             face = face | F.pmod(c, F.lit(n)).isin(0, n - 1)
-        state = materialize(run(cells, notes(), True).observe(seen, F.count("label").alias("labels"), F.count(F.when(root.isNotNull() & face, 1)).alias("rim"), F.count("root").alias("pending")), "swept")
+        held = F.col("label").isNull() & (F.col("bt") > 0) & (F.col("bt") <= step[3]) if params.exact_scan and step[3] is not None else root.isNotNull()
+        state = materialize(run(cells, notes(), True).observe(seen, F.count("label").alias("labels"), F.count(F.when(root.isNotNull() & face, 1)).alias("rim"), F.count(F.when(held, 1)).alias("pending")), "swept")
         discard(*old)
-        given = _given(state, step, params, ny, nx, tile, seen.get["rim"]) if seen.get["pending"] else None
+        if not seen.get["pending"]:
+            given = None
+        elif params.exact_scan:
+            given = _scan_of_large(state, step[3], params, ny, nx, tile, (low, high))
+        else:
+            given = _given(state, step, params, ny, nx, tile, seen.get["rim"])
         labelled = seen.get["labels"] > 0 or given is not None
         reached = limit
     label = F.col("label")
     return state.select("t", "y", "x", "bt", "area", F.when(label <= _OWN, label).cast("int").alias("label"), F.when(label > _OWN, label.bitwiseAND(F.lit(_OWN))).alias("seed"), "detected")
 
 
-def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, last_label: int | None = None, most: int = REGION_VOXELS, tile: tuple[int, int, int] | None = None) -> Segmentation:
+def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, last_label: int | None = None, most: int = REGION_VOXELS, tile: tuple[int, int, int] | None = None, divided: bool = False) -> Segmentation:
     """Segment a volume (t, y, x, bt, area and, for labels carried over, label).
 
     For each threshold, coldest first: grow the labels into colder voxels, detect new seeds, grow up
@@ -306,8 +465,8 @@ def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, la
     the warmest threshold take part. Nothing passes between regions of those that do not touch each other, so regions of up to
     ``most`` voxels go through all thresholds in one task. New systems are named by the first voxel of their seed there, and numbered once at
     the end, by threshold and that voxel, which is the order in which one threshold after the other would number them.
-    With ``exact_scan`` seeds, and the systems that absorb what fails, are those of one scan whose order decides (``stencil.scanned``); it is
-    refused for volumes with a larger region.
+    With ``exact_scan`` seeds, and the systems that absorb what fails, are those of one scan whose order decides (``stencil.scanned``); volumes
+    with a larger region are refused unless ``divided``, which runs that scan by tiles in rounds with the same result.
     """
     last = params.first_label if last_label is None else last_label
     warmest = max(t for pair in params.ladder() for t in pair)
@@ -317,8 +476,8 @@ def detect_and_spread(voxels: DataFrame, params: RunParams, ny: int, nx: int, la
     ready = v.where("group is not null").withColumns({"q": centikelvin(F.col("bt")), "own": voxel_index(F.col("t"), F.col("y"), F.col("x"), ny, nx), "rim": is_edge(ny, nx)})
     swept = materialize(ready.groupBy("group").applyInArrow(_ladder_group(params), _LABELLED), "laddered")
     if not v.where("group is null").isEmpty():
-        if params.exact_scan:
-            raise ValueError(f"a region holds more than {most} voxels: its scan cannot be divided; raise `most`, or leave exact_scan")
+        if params.exact_scan and not divided:
+            raise ValueError(f"a region holds more than {most} voxels: set `divided` to scan it by tiles, raise `most`, or leave exact_scan")
         swept = swept.unionByName(_ladder_of_large(v.where("group is null").drop("group"), params, ny, nx, tile))
     frames = swept.where("detected is not null").groupBy(F.col("seed").alias("component"), F.col("detected").alias("threshold"), "t").agg(F.sum(F.floor("area")).alias("area"))
     frames = materialize(frames, "frames")

@@ -494,7 +494,7 @@ def seed_frames(spark, d):
 @query()
 def label_ladder_scan(spark, d):
     """The whole ladder in the exact scan mode, whose seeds depend on the order of one scan; the tests compare it with a plain model."""
-    seg = ladder.detect_and_spread(_event_volume(spark, d), config.RunParams(exact_scan=True), _height(spark, d), adapters.WIDTH)
+    seg = ladder.detect_and_spread(_event_volume(spark, d), config.RunParams(exact_scan=True), _height(spark, d), adapters.WIDTH, divided=True)
     return seg.voxels.where("label is not null").select("t", "y", "x", "label")
 
 

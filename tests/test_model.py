@@ -242,6 +242,48 @@ def test_exact_scan_refuses_regions_beyond_a_task(spark):
         detect_and_spread(v, RunParams(exact_scan=True), 1, 40, most=10)
 
 
+def test_divided_scan_equals_a_plain_model(spark):
+    """Regions beyond a task are scanned by tiles, cut along all axes, and give what one scan gives."""
+    bt, _ = noisy_volume()
+    p = RunParams(min_bt=198, max_bt=234, step_bt=18, min_area_seed=3, min_lifetime=3, exact_scan=True)
+    v = spark.createDataFrame([(*k, b, 1.0) for k, b in bt.items()], "t int, y int, x int, bt double, area double").repartition(3)
+    seg = detect_and_spread(v, p, 18, 18, most=10, tile=(5, 9, 7), divided=True)
+    got = {(r.t, r.y, r.x): r.label for r in seg.voxels.collect() if r.label is not None}
+    assert (got, seg.last_label) == model_scan_ladder(bt, p, 18, 18)
+    whole = detect_and_spread(v, p, 18, 18)
+    assert sorted(seg.frames.collect()) == sorted(whole.frames.collect())
+
+
+def test_divided_scan_of_noise_equals_a_plain_model(spark):
+    """A dense volume of noise, one region: chains of visits cross tiles, and parts that fail touch several systems, the last met of which absorbs them."""
+    rng = random.Random(31)
+    bt = {(t, y, x): round(190 + rng.randrange(0, 5500) / 100, 2) for t in range(8) for y in range(40) for x in range(9) if rng.random() < 0.8}
+    bt = {v: b for v, b in bt.items() if b <= 226}
+    p = RunParams(min_bt=200, max_bt=226, step_bt=13, delta_spread=0.1, min_area_seed=2, min_lifetime=3, exact_scan=True)
+    v = spark.createDataFrame([(*k, b, 1.0) for k, b in bt.items()], "t int, y int, x int, bt double, area double").repartition(3)
+    seg = detect_and_spread(v, p, 40, 9, most=10, tile=(8, 5, 9), divided=True)
+    got = {(r.t, r.y, r.x): r.label for r in seg.voxels.collect() if r.label is not None}
+    assert (got, seg.last_label) == model_scan_ladder(bt, p, 40, 9) and seg.last_label > 3
+
+
+def test_scan_query_takes_regions_beyond_a_task(spark, tmp_path, monkeypatch):
+    """The query itself, on a table whose regions are all beyond what a task may hold, against the same with whole regions."""
+    from functools import partial
+
+    from cirrostrat import queries
+    from cirrostrat.plans import ladder
+
+    rng = random.Random(4)
+    rows = [(t, y * 15 + x, 4.0 + rng.randrange(0, 400) / 100 + 12 * (y == 7)) for t in range(5) for y in range(14) for x in range(15)]
+    events = spark.createDataFrame(rows, "t int, user_id long, value double")
+    events.selectExpr("timestamp_seconds(1704067200 + 43200 * t) as ts", "user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    run = queries.queries()["label_ladder_scan"]
+    want = sorted(map(tuple, run(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(ladder, "detect_and_spread", partial(detect_and_spread, most=10))
+    monkeypatch.setattr(ladder, "TILE", (5, 4, 15))
+    assert sorted(map(tuple, run(spark, str(tmp_path)).collect())) == want and len({r[3] for r in want}) > 1
+
+
 def test_ladder_queries_take_the_whole_table(spark, tmp_path, monkeypatch):
     """What the queries hand to the ladder: every voxel of the events, its height and all thresholds (the ladder itself is tested above)."""
     from cirrostrat import queries
