@@ -18,7 +18,7 @@ from cirrostrat.operators.components import REGION_VOXELS, TILE, with_groups
 from cirrostrat.operators.graph import LAST_EDGES, connected_components, joined_up
 from cirrostrat.operators.growth import Settled
 from cirrostrat.operators.joins import assign_chunks, carried_over
-from cirrostrat.operators.neighbors import SCAN, SIX, TEN, is_edge, shifted
+from cirrostrat.operators.neighbors import SCAN, SIX, TEN, is_edge, offsets, shifted
 from cirrostrat.operators.seeds import seed_records
 from cirrostrat.runtime import discard, materialize
 
@@ -111,7 +111,7 @@ def _ladder_tile(params: RunParams, step: tuple[float, bool, int, int | None], e
     """A step of the ladder in one tile: the keys that its growth tells other tiles, or its cells after the step.
 
     Notes are keys of faces, and the labels that parts across tiles (with ``exact_scan``: voxels) were given after the step before. Parts that end inside the tile are decided
-    here; voxels of others keep the part's first voxel in the tile (root), what they touch (beside) and their role (2: hands the part on, 1: reached, 0: reached by none here).
+    here (``exact_scan``: a scan follows, which reads the voxels of role 1); voxels of others keep the part's first voxel in the tile (root), what they touch (beside) and their role (2: hands the part on, 1: reached, 0: reached by none here).
     """
     limit, below, delta, threshold = step
 
@@ -139,7 +139,14 @@ def _ladder_tile(params: RunParams, step: tuple[float, bool, int, int | None], e
         index[inside] = own[row]
         seen = np.zeros(n, np.int32)
         seen[inside] = detected[row]
-        if threshold is not None:
+        if threshold is not None and params.exact_scan:  # the scan reads what lies within two steps of free voxels, here or beyond a face
+            role[inside] = (label[row] == 0) & (labels[inside] == 0) & (bt[row] > 0) & (bt[row] <= threshold)
+            for _ in range(2):
+                role = np.maximum(role, np.r_[role, 0][s.near].max(1))
+            for c, size, (low, high) in zip((s.t, s.y, s.x), tile, ends, strict=True):
+                start = c // size * size
+                role[((c - start < 2) & (start > low)) | ((c - start >= size - 2) & (start + size <= high))] = 1
+        elif threshold is not None:
             temperature, km2 = np.full(n, np.nan), np.zeros(n)
             temperature[inside] = bt[row]
             km2[inside] = np.nan_to_num(np.floor(cells.column("area").to_numpy(zero_copy_only=False).astype(float)))[row]
@@ -170,7 +177,7 @@ def _ladder_tile(params: RunParams, step: tuple[float, bool, int, int | None], e
         labels, seen, found, role, beside = (a[inside] for a in (labels, seen, found, role, beside))
         out = cells.take(pa.array(row)).select([f.split()[0] for f in _CELL.split(", ")])
         pending = found >= 0
-        for name, values, none in (("label", labels, labels == 0), ("detected", seen, seen == 0), ("root", found, ~pending), ("role", role, ~pending), ("beside", beside, ~pending | (beside == 0))):
+        for name, values, none in (("label", labels, labels == 0), ("detected", seen, seen == 0), ("root", found, ~pending), ("role", role, role == 0 if params.exact_scan else ~pending), ("beside", beside, ~pending | (beside == 0))):
             out = out.set_column(out.column_names.index(name), name, pa.array(values, mask=none))
         return out
 
@@ -214,8 +221,8 @@ def _given(state: DataFrame, step: tuple, params: RunParams, ny: int, nx: int, t
 
 
 _SCANNED = "kind int, cell long, by long, part long, km2 double, tile_t int, tile_y int, tile_x int"
-#: What a tile tells of its scan: voxels of its own and their part, names that its visits give on and beyond its faces, voxels where these changed, and what parts met.
-_OF_PART, _GIVEN, _CHANGED, _MET = range(4)
+#: What a tile tells of its scan: voxels of its own and their part, names that its visits give on and beyond its faces, tiles next to those that changed (in cell, by, part), and what parts met.
+_OF_PART, _GIVEN, _AGAIN, _MET = range(4)
 
 
 def _scan_tile(threshold: int, ny: int, nx: int, tile: tuple[int, int, int]):
@@ -252,14 +259,16 @@ def _scan_tile(threshold: int, ny: int, nx: int, tile: tuple[int, int, int]):
         of_part, given = np.flatnonzero(here & (name < 0)), np.flatnonzero(face & visited_here(gave))
         now = set(zip(own[given].tolist(), gave[given].tolist(), (~name[given]).tolist(), strict=True))
         changed = np.unique(np.array([c for c, _, _ in had ^ now], np.int64))
+        places = np.stack([changed // (ny * nx), changed // nx % ny, changed % nx], 1)
+        again = np.unique((places[:, None, :] + np.array(((0, 0, 0), *TEN))[None]).reshape(-1, 3) // np.array(tile), axis=0) if len(changed) else np.empty((0, 3), np.int64)
+        again = again[(again != np.array(mine)).any(1)]
         pairs = np.array([(other, when, ~p) for p, others in met.items() for other, when in others.items()], np.int64).reshape(-1, 3)
-        sizes = [len(of_part), len(given), len(changed), len(pairs)]
-        none = np.zeros(len(changed), np.int64)
+        sizes = [len(of_part), len(given), len(again), len(pairs)]
         out = {
-            "kind": np.repeat(np.array([_OF_PART, _GIVEN, _CHANGED, _MET], np.int32), sizes),
-            "cell": np.r_[own[of_part], own[given], changed, pairs[:, 0]],
-            "by": np.r_[gave[of_part], gave[given], none, pairs[:, 1]],
-            "part": np.r_[~name[of_part], ~name[given], none, pairs[:, 2]],
+            "kind": np.repeat(np.array([_OF_PART, _GIVEN, _AGAIN, _MET], np.int32), sizes),
+            "cell": np.r_[own[of_part], own[given], again[:, 0], pairs[:, 0]],
+            "by": np.r_[gave[of_part], gave[given], again[:, 1], pairs[:, 1]],
+            "part": np.r_[~name[of_part], ~name[given], again[:, 2], pairs[:, 2]],
             "km2": np.r_[km2[of_part], np.zeros(sum(sizes[1:]))],
         }
         return pa.table(out | {f"tile_{c}": np.full(sum(sizes), m, np.int32) for c, m in zip("tyx", mine, strict=True)})
@@ -288,31 +297,27 @@ def _scan_of_large(state: DataFrame, threshold: int, params: RunParams, ny: int,
     tiles, position = [f"tile_{c}" for c in "tyx"], lambda c: (F.floor(c / (ny * nx)).cast("int"), (F.floor(c / nx) % ny).cast("int"), (c % nx).cast("int"))
     last = (slots[1], ny - 1, nx - 1)
 
-    def struct(at: Sequence[Column]) -> Column:
-        return F.struct(*[F.floor(c / n).cast("int").alias(name) for name, c, n in zip(tiles, at, tile, strict=True)])
-
     def near(df: DataFrame, at: Sequence[Column]) -> DataFrame:
         """Rows once for each tile that their voxel lies in (``here``) or next to."""
-        face, inside = F.lit(False), F.lit(True)
+        face, touches, o = F.lit(False), F.lit(True), F.col("_o")
         for c, n in zip(at, tile, strict=True):
             face = face | F.pmod(c, F.lit(n)).isin(0, n - 1)
-        beside = F.array_distinct(F.array(*[struct([c + d for c, d in zip(at, o, strict=True)]) for o in ((0, 0, 0), *TEN)]))
-        for name, n, end, low in zip(tiles, tile, last, (slots[0], 0, 0), strict=True):
-            inside = inside & F.col(f"_to.{name}").between(low // n, end // n)
-        to = df.drop(*tiles).withColumns({"_at": struct(at)}).withColumn("_to", F.explode(F.when(face, beside).otherwise(F.array("_at")))).where(inside)
-        return to.withColumn("here", F.col("_to") == F.col("_at")).select("*", *[F.col(f"_to.{name}").alias(name) for name in tiles]).drop("_to", "_at")
+        to = df.drop(*tiles).withColumn("_o", F.explode(F.when(face, offsets(((0, 0, 0), *TEN))).otherwise(offsets(((0, 0, 0),)))))
+        to = to.withColumns({name: (F.floor(c / n) + o[f"d{axis}"]).cast("int") for name, c, n, axis in zip(tiles, at, tile, "tyx", strict=True)})
+        for name, c, n, end, low, axis in zip(tiles, at, tile, last, (slots[0], 0, 0), "tyx", strict=True):
+            d, within = o[f"d{axis}"], F.pmod(c, F.lit(n))
+            touches = touches & ((d == 0) | ((d == -1) & (within == 0)) | ((d == 1) & (within == n - 1))) & F.col(name).between(low // n, end // n)
+        return to.where(touches).withColumn("here", o["k"] == 0).drop("_o")
 
     cold = (F.col("bt") > 0) & (F.col("bt") <= threshold)
-    cells = state.where(cold | F.col("label").isNotNull()).select("t", "y", "x", "own", "bt", F.coalesce(F.floor(F.nanvl("area", F.lit(None).cast("double"))), F.lit(0)).cast("double").alias("km2"), "label")
+    cells = state.where((F.col("role") == 1) & (cold | F.col("label").isNotNull())).select("t", "y", "x", "own", "bt", F.coalesce(F.floor(F.nanvl("area", F.lit(None).cast("double"))), F.lit(0)).cast("double").alias("km2"), "label")
     cells = near(cells, [F.col(c) for c in "tyx"])
-    held = near(state.where(cold & F.col("label").isNull()).select("t", "y", "x"), [F.col(c) for c in "tyx"]).select(*tiles).distinct()
-    cells = cells.join(held, tiles, "left_semi")
     rounds: list[tuple[DataFrame, DataFrame | None]] = []
 
     def latest() -> DataFrame:
         out = rounds[0][0]
         for told, ran in rounds[1:]:
-            out = out.join(ran, tiles, "left_anti").unionByName(told)
+            out = out.join(F.broadcast(ran), tiles, "left_anti").unionByName(told)
         return out
 
     only: DataFrame | None = None
@@ -321,21 +326,18 @@ def _scan_of_large(state: DataFrame, threshold: int, params: RunParams, ny: int,
         notes = near(notes.select("cell", "by", "part"), position(F.col("cell")))
         active = cells
         if only is not None:
-            active, notes = cells.join(only, tiles, "left_semi"), notes.join(only, tiles, "left_semi")
+            active, notes = (df.join(F.broadcast(only), tiles, "left_semi") for df in (cells, notes))  # a row for each tile, at most ten times
         notes = notes.withColumnsRenamed({c: f"to_{c}" for c in tiles})
         out = active.groupBy(*tiles).cogroup(notes.groupBy(*[f"to_{c}" for c in tiles])).applyInArrow(_scan_tile(threshold, ny, nx, tile), _SCANNED)
         seen = Observation()
-        rounds.append((materialize(out.observe(seen, F.count(F.when(F.col("kind") == _CHANGED, 1)).alias("changed")), "scanned"), only))
-        if not seen.get["changed"]:
+        rounds.append((materialize(out.observe(seen, F.count(F.when(F.col("kind") == _AGAIN, 1)).alias("again")), "scanned"), only))
+        if not seen.get["again"]:
             break
-        news = near(rounds[-1][0].where(F.col("kind") == _CHANGED).select("cell", *[F.col(c).alias(f"from_{c}") for c in tiles]), position(F.col("cell")))
-        elsewhere = F.lit(False)
-        for c in tiles:
-            elsewhere = elsewhere | (F.col(c) != F.col(f"from_{c}"))
-        only = materialize(news.where(elsewhere).select(*tiles).distinct(), "reached")
+        only = rounds[-1][0].where(F.col("kind") == _AGAIN).select(*[F.col(c).cast("int").alias(name) for c, name in zip(("cell", "by", "part"), tiles, strict=True)])
         if len(rounds) > 6:  # plans stay short however many rounds there are
             whole = materialize(latest(), "scanned")
-            discard(*[df for pair in rounds for df in pair if df is not None])
+            only = materialize(only.distinct(), "again")
+            discard(*[df for df, _ in rounds])
             rounds = [(whole, None)]
     found, part = latest(), F.col("part")
     seen = Observation()
@@ -358,7 +360,7 @@ def _scan_of_large(state: DataFrame, threshold: int, params: RunParams, ny: int,
     given = given.select("part", label.alias("label"), F.when(F.col("name").isNotNull(), threshold).otherwise(0).alias("detected")).where("label is not null")
     out = found.where(F.col("kind") == _OF_PART).select(F.col("cell").alias("own"), "part", *tiles).join(given, "part").drop("part")
     out = materialize(out, "given")
-    discard(met, named, new, touched, *[df for pair in rounds for df in pair if df is not None])
+    discard(met, named, new, touched, *[df for df, _ in rounds])
     return out
 
 
@@ -424,8 +426,7 @@ def _ladder_of_large(v: DataFrame, params: RunParams, ny: int, nx: int, tile: tu
 
         def run(cells: DataFrame, notes: DataFrame, finish: bool, step: tuple = step) -> DataFrame:
             told = notes.withColumnsRenamed({t: f"to_{t}" for t in tiles})
-            here = (*step[:3], None) if params.exact_scan else step  # a scan follows
-            return cells.groupBy(*tiles).cogroup(told.groupBy(*[f"to_{t}" for t in tiles])).applyInArrow(_ladder_tile(params, here, ends, tile, finish), _CELL if finish else _FACE)
+            return cells.groupBy(*tiles).cogroup(told.groupBy(*[f"to_{t}" for t in tiles])).applyInArrow(_ladder_tile(params, step, ends, tile, finish), _CELL if finish else _FACE)
 
         while labelled:
             active, heard = cells, notes()
