@@ -409,7 +409,8 @@ def _ladder_of_large(v: DataFrame, params: RunParams, ny: int, nx: int, tile: tu
         fresh = fresh if reached is None else fresh.where(F.col("bt") > reached)
         cells = here(state.unionByName(fresh if at == len(steps) - 1 else fresh.where(F.col("bt") <= limit)))
         told: list[DataFrame] = []
-        empty = own.where("false").select("t", "y", "x", "q", F.lit(0).alias("level"), F.col("own").alias("source"), "label", *[F.lit(0).alias(n) for n in tiles], F.lit(True).alias("face"))
+        named = {"t": "t", "y": "y", "x": "x", "q": "q", "source": "own", "label": "label"}  # columns of their own: the first step's cells are rows of ``own`` too, and joined with these
+        empty = own.where("false").select(*[F.col(c).alias(n) for n, c in named.items()], *[F.lit(0).alias(n) for n in ("level", *tiles)], F.lit(True).alias("face"))
         root = F.col("root")
         known = empty if given is None else given.select(
             *[F.lit(0).alias(c) for c in ("t", "y", "x", "q")], F.col("detected").cast("int").alias("level"), F.col("own").alias("source"), "label", *tiles, F.lit(False).alias("face"),

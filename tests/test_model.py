@@ -378,6 +378,22 @@ def test_chunked_run_keeps_labels(spark):
     assert first and all(second[v] == lab for v, lab in first.items())
 
 
+def test_chunks_of_large_regions_keep_labels(spark, monkeypatch):
+    """Chunks whose regions no task holds: labels carried over cross several tiles at the first threshold, as within whole regions."""
+    from functools import partial
+
+    from cirrostrat.plans import ladder
+
+    p = RunParams(min_bt=200, max_bt=210, step_bt=10, min_area_seed=2, min_lifetime=3, volume_slots=6, overlap_slots=2)
+    rows = [(t, 0, x, 195 + 0.3 * (x % 3), 1.0) for t in range(10) for x in range(12) if t > 5 or x < 3]
+    rows += [(t, 3, x, 205 + 0.3 * (x % 3), 1.0) for t in range(6, 10) for x in range(12)]
+    v = spark.createDataFrame(rows, "t int, y int, x int, bt double, area double").repartition(3)
+    want = sorted(map(tuple, run_chunks(v, p, 5, 12, 10).collect()))
+    monkeypatch.setattr(ladder, "detect_and_spread", partial(detect_and_spread, most=10, tile=(20, 5, 2)))
+    assert sorted(map(tuple, run_chunks(v, p, 5, 12, 10).collect())) == want
+    assert {(c, y, label) for c, t, y, x, label in want} == {(0, 0, 2), (1, 0, 2), (1, 3, 3)} and len(want) == 3 * 6 + 3 * 2 + 48 + 48
+
+
 def same_up_to_names(a, b):
     """Whether two labellings of the same voxels group them alike."""
     return set(a) == set(b) and len({(a[v], b[v]) for v in a}) == len(set(a.values())) == len(set(b.values()))
